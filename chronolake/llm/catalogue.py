@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing
+from . import decontaminate, mixing, neardup, tokenfile
 
 
 def queries() -> dict:
     return {
         "op5_decontaminate": decontaminate.op5_decontaminate,
+        "op4_token_file": tokenfile.op4_token_file,
         "op8_mix_sources": mixing.op8_mix_sources,
+        "op10_near_duplicates": neardup.op10_near_duplicates,
     }
 
 

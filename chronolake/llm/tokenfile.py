@@ -190,8 +190,8 @@ class Shard:
         while (deep := flat >= n).any():  # every symbol's expansion, one level a pass
             at = np.arange(len(flat)) + np.cumsum(deep) - deep
             longer = np.empty(len(flat) + int(deep.sum()), np.int64)
-            longer[at] = np.where(deep, rules[flat - n, 0] if len(rules) else 0, flat)
-            longer[at[deep] + 1] = rules[flat[deep] - n, 1]
+            longer[at[~deep]] = flat[~deep]
+            longer[at[deep]], longer[at[deep] + 1] = rules[flat[deep] - n].T
             flat = longer
         self.flat = self.alphabet[flat]
         self.offset = np.cumsum(self.lengths) - self.lengths

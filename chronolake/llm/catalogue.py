@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, neardup, tokenfile
+from . import decontaminate, mixing, neardup, quality, rules, tokenfile
 
 
 def queries() -> dict:
     return {
+        "op3_quality_rules": rules.op3_quality_rules,
+        "op7_quality": quality.op7_quality,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op4_token_file": tokenfile.op4_token_file,
         "op8_mix_sources": mixing.op8_mix_sources,

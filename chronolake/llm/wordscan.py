@@ -36,26 +36,37 @@ def mixed64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+class Hashed:
+    """Prefix sums from which the hash of any byte range follows."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = powers(len(data) + 1)
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(data.astype(np.uint64) * up[: len(data)], out=self.total[1:])
+
+    def ranges(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return mixed64((self.total[stops] - self.total[starts]) * self.down[starts])
+
+
+def bounds(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of the runs of bytes inside, cut where a text ends."""
+    n = len(inside)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1] | edge[1:n]
+    ends[:-1] &= ~inside[1:] | edge[1:n]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
 def words(body: np.ndarray, offsets: np.ndarray, kind: np.ndarray):
     """Lower-cased bytes, word starts and ends in them, word hashes, and each text's first word.
 
     offsets has one more entry than there are texts; so has the returned array of first words.
     """
     low = _LOWER_TABLE[body]
-    n = len(low)
-    if n == 0:
+    if len(low) == 0:
         none = np.zeros(0, np.int64)
         return low, none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = kind[low]
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1] | edge[1:n]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:] | edge[1:n]
-    starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(low.astype(np.uint64) * up[:n], out=total[1:])
-    hashes = mixed64((total[stops] - total[starts]) * down[starts])
-    return low, starts, stops, hashes, np.searchsorted(starts, offsets)
+    starts, stops = bounds(kind[low], offsets)
+    return low, starts, stops, Hashed(low).ranges(starts, stops), np.searchsorted(starts, offsets)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, neardup, quality, rules, tokenfile
+from . import decontaminate, mixing, neardup, quality, rules, tokenfile, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_quality_rules": rules.op3_quality_rules,
         "op7_quality": quality.op7_quality,
         "op5_decontaminate": decontaminate.op5_decontaminate,

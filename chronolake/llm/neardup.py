@@ -110,11 +110,46 @@ def _prepare(size: int, rows: int, count: int):
     return run
 
 
-def _sets(size: int):
+def _bits(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word and mask of the one bit that each id sets in a bitmap of size 64-bit words."""
+    h = mixed64(ids.view(np.uint64) + np.uint64(_ODD[2]))
+    return (h >> np.uint64(6)) % np.uint64(size), np.uint64(1) << (h & np.uint64(63))
+
+
+def id_bitmap(ids: DataFrame, column: str) -> np.ndarray:
+    """A bitmap that has the bit of every id set, and few others; 8 MB at most, however many ids.
+
+    Where there are too many ids for it, it lets more of the others through, which costs time only.
+    """
+    size = 1 << min(max(int(ids.count() * 16).bit_length() - 6, 10), 20)
+
+    def run(batches):
+        import pyarrow as pa
+
+        bitmap = np.zeros(size, np.uint64)
+        for batch in batches:
+            at, mask = _bits(np.array(batch.column(0)), size)
+            np.bitwise_or.at(bitmap, at.astype(np.int64), mask)
+        at = np.flatnonzero(bitmap)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(_signed(bitmap[at]))], names=["at", "mask"])
+
+    parts = ids.select(column).mapInArrow(run, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(size, np.uint64)
+    out[np.array(parts.column("at"))] = np.array(parts.column("mask")).view(np.uint64)
+    return out
+
+
+def _sets(size: int, bitmap):
+    """Sets of the rows whose doc_id may be in the bitmap."""
+
     def run(batches):
         import pyarrow as pa
 
+        bits = bitmap.value
         for whole in batches:
+            ids = np.array(whole.column(0).fill_null(0).cast(pa.int64()))
+            at, mask = _bits(ids, len(bits))
+            whole = whole.filter(pa.array((bits[at.astype(np.int64)] & mask) != 0))
             for batch in pieces(whole, "text", 2 << 20):
                 sets = shingle_sets(*text_buffers(batch.column(1)), size)
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
@@ -276,8 +311,8 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
     pairs, p = written(buckets.join(hubs, "key").where("node <> hub").select("hub", "node").distinct(), "near-stars")
     used.append(p)
     needed = pairs.select(F.col("hub").alias("doc_id")).union(pairs.select("node")).distinct()
-    chosen = texts.join(needed, "doc_id", "left_semi").mapInArrow(_sets(size), "node long, shingles array<long>")
-    sets, p = written(chosen, "near-sets")
+    bitmap = spark.sparkContext.broadcast(id_bitmap(needed, "doc_id"))
+    sets, p = written(texts.mapInArrow(_sets(size, bitmap), "node long, shingles array<long>"), "near-sets")
     used.append(p)
     own = pairs.join(sets, "node").select("hub", "node", F.col("shingles").alias("v"))
     both = own.join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("h")), "hub")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, neardup, quality, rules, tokenfile, toxicity
+from . import decontaminate, mixing, neardup, quality, rules, tokenfile, toxicity, urlfilter
 
 
 def queries() -> dict:
     return {
+        "op1_url_filter": urlfilter.op1_url_filter,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_quality_rules": rules.op3_quality_rules,
         "op7_quality": quality.op7_quality,

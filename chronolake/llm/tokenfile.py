@@ -32,8 +32,8 @@ from .common import LOWER, pieces, table, text_buffers, written
 SHARD = 1 << 20
 #: Fewest occurrences that make a rule, and most rounds of replacement in a shard.
 LEAST, ROUNDS = 8, 8
-#: Entries that each of a worker's two caches holds before it is emptied.
-CACHE = 400_000
+#: Entries that a worker's cache holds before it is emptied.
+CACHE = 1_000_000
 END_ID = 1
 SCHEMA = (
     "part int, shard int, first long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, doc_symbols array<long>, "
@@ -43,6 +43,8 @@ SCHEMA = (
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+")
 _PLAIN = re.compile(r"[!-~À-ÿ]+")
 _LATIN = bytes(range(128)) + bytes(range(0x80, 0xC0)) + b"\xc3"
+#: Bytes of ASCII and Latin-1 letters in UTF-8; the multiplication and division signs are none.
+_LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + b"\xc3" + bytes(x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7))
 
 
 class Encoder:
@@ -53,36 +55,42 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), cache
-        self.chunks: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}  # chunks and pre-tokens, which are chunks on their own
 
-    def direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def direct(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn_parts(self, new: list[str]) -> None:
+    def learn_parts(self, new: list[bytes]) -> None:
         for k in range(0, len(new), 512):
             group = new[k : k + 512]
-            got = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
+            got = self.tokenizer.encode(b" ".join(group).decode(), add_special_tokens=False)
             word = np.array(got.word_ids, np.int64)
             if len(word) == 0 or word[-1] + 1 != len(group):  # not one pre-token each
-                self.parts.update((p, self.direct(p)) for p in group)
+                self.known.update((p, self.direct(p)) for p in group)
                 continue
             ids = np.array(got.ids, "<u4").tobytes()
             at = (4 * np.searchsorted(word, np.arange(len(group) + 1))).tolist()
-            self.parts.update((p, ids[a:b]) for p, a, b in zip(group, at[:-1], at[1:], strict=True))
+            self.known.update((p, ids[a:b]) for p, a, b in zip(group, at[:-1], at[1:], strict=True))
+
+    @staticmethod
+    def parts(chunk: bytes) -> tuple[bytes, ...]:
+        """The pre-tokens of a chunk; none where only the tokenizer can tell."""
+        if not chunk.translate(None, _LETTERS):
+            return (chunk,)
+        if chunk[-1] in b".,;:?!" and len(chunk) > 1 and not chunk[:-1].translate(None, _LETTERS):
+            return chunk[:-1], chunk[-1:]
+        text = chunk.decode()
+        if b"<|" in chunk or not _PLAIN.fullmatch(text):
+            return ()
+        return tuple(p.encode() for p in _PIECE.findall(text))
 
     def learn(self, chunks: set[bytes]) -> None:
-        split, whole = {}, []
-        for c in chunks:
-            text = c.decode()
-            if b"<|" not in c and _PLAIN.fullmatch(text):
-                split[c] = _PIECE.findall(text)
-            else:
-                whole.append((c, text))
-        new = list(dict.fromkeys(p for v in split.values() for p in v if p not in self.parts))
-        self.learn_parts(new)
-        self.chunks.update((c, b"".join([self.parts[p] for p in v])) for c, v in split.items())
-        self.chunks.update((c, self.direct(text)) for c, text in whole)
+        split = {c: self.parts(c) for c in chunks}
+        known = self.known
+        self.learn_parts([p for p in {p for v in split.values() for p in v} if p not in known])
+        for c, v in split.items():
+            if c not in known:
+                known[c] = b"".join([known[p] for p in v]) if v else self.direct(c)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         lists = []
@@ -90,11 +98,9 @@ class Encoder:
             # lower-casing ASCII ahead is safe where no mark can combine and no special token is spelt
             plain = b"<|" not in t and not t.translate(None, _LATIN)
             lists.append((t.translate(LOWER) if plain else t).split())
-        if len(self.chunks) > self.limit:
-            self.chunks.clear()
-        if len(self.parts) > self.limit:
-            self.parts.clear()
-        known = self.chunks
+        if len(self.known) > self.limit:
+            self.known.clear()
+        known = self.known
         new = {w for words in lists for w in words if w not in known}
         if new:
             self.learn(new)
@@ -150,9 +156,16 @@ def replace_round(seq: np.ndarray, last: np.ndarray, n: int, limit: int, least:
     return seq[keep], last[keep], rules
 
 
+def _ranks(alphabet: np.ndarray) -> np.ndarray:
+    out = np.zeros(int(alphabet[-1]) + 1, np.uint32)
+    out[alphabet] = np.arange(len(alphabet))
+    return out
+
+
 def compress(ids: np.ndarray, counts: np.ndarray, least: int = LEAST, rounds: int = ROUNDS) -> dict:
     """Grammar of the ids of some documents with counts tokens each (all at least 1)."""
-    alphabet, seq = np.unique(ids, return_inverse=True)
+    alphabet = np.flatnonzero(np.bincount(ids)) if ids.max() < 1 << 20 else np.unique(ids)
+    seq = np.searchsorted(alphabet, ids) if len(alphabet) <= ids.max() >> 8 else _ranks(alphabet)[ids]
     width = 2 if len(alphabet) <= 49152 + 4096 else 4
     kind = np.uint16 if width == 2 else np.uint32
     limit = 1 << 16 if width == 2 else 1 << 22

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, neardup, quality, rules, tokenfile, toxicity, urlfilter
+from . import decontaminate, htmltext, mixing, neardup, quality, rules, tokenfile, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_url_filter": urlfilter.op1_url_filter,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_quality_rules": rules.op3_quality_rules,
+        "op6_html_text": htmltext.op6_html_text,
         "op7_quality": quality.op7_quality,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op4_token_file": tokenfile.op4_token_file,

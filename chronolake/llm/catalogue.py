@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, htmltext, mixing, neardup, quality, rules, tokenfile, toxicity, urlfilter
+import corpus_pipeline
+
+from . import decontaminate, htmltext, maxent, mixing, neardup, quality, rules, tokenfile, toxicity, urlfilter
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_url_filter": urlfilter.op1_url_filter,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_quality_rules": rules.op3_quality_rules,
@@ -15,6 +18,7 @@ def queries() -> dict:
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op4_token_file": tokenfile.op4_token_file,
         "op8_mix_sources": mixing.op8_mix_sources,
+        "op9_lm_score": maxent.op9_lm_score,
         "op10_near_duplicates": neardup.op10_near_duplicates,
     }
 

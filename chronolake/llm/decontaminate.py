@@ -172,25 +172,33 @@ def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW):
     yield Benchmark(block, window)
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
-    """docs with n_words, spans (hit words, as [first, stop) word numbers) and items (ids, sorted).
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int, text: str) -> DataFrame:
+    """docs with _n_words, _spans and _items.
 
     One block of test strings is searched at a time; with more than one, each pass writes its
     result to the shared folder for the next.
     """
-    spark = docs.sparkSession
-    out = docs.drop("n_words", "spans", "items")
+    context, out = docs.sparkSession.sparkContext, docs
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema]
     schema = ", ".join(fields + ["_n_words long", "_spans array<struct<first:int,stop:int>>", "_items array<long>"])
-    done = 0
-    for bench in benchmark_blocks(benchmark, window):
-        if done:
+    for k, bench in enumerate(benchmark_blocks(benchmark, window)):
+        if k:
             out, _ = written(out, "decontaminate")
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(bench), text), schema)
-        done += 1
+        out = out.mapInArrow(_scan(context.broadcast(bench), text), schema)
+    return out
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
+    """docs with n_words, spans (hit words, as [first, stop) word numbers) and items (ids, sorted)."""
+    out = _marked(docs.drop("n_words", "spans", "items"), benchmark, window, text)
     return out.withColumnsRenamed({"_n_words": "n_words", "_spans": "spans", "_items": "items"})
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
+    """Rows without any occurrence of a benchmark window, with their columns as they were."""
+    return _marked(docs, benchmark, window, text).where(F.size("_items") == 0).select(*docs.columns)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hit = marked(docs, table(spark, sf_dir, "benchmark"))

@@ -89,7 +89,7 @@ def fitted(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) -> D
     return Discriminant(x, rows["label"].to_numpy().astype(float))
 
 
-def _score(model, text: str, keep_text: bool):
+def _score(model, text: str, keep_text: bool, name: str):
     def run(batches):
         import pyarrow as pa
 
@@ -98,16 +98,22 @@ def _score(model, text: str, keep_text: bool):
                 names = batch.schema.names
                 got = model.value.score(transformed(statistics(*text_buffers(batch.column(names.index(text))))))
                 keep = [k for k, c in enumerate(names) if keep_text or c != text]
-                yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [pa.array(got)], names=[names[k] for k in keep] + ["score"])
+                yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [pa.array(got)], names=[names[k] for k in keep] + [name])
 
     return run
 
 
-def scored(docs: DataFrame, model: Discriminant, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs with score, from 0 to 1, higher where label 1 is likelier."""
-    docs = docs.drop("score")
+def scored(docs: DataFrame, model: Discriminant, text: str = "text", keep_text: bool = True, name: str = "score") -> DataFrame:
+    """docs with a score column, from 0 to 1, higher where label 1 is likelier."""
+    docs = docs.drop(name)
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep_text or f.name != text]
-    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), text, keep_text), ", ".join([*kept, "score double"]))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_score(shared, text, keep_text, name), ", ".join([*kept, f"{name} double"]))
+
+
+def accepted(docs: DataFrame, model: Discriminant, least: float, text: str = "text") -> DataFrame:
+    """Rows whose text scores at least that much, with their columns as they were."""
+    return scored(docs, model, text, name="_quality").where(F.col("_quality") >= least).select(*docs.columns)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

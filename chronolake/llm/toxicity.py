@@ -88,33 +88,69 @@ class NoisyOr:
         return 1 - np.exp(clean)
 
 
-def fit_noisy_or(body: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> NoisyOr:
-    """Full-batch Adam on the documents' log loss."""
-    none = NoisyOr(np.zeros(0, np.uint64), np.zeros(0), -30.0)
-    if not 0 < y.sum() < len(y):
-        return none
-    number, text, _, _, word, h = sentences(body, offsets)
-    vocabulary, feature = np.unique(h, return_inverse=True)
-    doc, seen = distinct_pairs(text[number[word]], feature, len(vocabulary))
-    bad = np.bincount(seen, y[doc], minlength=len(vocabulary))
-    good = np.bincount(seen, 1 - y[doc], minlength=len(vocabulary))
-    in_bad, in_good, each = bad / y.sum(), good / (1 - y).sum(), (bad + good) / len(y)
-    error = np.sqrt(each * (1 - each) * (1 / y.sum() + 1 / (1 - y).sum())) + 1e-12
-    often = (bad + good >= LEAST) & (in_bad - in_good >= SIGNIFICANT * error) & (in_bad >= LIFT * in_good)
-    rank = np.cumsum(often) - 1
-    use = often[feature]
-    s, f = distinct_pairs(number[word[use]], rank[feature[use]], max(int(often.sum()), 1))
-    vocabulary, n, m = vocabulary[often], int(often.sum()), len(text)
+def _feature_documents(batches):
+    """Features with the numbers of toxic and of other documents that they are in."""
+    import pyarrow as pa
+
+    for whole in batches:
+        for batch in pieces(whole, "text", 2 << 20):
+            y = np.array(batch.column(1)).astype(np.int64)
+            number, text, _, _, word, h = sentences(*text_buffers(batch.column(0)))
+            kinds, feature = np.unique(h, return_inverse=True)
+            doc, seen = distinct_pairs(text[number[word]], feature, max(len(kinds), 1))
+            bad = np.bincount(seen, y[doc], minlength=len(kinds)).astype(np.int64)
+            both = np.bincount(seen, minlength=len(kinds)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(bad), pa.array(both - bad)], names=["feature", "bad", "good"])
+
+
+def selected(sample: DataFrame, bad_total: int, good_total: int) -> np.ndarray:
+    """Hashes, sorted, of the features that are clearly commoner in toxic documents."""
+    counts = sample.select("text", "label").mapInArrow(_feature_documents, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    in_bad, in_good = F.col("bad") / F.lit(float(bad_total)), F.col("good") / F.lit(float(good_total))
+    each = (F.col("bad") + F.col("good")) / F.lit(float(bad_total + good_total))
+    error = F.sqrt(each * (1 - each) * F.lit(1 / bad_total + 1 / good_total)) + 1e-12
+    chosen = counts.where((F.col("bad") + F.col("good") >= LEAST) & (in_bad - in_good >= SIGNIFICANT * error) & (in_bad >= LIFT * in_good))
+    return np.sort(np.array(chosen.select("feature").toArrow().column(0)).view(np.uint64))
+
+
+def _instances(vocabulary: np.ndarray):
+    """Per document: label, sentences without a chosen feature, and the others' (sentence, feature) pairs."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for batch in pieces(whole, "text", 2 << 20):
+                n = batch.num_rows
+                number, text, _, _, word, h = sentences(*text_buffers(batch.column(0)))
+                at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+                hit = vocabulary[at] == h
+                s, f = distinct_pairs(number[word[hit]], at[hit], len(vocabulary))
+                doc = text[s]
+                plain = np.bincount(text, minlength=n) - np.bincount(text[np.unique(s)], minlength=n)
+                ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n)))).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(np.int64))) for v in (s, f)]
+                yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(plain), *lists], names=["doc_id", "label", "plain", "s", "f"])
+
+    return run
+
+
+def fit_noisy_or(vocabulary: np.ndarray, y: np.ndarray, plain: np.ndarray, text: np.ndarray, s: np.ndarray, f: np.ndarray) -> NoisyOr:
+    """Full-batch Adam on the documents' log loss.
+
+    text names the document of each sentence with features, plain counts each document's others.
+    """
+    n, m = len(vocabulary), len(text)
     w, b = np.zeros(n), -6.0
     m1, m2, g1, g2 = np.zeros(n), np.zeros(n), 0.0, 0.0
     for k in range(1, ROUNDS + 1):
         z = b + np.bincount(s, w[f], minlength=m)
-        p = 1 / (1 + np.exp(-z))
-        total = np.bincount(text, np.logaddexp(0, z), minlength=len(y))
+        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-b))
+        total = np.bincount(text, np.logaddexp(0, z), minlength=len(y)) + plain * np.logaddexp(0, b)
         # d loss / d total: 1 for clean documents, -exp(-total) / (1 - exp(-total)) for toxic ones
         slope = np.where(y == 1, -1 / np.expm1(np.maximum(total, 1e-9)), 1.0) / len(y)
         back = slope[text] * p
-        gw, gb = np.bincount(f, back[s], minlength=n) + DECAY * w, back.sum()
+        gw, gb = np.bincount(f, back[s], minlength=n) + DECAY * w, back.sum() + (slope * plain).sum() * p0
         m1, m2 = 0.9 * m1 + 0.1 * gw, 0.99 * m2 + 0.01 * gw**2
         g1, g2 = 0.9 * g1 + 0.1 * gb, 0.99 * g2 + 0.01 * gb**2
         c1, c2 = 1 - 0.9**k, 1 - 0.99**k
@@ -125,11 +161,21 @@ def fit_noisy_or(body: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> NoisyO
 
 
 def fitted(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) -> NoisyOr:
-    import pyarrow as pa
-
-    rows = labelled_sample(docs, labels, "toxic", sample, train).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    body, offsets = text_buffers(rows.column("text"))
-    return fit_noisy_or(body, offsets, np.array(rows.column("label").cast(pa.float64())))
+    """The model of the labels' toxicity, from the documents that the condition train selects."""
+    rows = labelled_sample(docs, labels, "toxic", sample, train)
+    bad, both = rows.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
+    if not 0 < bad < both:
+        return NoisyOr(np.zeros(0, np.uint64), np.zeros(0), -30.0)
+    vocabulary = selected(rows, bad, both - bad)
+    if not len(vocabulary):
+        return NoisyOr(vocabulary, np.zeros(0), float(np.log(bad / both)))
+    got = rows.select("text", "label", "doc_id").mapInArrow(_instances(vocabulary), "doc_id long, label int, plain long, s array<long>, f array<long>")
+    got = got.toArrow().sort_by([("doc_id", "ascending"), ("plain", "ascending")])
+    counts = np.array(got.column("s").combine_chunks().value_lengths())
+    owner = np.repeat(np.arange(got.num_rows), counts)
+    s, f = (np.array(got.column(c).combine_chunks().flatten()) for c in "sf")
+    new = np.concatenate(([True], (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])))[: len(s)]
+    return fit_noisy_or(vocabulary, np.array(got.column("label")).astype(float), np.array(got.column("plain")), owner[new], np.cumsum(new) - 1, f)
 
 
 def _locate(model, text: str, whole_rows: bool, least: float):

@@ -46,6 +46,16 @@ def with_ordinals(df: DataFrame, index: str, order: Sequence[Column] | None = No
     return ranged.withColumn(index, (F.col("_at") + F.element_at(shift, F.col("_part"))).cast("int")).drop("_part", "_at")
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """df with its row order fixed: checkpointed where a checkpoint folder is set, else persisted.
+
+    A frame that comes out of a shuffle may be computed in another order the next time.
+    """
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        return df.checkpoint()
+    return df.persist()
+
+
 def ranked(df: DataFrame, index: str) -> DataFrame:
     """Close the gaps of an axis frame's ordinals after a filter; the old ones stay as _old."""
     renamed = df.withColumnRenamed(index, "_old")

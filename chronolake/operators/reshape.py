@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .cube import Cube, Layer, with_ordinals
+from .cube import Cube, Layer, pinned, with_ordinals
 
 LONG_KEYS = {"observation_id": "observation_id", "variable": "variable", "time": "time", "value": "value"}
 SUFFIX = "_t_"
@@ -28,7 +28,7 @@ def _unpivoted(df: DataFrame, index: Sequence[str], columns: Sequence[str]) -> D
 
 def _observations(df: DataFrame, index_column: str | int | None, obs_columns: Sequence[str]) -> DataFrame:
     """Rows in input order with obs_idx and obs_name."""
-    rows = with_ordinals(df, "obs_idx")
+    rows = pinned(with_ordinals(pinned(df), "obs_idx"))
     name = F.col("obs_idx")
     if index_column is not None:
         if isinstance(index_column, int):

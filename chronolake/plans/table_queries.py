@@ -1,2 +1,210 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries of observations, concepts, units and feature typing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions.spec import EVENT_TABLES
+from ..operators.cube import Cube, Layer, with_ordinals
+from ..operators.export import mortality
+from ..operators.extraction import long_table, observation_rows, periods, remapped, setup_interval_variables, setup_obs, setup_variables, unit_report
+from ..operators.features import castable, harmonize_missing_values, infer_feature_types
+from ..operators.reshape import to_long
+from ..sources.catalog import Catalog
+from ..sources.loaders import recoded_flag
+from .roles import table
+
+#: Concept codes of the event types.
+CODES = {"click": 11, "purchase": 12, "signup": 13, "error": 14, "view": 15}
+KINDS = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CODES.items()) + " ELSE 19 END"
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The driver's tables as medical-record tables."""
+    customer, orders, events = (table(spark, sf_dir, t) for t in ("customer", "orders", "events"))
+    month = F.expr("INTERVAL '30' DAY")
+    per_user = events.groupBy("user_id").agg(F.min("ts").cast("date").alias("_d"))
+    return Catalog(spark, {
+        "person": customer.select(F.col("c_custkey").alias("person_id"), F.col("c_nationkey").alias("location_id"), (F.lit("1950-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=F.col("c_custkey").cast("int"))).alias("birth_datetime")),
+        "visit_occurrence": orders.select(F.col("o_orderkey").alias("visit_occurrence_id"), F.col("o_custkey").alias("person_id"), F.col("o_orderstatus").alias("visit_source_value"), F.col("o_orderdate").cast("date").alias("visit_start_date"), F.col("o_orderdate").alias("visit_start_datetime"), (F.col("o_orderdate").cast("timestamp_ntz") + month).alias("visit_end_datetime"), (F.col("o_orderdate").cast("timestamp_ntz") + month).cast("date").alias("visit_end_date")),
+        "observation_period": per_user.select((F.col("user_id") + 5000).alias("observation_period_id"), F.col("user_id").alias("person_id"), F.col("_d").alias("observation_period_start_date"), F.date_add("_d", 30).alias("observation_period_end_date")),
+        "cohort": per_user.where("user_id % 3 = 0").select(F.lit(1).alias("cohort_definition_id"), F.col("user_id").alias("subject_id"), F.col("_d").alias("cohort_start_date"), F.date_add("_d", 30).alias("cohort_end_date")),
+        "death": customer.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("person_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("c_custkey") % 60).cast("int"))).alias("death_datetime")),
+        "measurement": events.select(F.col("event_id").alias("measurement_id"), F.col("user_id").alias("person_id"), F.expr(KINDS).alias("measurement_concept_id"), F.col("ts").cast("date").alias("measurement_date"), F.col("ts").alias("measurement_datetime"), F.when(F.col("event_id") % 7 == 0, None).otherwise(F.floor("value").cast("double") % 5).alias("value_as_number"), F.when(F.col("event_id") % 3 != 2, 100 + F.col("event_id") % 3).alias("unit_concept_id")),
+        "drug_exposure": events.select(F.col("event_id").alias("drug_exposure_id"), F.col("user_id").alias("person_id"), F.expr(KINDS).alias("drug_concept_id"), F.col("ts").cast("date").alias("drug_exposure_start_date"), F.col("ts").alias("drug_exposure_start_datetime"), (F.col("ts").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("event_id") % 90).cast("int"))).alias("drug_exposure_end_datetime"), (F.col("ts").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("event_id") % 90).cast("int"))).cast("date").alias("drug_exposure_end_date"), F.col("event_id").cast("double").alias("days_supply")),
+        "concept": spark.createDataFrame([(c, f"concept {c}") for c in (11, 12, 13, 91)], "concept_id int, concept_name string"),
+        "concept_relationship": spark.createDataFrame([(14, 91, "Mapped from"), (15, 90, "Mapped from"), (15, 92, "Maps to"), (15, 15, "Mapped from"), (11, 93, "Mapped from")], "concept_id_1 int, concept_id_2 int, relationship_id string"),
+    })
+
+
+def obs_rows(name: str, *columns: str, death: bool = False):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return observation_rows(catalog(spark, sf_dir), name, death)[0].select(*columns)
+
+    return query
+
+
+def obs_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, key = observation_rows(catalog(spark, sf_dir), "person_visit_occurrence")
+    return with_ordinals(rows.select("person_id", key), "obs_idx", [F.col(key)]).select("obs_idx", key, "person_id")
+
+
+def first_visit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = W.partitionBy("person_id").orderBy("visit_start_datetime", "visit_occurrence_id")
+    rows = catalog(spark, sf_dir)["visit_occurrence"].withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
+    return rows.select("person_id", "visit_occurrence_id")
+
+
+def concept_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = catalog(spark, sf_dir)
+    ids = c["measurement"].select(F.col("measurement_concept_id").alias("concept_id")).distinct()
+    return ids.join(F.broadcast(c["concept"]), "concept_id", "left")
+
+
+def concept_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = catalog(spark, sf_dir)
+    return remapped(c["measurement"].select(F.col("measurement_concept_id").alias("concept")).distinct(), c)
+
+
+def units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = unit_report(catalog(spark, sf_dir)["measurement"], EVENT_TABLES["measurement"])
+    return out.select("concept_id", F.col("unit_concept_id").cast("double").alias("unit_concept_id"), "no_units", "multiple_units")
+
+
+def var_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog(spark, sf_dir)["measurement"].select(F.col("measurement_concept_id").alias("concept")).distinct()
+
+
+def _extracted(spark, sf_dir, **more) -> Cube:
+    c = catalog(spark, sf_dir)
+    cube = setup_obs(c, "person_observation_period", death_table=True)
+    return setup_variables(cube, c, data_tables=["measurement"], data_field_to_keep=["value_as_number"], interval_length_number=1, interval_length_unit="day", num_intervals=5, time_precision="datetime", **more)
+
+
+def extract_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observation periods x measurement concepts x 5 days, as a dense long table."""
+    cube = _extracted(spark, sf_dir)
+    return to_long(cube).select(F.col("observation_id").cast("long").alias("obs"), F.col("variable").cast("long").alias("concept"), F.col("time").cast("long").alias("step"), "value")
+
+
+def extract_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = catalog(spark, sf_dir)
+    cube = setup_interval_variables(setup_obs(c, "person_cohort"), c, data_tables=["drug_exposure"], data_field_to_keep=["is_present"], interval_length_number=12, interval_length_unit="h", num_intervals=8, keep_date="interval")
+    return to_long(cube).select(F.col("observation_id").cast("long").alias("obs"), F.col("variable").cast("long").alias("concept"), F.col("time").cast("long").alias("step"), F.col("value").cast("double").alias("value"))
+
+
+def stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variables of two tables side by side, by table and concept."""
+    c = catalog(spark, sf_dir)
+    cube = setup_obs(c, "person_observation_period")
+    out = None
+    for k, (name, field) in enumerate((("measurement", "value_as_number"), ("drug_exposure", "days_supply"))):
+        cells, _ = long_table(cube, c[name], EVENT_TABLES[name], [field], length=86_400_000_000, count=5, strategy="count", precision="datetime")
+        rows = cells.select(F.lit(k).alias("table_number"), "concept", F.col("obs_id").cast("long").alias("obs"), F.col("interval_step").cast("long").alias("step"), F.col(field).cast("bigint").alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def mortality_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = catalog(spark, sf_dir)
+    rows = periods(setup_obs(c, "person_observation_period"), "date").join(c["death"], "person_id", "left")
+    return rows.select("person_id", mortality(rows, "start_date", "end_date").cast("long").alias("label"))
+
+
+def recode_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", recoded_flag(F.col("toxic")).cast("long").alias("flag"))
+
+
+def dedup_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("user_id", "event_type", F.to_date("ts").cast("timestamp_ntz").alias("day")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+
+
+def _text_cube(spark, sf_dir) -> Cube:
+    """Five variables of parts as texts: numbers, categories, dates, flags and numbers with missing texts."""
+    part = table(spark, sf_dir, "part")
+    day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), F.col("p_size")), "yyyy-MM-dd")
+    mixed = F.when(F.col("p_partkey") % 9 == 0, "np.nan").otherwise(F.col("p_size").cast("string"))
+    values = [F.col("p_size").cast("string"), F.col("p_brand"), day, (F.col("p_partkey") % 2).cast("string"), mixed]
+    cells = part.select(F.col("p_partkey").alias("obs_idx"), F.posexplode(F.array(*values)).alias("var_idx", "value"))
+    var = spark.createDataFrame(list(enumerate(["size", "brand", "day", "flag", "mixed"])), "var_idx int, var_name string")
+    obs = part.select(F.col("p_partkey").alias("obs_idx"), F.col("p_partkey").cast("string").alias("obs_name"))
+    return Cube.build(obs, var, None, {"X": Layer(cells, 2)}, n_t=1)
+
+
+def harmonize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = harmonize_missing_values(_text_cube(spark, sf_dir))
+    return cube.X.cells.where("var_idx = 4").select(F.col("obs_idx").alias("part"), "value")
+
+
+def feature_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infer_feature_types(harmonize_missing_values(_text_cube(spark, sf_dir))).var.select("var_name", "feature_type", "uncertain")
+
+
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = _text_cube(spark, sf_dir)
+    counts = cube.X.cells.groupBy("var_idx").agg(F.count_distinct("value").alias("categories"))
+    return cube.var.join(counts, "var_idx").select("var_name", "categories")
+
+
+def cast_float(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = _text_cube(spark, sf_dir)
+    return cube.var.join(castable(cube.X.cells), "var_idx").select("var_name", "is_number")
+
+
+QUERIES = {
+    "obs_person": obs_rows("person", "person_id", "location_id", "birth_datetime"),
+    "obs_visit": obs_rows("person_visit_occurrence", "person_id", "visit_occurrence_id", "person_id_1", "visit_source_value"),
+    "obs_period": obs_rows("person_observation_period", "person_id", "observation_period_id", "location_id"),
+    "obs_cohort": obs_rows("person_cohort", "person_id", "subject_id", "cohort_definition_id"),
+    "obs_death_left": obs_rows("person", "person_id", "death_datetime", death=True),
+    "obs_index_rank": obs_index, "first_visit_rank": first_visit, "concept_enrich": concept_enrich, "concept_remap": concept_remap, "unit_report": units,
+    "var_distinct": var_distinct, "extract_points": extract_points, "extract_spans": extract_spans, "stack_tables": stacked, "mortality_label": mortality_label,
+    "recode_flag": recode_flag, "dedup_keep_last": dedup_keep_last, "harmonize_missing": harmonize, "infer_feature_types": feature_types,
+    "category_counts": category_counts, "cast_float_all_or_nothing": cast_float,
+}
+
+_FIRST = "(SELECT user_id, CAST(min(ts) AS DATE) AS d FROM events GROUP BY user_id)"
+_M = f"(SELECT *, CAST({KINDS} AS BIGINT) AS concept, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(floor(value) AS DOUBLE) % 5 END AS v FROM events)"
+_PERIODS = f"p AS (SELECT user_id, CAST(d AS TIMESTAMP) AS zero, row_number() OVER (ORDER BY user_id) - 1 AS obs FROM {_FIRST} WHERE user_id IN (SELECT c_custkey FROM customer))"
+_PARTS = """texts AS (
+  SELECT p_partkey AS part, unnest(['size', 'brand', 'day', 'flag', 'mixed']) AS var_name,
+         unnest([CAST(p_size AS VARCHAR), p_brand, strftime(DATE '2020-01-01' + p_size, '%Y-%m-%d'), CAST(p_partkey % 2 AS VARCHAR),
+                 CASE WHEN p_partkey % 9 = 0 THEN 'np.nan' ELSE CAST(p_size AS VARCHAR) END]) AS value
+  FROM part)"""
+SQL = {
+    "obs_person": "SELECT c_custkey AS person_id, c_nationkey AS location_id, TIMESTAMP '1950-01-01' + to_days(CAST(c_custkey AS INTEGER)) AS birth_datetime FROM customer",
+    "obs_visit": "SELECT c_custkey AS person_id, o_orderkey AS visit_occurrence_id, o_custkey AS person_id_1, o_orderstatus AS visit_source_value FROM customer JOIN orders ON c_custkey = o_custkey",
+    "obs_period": f"SELECT c_custkey AS person_id, user_id + 5000 AS observation_period_id, c_nationkey AS location_id FROM customer JOIN {_FIRST} ON c_custkey = user_id",
+    "obs_cohort": f"SELECT c_custkey AS person_id, user_id AS subject_id, 1 AS cohort_definition_id FROM customer JOIN {_FIRST} ON c_custkey = user_id WHERE user_id % 3 = 0",
+    "obs_death_left": "SELECT c_custkey AS person_id, CASE WHEN c_custkey % 10 = 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey % 60 AS INTEGER)) END AS death_datetime FROM customer",
+    "obs_index_rank": "SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS obs_idx, o_orderkey AS visit_occurrence_id, o_custkey AS person_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)",
+    "first_visit_rank": "SELECT o_custkey AS person_id, o_orderkey AS visit_occurrence_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r = 1",
+    "concept_enrich": f"SELECT DISTINCT CAST(concept AS INTEGER) AS concept_id, CASE WHEN concept IN (11, 12, 13) THEN 'concept ' || concept END AS concept_name FROM {_M}",
+    "concept_remap": f"SELECT DISTINCT CAST(concept AS INTEGER) AS concept, CAST(CASE concept WHEN 14 THEN 91 WHEN 15 THEN 90 ELSE concept END AS INTEGER) AS mapped FROM {_M}",
+    "unit_report": f"WITH x AS (SELECT DISTINCT CAST(concept AS INTEGER) AS concept_id, CAST(CASE WHEN event_id % 3 <> 2 THEN 100 + event_id % 3 END AS DOUBLE) AS unit_concept_id FROM {_M}) SELECT concept_id, unit_concept_id, false AS no_units, count(*) OVER (PARTITION BY concept_id) > 1 AS multiple_units FROM x",
+    "var_distinct": f"SELECT DISTINCT CAST(concept AS INTEGER) AS concept FROM {_M}",
+    "extract_points": f"""WITH {_PERIODS}, c AS (SELECT DISTINCT concept FROM {_M}), s AS (SELECT unnest(range(5)) AS step)
+SELECT p.obs, c.concept, s.step, LAST(m.v ORDER BY m.ts, m.event_id) AS value
+FROM p CROSS JOIN c CROSS JOIN s LEFT JOIN {_M} m ON m.user_id = p.user_id AND m.concept = c.concept
+  AND m.ts >= p.zero + s.step * INTERVAL 1 DAY AND m.ts < p.zero + (s.step + 1) * INTERVAL 1 DAY GROUP BY p.obs, c.concept, s.step""",
+    "extract_spans": f"""WITH p AS (SELECT user_id, CAST(d AS TIMESTAMP) AS zero, row_number() OVER (ORDER BY user_id) - 1 AS obs FROM {_FIRST} WHERE user_id % 3 = 0 AND user_id IN (SELECT c_custkey FROM customer)),
+c AS (SELECT DISTINCT concept FROM {_M}), s AS (SELECT unnest(range(8)) AS step),
+m AS (SELECT user_id, concept, event_id, ts AS a, ts + to_hours(CAST(event_id % 90 AS INTEGER)) AS b FROM {_M})
+SELECT p.obs, c.concept, s.step, CAST(CASE WHEN count(m.event_id) > 0 THEN 1 END AS DOUBLE) AS value
+FROM p CROSS JOIN c CROSS JOIN s LEFT JOIN m ON m.user_id = p.user_id AND m.concept = c.concept
+  AND m.a < p.zero + (s.step + 1) * INTERVAL 12 HOUR AND m.b >= p.zero + s.step * INTERVAL 12 HOUR GROUP BY p.obs, c.concept, s.step""",
+    "stack_tables": f"""WITH {_PERIODS}, m AS (SELECT p.obs, m.concept, m.event_id, m.v, CAST(floor(date_diff('microsecond', p.zero, m.ts) / 86400000000) AS BIGINT) AS step FROM p JOIN {_M} m ON m.user_id = p.user_id)
+SELECT 0 AS table_number, CAST(concept AS INTEGER) AS concept, obs, step, count(v) AS value FROM m WHERE step BETWEEN 0 AND 4 GROUP BY concept, obs, step
+UNION ALL SELECT 1, CAST(concept AS INTEGER), obs, step, count(event_id) FROM m WHERE step BETWEEN 0 AND 4 GROUP BY concept, obs, step""",
+    "mortality_label": f"""SELECT user_id AS person_id, CAST(CASE WHEN user_id % 10 = 0 AND TIMESTAMP '2024-01-01' + to_days(CAST(user_id % 60 AS INTEGER)) BETWEEN CAST(d AS TIMESTAMP) AND CAST(d + 30 AS TIMESTAMP) THEN 1 ELSE 0 END AS BIGINT) AS label
+FROM {_FIRST} WHERE user_id IN (SELECT c_custkey FROM customer)""",
+    "recode_flag": "SELECT doc_id, CAST(CASE WHEN toxic = 0 THEN 1 ELSE 0 END AS BIGINT) AS flag FROM labels",
+    "dedup_keep_last": "SELECT user_id, event_type, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, LAST(value ORDER BY ts, event_id) AS value FROM events GROUP BY user_id, event_type, CAST(ts AS DATE)",
+    "harmonize_missing": f"WITH {_PARTS} SELECT part, CASE WHEN value NOT IN ('nan', 'np.nan', '<NA>', 'pd.NA') THEN value END AS value FROM texts WHERE var_name = 'mixed'",
+    "infer_feature_types": "SELECT * FROM (VALUES ('size', 'numeric', false), ('brand', 'categorical', false), ('day', 'date', false), ('flag', 'categorical', true), ('mixed', 'numeric', false)) t(var_name, feature_type, uncertain)",
+    "category_counts": f"WITH {_PARTS} SELECT var_name, count(DISTINCT value) AS categories FROM texts GROUP BY var_name",
+    "cast_float_all_or_nothing": f"WITH {_PARTS} SELECT var_name, bool_and(TRY_CAST(value AS DOUBLE) IS NOT NULL) AS is_number FROM texts GROUP BY var_name",
+}

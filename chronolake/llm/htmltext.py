@@ -316,14 +316,16 @@ def training_page(rng: np.random.Generator) -> str:
         return pick(f"<div{names('ad', 'ads', 'advert', 'advertisement', 'banner', 'sponsor', 'sponsored', 'promo', 'promotion')}>{pick(sentence(int(rng.integers(3, 40))), '<p>' + sentence(12) + '</p>')}</div>", f"<aside class=\"ad\">{sentence(8)}</aside>", f"<p{names('ad', 'promo', 'sponsored')}>{sentence(9)}</p>")
 
     def notice():
-        return f"<{pick('div', 'section')}{names('notice', 'cookie', 'cookies', 'consent', 'alert', 'popup', 'modal', 'disclaimer', 'warning', 'paywall', 'message')}><p>{sentence(int(rng.integers(6, 30)))}</p>{pick('<button>' + some(1) + '</button>', '')}</{pick('div', 'section')}>"
+        tag = pick("div", "section")
+        return f"<{tag}{names('notice', 'cookie', 'cookies', 'consent', 'alert', 'popup', 'modal', 'disclaimer', 'warning', 'paywall', 'message')}><p>{sentence(int(rng.integers(6, 30)))}</p>{pick('<button>' + some(1) + '</button>', '')}</{tag}>"
 
     def form():
         return f"<form{pick('', names('search', 'login', 'signup', 'contact', 'form'))}><label>{some(2)}</label><input name=\"q\"><p>{sentence(6)}</p><button>{some(1)}</button></form>"
 
     def comments():
-        one = "".join(f"<{pick('div', 'li', 'article')}{names('comment', 'reply', 'comment-body')}><b>{some(1)}</b><p>{sentence(int(rng.integers(4, 50)))}</p></{pick('div', 'li', 'article')}>" for _ in range(int(rng.integers(1, 5))))
-        return f"<{pick('div', 'section', 'ol')}{names('comments', 'comment-list', 'responses', 'discussion', 'replies', 'disqus')}><h3>{some(2)}</h3>{one}</{pick('div', 'section', 'ol')}>"
+        tag, inner = pick("div", "section", "ol"), pick("div", "li", "article")
+        one = "".join(f"<{inner}{names('comment', 'reply', 'comment-body')}><b>{some(1)}</b><p>{sentence(int(rng.integers(4, 50)))}</p></{inner}>" for _ in range(int(rng.integers(1, 5))))
+        return f"<{tag}{names('comments', 'comment-list', 'responses', 'discussion', 'replies', 'disqus')}><h3>{some(2)}</h3>{one}</{tag}>"
 
     def paragraph():
         body = sentence(int(rng.integers(1, 90)), True)
@@ -333,7 +335,8 @@ def training_page(rng: np.random.Generator) -> str:
         if kind < 0.1:
             return f"<p><b>{body}<br><p>{sentence(10, True)}</p>"
         if kind < 0.15:
-            return f"<h{pick(2, 3)}>{some(3, True)}</h{pick(2, 3)}><p>{body}</p>"
+            level = pick(2, 3)
+            return f"<h{level}>{some(3, True)}</h{level}><p>{body}</p>"
         if kind < 0.2:
             return "<ul>" + "".join(f"<li>{sentence(8, True)}</li>" for _ in range(int(rng.integers(2, 6)))) + "</ul>"
         if kind < 0.24:
@@ -374,16 +377,25 @@ def training_page(rng: np.random.Generator) -> str:
 
 
 def labelled_nodes(page: Page) -> tuple[np.ndarray, np.ndarray]:
-    """1 for nodes whose texts are all marked as main; nodes without text get no weight."""
+    """1 for nodes that are main, 0 for others; nodes without text get no weight.
+
+    Main are nodes with marked texts only, and from the lowest node that holds all marked text
+    downwards those with marked text for the most part; body and html never are.
+    """
     marked, plain = np.zeros(len(page.tag)), np.zeros(len(page.tag))
     for node, text, _ in page.texts:
         k, words = node, text.split(" ")
         share = sum(w.startswith(MAIN) for w in words) / len(words)
         while k >= 0:
-            marked[k] += share > 0.5
-            plain[k] += share <= 0.5
+            (marked if share > 0.5 else plain)[k] += len(text)
             k = page.parent[k]
-    return ((marked > 0) & (plain == 0)).astype(float), ((marked + plain) > 0).astype(float)
+    pure = (marked > 0) & (plain == 0)
+    lowest = int(np.flatnonzero(marked == marked[0])[-1]) if marked[0] else 0
+    below = np.zeros(len(page.tag), bool)
+    for k in range(lowest, len(page.tag)):
+        below[k] = k == lowest or (page.parent[k] >= 0 and below[page.parent[k]])
+    wide = np.array([t in ("html", "body") for t in page.tag])
+    return (pure | (below & (marked > plain) & ~wide)).astype(float), ((marked + plain) > 0).astype(float)
 
 
 def fit(pages: list[str]) -> Boosted:

@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return decontaminate.SQL | mixing.SQL
+    return decontaminate.SQL | mixing.SQL | neardup.SQL

@@ -141,16 +141,21 @@ class Cube:
 
     def _pick(self, axis: str, key: Any) -> Cube:
         frame, index, size = getattr(self, axis), INDEX[axis], {"obs": self.n_obs, "var": self.n_vars, "tem": self.n_t}[axis]
-        kept = ranked(frame.where(condition(key, index, NAME[axis], size)), index)
-        moved = kept.select(F.col("_old").alias(index), F.col(index).alias("_new"))
-        n = kept.count()
+        chosen = listed(key, frame, index, NAME[axis], size)
+        if chosen is None:
+            kept = ranked(frame.where(condition(key, index, NAME[axis], size)), index)
+            moved = kept.select(F.col("_old").alias(index), F.col(index).alias("_new"))
+            kept, n = kept.drop("_old"), kept.count()
+        else:  # a list sets the order, and may repeat positions
+            moved = frame.sparkSession.createDataFrame([(old, new) for new, old in enumerate(chosen)], f"{index} int, _new int")
+            kept, n = _moved(frame, moved, index), len(chosen)
         layers = {k: replace(v, cells=_moved(v.cells, moved, index)) if axis != "tem" or v.ndim == 3 else v for k, v in self.layers.items()}
         sizes = {"obs": {"n_obs": n}, "var": {"n_vars": n}, "tem": {"n_t": n}}[axis]
         more = {}
         if axis in ("obs", "var"):
             more[f"{axis}m"] = {k: _moved(v, moved, index) for k, v in getattr(self, f"{axis}m").items()}
             more[f"{axis}p"] = {k: _moved(_moved(v, moved, index, "i"), moved, index, "j") for k, v in getattr(self, f"{axis}p").items()}
-        return replace(self, **{axis: kept.drop("_old")}, layers=layers, **sizes, **more)
+        return replace(self, **{axis: kept}, layers=layers, **sizes, **more)
 
     def reduce_time(self, name: str, how: str = "max", skipna: bool = True, to: str | None = None) -> Cube:
         """A flat layer of a deep one, by max, min, mean or sum over time.
@@ -221,12 +226,23 @@ def condition(key: Any, index: str, name: str, size: int) -> Column:
     if isinstance(key, str):
         return F.col(name) == key
     key = list(key)
+    if len(key) != size:
+        raise IndexError("a mask must have an entry per row")
+    return at.isin([k for k, yes in enumerate(key) if yes])
+
+
+def listed(key: Any, frame: DataFrame, index: str, name: str, size: int) -> list[int] | None:
+    """The positions that a list of positions or labels names, in its order; None for other keys."""
+    if isinstance(key, Column | slice | bool | int | str):
+        return None
+    key = list(key)
     if key and all(isinstance(k, bool) for k in key):
-        if len(key) != size:
-            raise IndexError("a mask must have an entry per row")
-        return at.isin([k for k, yes in enumerate(key) if yes])
+        return None
     if all(isinstance(k, str) for k in key):
-        return F.col(name).isin(key)
+        place = {r[1]: r[0] for r in frame.where(F.col(name).isin(key)).select(index, name).collect()}
+        if missing := [k for k in key if k not in place]:
+            raise KeyError(missing[0])
+        return [place[k] for k in key]
     if any(not -size <= int(k) < size for k in key):
         raise IndexError(f"a position is outside an axis of {size}")
-    return at.isin([int(k) % size for k in key])
+    return [int(k) % size for k in key]

@@ -51,7 +51,7 @@ def slice_time(spark, sf_dir):
 
 def outer_product(spark, sf_dir):
     """Lists on all axes, then a slice of the slice, then a condition on a column."""
-    return named(cube(spark, sf_dir)[[3, 1, 40, 77, 100], ["click", "error", "view"], [0, 2, 5]][1:5, :2].sel(obs=F.col("parity") == 1))
+    return named(cube(spark, sf_dir)[[3, 1, 7, 11, 14], ["click", "error", "view"], [0, 2, 5]][1:5, :2].sel(obs=F.col("parity") == 1))
 
 
 def reduced(how: str):
@@ -136,8 +136,8 @@ SQL = {
     "slice_obs": f"{_CUBE} SELECT obs_name, var_name, CAST((obs_idx - 10) / 5 AS INTEGER) AS obs_idx, t_idx, value FROM cells WHERE obs_idx BETWEEN 10 AND 59 AND obs_idx % 5 = 0",
     "slice_var": f"{_CUBE} SELECT * FROM cells WHERE var_name IN ('purchase', 'view')",
     "slice_time": f"{_CUBE} SELECT obs_name, var_name, obs_idx, CAST(t_idx - 7 AS INTEGER) AS t_idx, value FROM cells WHERE t_idx >= 7",
-    "slice_outer_product": f"""{_CUBE}, picked AS (SELECT *, CASE obs_idx WHEN 3 THEN 0 WHEN 77 THEN 1 END AS o, CASE t_idx WHEN 0 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS t FROM cells)
-SELECT obs_name, var_name, CAST(o AS INTEGER) AS obs_idx, CAST(t AS INTEGER) AS t_idx, value FROM picked WHERE obs_idx IN (3, 77) AND var_name IN ('click', 'error') AND t_idx IN (0, 2, 5)""",
+    "slice_outer_product": f"""{_CUBE}, picked AS (SELECT *, CASE obs_idx WHEN 1 THEN 0 WHEN 7 THEN 1 WHEN 11 THEN 2 END AS o, CASE t_idx WHEN 0 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS t FROM cells)
+SELECT obs_name, var_name, CAST(o AS INTEGER) AS obs_idx, CAST(t AS INTEGER) AS t_idx, value FROM picked WHERE obs_idx IN (1, 7, 11) AND var_name IN ('click', 'error') AND t_idx IN (0, 2, 5)""",
     "reduce_time_max": f"{_CUBE} SELECT obs_name, var_name, max(value) AS value FROM cells GROUP BY ALL",
     "reduce_time_min": f"{_CUBE} SELECT obs_name, var_name, min(value) AS value FROM cells GROUP BY ALL",
     "reduce_time_mean": f"{_CUBE} SELECT obs_name, var_name, round(avg(value), 6) AS value FROM cells GROUP BY ALL",

@@ -42,13 +42,16 @@ KEYS = [slice(0, 2), slice(None), 1, -1, [0, 2], [True, False, True], slice(0, 3
 def test_slices(cube, o, t):
     take = lambda k: np.arange(3)[k] if not isinstance(k, int) else np.arange(3)[[k]]
     got = cube[o, ["var3", "var1"], t]
-    assert np.array_equal(array(got), FULL[np.ix_(take(o), [0, 2], take(t))])
-    assert np.array_equal(array(got, "X"), np.arange(1, 10).reshape(3, 3)[np.ix_(take(o), [0, 2])])
+    assert np.array_equal(array(got), FULL[np.ix_(take(o), [2, 0], take(t))])
+    assert np.array_equal(array(got, "X"), np.arange(1, 10).reshape(3, 3)[np.ix_(take(o), [2, 0])])
 
 
 def test_slices_compose(cube):
     got = cube[1:][:, [0, 2]].sel(obs=F.col("obs_col_2") == "c")[:, :, 1]
     assert np.array_equal(array(got), FULL[2:3][:, [0, 2]][:, :, 1:2]) and got.shape == (1, 2, 1)
+    assert np.array_equal(array(cube[[2, 0, 2]]), FULL[[2, 0, 2]])
+    with pytest.raises(KeyError):
+        cube[["nobody"]]
     with pytest.raises(IndexError):
         cube[0, 0, 0, 0]
     with pytest.raises(IndexError):

@@ -31,10 +31,12 @@ class Layer:
 def with_ordinals(df: DataFrame, index: str, order: Sequence[Column] | None = None) -> DataFrame:
     """Add dense ordinals from 0 in the given order, without one task that sees all rows.
 
-    Rows are sorted into ranges; each partition counts its rows, and the few partition sizes give the offsets.
+    Rows are sorted into ranges; each partition counts its rows, and the few partition sizes give
+    the offsets.  The ranges are pinned, as another run could sample other bounds.
     """
     spark = df.sparkSession
     ranged = (df.orderBy(*order) if order else df).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    ranged = pinned(ranged)
     sizes = ranged.groupBy("_part").count().orderBy("_part").collect()  # a row per partition
     offsets, total = {}, 0
     for row in sizes:
@@ -51,7 +53,10 @@ def pinned(df: DataFrame) -> DataFrame:
 
     A frame that comes out of a shuffle may be computed in another order the next time.
     """
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
+    spark = df.sparkSession
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(folder)
         return df.checkpoint()
     return df.persist()
 

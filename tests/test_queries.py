@@ -48,10 +48,11 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(got.columns, got.collect()) == rows(columns, found.fetchall())
 
 
-def test_point_binning_has_no_range_join(spark):
-    plan = catalogue.queries()["bin_point_last"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastNestedLoopJoin" not in plan.split("crossJoin")[0] or "Generate" in plan
-    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+@pytest.mark.parametrize("name", ["bin_hourly_sparse", "bin_clip_to_end"])
+def test_binning_joins_on_the_person_alone(spark, name):
+    plan = catalogue.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
 def test_entry():

@@ -104,16 +104,20 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, train, seed: int = 11) -> DataFrame:
-    """(doc_id, text, label) of at most limit documents for each of the labels 0 and 1.
+    """(doc_id, text, label, weight) of at most limit documents for each of the labels 0 and 1.
 
     train is a condition on the labels' doc_id.  The documents with the smallest hashes are taken,
-    so that the sample is the same in each run; the bound makes it fit a broadcast.
+    so that the sample is the same in each run; the bound makes it fit a broadcast.  A row's weight
+    is the number of labelled documents of its class that it stands for, so that weighted rows
+    have the classes' shares of the whole table.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & train).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label"))
     known = known.groupBy("_id").agg(F.max("label").alias("label")).withColumn("_h", F.xxhash64(F.lit(seed), "_id"))
+    total = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     picked = None
     for k in (0, 1):
-        part = known.where(F.col("label") == k).orderBy("_h", "_id").limit(limit)
+        weight = F.lit(max(total.get(k, 0) / max(limit, 1), 1.0))
+        part = known.where(F.col("label") == k).orderBy("_h", "_id").limit(limit).withColumn("weight", weight)
         picked = part if picked is None else picked.union(part)
     return docs.select("doc_id", "text").join(F.broadcast(picked.drop("_h")), F.col("doc_id") == F.col("_id")).drop("_id")
 

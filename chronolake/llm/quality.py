@@ -3,7 +3,8 @@
 Each class has a mean and a covariance of transformed statistics, the covariance shrunk towards
 the pooled one and its diagonal.  A text's margin is the difference of the classes' log densities, from
 Mahalanobis distances by cached Cholesky factors; a logistic curve fitted to the margins of the
-training sample turns it into a score.
+training sample turns it into a score.  The sample's rows are weighted back to the classes' shares
+among all training labels, so that a score means the same at any size of the table.
 
 Defined results: a null or empty text has statistics of 0 and a score like any other; labels other
 than 0 and 1 and labels of unknown documents are ignored; repeated labels of a document count
@@ -36,24 +37,29 @@ def transformed(stats: dict) -> np.ndarray:
 
 
 class Discriminant:
-    """Two Gaussian classes; factors are those of the inverse covariances."""
+    """Two Gaussian classes; factors are those of the inverse covariances.
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.prior = float(y.mean()) if len(y) else 0.5
+    weight has what each row stands for, 1 by default.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None):
+        weight = np.ones(len(y)) if weight is None else np.asarray(weight, float)
+        self.prior = float(np.average(y, weights=weight)) if len(y) else 0.5
         self.usable = 0 < y.sum() < len(y)
         if not self.usable:
             return
-        self.center, self.scale = x.mean(0), x.std(0) + 1e-3
+        self.center = np.average(x, axis=0, weights=weight)
+        self.scale = np.sqrt(np.average((x - self.center) ** 2, axis=0, weights=weight)) + 1e-3
         z = (x - self.center) / self.scale
-        own = {k: np.cov(z[y == k].T, bias=True) for k in (0, 1)}
-        pooled = sum(own[k] * (y == k).mean() for k in (0, 1))
+        own = {k: np.cov(z[y == k].T, bias=True, aweights=weight[y == k]) for k in (0, 1)}
+        pooled = own[1] * self.prior + own[0] * (1 - self.prior)
         target = (1 - DIAGONAL) * pooled + DIAGONAL * np.diag(np.diag(pooled)) + 1e-3 * np.eye(x.shape[1])
         self.classes = []
         for k in (0, 1):
             factor = np.linalg.cholesky((1 - POOL) * own[k] + POOL * target)
-            self.classes.append((z[y == k].mean(0), np.linalg.inv(factor), float(np.log(np.diag(factor)).sum())))
+            self.classes.append((np.average(z[y == k], axis=0, weights=weight[y == k]), np.linalg.inv(factor), float(np.log(np.diag(factor)).sum())))
         self.slope, self.shift = 1.0, 0.0
-        self.slope, self.shift = fitted_curve(self.margin(x), y)
+        self.slope, self.shift = fitted_curve(self.margin(x), y, weight=weight)
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         z, logs = (x - self.center) / self.scale, []
@@ -67,13 +73,14 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.shift, -30, 30)))
 
 
-def fitted_curve(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by Newton steps with a small penalty on the slope."""
+def fitted_curve(margin: np.ndarray, y: np.ndarray, rounds: int = 50, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and shift of a logistic curve over weighted rows, by Newton steps with a small penalty on the slope."""
     a, b = 0.1, 0.0
+    weight = np.ones(len(y)) if weight is None else weight
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        w = p * (1 - p) + 1e-6
-        gradient = np.array([((p - y) * margin).sum() + 1e-2 * a, (p - y).sum() + 1e-2 * b])
+        w, off = weight * (p * (1 - p) + 1e-6), weight * (p - y)
+        gradient = np.array([(off * margin).sum() + 1e-2 * a, off.sum() + 1e-2 * b])
         hessian = np.array([[(w * margin**2).sum() + 1e-2, (w * margin).sum()], [(w * margin).sum(), w.sum() + 1e-2]])
         step = np.linalg.solve(hessian, gradient)
         a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -2, 2)
@@ -86,7 +93,7 @@ def fitted(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) -> D
     """The model of the labels' quality, from the documents that the condition train selects."""
     rows = measured(labelled_sample(docs, labels, "quality", sample, train)).toPandas().sort_values("doc_id", kind="stable")
     x = transformed({c: rows[c].to_numpy() for c in COUNTS + SHARES})
-    return Discriminant(x, rows["label"].to_numpy().astype(float))
+    return Discriminant(x, rows["label"].to_numpy().astype(float), rows["weight"].to_numpy())
 
 
 def _score(model, text: str, keep_text: bool, name: str):

@@ -2,8 +2,9 @@
 
 Each rule is a conjunction of thresholds.  It is grown on two thirds of the documents that earlier
 rules left, by information gain against the bad label, and pruned on the last third; documents
-that it covers are removed and the next is learned.  The list is emitted as ordered Spark
-conditional expressions.  A fixed base rule comes first.
+that it covers are removed and the next is learned.  Documents are weighted back to the classes'
+shares among all labels.  The list is emitted as ordered Spark conditional expressions.  A fixed
+base rule comes first.
 
 Defined results: a null text has no words; a text without words fails the base; with no bad
 labels the list is empty and keeps what passes the base; an empty table gives an empty result;
@@ -42,20 +43,21 @@ def _gain(bad: float, good: float, bad_before: float, good_before: float) -> flo
     return bad * (np.log2(bad / (bad + good)) - np.log2(bad_before / (bad_before + good_before)))
 
 
-def _grown(x: dict, bad: np.ndarray) -> Rule:
+def _grown(x: dict, bad: np.ndarray, weight: np.ndarray) -> Rule:
     rule: Rule = []
     inside = np.ones(len(bad), bool)
     while len(rule) < CONDITIONS and (~bad & inside).any():
         best, pick = 0.0, None
-        b0, g0 = (bad & inside).sum(), (~bad & inside).sum()
+        b0, g0 = weight[bad & inside].sum(), weight[~bad & inside].sum()
         for name in INPUTS:
             v = x[name][inside]
-            y = bad[inside]
+            w, y = weight[inside], bad[inside]
+            wy = w * y
             for cut in np.unique(np.quantile(v, np.linspace(0, 1, CUTS + 1)[:-1], method="lower")):
                 above = v > cut
                 for sign, part in ((">", above), ("<=", ~above)):
-                    b = (y & part).sum()
-                    gain = _gain(b, part.sum() - b, b0, g0)
+                    b = wy @ part
+                    gain = _gain(b, w @ part - b, b0, g0)
                     if gain > best + 1e-9:
                         best, pick = gain, (name, sign, float(cut))
         if pick is None:
@@ -65,27 +67,28 @@ def _grown(x: dict, bad: np.ndarray) -> Rule:
     return rule
 
 
-def _worth(rule: Rule, x: dict, bad: np.ndarray) -> float:
+def _worth(rule: Rule, x: dict, bad: np.ndarray, weight: np.ndarray) -> float:
     inside = covers(rule, x)
-    b, n = (bad & inside).sum(), inside.sum()
+    b, n = weight[bad & inside].sum(), weight[inside].sum()
     return (b + 1) / (n + 2) if n else 0.0
 
 
-def learned(x: dict[str, np.ndarray], bad: np.ndarray) -> list[Rule]:
-    """Ordered rules for the bad label."""
+def learned(x: dict[str, np.ndarray], bad: np.ndarray, weight: np.ndarray | None = None) -> list[Rule]:
+    """Ordered rules for the bad label; weight has what each row stands for, 1 by default."""
     out: list[Rule] = []
+    weight = np.ones(len(bad)) if weight is None else weight * (len(weight) / max(weight.sum(), 1e-9))
     left = np.ones(len(bad), bool)
     third = np.arange(len(bad)) % 3 == 2
     while len(out) < RULES and (bad & left).any():
         grow, prune = left & ~third, left & third
         if not (bad & grow).any():
             break
-        rule = _grown({k: v[grow] for k, v in x.items()}, bad[grow])
+        rule = _grown({k: v[grow] for k, v in x.items()}, bad[grow], weight[grow])
         held = {k: v[prune] for k, v in x.items()}
-        while len(rule) > 1 and _worth(rule[:-1], held, bad[prune]) >= _worth(rule, held, bad[prune]):
+        while len(rule) > 1 and _worth(rule[:-1], held, bad[prune], weight[prune]) >= _worth(rule, held, bad[prune], weight[prune]):
             rule = rule[:-1]
         inside = covers(rule, x) & left if rule else np.zeros(len(bad), bool)
-        if inside.sum() < COVER or (bad & inside).sum() < PRECISION * inside.sum():
+        if inside.sum() < COVER or weight[bad & inside].sum() < PRECISION * weight[inside].sum():
             break
         out.append(rule)
         left &= ~inside
@@ -110,7 +113,7 @@ def verdict(rules: list[Rule]) -> Column:
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     rows = measured(labelled_sample(docs, labels, "quality", sample, F.lit(True))).toPandas()
     rows = rows.assign(_h=rows["doc_id"].map(lambda i: (int(i) * 2654435761) & 0xFFFFFFFF)).sort_values(["_h", "doc_id"], kind="stable")
-    return learned({c: rows[c].to_numpy().astype(float) for c in INPUTS}, rows["label"].to_numpy() == 0)
+    return learned({c: rows[c].to_numpy().astype(float) for c in INPUTS}, rows["label"].to_numpy() == 0, rows["weight"].to_numpy())
 
 
 def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Only documents are labelled.  A sentence is toxic with p = sigmoid(weights of its features + bias),
 a document with 1 - prod(1 - p); the weights are fitted to the documents' labels and then also
-say which sentences offend.  Features are a sentence's distinct words and beginnings of words, as
+say which sentences offend.  The sample's documents are weighted back to the classes' shares among
+all training labels.  Features are a sentence's distinct words and beginnings of words, as
 far as they are clearly commoner in toxic documents of the sample.  Sentences end at . ! ? and
 line feeds.
 
@@ -114,7 +115,7 @@ def selected(sample: DataFrame, bad_total: int, good_total: int) -> np.ndarray:
 
 
 def _instances(vocabulary: np.ndarray):
-    """Per document: label, sentences without a chosen feature, and the others' (sentence, feature) pairs."""
+    """Per document: label, weight, sentences without a chosen feature, and the others' (sentence, feature) pairs."""
 
     def run(batches):
         import pyarrow as pa
@@ -130,17 +131,19 @@ def _instances(vocabulary: np.ndarray):
                 plain = np.bincount(text, minlength=n) - np.bincount(text[np.unique(s)], minlength=n)
                 ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n)))).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(np.int64))) for v in (s, f)]
-                yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(plain), *lists], names=["doc_id", "label", "plain", "s", "f"])
+                yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), batch.column(3), pa.array(plain), *lists], names=["doc_id", "label", "weight", "plain", "s", "f"])
 
     return run
 
 
-def fit_noisy_or(vocabulary: np.ndarray, y: np.ndarray, plain: np.ndarray, text: np.ndarray, s: np.ndarray, f: np.ndarray) -> NoisyOr:
-    """Full-batch Adam on the documents' log loss.
+def fit_noisy_or(vocabulary: np.ndarray, y: np.ndarray, plain: np.ndarray, text: np.ndarray, s: np.ndarray, f: np.ndarray, weight: np.ndarray | None = None) -> NoisyOr:
+    """Full-batch Adam on the documents' weighted log loss.
 
-    text names the document of each sentence with features, plain counts each document's others.
+    text names the document of each sentence with features, plain counts each document's others;
+    weight has what each document stands for, 1 by default.
     """
     n, m = len(vocabulary), len(text)
+    share = np.full(len(y), 1 / len(y)) if weight is None else weight / weight.sum()
     w, b = np.zeros(n), -6.0
     m1, m2, g1, g2 = np.zeros(n), np.zeros(n), 0.0, 0.0
     for k in range(1, ROUNDS + 1):
@@ -148,7 +151,7 @@ def fit_noisy_or(vocabulary: np.ndarray, y: np.ndarray, plain: np.ndarray, text:
         p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-b))
         total = np.bincount(text, np.logaddexp(0, z), minlength=len(y)) + plain * np.logaddexp(0, b)
         # d loss / d total: 1 for clean documents, -exp(-total) / (1 - exp(-total)) for toxic ones
-        slope = np.where(y == 1, -1 / np.expm1(np.maximum(total, 1e-9)), 1.0) / len(y)
+        slope = np.where(y == 1, -1 / np.expm1(np.maximum(total, 1e-9)), 1.0) * share
         back = slope[text] * p
         gw, gb = np.bincount(f, back[s], minlength=n) + DECAY * w, back.sum() + (slope * plain).sum() * p0
         m1, m2 = 0.9 * m1 + 0.1 * gw, 0.99 * m2 + 0.01 * gw**2
@@ -163,19 +166,19 @@ def fit_noisy_or(vocabulary: np.ndarray, y: np.ndarray, plain: np.ndarray, text:
 def fitted(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) -> NoisyOr:
     """The model of the labels' toxicity, from the documents that the condition train selects."""
     rows = labelled_sample(docs, labels, "toxic", sample, train)
-    bad, both = rows.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
+    bad, both, share = rows.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*"), F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).first()
     if not 0 < bad < both:
         return NoisyOr(np.zeros(0, np.uint64), np.zeros(0), -30.0)
     vocabulary = selected(rows, bad, both - bad)
     if not len(vocabulary):
-        return NoisyOr(vocabulary, np.zeros(0), float(np.log(bad / both)))
-    got = rows.select("text", "label", "doc_id").mapInArrow(_instances(vocabulary), "doc_id long, label int, plain long, s array<long>, f array<long>")
+        return NoisyOr(vocabulary, np.zeros(0), float(np.log(share)))
+    got = rows.select("text", "label", "doc_id", "weight").mapInArrow(_instances(vocabulary), "doc_id long, label int, weight double, plain long, s array<long>, f array<long>")
     got = got.toArrow().sort_by([("doc_id", "ascending"), ("plain", "ascending")])
     counts = np.array(got.column("s").combine_chunks().value_lengths())
     owner = np.repeat(np.arange(got.num_rows), counts)
     s, f = (np.array(got.column(c).combine_chunks().flatten()) for c in "sf")
     new = np.concatenate(([True], (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])))[: len(s)]
-    return fit_noisy_or(vocabulary, np.array(got.column("label")).astype(float), np.array(got.column("plain")), owner[new], np.cumsum(new) - 1, f)
+    return fit_noisy_or(vocabulary, np.array(got.column("label")).astype(float), np.array(got.column("plain")), owner[new], np.cumsum(new) - 1, f, np.array(got.column("weight")))
 
 
 def _locate(model, text: str, whole_rows: bool, least: float):

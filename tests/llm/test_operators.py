@@ -335,3 +335,37 @@ def test_sql(spark, name):
     got = catalogue.queries()[name](spark, SMALL).select(*columns).collect()
     plain = lambda rows: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
     assert plain(got) == plain(found.fetchall())
+
+
+def _two_kinds(spark):
+    """3,000 good and 300 bad documents in which short texts are of either kind."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(3300):
+        bad = k % 11 == 0
+        n = int(rng.integers(60, 140)) if rng.random() < 0.5 else int(rng.integers(20, 60) if bad else rng.integers(140, 200))
+        rows.append((k, " ".join(rng.choice(["tree", "river", "stone", "cloud", "vile"], n, p=[0.25, 0.25, 0.25, 0.25 - 0.002 * bad, 0.002 * bad])), int(not bad), int(bad)))
+    return spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+
+
+def test_samples_keep_the_shares_of_classes(spark):
+    """A capped sample has the shares of the whole table, so that scores do not depend on its size."""
+    d = _two_kinds(spark).cache()
+    docs, labels = d.select("doc_id", "text"), d.select("doc_id", "quality", "toxic")
+    sums = docstats.labelled_sample(docs, labels, "quality", 400, F.lit(True)).groupBy("label").agg(F.count("*"), F.sum("weight")).collect()
+    assert sorted(tuple(r) for r in sums) == [(0, 300, 300.0), (1, 400, 3000.0)]
+    for limit in (400, 5000):
+        model = quality.fitted(docs, labels, F.lit(True), limit)
+        assert abs(quality.scored(docs, model).agg(F.avg("score")).first()[0] - 3000 / 3300) < 0.02
+        tox = toxicity.fitted(docs, labels, F.lit(True), limit)
+        assert abs(toxicity.located(docs, tox).agg(F.avg("score")).first()[0] - 300 / 3300) < 0.03
+
+
+def test_op3_precision_counts_what_rows_stand_for():
+    """A rule that is right in a capped sample but wrong in the whole table is not learned."""
+    x = {c: np.zeros(1200) for c in rules.INPUTS}
+    bad = np.arange(1200) % 2 == 0
+    x["bar_share"] = (bad | (np.arange(1200) % 101 == 1)) * 0.5
+    assert (rules.covers([("bar_share", ">", 0.0)], x) & ~bad).sum() in range(1, 10)
+    assert rules.learned(x, bad)
+    assert not rules.learned(x, bad, np.where(bad, 1.0, 20.0))

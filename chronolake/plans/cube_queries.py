@@ -70,6 +70,18 @@ def long_to_wide(spark, sf_dir):
     return wide.toDF("obs", *[c.replace("_t_", "_") for c in wide.columns[1:]])
 
 
+def long_to_wide_all(spark, sf_dir):
+    """All variables and days in columns."""
+    wide = to_wide(cube(spark, sf_dir))
+    return wide.toDF("obs", *[c.replace("_t_", "_") for c in wide.columns[1:]])
+
+
+def wide_to_long_all(spark, sf_dir):
+    """A wide export of all variables and days read back as a cube."""
+    back = from_frame(to_wide(cube(spark, sf_dir)), format="wide", index_column="obs_name")
+    return named(back).select(F.col("obs_name").alias("obs"), F.col("var_name").alias("var"), "t_idx", "value")
+
+
 def wide_to_long(spark, sf_dir):
     """A wide export read back as a cube."""
     wide = to_wide(cube(spark, sf_dir)[:, :, :3])
@@ -90,6 +102,14 @@ def fill_time_gaps(spark, sf_dir):
     return c.tem.join(c.layers["X"].cells.groupBy("t_idx").count(), "t_idx", "left").select("tem_name", F.coalesce("count", F.lit(0)).alias("n"))
 
 
+def fill_time_gaps_all(spark, sf_dir):
+    """All rows at three times their day number, so that two of three steps are gaps."""
+    rows = measurements(spark, sf_dir).select(F.col("person_id").alias("observation_id"), F.col("concept").alias("variable"), (3 * F.dayofmonth("at").cast("long")).alias("time"), F.col("value"))
+    rows = rows.groupBy("observation_id", "variable", "time").agg(F.max("value").alias("value"))
+    c = from_frame(rows, format="long", fill_time_gaps=True)
+    return c.tem.join(c.layers["X"].cells.groupBy("t_idx").count(), "t_idx", "left").select("tem_name", F.coalesce("count", F.lit(0)).alias("n"))
+
+
 def moved_to_obs(spark, sf_dir):
     c = move_to_obs(time_slice(cube(spark, sf_dir), "X", 0), ["click", "view"])
     return c.obs.join(c.X.cells.groupBy("obs_idx").agg(F.count("*").alias("left_over")), "obs_idx", "left").select("obs_name", "click", "view", F.coalesce("left_over", F.lit(0)).alias("left_over"))
@@ -122,7 +142,7 @@ def generated(spark, sf_dir):
 QUERIES = {
     "slice_obs": slice_obs, "slice_var": slice_var, "slice_time": slice_time, "slice_outer_product": outer_product,
     "reduce_time_max": reduced("max"), "reduce_time_min": reduced("min"), "reduce_time_mean": reduced("mean"), "dense_backbone": dense_backbone,
-    "long_to_wide": long_to_wide, "wide_to_long": wide_to_long, "flat_to_long": flat_to_long, "fill_time_gaps": fill_time_gaps,
+    "long_to_wide": long_to_wide, "wide_to_long": wide_to_long, "long_to_wide_all": long_to_wide_all, "wide_to_long_all": wide_to_long_all, "fill_time_gaps_all": fill_time_gaps_all, "flat_to_long": flat_to_long, "fill_time_gaps": fill_time_gaps,
     "move_to_obs": moved_to_obs, "move_to_x": moved_to_x, "store_round_trip": stored, "tensor_export": tensors, "generator": generated,
 }
 
@@ -146,6 +166,11 @@ FROM bins x LEFT JOIN cells c ON c.obs_name = CAST(x.obs_id AS VARCHAR) AND c.va
     "long_to_wide": f"""{_CUBE} SELECT CAST(u.obs_id AS VARCHAR) AS obs, {", ".join(f"max(value) FILTER (var_name = '{v}' AND t_idx = {t}) AS {v}_{t}" for v in ("click", "view") for t in range(3))}
 FROM users u LEFT JOIN cells c ON c.obs_name = CAST(u.obs_id AS VARCHAR) GROUP BY u.obs_id""",
     "wide_to_long": f"{_CUBE} SELECT obs_name AS obs, var_name AS var, t_idx, value FROM cells WHERE t_idx < 3",
+    "long_to_wide_all": f"""{_CUBE} SELECT CAST(u.obs_id AS VARCHAR) AS obs, {", ".join(f"max(value) FILTER (var_name = '{v}' AND t_idx = {t}) AS {v}_{t}" for v in ("click", "error", "purchase", "signup", "view") for t in range(STEPS))}
+FROM users u LEFT JOIN cells c ON c.obs_name = CAST(u.obs_id AS VARCHAR) GROUP BY u.obs_id""",
+    "wide_to_long_all": f"{_CUBE} SELECT obs_name AS obs, var_name AS var, t_idx, value FROM cells",
+    "fill_time_gaps_all": f"""WITH {SQL_ROLES}, d AS (SELECT person_id, concept, 3 * CAST(day(ts) AS BIGINT) AS t, max(value) AS v FROM measurements GROUP BY ALL)
+SELECT CAST(i AS VARCHAR) AS tem_name, (SELECT count(v) FROM d WHERE t = i) AS n FROM (SELECT unnest(range((SELECT max(t) + 1 FROM d))) AS i)""",
     "flat_to_long": "SELECT CAST(p_partkey AS VARCHAR) AS part, 'size' AS var, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'p_retailprice', p_retailprice FROM part",
     "fill_time_gaps": f"""WITH {SQL_ROLES}, d AS (SELECT person_id, concept, CAST(day(ts) AS BIGINT) AS t, max(value) AS v FROM measurements WHERE day(ts) % 3 = 0 GROUP BY ALL)
 SELECT CAST(i AS VARCHAR) AS tem_name, (SELECT count(v) FROM d WHERE t = i) AS n FROM (SELECT unnest(range((SELECT max(t) + 1 FROM d))) AS i)""",

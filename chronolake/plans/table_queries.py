@@ -21,8 +21,8 @@ CODES = {"click": 11, "purchase": 12, "signup": 13, "error": 14, "view": 15}
 KINDS = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CODES.items()) + " ELSE 19 END"
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The driver's tables as medical-record tables."""
+def catalog(spark: SparkSession, sf_dir: str, cohort: str = "user_id % 3 = 0") -> Catalog:
+    """The driver's tables as medical-record tables; cohort is a condition on its users."""
     customer, orders, events = (table(spark, sf_dir, t) for t in ("customer", "orders", "events"))
     month = F.expr("INTERVAL '30' DAY")
     per_user = events.groupBy("user_id").agg(F.min("ts").cast("date").alias("_d"))
@@ -30,7 +30,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         "person": customer.select(F.col("c_custkey").alias("person_id"), F.col("c_nationkey").alias("location_id"), (F.lit("1950-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=F.col("c_custkey").cast("int"))).alias("birth_datetime")),
         "visit_occurrence": orders.select(F.col("o_orderkey").alias("visit_occurrence_id"), F.col("o_custkey").alias("person_id"), F.col("o_orderstatus").alias("visit_source_value"), F.col("o_orderdate").cast("date").alias("visit_start_date"), F.col("o_orderdate").alias("visit_start_datetime"), (F.col("o_orderdate").cast("timestamp_ntz") + month).alias("visit_end_datetime"), (F.col("o_orderdate").cast("timestamp_ntz") + month).cast("date").alias("visit_end_date")),
         "observation_period": per_user.select((F.col("user_id") + 5000).alias("observation_period_id"), F.col("user_id").alias("person_id"), F.col("_d").alias("observation_period_start_date"), F.date_add("_d", 30).alias("observation_period_end_date")),
-        "cohort": per_user.where("user_id % 3 = 0").select(F.lit(1).alias("cohort_definition_id"), F.col("user_id").alias("subject_id"), F.col("_d").alias("cohort_start_date"), F.date_add("_d", 30).alias("cohort_end_date")),
+        "cohort": per_user.where(cohort).select(F.lit(1).alias("cohort_definition_id"), F.col("user_id").alias("subject_id"), F.col("_d").alias("cohort_start_date"), F.date_add("_d", 30).alias("cohort_end_date")),
         "death": customer.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("person_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("c_custkey") % 60).cast("int"))).alias("death_datetime")),
         "measurement": events.select(F.col("event_id").alias("measurement_id"), F.col("user_id").alias("person_id"), F.expr(KINDS).alias("measurement_concept_id"), F.col("ts").cast("date").alias("measurement_date"), F.col("ts").alias("measurement_datetime"), F.when(F.col("event_id") % 7 == 0, None).otherwise(F.floor("value").cast("double") % 5).alias("value_as_number"), F.when(F.col("event_id") % 3 != 2, 100 + F.col("event_id") % 3).alias("unit_concept_id")),
         "drug_exposure": events.select(F.col("event_id").alias("drug_exposure_id"), F.col("user_id").alias("person_id"), F.expr(KINDS).alias("drug_concept_id"), F.col("ts").cast("date").alias("drug_exposure_start_date"), F.col("ts").alias("drug_exposure_start_datetime"), (F.col("ts").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("event_id") % 90).cast("int"))).alias("drug_exposure_end_datetime"), (F.col("ts").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("event_id") % 90).cast("int"))).cast("date").alias("drug_exposure_end_date"), F.col("event_id").cast("double").alias("days_supply")),
@@ -39,9 +39,9 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     })
 
 
-def obs_rows(name: str, *columns: str, death: bool = False):
+def obs_rows(name: str, *columns: str, death: bool = False, **of):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return observation_rows(catalog(spark, sf_dir), name, death)[0].select(*columns)
+        return observation_rows(catalog(spark, sf_dir, **of), name, death)[0].select(*columns)
 
     return query
 
@@ -89,12 +89,17 @@ def extract_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_long(cube).select(F.col("observation_id").cast("long").alias("obs"), F.col("variable").cast("long").alias("concept"), F.col("time").cast("long").alias("step"), "value")
 
 
-def extract_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = catalog(spark, sf_dir)
+def extract_spans(spark: SparkSession, sf_dir: str, **of) -> DataFrame:
+    c = catalog(spark, sf_dir, **of)
     cube = setup_interval_variables(setup_obs(c, "person_cohort"), c, data_tables=["drug_exposure"], data_field_to_keep=["is_present"], interval_length_number=12, interval_length_unit="h", num_intervals=8, keep_date="interval")
     return to_long(cube).select(F.col("observation_id").cast("long").alias("obs"), F.col("variable").cast("long").alias("concept"), F.col("time").cast("long").alias("step"), F.col("value").cast("double").alias("value"))
 
 
+def extract_spans_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """extract_spans with all users in the cohort."""
+    return extract_spans(spark, sf_dir, cohort="true")
+
+
 def stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variables of two tables side by side, by table and concept."""
     c = catalog(spark, sf_dir)
@@ -159,9 +164,10 @@ QUERIES = {
     "obs_visit": obs_rows("person_visit_occurrence", "person_id", "visit_occurrence_id", "person_id_1", "visit_source_value"),
     "obs_period": obs_rows("person_observation_period", "person_id", "observation_period_id", "location_id"),
     "obs_cohort": obs_rows("person_cohort", "person_id", "subject_id", "cohort_definition_id"),
+    "obs_cohort_all": obs_rows("person_cohort", "person_id", "subject_id", "cohort_definition_id", cohort="true"),
     "obs_death_left": obs_rows("person", "person_id", "death_datetime", death=True),
     "obs_index_rank": obs_index, "first_visit_rank": first_visit, "concept_enrich": concept_enrich, "concept_remap": concept_remap, "unit_report": units,
-    "var_distinct": var_distinct, "extract_points": extract_points, "extract_spans": extract_spans, "stack_tables": stacked, "mortality_label": mortality_label,
+    "var_distinct": var_distinct, "extract_points": extract_points, "extract_spans": extract_spans, "extract_spans_all": extract_spans_all, "stack_tables": stacked, "mortality_label": mortality_label,
     "recode_flag": recode_flag, "dedup_keep_last": dedup_keep_last, "harmonize_missing": harmonize, "infer_feature_types": feature_types,
     "category_counts": category_counts, "cast_float_all_or_nothing": cast_float,
 }
@@ -179,6 +185,7 @@ SQL = {
     "obs_visit": "SELECT c_custkey AS person_id, o_orderkey AS visit_occurrence_id, o_custkey AS person_id_1, o_orderstatus AS visit_source_value FROM customer JOIN orders ON c_custkey = o_custkey",
     "obs_period": f"SELECT c_custkey AS person_id, user_id + 5000 AS observation_period_id, c_nationkey AS location_id FROM customer JOIN {_FIRST} ON c_custkey = user_id",
     "obs_cohort": f"SELECT c_custkey AS person_id, user_id AS subject_id, 1 AS cohort_definition_id FROM customer JOIN {_FIRST} ON c_custkey = user_id WHERE user_id % 3 = 0",
+    "obs_cohort_all": f"SELECT c_custkey AS person_id, user_id AS subject_id, 1 AS cohort_definition_id FROM customer JOIN {_FIRST} ON c_custkey = user_id",
     "obs_death_left": "SELECT c_custkey AS person_id, CASE WHEN c_custkey % 10 = 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey % 60 AS INTEGER)) END AS death_datetime FROM customer",
     "obs_index_rank": "SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS obs_idx, o_orderkey AS visit_occurrence_id, o_custkey AS person_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)",
     "first_visit_rank": "SELECT o_custkey AS person_id, o_orderkey AS visit_occurrence_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r = 1",
@@ -194,6 +201,11 @@ FROM p CROSS JOIN c CROSS JOIN s LEFT JOIN {_M} m ON m.user_id = p.user_id AND m
 c AS (SELECT DISTINCT concept FROM {_M}), s AS (SELECT unnest(range(8)) AS step),
 m AS (SELECT user_id, concept, event_id, ts AS a, ts + to_hours(CAST(event_id % 90 AS INTEGER)) AS b FROM {_M})
 SELECT p.obs, c.concept, s.step, CAST(CASE WHEN count(m.event_id) > 0 THEN 1 END AS DOUBLE) AS value
+FROM p CROSS JOIN c CROSS JOIN s LEFT JOIN m ON m.user_id = p.user_id AND m.concept = c.concept
+  AND m.a < p.zero + (s.step + 1) * INTERVAL 12 HOUR AND m.b >= p.zero + s.step * INTERVAL 12 HOUR GROUP BY p.obs, c.concept, s.step""",
+    "extract_spans_all": f"""WITH {_PERIODS}, c AS (SELECT DISTINCT concept FROM {_M}), s AS (SELECT unnest(range(8)) AS step),
+m AS (SELECT user_id, concept, event_id, ts AS a, ts + to_hours(CAST(event_id % 90 AS INTEGER)) AS b FROM {_M})
+SELECT p.obs, c.concept, s.step, CAST(CASE WHEN count(m.event_id) > 0 THEN 1 END AS DOUBLE) AS value
 FROM p CROSS JOIN c CROSS JOIN s LEFT JOIN m ON m.user_id = p.user_id AND m.concept = c.concept
   AND m.a < p.zero + (s.step + 1) * INTERVAL 12 HOUR AND m.b >= p.zero + s.step * INTERVAL 12 HOUR GROUP BY p.obs, c.concept, s.step""",
     "stack_tables": f"""WITH {_PERIODS}, m AS (SELECT p.obs, m.concept, m.event_id, m.v, CAST(floor(date_diff('microsecond', p.zero, m.ts) / 86400000000) AS BIGINT) AS step FROM p JOIN {_M} m ON m.user_id = p.user_id)

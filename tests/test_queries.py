@@ -60,3 +60,14 @@ def test_entry():
 
     assert set(catalogue.queries()) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no driver tables")
+def test_whole_tables_have_queries(spark, duck):
+    """Spans, cohort, gaps and pivots also run on all users, rows, variables and days."""
+    q = catalogue.queries()
+    users = duck.execute("SELECT count(DISTINCT user_id) FROM events WHERE user_id IN (SELECT c_custkey FROM customer)").fetchone()[0]
+    kinds = duck.execute("SELECT count(DISTINCT event_type) FROM events").fetchone()[0]
+    assert q["obs_cohort_all"](spark, SMALL).count() == users > q["obs_cohort"](spark, SMALL).count()
+    assert q["extract_spans_all"](spark, SMALL).count() == users * kinds * 8
+    assert len(q["long_to_wide_all"](spark, SMALL).columns) == 1 + kinds * 10

@@ -50,9 +50,8 @@ def feature_type_overview(cube: Cube, layer: str = "X") -> DataFrame:
     counts = cube.layers[layer].cells.groupBy("var_idx").agg(F.count_distinct("value").alias("categories"))
     out = cube.var.join(counts, "var_idx", "left").select("var_name", "feature_type", F.when(F.col("feature_type") == "categorical", F.col("categories")).alias("categories")).orderBy("feature_type", "var_name")
     for kind in ("date", "numeric", "categorical"):
-        rows = out.where(F.col("feature_type") == kind).limit(100).collect()
         print(f"{kind} features")
-        for r in rows:
+        for r in out.where(F.col("feature_type") == kind).toLocalIterator():
             print(f"  {r['var_name']}" + (f"; {r['categories']} categories" if r["categories"] is not None else ""))
     return out
 

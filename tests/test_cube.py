@@ -214,3 +214,11 @@ def test_stream(spark, tmp_path):
     query = stream_binned(stream, obs, seconds=7200, count=12).writeStream.outputMode("append").format("memory").queryName("bins").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert {(r["interval_step"], r["value"], r["n_events"]) for r in spark.table("bins").collect()} == {(0, 1.0, 2), (1, 3.0, 2), (2, 5.0, 2)}
+
+
+def test_overview_prints_all_names(spark, capsys):
+    var = spark.createDataFrame([(k, f"v{k:03}", "numeric") for k in range(120)], "var_idx int, var_name string, feature_type string")
+    obs = spark.createDataFrame([(0, "a")], "obs_idx int, obs_name string")
+    cells = spark.createDataFrame([(0, k, 1.0) for k in range(120)], "obs_idx int, var_idx int, value double")
+    cl.feature_type_overview(Cube.build(obs, var, None, {"X": Layer(cells, 2)}))
+    assert [line.strip() for line in capsys.readouterr().out.splitlines() if line.startswith("  ")] == [f"v{k:03}" for k in range(120)]

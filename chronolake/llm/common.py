@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import pickle
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space separates words; bytes.split() without argument splits at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of text that Python handles at once; the arrays made of them take some fifty bytes for each.
+PIECE = 1 << 19
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -42,6 +48,28 @@ def removed(spark: SparkSession, *paths: str) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def shared_value(spark: SparkSession, value):
+    """A broadcast of value, pickled with its class, so that executors need no copy of the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def loaded(shared):
+    """The value of shared_value(), in a task."""
+    return pickle.loads(shared.value)
+
+
+def kept_by_worker(key, make):
+    """make(), kept for all tasks of the same Python worker.
+
+    Functions are pickled by value, so that their own modules are new in each task; the values stay
+    in a module of the process.
+    """
+    held = sys.modules.setdefault("chronolake_kept_by_worker", types.ModuleType("chronolake_kept_by_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def bucket_of(col: str, n: int):
     """crc32 of a column's text form, modulo n; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
@@ -66,7 +94,7 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return body, off - off[0]
 
 
-def pieces(batch, text: str, limit: int = 8 << 20):
+def pieces(batch, text: str, limit: int = PIECE):
     """Slices of a record batch of at most about ``limit`` bytes of text, one row at least."""
     _, off = text_buffers(batch.column(batch.schema.get_field_index(text)))
     start = 0

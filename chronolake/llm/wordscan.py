@@ -14,17 +14,24 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 #: Bytes of white-space separated words.
 NONSPACE = np.ones(256, bool)
 NONSPACE[[0x20, 9, 10, 11, 12, 13]] = False
-_powers: dict = {}
+#: Length up to which powers are kept: more than the usual piece of text.
+LONGEST = 3 << 18
+_powers: list[np.ndarray] = []
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, _P, np.uint64), np.full(n, pow(_P, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """p**i and p**-i modulo 2**64, kept for the longest text seen."""
-    if _powers.get("n", 0) < n:
-        n = max(n, 1 << 20)
-        up, down = np.full(n, _P, np.uint64), np.full(n, pow(_P, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _powers.update(n=n, up=np.cumprod(up), down=np.cumprod(down))
-    return _powers["up"], _powers["down"]
+    """p**i and p**-i modulo 2**64; those for usual lengths are kept, longer ones are made anew."""
+    if n > LONGEST:
+        return _powers_to(n)
+    if not _powers:
+        _powers.extend(_powers_to(LONGEST))
+    return _powers[0], _powers[1]
 
 
 def mixed64(x: np.ndarray) -> np.ndarray:

@@ -8,21 +8,24 @@ nodes may follow, below a dropped node all is dropped.  The trees are trained on
 whose blocks are known; fit() takes any other pages with labels.
 
 Defined results: a null or empty page, one without text and one whose text is all dropped give an
-empty text; unclosed, misnested and unknown tags are accepted; what stands before the first tag
-is text of the root; an empty table gives an empty result; further columns pass through
-extracted() unless they are named text, which is replaced.
+empty text; unclosed, misnested and unknown tags are accepted; an unclosed script, style, title or
+textarea ends with the page, of other elements whose content is no text only the tag is skipped if
+they are not closed before the next of their name; what stands before the first tag is text of the root; an
+empty table gives an empty result; further columns pass through extracted() unless they are
+named text, which is replaced.  Time and memory grow with a page's length, however deep it is.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import loaded, pieces, shared_value, table
 
 TREES, DEPTH, RATE, BINS = 40, 4, 0.3, 16
 #: Hash buckets of a node's own attribute tokens and of its ancestors'.
@@ -37,6 +40,8 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg iframe object select".split())
+#: Those of them whose content ends at their own end tag only, or with the page.
+OPAQUE = frozenset("script style textarea title".split())
 BLOCKS = (
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tr td th nav header footer aside form "
     "fieldset blockquote pre figure figcaption address details summary hgroup button label head"
@@ -46,9 +51,17 @@ _CLOSES_P = frozenset(BLOCKS) - {"button", "label"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _SCOPE = frozenset("ul ol dl table body html div section article nav aside header footer main form".split())
 _GROUPS = ["nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "p", "li", "blockquote", "pre", "td", "figure", "button", "label", "fieldset", "address", "head"]
-NUMERIC = ["depth", "index", "siblings", "same_tag", "text", "link_share", "blocks", "mean_block", "stops", "page_share", "place", "tags_per_text", "heading", "list", "own_text", "sibling_text"] + [f"is_{g}" for g in _GROUPS] + [f"in_{g}" for g in _GROUPS[:8]]
+NUMERIC = ["depth", "index", "siblings", "same_tag", "text", "link_share", "blocks", "mean_block", "stops", "page_share", "place", "tags_per_text", "heading", "list", "own_text", "sibling_text"]
+#: Flags: the node's tag, tags above it, its attribute tokens, and those of the nodes above it.
+_IS, _IN, _OWN = 0, len(_GROUPS), len(_GROUPS) + 8
+_ABOVE = _OWN + OWN
+FLAGS = _ABOVE + ABOVE
+_FLAG_BYTES = -(-FLAGS // 8)
+#: Nodes whose features are laid out and scored at once.
+NODES = 1 << 12
 
 
+@lru_cache(1 << 16)
 def _bucket(token: str, size: int) -> int:
     n = 0
     for c in token.encode():
@@ -56,29 +69,44 @@ def _bucket(token: str, size: int) -> int:
     return ((n * 2654435761) & 0xFFFFFFFF) * size >> 32
 
 
+@lru_cache(None)
+def _raw_end(name: str):
+    """The next start or end tag of a name; group 1 is "/" in an end tag."""
+    return re.compile(rf"<(/?){name}\b[^>]*>", re.I)
+
+
+def laid_out(numbers: np.ndarray, flags: list[int]) -> np.ndarray:
+    """Feature rows of nodes: numbers, then flags."""
+    bits = np.frombuffer(b"".join(f.to_bytes(_FLAG_BYTES, "little") for f in flags), np.uint8).reshape(-1, _FLAG_BYTES)
+    return np.concatenate((numbers, np.unpackbits(bits, axis=1, count=FLAGS, bitorder="little")), 1, dtype=np.float32)
+
+
 class Page:
     """Block-level nodes in page order, each with its parent, tokens and text runs."""
 
-    __slots__ = ("tag", "parent", "tokens", "runs", "links", "texts")
+    __slots__ = ("tag", "parent", "tokens", "runs", "texts")
 
     def __init__(self, source: str):
         self.tag, self.parent, self.tokens = ["html"], [-1], [()]
         self.runs: list[list] = []  # [node, raw text, characters in links]
-        stack: list[tuple[str, int]] = [("html", 0)]
-        node, at, links, run, skip = 0, 0, 0, None, None
+        stack: list[tuple[str, int, int]] = [("html", 0, 0)]  # name, own node or -1, node that text belongs to
+        opened: dict[str, list[int]] = {}  # places in the stack of the open elements of each name
+        scopes = [0]  # and of those that end tags of inline elements do not reach beyond
+        node, at, links, run, last = 0, 0, 0, None, source.rfind(">") + 1
 
         def close(k):
             nonlocal node, links, run
-            for name, number in stack[k:]:
+            for name, number, _ in stack[k:]:
+                opened[name].pop()
+                if name in _SCOPE:
+                    scopes.pop()
                 links -= name == "a"
                 if number >= 0:
                     run = None
             del stack[k:]
-            node = next(n for _, n in reversed(stack) if n >= 0)
+            node = stack[-1][2]
 
-        for m in _TOKEN.finditer(source):
-            if m.start() < at:
-                continue
+        while m := _TOKEN.search(source, at, last):
             if m.start() > at:
                 piece = source[at : m.start()]
                 if run is None:
@@ -92,17 +120,19 @@ class Page:
                 continue
             name = name.lower()
             if m[1] or m[4]:  # an end tag closes the nearest open element of its name
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        close(k)
-                        break
-                    if stack[k][0] in _SCOPE and name not in _SCOPE:
-                        break
+                if places := opened.get(name):
+                    if name in _SCOPE or places[-1] > scopes[-1]:
+                        close(places[-1])
                 continue
             if name in RAW:
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
                 if not (m[3] or m[6] or "").endswith("/"):
-                    at = end.end() if end else len(source)
+                    end = _raw_end(name).search(source, at)
+                    if name in OPAQUE:
+                        while end and not end[1]:
+                            end = _raw_end(name).search(source, end.end())
+                        at = end.end() if end else len(source)
+                    elif end and end[1]:
+                        at = end.end()
                 continue
             if name in VOID:
                 if run is not None and name in ("br", "hr"):
@@ -110,13 +140,10 @@ class Page:
                     run = None if name == "hr" else run
                 continue
             if name in _CLOSES_P or name in _SIBLINGS:
-                ends = _SIBLINGS.get(name, ())
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in ends or (stack[k][0] == "p" and name in _CLOSES_P):
-                        close(k)
-                        break
-                    if stack[k][0] in _SCOPE:
-                        break
+                ends = {*_SIBLINGS.get(name, ()), *(("p",) if name in _CLOSES_P else ())}
+                top = max((opened[e][-1] for e in ends if opened.get(e)), default=0)
+                if top > scopes[-1]:
+                    close(top)
             number = -1
             if name in _BLOCK_NUMBER:
                 number = len(self.tag)
@@ -128,7 +155,10 @@ class Page:
                 self.tokens.append(tuple(words))
                 node, run = number, None
             links += name == "a"
-            stack.append((name, number))
+            opened.setdefault(name, []).append(len(stack))
+            if name in _SCOPE:
+                scopes.append(len(stack))
+            stack.append((name, number, node))
         if at < len(source):
             if run is None:
                 run = [node, [], 0]
@@ -140,60 +170,64 @@ class Page:
             if text:
                 self.texts.append((node, text, linked))
 
-    def features(self) -> np.ndarray:
-        n = len(self.tag)
-        parent, tag = self.parent, self.tag
-        text, link, blocks, stops, own = (np.zeros(n) for _ in range(5))
-        first = np.full(n, -1.0)
-        total = 0
+    def numbers(self) -> np.ndarray:
+        """The numeric features of all nodes."""
+        n, parent, tag = len(self.tag), self.parent, self.tag
+        text, link, blocks, stops, own = ([0] * n for _ in range(5))
+        first, total = [-1] * n, 0
         for node, t, linked in self.texts:
             own[node] += len(t)
-            stop = t.count(". ") + t.count(", ") + (t[-1] in ".!?")
-            k = node
-            while k >= 0:
-                text[k] += len(t)
-                link[k] += min(linked, len(t))
-                blocks[k] += 1
-                stops[k] += stop
-                if first[k] < 0:
-                    first[k] = total
-                k = parent[k]
+            link[node] += min(linked, len(t))
+            blocks[node] += 1
+            stops[node] += t.count(". ") + t.count(", ") + (t[-1] in ".!?")
+            if first[node] < 0:
+                first[node] = total
             total += len(t)
-        depth, tags = np.zeros(n), np.ones(n)
+        text, depth, tags = own.copy(), [0] * n, [1] * n
         children: list[list[int]] = [[] for _ in range(n)]
         for k in range(1, n):
             depth[k] = depth[parent[k]] + 1
             children[parent[k]].append(k)
-        for k in range(n - 1, 0, -1):
-            tags[parent[k]] += tags[k]
-        x = np.zeros((n, len(NUMERIC) + OWN + ABOVE), np.float32)
-        group = {g: len(NUMERIC) - 8 - len(_GROUPS) + i for i, g in enumerate(_GROUPS)}
-        inside = {g: len(NUMERIC) - 8 + i for i, g in enumerate(_GROUPS[:8])}
-        base, above = len(NUMERIC), len(NUMERIC) + OWN
-        for k in range(n):
-            p, row = parent[k], x[k]
-            if p >= 0:
-                row[-8 - OWN - ABOVE + 0 : above - OWN] = x[p, base - 8 : base]
-                row[above:] = x[p, above:]
-                if tag[p] in inside:
-                    row[inside[tag[p]]] = 1
-                for w in self.tokens[p]:
-                    row[above + _bucket(w, ABOVE)] = 1
-            if tag[k] in group:
-                row[group[tag[k]]] = 1
-            for w in self.tokens[k]:
-                row[base + _bucket(w, OWN)] = 1
-            for i, c in enumerate(children[k]):
-                x[c, 1], x[c, 2] = i, len(children[k])
-                x[c, 3] = sum(tag[o] == tag[c] for o in children[k][max(0, i - 2) : i + 3]) - 1
-                x[c, 15] = np.log1p(text[k] - text[c])
-        x[:, 0], x[:, 4], x[:, 5], x[:, 6] = depth, np.log1p(text), link / np.maximum(text, 1), blocks
-        x[:, 7], x[:, 8], x[:, 9] = np.log1p(text / np.maximum(blocks, 1)), stops / np.maximum(text, 1) * 100, text / max(total, 1)
-        x[:, 10], x[:, 11], x[:, 14] = first / max(total, 1), tags / np.maximum(text, 1) * 100, np.log1p(own)
+        for k in range(n - 1, 0, -1):  # children come after their parents
+            p = parent[k]
+            text[p] += text[k]
+            link[p] += link[k]
+            blocks[p] += blocks[k]
+            stops[p] += stops[k]
+            tags[p] += tags[k]
+            if first[k] >= 0 and (first[p] < 0 or first[k] < first[p]):
+                first[p] = first[k]
+        x = np.zeros((n, len(NUMERIC)), np.float32)
+        for group in children:
+            for i, c in enumerate(group):
+                x[c, 1], x[c, 2] = i, len(group)
+                x[c, 3] = sum(tag[o] == tag[c] for o in group[max(0, i - 2) : i + 3]) - 1
+        text, link, blocks, stops, own, first = (np.array(v, float) for v in (text, link, blocks, stops, own, first))
+        some = np.maximum(text, 1)
+        x[:, 0], x[:, 4], x[:, 5], x[:, 6] = depth, np.log1p(text), link / some, blocks
+        x[:, 7], x[:, 8], x[:, 9] = np.log1p(text / np.maximum(blocks, 1)), stops / some * 100, text / max(total, 1)
+        x[:, 10], x[:, 11], x[:, 14] = first / max(total, 1), np.array(tags) / some * 100, np.log1p(own)
         x[:, 12] = [t[0] == "h" and t[1:].isdigit() for t in tag]
         x[:, 13] = [t in ("ul", "ol", "dl") for t in tag]
+        if n > 1:
+            x[1:, 15] = np.log1p(text[np.array(parent[1:])] - text[1:])
         return x
 
+    def flags(self) -> list[int]:
+        """The yes-or-no features of all nodes, as bits of whole numbers."""
+        group = {g: 1 << (_IS + i) for i, g in enumerate(_GROUPS)}
+        inside = {g: 1 << (_IN + i) for i, g in enumerate(_GROUPS[:8])}
+        handed, out = [], []  # what a node's children get, and what it has
+        for tag, p, tokens in zip(self.tag, self.parent, self.tokens, strict=True):
+            above = handed[p] if p >= 0 else 0
+            own, give = above | group.get(tag, 0), above | inside.get(tag, 0)
+            for w in tokens:
+                own |= 1 << (_OWN + _bucket(w, OWN))
+                give |= 1 << (_ABOVE + _bucket(w, ABOVE))
+            out.append(own)
+            handed.append(give)
+        return out
+
     def states(self, chance: np.ndarray) -> np.ndarray:
         """2 for main nodes, 1 for dropped ones, 0 for undecided ones; the likeliest consistent choice."""
         n = len(self.tag)
@@ -405,24 +439,26 @@ def fit(pages: list[str]) -> Boosted:
         parsed = Page(source)
         y, w = labelled_nodes(parsed)
         clean = Page(source.replace(MAIN, ""))
-        xs.append(clean.features())
+        xs.append(laid_out(clean.numbers(), clean.flags()))
         ys.append(y)
         ws.append(w)
     return Boosted(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws))
 
 
+@lru_cache(4)
 def trained(pages: int = TRAIN_PAGES, seed: int = 5) -> Boosted:
+    """Trees from generated pages; they are fitted once in a process."""
     rng = np.random.default_rng(seed)
     return fit([training_page(rng) for _ in range(pages)])
 
 
 def main_texts(model: Boosted, sources: list[str | None]) -> list[str]:
     parsed = [Page(s or "") for s in sources]
-    x = [p.features() for p in parsed]
-    if not x:
+    if not parsed:
         return []
-    chance = model.chance(np.concatenate(x))
-    at = np.concatenate(([0], np.cumsum([len(v) for v in x])))
+    numbers, flags = np.concatenate([p.numbers() for p in parsed]), [f for p in parsed for f in p.flags()]
+    chance = np.concatenate([model.chance(laid_out(numbers[k : k + NODES], flags[k : k + NODES])) for k in range(0, len(flags), NODES)])
+    at = np.cumsum([0] + [len(p.tag) for p in parsed])
     return [p.text(chance[a:b]) for p, a, b in zip(parsed, at[:-1], at[1:], strict=True)]
 
 
@@ -430,10 +466,11 @@ def _extract(model, source: str, target: str):
     def run(batches):
         import pyarrow as pa
 
+        trees = loaded(model)
         for whole in batches:
-            for batch in pieces(whole, source, 1 << 20):
+            for batch in pieces(whole, source):
                 names = batch.schema.names
-                got = main_texts(model.value, batch.column(names.index(source)).to_pylist())
+                got = main_texts(trees, batch.column(names.index(source)).to_pylist())
                 keep = [k for k, c in enumerate(names) if c != source]
                 yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [pa.array(got, pa.string())], names=[names[k] for k in keep] + [target])
 
@@ -444,7 +481,7 @@ def extracted(pages: DataFrame, model: Boosted, source: str = "html") -> DataFra
     """The main text, as column text, in place of the page's source."""
     rows = pages.drop("text")
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != source]
-    return rows.mapInArrow(_extract(pages.sparkSession.sparkContext.broadcast(model), source, "text"), ", ".join([*kept, "text string"]))
+    return rows.mapInArrow(_extract(shared_value(pages.sparkSession, model), source, "text"), ", ".join([*kept, "text string"]))
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

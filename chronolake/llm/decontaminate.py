@@ -3,27 +3,31 @@
 The test strings are windows of ten consecutive benchmark words.  A block is two neighbouring
 words (one where strings have one word).  For each block hash the shift table holds how far the
 search may move on; where it says 0 the block ends a test string, the suffix-hash bucket names
-the strings to try, and a comparison of the words' bytes confirms each occurrence.  All texts of
-a batch are searched side by side, each cut into stretches of start positions.
+the strings to try, and a comparison of the words' bytes confirms each occurrence.  A string that
+several items have is searched once.  All texts of a batch are searched side by side, each cut into
+stretches of start positions.
 
 Defined results: a null or empty text, or one of separators only, has no words, no hits and no
-items; benchmark rows without words are skipped; repeated items count once; an empty benchmark
+items; benchmark rows without words or without item_id are skipped; repeated items count once; an empty benchmark
 marks nothing; an empty table gives an empty result; further columns pass through unless they have
 the names of result columns, which are replaced.
 """
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table, text_buffers, written
+from .common import loaded, pieces, removed, shared_value, table, text_buffers, written
 from .wordscan import ALNUM, mixed64, words
 
 WINDOW = 10
-#: Words of benchmark text in one block of test strings; a block is what is broadcast at once.
-BLOCK_WORDS = 1_000_000
+#: Words of benchmark text in one block of test strings, and blocks that a pass over the documents searches;
+#: a block takes some 50 MB on its way.  More blocks take further passes.
+BLOCK_WORDS, BLOCKS = 1_000_000, 4
 STRETCH = 256
 _BITS = 20
 RESULT = "n_words long, spans array<struct<first:int,stop:int>>, items array<long>"
@@ -37,17 +41,28 @@ def _block_hash(h: np.ndarray, size: int) -> np.ndarray:
 
 
 class Strings:
-    """Test strings of one length with their shift table and suffix buckets."""
+    """Different test strings of one length with their items, their shift table and suffix buckets.
+
+    first: words that strings begin with; item: the item of each.
+    """
 
-    def __init__(self, length: int, first: np.ndarray, hashes: np.ndarray):
+    def __init__(self, length: int, first: np.ndarray, item: np.ndarray, hashes: np.ndarray):
         self.length, self.size = length, min(2, length)
+        key = np.zeros(len(first), np.uint64)
+        for k in range(length):
+            key = mixed64(key + hashes[first + k])
+        order = np.lexsort((item, key))
+        key, item = key[order], item[order]
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        self.items, self.item_at = item, np.append(new, len(item))
+        first = first[order[new]]
         blocks = _block_hash(hashes, self.size)
         self.shift = np.full(1 << _BITS, length - self.size + 1, np.uint8)
         for at in range(length - self.size + 1):  # later blocks have smaller shifts and overwrite
             self.shift[self.slot(blocks[first + at])] = length - self.size - at
         suffix = blocks[first + length - self.size]
         order = np.argsort(suffix, kind="stable")
-        self.suffix, self.first = suffix[order], first[order]
+        self.suffix, self.first, self.number = suffix[order], first[order], order
 
     @staticmethod
     def slot(block: np.ndarray) -> np.ndarray:
@@ -84,66 +99,69 @@ class Benchmark:
         offsets = np.append(begin, len(body))
         self.low, self.starts, self.stops, self.hashes, firsts = words(body, offsets, ALNUM)
         by_length: dict[int, list] = {}
-        self.item_of = np.repeat(np.array([i for i, _ in items], np.int64), np.diff(firsts))
+        item_of = np.repeat(np.array([i for i, _ in items], np.int64), np.diff(firsts))
         for a, b in zip(firsts[:-1], firsts[1:], strict=True):
             if b > a:
                 length = min(window, b - a)
                 by_length.setdefault(int(length), []).append(np.arange(a, b - length + 1))
-        self.strings = [Strings(k, np.concatenate(v), self.hashes) for k, v in sorted(by_length.items())]
+        self.strings = [Strings(k, at := np.concatenate(v), item_of[at], self.hashes) for k, v in sorted(by_length.items())]
 
     def word(self, k: int) -> bytes:
         return self.low[self.starts[k] : self.stops[k]].tobytes()
 
 
-def search(bench: Benchmark, body: np.ndarray, offsets: np.ndarray):
-    """Each text's first word, and the confirmed (window start, words, item) triples."""
+def search(blocks: list[Benchmark], body: np.ndarray, offsets: np.ndarray):
+    """Each text's first word, the (word, words) of confirmed occurrences, and different (text, item) pairs."""
     low, starts, stops, hashes, firsts = words(body, offsets, ALNUM)
-    found = []
-    for s in bench.strings:
+    spans, pairs = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+    for bench, s in ((b, s) for b in blocks for s in b.strings):
         begin, stop = firsts[:-1], firsts[1:] - s.length + 1
         some = stop > begin
         if not some.any():
             continue
-        blocks = _block_hash(hashes, s.size)
-        at = s.ends(blocks, begin[some], stop[some])
-        key = blocks[at + s.length - s.size]
+        block = _block_hash(hashes, s.size)
+        at = s.ends(block, begin[some], stop[some])
+        key = block[at + s.length - s.size]
         lo, hi = np.searchsorted(s.suffix, key, "left"), np.searchsorted(s.suffix, key, "right")
         n = hi - lo
         at = np.repeat(at, n)
-        test = s.first[np.arange(len(at)) - np.repeat(np.cumsum(n) - n - lo, n)]
+        test = np.arange(len(at)) - np.repeat(np.cumsum(n) - n - lo, n)
         for k in range(s.length):
-            same = hashes[at + k] == bench.hashes[test + k]
+            same = hashes[at + k] == bench.hashes[s.first[test] + k]
             at, test = at[same], test[same]
-        for a, t in zip(at.tolist(), test.tolist(), strict=True):
-            if all(low[starts[a + k] : stops[a + k]].tobytes() == bench.word(t + k) for k in range(s.length)):
-                found.append((a, s.length, int(bench.item_of[t])))
-    return firsts, np.array(found, np.int64).reshape(-1, 3)
+        sure = [all(low[starts[a + k] : stops[a + k]].tobytes() == bench.word(t + k) for k in range(s.length)) for a, t in zip(at.tolist(), s.first[test].tolist(), strict=True)]
+        at, test = at[sure], s.number[test[sure]]
+        spans.append(np.stack((at, np.full(len(at), s.length)), 1))
+        found = np.unique(np.stack((np.searchsorted(firsts, at, "right") - 1, test), 1), axis=0)
+        n = s.item_at[found[:, 1] + 1] - s.item_at[found[:, 1]]
+        item = s.items[np.arange(int(n.sum())) + np.repeat(s.item_at[found[:, 1]] - (np.cumsum(n) - n), n)]
+        pairs.append(np.stack((np.repeat(found[:, 0], n), item), 1))
+    return firsts, np.concatenate(spans), np.unique(np.concatenate(pairs), axis=0)
 
 
-def _scan(blocks, text: str):
-    """The search of one block as a function over record batches; earlier spans and items are kept."""
+def _scan(shared, text: str):
+    """The search of some blocks as a function over record batches; earlier spans and items are kept."""
 
     def run(batches):
         import pyarrow as pa
 
-        bench = blocks.value
+        blocks = [loaded(b) for b in shared]
         spans_type = pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())]))
         for whole in batches:
-            for batch in pieces(whole, text, 2 << 20):
+            for batch in pieces(whole, text):
                 names = batch.schema.names
-                firsts, found = search(bench, *text_buffers(batch.column(names.index(text))))
+                firsts, found, pairs = search(blocks, *text_buffers(batch.column(names.index(text))))
                 n = batch.num_rows
                 spans, items = [[] for _ in range(n)], [[] for _ in range(n)]
                 if "_spans" in names:
                     spans = [[(x["first"], x["stop"]) for x in v] for v in batch.column(names.index("_spans")).to_pylist()]
                     items = batch.column(names.index("_items")).to_pylist()
                 doc = np.searchsorted(firsts, found[:, 0], "right") - 1
-                touched = set()
-                for d, (at, length, item) in zip(doc.tolist(), found.tolist(), strict=True):
-                    touched.add(d)
+                for d, (at, length) in zip(doc.tolist(), found.tolist(), strict=True):
                     spans[d].append((at - int(firsts[d]), at - int(firsts[d]) + length))
+                for d, item in pairs.tolist():
                     items[d].append(item)
-                for d in touched:
+                for d in set(pairs[:, 0].tolist()):
                     joined: list = []
                     for a, b in sorted(spans[d]):
                         if joined and a <= joined[-1][1]:
@@ -162,12 +180,12 @@ def _scan(blocks, text: str):
 def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW):
     """Blocks of benchmark items, of BLOCK_WORDS words at most (one item at least), one at a time."""
     block, size = [], 0
-    for row in benchmark.where("text is not null").select("item_id", "text").toLocalIterator():
+    for row in benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text").toLocalIterator():
         n = len(row.text) // 2 + 1
         if block and size + n > BLOCK_WORDS:
             yield Benchmark(block, window)
             block, size = [], 0
-        block.append((row.item_id if row.item_id is not None else -1, row.text))
+        block.append((row.item_id, row.text))
         size += n
     yield Benchmark(block, window)
 
@@ -175,16 +193,20 @@ def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW):
 def _marked(docs: DataFrame, benchmark: DataFrame, window: int, text: str) -> DataFrame:
     """docs with _n_words, _spans and _items.
 
-    One block of test strings is searched at a time; with more than one, each pass writes its
-    result to the shared folder for the next.
+    BLOCKS blocks of test strings are searched at a time; with more, each pass writes its result to
+    the shared folder for the next, which is removed when that has read it.
     """
-    context, out = docs.sparkSession.sparkContext, docs
+    spark, out, before, blocks = docs.sparkSession, docs, None, benchmark_blocks(benchmark, window)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema]
     schema = ", ".join(fields + ["_n_words long", "_spans array<struct<first:int,stop:int>>", "_items array<long>"])
-    for k, bench in enumerate(benchmark_blocks(benchmark, window)):
+    k = 0
+    while some := [shared_value(spark, b) for b in islice(blocks, BLOCKS)]:
         if k:
-            out, _ = written(out, "decontaminate")
-        out = out.mapInArrow(_scan(context.broadcast(bench), text), schema)
+            out, path = written(out, "decontaminate")
+            if before:
+                removed(spark, before)
+            before = path
+        out, k = out.mapInArrow(_scan(some, text), schema), k + 1
     return out
 
 
@@ -211,7 +233,7 @@ SQL = {
     "op5_decontaminate": """
 WITH bench AS (
   SELECT DISTINCT item_id, regexp_extract_all(lower_ascii, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
-  FROM (SELECT item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii FROM benchmark)),
+  FROM (SELECT item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii FROM benchmark WHERE item_id IS NOT NULL)),
 windows AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS key
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM bench WHERE len(w) > 0)),

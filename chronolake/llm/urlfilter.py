@@ -3,12 +3,12 @@
 Two smoothed variable-order Markov models over characters, one of accepted and one of rejected
 URLs, use the longest context seen and blend its estimate with the next shorter one by the number
 of different characters seen after it.  A URL's score is the difference of the models'
-log-likelihoods per character; the threshold is calibrated on URLs kept out of the training so
-that a given share of the accepted ones passes.  By default the URLs that rules decide train
-the models.
+log-likelihoods per character.  The threshold is calibrated on URLs of both kinds kept out of the training:
+it lets a given share of the accepted ones pass, and where the same share of the rejected ones
+scores lower it lies half way between.  By default the URLs that rules decide train the models.
 
-Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and gets
-score 0; the score of an empty text is 0; a score at or above the threshold is allowed; with no
+Defined results: only URLs that no rule decides get a score, others null; a null URL, or one without
+``://``, has an empty host and path, fits no rule and, if null, gets score 0; the score of an empty text is 0; a score at or above the threshold is allowed; with no
 training URL of one kind the threshold is 0 and all scores are 0, so that all is allowed; an
 empty table gives an empty result; further columns pass through judged() unless they are named
 host, path, rule, verdict or score, which are replaced.
@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import loaded, shared_value, table
 
 #: (action, rule); a rule is a host and the beginning of a path.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -91,14 +91,17 @@ class Ratio:
     """Both models and the threshold of their length-normalised difference."""
 
     def __init__(self, accepted: list[str], rejected: list[str], share: float = PASS):
-        held = [u for k, u in enumerate(accepted) if k % 8 == 7]
-        accepted = [u for k, u in enumerate(accepted) if k % 8 != 7]
-        rejected = [u for k, u in enumerate(rejected) if k % 8 != 7]
+        held = [[u for k, u in enumerate(v) if k % 8 == 7] or v for v in (accepted, rejected)]
+        accepted, rejected = ([u for k, u in enumerate(v) if k % 8 != 7] for v in (accepted, rejected))
         self.usable, self.threshold = bool(accepted and rejected), 0.0
+        #: Shares of held-out accepted URLs that are rejected, and of rejected ones that are accepted.
+        self.errors = (0.0, 0.0)
         if self.usable:
             self.good, self.bad = MarkovModel(accepted), MarkovModel(rejected)
-            scores = sorted(self.score(u) for u in held or accepted)
-            self.threshold = min(0.0, scores[int((1 - share) * len(scores))])
+            good, bad = (sorted(self.score(u) for u in v) for v in held)
+            low, high = good[int((1 - share) * len(good))], bad[min(int(share * len(bad)), len(bad) - 1)]
+            self.threshold = (low + high) / 2 if high < low else low
+            self.errors = sum(s < self.threshold for s in good) / len(good), sum(s >= self.threshold for s in bad) / len(bad)
 
     def score(self, url: str | None) -> float:
         if not self.usable or not url:
@@ -120,21 +123,27 @@ def fitted(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> Ratio:
 def _scores(model):
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
+        ratio = loaded(model)
         for batch in batches:
             at = batch.schema.names.index("_url")
-            got = [model.value.score(u) for u in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([c for k, c in enumerate(batch.columns) if k != at] + [pa.array(got, pa.float64())], names=[n for n in batch.schema.names if n != "_url"] + ["score"])
+            kinds = batch.column(at).dictionary_encode()
+            score = pa.array([ratio.score(u) for u in kinds.dictionary.to_pylist()], pa.float64())
+            got = pc.fill_null(score.take(kinds.indices), 0.0)
+            decided = batch.column(batch.schema.names.index("verdict")).is_valid()
+            got = pc.if_else(decided, pa.scalar(None, pa.float64()), got)
+            yield pa.RecordBatch.from_arrays([c for k, c in enumerate(batch.columns) if k != at] + [got], names=[n for n in batch.schema.names if n != "_url"] + ["score"])
 
     return run
 
 
 def judged(pages: DataFrame, model: Ratio, rules=RULES) -> DataFrame:
-    """pages with host, path, rule, verdict and score."""
+    """pages with host, path, rule, verdict and score; the models judge what no rule decides."""
     rule, action = decided(rules)
-    rows = with_parts(pages.drop("rule", "verdict", "score")).withColumn("rule", rule).withColumn("verdict", action).withColumn("_url", F.col("url"))
+    rows = with_parts(pages.drop("rule", "verdict", "score")).withColumn("rule", rule).withColumn("verdict", action).withColumn("_url", F.when(F.col("verdict").isNull(), F.col("url")))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_url"]
-    out = rows.mapInArrow(_scores(pages.sparkSession.sparkContext.broadcast(model)), ", ".join([*kept, "score double"]))
+    out = rows.mapInArrow(_scores(shared_value(pages.sparkSession, model)), ", ".join([*kept, "score double"]))
     allowed = F.when(F.col("score") >= model.threshold, "allow").otherwise("block")
     return out.withColumn("verdict", F.coalesce("verdict", allowed))
 

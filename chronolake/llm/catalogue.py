@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import decontaminate, htmltext, maxent, mixing, neardup, quality, rules, tokenfile, toxicity, urlfilter
 
 
 def queries() -> dict:
     return {
-        "pipeline": corpus_pipeline.run,
         "op1_url_filter": urlfilter.op1_url_filter,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_quality_rules": rules.op3_quality_rules,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import pickle
 import sys
-import tempfile
 import types
 import uuid
 
@@ -13,6 +12,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_dir
+
 #: ASCII white space separates words; bytes.split() without argument splits at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that Python handles at once; the arrays made of them take some fifty bytes for each.
@@ -24,19 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="chronolake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

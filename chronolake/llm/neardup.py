@@ -2,27 +2,34 @@
 
 One hash per shingle fills the bins of a signature; empty bins borrow from a non-empty bin that a
 fixed random order of each bin selects.  Bands of bins make bucket keys.  In each bucket the
-smallest id is the hub, and only its star of edges is a candidate: as many pairs as members.
+smallest node is the hub, and only its star of edges is a candidate: as many pairs as members.
 Each star pair is compared on the full shingle sets, which gives the difference X of a member and
-its hub.  Two members u and v of one hub differ by |Xu ^ Xv| shingles, so the pairs the star left
-open are decided from the differences alone: a member not linked to its hub (a query) is compared
-with the hub's other members, in blocks, after bounds on shared differences have removed those
-that can reach none.  Exact copies are one node from the start.
+its hub; the members of a large hub are dealt to several tasks.  Exact copies are one node from
+the start, named by a 64-bit sum of their shingle hashes.
+
+The links of the stars make components.  Two members u and v of one hub differ by |Xu ^ Xv|
+shingles, so the pairs that the star left open are decided from the differences alone.  Only
+members outside the component of their hub (far ones) can add a link.  A far member u and a member v are
+linked only if Xu and Xv share so many shingles that the rarest few of each, by the number of members
+of the hub that have them, have one in common.  Those who meet nobody so drop out, and the rest is
+compared in blocks.  A hub whose members differ from it each in their own way, as pages of one
+template do, so costs no comparison.
 
 bands() picks the number of bins and bands so that a pair at the threshold misses all buckets
 with a probability below 1e-8.
 
 Defined results: a null text, or one without words, has an empty set, stays alone and is kept; a
-text with fewer words than a shingle has one shingle, the whole sequence; rows that repeat a
-doc_id and text are one node; a row without doc_id takes the smallest id that it is linked with
-and is kept only if there is none; an empty table gives an empty result; further columns are not
-read by classes() and pass through kept_rows().
+text with fewer words than a shingle has one shingle, the whole sequence; rows without doc_id take part like
+others, and a component's id is the smallest doc_id in it, null if no row has one; a row is kept
+if its doc_id equals that, so rows that repeat a doc_id are judged by their own texts; a doc_id that
+is no number is null; an empty table gives an empty result; further columns are not read by
+classes() and pass through kept_rows(), which keeps one row of each component and all rows without words.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pieces, removed, table, text_buffers, written
@@ -30,8 +37,8 @@ from .wordscan import NONSPACE, mixed64, words
 
 #: Bins of a signature, at most, and the miss probability allowed at the threshold.
 BINS, MISS = 256, 1e-8
-#: Members of a hub that are compared as one block.
-BLOCK = 128
+#: Members of a hub that are compared with it in one task, and members that are compared as one block.
+MEMBERS, BLOCK = 256, 128
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
 
@@ -82,6 +89,11 @@ def signature(sorted_set: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_prints(sorted_set: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two 64-bit sums that name a set."""
+    return mixed64(sorted_set).sum(dtype=np.uint64), mixed64(sorted_set ^ np.uint64(_ODD[1])).sum(dtype=np.uint64)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -94,14 +106,13 @@ def _prepare(size: int, rows: int, count: int):
         odd = np.array(_ODD[:rows], np.uint64)
         band = np.arange(count, dtype=np.uint64) * np.uint64(_ODD[7])
         for whole in batches:
-            for batch in pieces(whole, "text", 2 << 20):
+            for batch in pieces(whole, "text"):
                 sets = shingle_sets(*text_buffers(batch.column(1)), size)
                 n = np.array([len(s) for s in sets], np.int64)
-                prints = np.zeros((len(sets), 2), np.uint64)
+                prints = np.array([set_prints(s) for s in sets], np.uint64).reshape(-1, 2)
                 keys = np.zeros((len(sets), count), np.uint64)
                 for k, s in enumerate(sets):
                     if len(s):
-                        prints[k] = mixed64(s).sum(dtype=np.uint64), mixed64(s ^ np.uint64(_ODD[1])).sum(dtype=np.uint64)
                         keys[k] = mixed64((signature(s, order).reshape(count, rows) * odd).sum(1, dtype=np.uint64) + band)
                 keys = keys[n > 0]
                 ends = np.concatenate(([0], np.cumsum(n > 0) * count)).astype(np.int32)
@@ -139,52 +150,41 @@ def id_bitmap(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def _sets(size: int, bitmap):
-    """Sets of the rows whose doc_id may be in the bitmap."""
+def _sets(size: int, ids, prints):
+    """Sets, by node, of the rows whose doc_id and then whose print may be in the bitmaps; a task gives each node once."""
 
     def run(batches):
         import pyarrow as pa
 
-        bits = bitmap.value
+        id_bits, print_bits, given = ids.value, prints.value, set()
+        maybe = lambda v, bits: (lambda at, mask: (bits[at.astype(np.int64)] & mask) != 0)(*_bits(v, len(bits)))
         for whole in batches:
-            ids = np.array(whole.column(0).fill_null(0).cast(pa.int64()))
-            at, mask = _bits(ids, len(bits))
-            whole = whole.filter(pa.array((bits[at.astype(np.int64)] & mask) != 0))
-            for batch in pieces(whole, "text", 2 << 20):
-                sets = shingle_sets(*text_buffers(batch.column(1)), size)
-                ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(flat)))], names=["node", "shingles"])
+            null = np.array(whole.column(0).is_null())
+            whole = whole.filter(pa.array(null | maybe(np.array(whole.column(0).fill_null(0).cast(pa.int64())), id_bits)))
+            for batch in pieces(whole, "text"):
+                sets = [v for v in shingle_sets(*text_buffers(batch.column(1)), size) if len(v)]
+                nodes = _signed(np.array([set_prints(v)[0] for v in sets], np.uint64))
+                some = [k for k in np.flatnonzero(maybe(nodes, print_bits)).tolist() if nodes[k] not in given]
+                some = list({int(nodes[k]): k for k in some}.values())
+                given.update(nodes[some].tolist())
+                ends = np.concatenate(([0], np.cumsum([len(sets[k]) for k in some]))).astype(np.int32)
+                flat = np.concatenate([*(sets[k] for k in some), np.zeros(0, np.uint64)])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(flat)))], names=["node", "shingles"])
 
     return run
 
 
-def close_pairs(node, n, x, linked, query, data, percent: int) -> list[tuple[int, int]]:
+def close_pairs(node, n, size, x, component, query, data, percent: int) -> list[tuple[int, int]]:
     """Links between queries and data among members of one hub, enough to connect what is linked.
 
-    n: set sizes; x: differences from the hub; query, data: positions.  With d = |Xu ^ Xv| a pair
-    is linked where 100 (nu + nv - d) >= percent (nu + nv + d).
+    n: set sizes; size: of the differences from the hub; x: the part of each difference that other members
+    share; component: names of what is connected already; query, data: positions.  With
+    d = |Xu ^ Xv| a pair is linked where 100 (nu + nv - d) >= percent (nu + nv + d).
     """
-    sizes = np.array([len(v) for v in x], np.int64)
-    flat, owner = np.concatenate([*x, np.zeros(0, np.int64)]), np.repeat(np.arange(len(x)), sizes)
-    value, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = count[inverse] > 1  # the others are in one difference only
-    owner, inverse = owner[shared], inverse[shared]
-    common = np.bincount(owner, minlength=len(x))
-    # d >= |Xu| + |Xv| - 2 min(common): what a query needs, and the most that any partner offers
-    share = (100 - percent) / (100 + percent)
-    need, offer = sizes - share * n, 2 * common - sizes + share * n
-    ranked = np.sort(offer[data])[::-1]
-    second = ranked[1] if len(ranked) > 1 else -np.inf
-    best_other = np.where((offer[query] >= ranked[0]) & np.isin(query, data), second, ranked[0]) if len(ranked) else np.full(len(query), -np.inf)
-    query = query[need[query] <= best_other + 1e-6]
-    if not len(query):
-        return []
+    flat, owner = np.concatenate([*x, np.zeros(0, np.int64)]), np.repeat(np.arange(len(x)), [len(v) for v in x])
+    used, column = np.unique(flat, return_inverse=True)
     overlap = np.zeros((len(query), len(data)), np.float32)
-    rank = np.full(len(value), -1)
-    used = np.unique(inverse)
-    rank[used] = np.arange(len(used))
-    column, place_q, place_d = rank[inverse], np.full(len(x), -1), np.full(len(x), -1)
+    place_q, place_d = np.full(len(x), -1), np.full(len(x), -1)
     place_q[query], place_d[data] = np.arange(len(query)), np.arange(len(data))
     for lo in range(0, len(used), 4096):
         here = (column >= lo) & (column < lo + 4096)
@@ -194,9 +194,9 @@ def close_pairs(node, n, x, linked, query, data, percent: int) -> list[tuple[int
         a[place_q[o[q]], c[q]] = 1
         b[place_d[o[d]], c[d]] = 1
         overlap += a @ b.T
-    apart = sizes[query][:, None] + sizes[data][None, :] - 2 * overlap
+    apart = size[query][:, None] + size[data][None, :] - 2 * overlap
     both = n[query][:, None] + n[data][None, :]
-    near = (100 * (both - apart) >= percent * (both + apart)) & (node[query][:, None] != node[data][None, :])
+    near = (100 * (both - apart) >= percent * (both + apart)) & (component[query][:, None] != component[data][None, :])
     out, root = [], {}
 
     def find(k):
@@ -205,10 +205,8 @@ def close_pairs(node, n, x, linked, query, data, percent: int) -> list[tuple[int
             k = root[k]
         return k
 
-    for k in np.flatnonzero(linked):
-        root[find(int(k))] = find(-1)
     for i, j in zip(*np.nonzero(near), strict=True):
-        a, b = find(int(query[i])), find(int(data[j]))
+        a, b = find(int(component[query[i]])), find(int(component[data[j]]))
         if a != b:
             root[a] = b
             out.append((int(node[query[i]]), int(node[data[j]])))
@@ -221,13 +219,13 @@ def _open_pairs(percent: int):
     def links(rows):
         import pyarrow as pa
 
-        node, n = np.array(rows.column("node")), np.array(rows.column("n"))
         lists = rows.column("x").combine_chunks()
         flat, off = np.array(lists.flatten()), np.array(lists.offsets)
         off = off - off[0]
         x = [flat[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
         asks = np.array(rows.column("asks"))
-        got = close_pairs(node, n, x, np.array(rows.column("linked")), np.flatnonzero(asks), np.flatnonzero(~asks), percent)
+        node, n, size, component = (np.array(rows.column(c)) for c in ("node", "n", "size", "component"))
+        got = close_pairs(node, n, size, x, component, np.flatnonzero(asks), np.flatnonzero(~asks), percent)
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], names=["a", "b"])
 
     def run(batches):
@@ -285,61 +283,148 @@ def components(links: DataFrame) -> tuple[DataFrame, list[str]]:
     return label.select("node", F.col("to").alias("component")), paths
 
 
-def _overlap_links(stars: DataFrame, percent: int) -> DataFrame:
-    """Links among the members of each hub that the star of the hub does not give."""
-    size = stars.groupBy("hub").agg(F.count("*").alias("n_data"), F.count_if(~F.col("linked")).alias("n_asks")).where("n_data > 1 AND n_asks > 0")
-    rows = stars.join(size, "hub")
+def _overlap_links(members: DataFrame, stars: DataFrame, label: DataFrame, percent: int, keep) -> DataFrame:
+    """Links among the members of each bucket that the components of the stars' links do not give.
+
+    Only buckets whose members, the hub aside, lie in several components can have one.  With
+    s = (100 - percent) / (100 + percent), a link of u and v means |Xu & Xv| >=
+    (|Xu| - s nu + |Xv| - s nv) / 2.  For every v, |Xv| - s nv >= -s nh, and for a far u, which is not
+    linked to its hub, |Xu| - s nu > s nh.  So both halves give each side a least overlap above 0, and with the
+    shingles in one order the first ones of each, all but that overlap less one, have one in common.
+    """
+    share = F.lit((100 - percent) / (100 + percent))
+    named = members.join(label.select("node", F.col("component").alias("_own")), "node", "left").withColumn("_own", F.coalesce("_own", "node"))
+    open_ = named.groupBy("key").agg(F.min("_own").alias("_least"), F.max("_own").alias("_most")).where("_least < _most").select("key")
+    some = named.join(open_, "key", "left_semi").select("hub", "node", F.col("_own").alias("component")).distinct()
+    some = some.join(label.select(F.col("node").alias("hub"), F.col("component").alias("_hub")), "hub", "left")
+    some = some.withColumn("far", F.col("component") != F.coalesce("_hub", "hub")).drop("_hub")
+    far = some.groupBy("hub").agg(F.count_if("far").alias("_far"), F.count("*").alias("_n")).where("_far > 0 AND _n > 1").select("hub")
+    some = keep(some.join(far, "hub", "left_semi"), "near-open")
+    if some.isEmpty():
+        return some.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    rows = stars.join(some, ["hub", "node"]).select("hub", "node", F.col("n_node").alias("n"), "n_hub", F.size("x").alias("size"), "x", "component", "far")
+    rows = keep(rows, "near-open-rows")
+    each = rows.select("hub", "node", F.explode("x").alias("e"))
+    often = each.groupBy("hub", "e").agg(F.count("*").alias("often")).where("often > 1")
+    common = each.join(often, ["hub", "e"]).groupBy("hub", "node").agg(F.array_sort(F.collect_list(F.struct("often", "e"))).alias("common"))
+    least = (F.col("size") - share * F.col("n") + F.when(F.col("far"), -share * F.col("n_hub")).otherwise(share * F.col("n_hub"))) / 2
+    # a far member takes part as one of either kind, with the longer of its beginnings
+    first = F.col("size") - F.ceil(F.greatest(least - F.lit(1e-6), F.lit(0.0))).cast("int") + F.when(F.ceil(least - F.lit(1e-6)) > 0, 1).otherwise(0)
+    rows = rows.drop("x").join(common, ["hub", "node"]).withColumn("_k", first - (F.col("size") - F.size("common"))).where("_k > 0")
+    rows = keep(rows.withColumn("x", F.transform("common", lambda c: c["e"])).drop("common"), "near-common")
+    # who meets someone of another component by such a shingle
+    met = rows.select("hub", "node", "far", "component", F.explode(F.slice("x", F.lit(1), F.least("_k", F.size("x")))).alias("e"))
+    group = met.groupBy("hub", "e").agg(F.count_if("far").alias("_far"), F.min("component").alias("_least"), F.max("component").alias("_most")).where("_far > 0 AND _least < _most").select("hub", "e")
+    rows = rows.drop("_k").join(met.join(group, ["hub", "e"]).select("hub", "node").distinct(), ["hub", "node"])
+    size = rows.groupBy("hub").agg(F.count("*").alias("n_data"), F.count_if("far").alias("n_asks"))
+    rows = rows.join(size, "hub")
     n_i, n_j = F.ceil(F.col("n_asks") / BLOCK).cast("int"), F.ceil(F.col("n_data") / BLOCK).cast("int")
     spread = F.xxhash64("node")
     i, j = F.pmod(spread, n_i).cast("int"), F.pmod(spread, n_j).cast("int")
-    common = ["hub", "node", F.col("n_node").alias("n"), "x", "linked"]
-    asks = rows.where(~F.col("linked")).select(*common, F.lit(True).alias("asks"), i.alias("i"), F.explode(F.sequence(F.lit(0), n_j - 1)).alias("j"))
-    data = rows.select(*common, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), n_i - 1)).alias("i"), j.alias("j"))
+    fields = ["hub", "node", "n", F.col("size").cast("long").alias("size"), "x", "component"]
+    asks = rows.where("far").select(*fields, F.lit(True).alias("asks"), i.alias("i"), F.explode(F.sequence(F.lit(0), n_j - 1)).alias("j"))
+    data = rows.where("n_asks > 0").select(*fields, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), n_i - 1)).alias("i"), j.alias("j"))
     blocks = asks.unionByName(data).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    return blocks.mapInArrow(_open_pairs(percent), "a long, b long")
+    return blocks.mapInArrow(_open_pairs(percent), "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of documents (doc_id, text)."""
+def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, print1, print2, group (a component's node; null without words) and component_id of each row."""
     spark, used = docs.sparkSession, []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out, path = written(df, name)
+        used.append(path)
+        return out
+
     rows, count = bands(percent / 100)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prepared, _ = written(texts.mapInArrow(_prepare(size, rows, count), "doc_id long, n_shingles long, print1 long, print2 long, keys array<long>"), "near-prints")
-    nodes, path = written(prepared.where("n_shingles > 0").groupBy("print1", "print2").agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("keys").alias("keys")).where("node IS NOT NULL"), "near-nodes")
+    # were two sets to have one print1, that with the smaller print2 would be the node and the other stay alone
+    least = F.min(F.struct("print2", F.col("doc_id").isNull().alias("no_id"), "doc_id"))
+    nodes = prepared.where("n_shingles > 0").groupBy(F.col("print1").alias("node")).agg(least.alias("least"), F.min_by("keys", "print2").alias("keys"))
+    nodes = keep(nodes.select("node", F.col("least.print2").alias("print2"), F.col("least.doc_id").alias("least_id"), "keys"), "near-nodes")
     buckets = nodes.select("node", F.explode("keys").alias("key"))
     hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub < _last").select("key", "hub")
-    pairs, p = written(buckets.join(hubs, "key").where("node <> hub").select("hub", "node").distinct(), "near-stars")
-    used.append(p)
-    needed = pairs.select(F.col("hub").alias("doc_id")).union(pairs.select("node")).distinct()
-    bitmap = spark.sparkContext.broadcast(id_bitmap(needed, "doc_id"))
-    sets, p = written(texts.mapInArrow(_sets(size, bitmap), "node long, shingles array<long>"), "near-sets")
-    used.append(p)
-    own = pairs.join(sets, "node").select("hub", "node", F.col("shingles").alias("v"))
-    both = own.join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("h")), "hub")
+    members = keep(buckets.join(hubs, "key").where("node <> hub").select("key", "hub", "node"), "near-members")
+    pairs = keep(members.select("hub", "node").distinct(), "near-stars")
+    needed = keep(pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).distinct().join(nodes.select("node", "least_id"), "node"), "near-needed")
+    bitmaps = [spark.sparkContext.broadcast(id_bitmap(needed.select(F.coalesce(c, F.lit(0)).alias(c)), c)) for c in ("least_id", "node")]
+    sets = keep(texts.mapInArrow(_sets(size, *bitmaps), "node long, shingles array<long>"), "near-sets")
+    sets = sets.groupBy("node").agg(F.any_value("shingles").alias("shingles"))
+    # the members of a hub are dealt to as many tasks as it takes, and its set goes to each
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts")
+    own = dealt.join(sets, "node").select("hub", "part", "node", F.col("shingles").alias("v"))
+    of_hub = parts.join(sets, F.col("hub") == F.col("node")).select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("h"))
     x = F.concat(F.array_except("v", "h"), F.array_except("h", "v"))
-    stars = both.select("hub", "node", F.size("v").cast("long").alias("n_node"), F.size("h").cast("long").alias("n_hub"), x.alias("x"))
+    stars = own.join(of_hub, ["hub", "part"]).select("hub", "node", F.size("v").cast("long").alias("n_node"), F.size("h").cast("long").alias("n_hub"), x.alias("x"))
     total, apart = F.col("n_node") + F.col("n_hub"), F.size("x")
-    stars = stars.withColumn("linked", 100 * (total - apart) >= percent * (total + apart))
-    stars, p = written(stars, "near-links")
-    used.append(p)
-    links = stars.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    links, p = written(links.union(_overlap_links(stars, percent)), "near-all-links")
-    used.append(p)
-    label, paths = components(links)
-    named = nodes.select("print1", "print2", "node").join(label, "node", "left").select("print1", "print2", F.coalesce("component", "node").alias("component"))
+    stars = keep(stars.withColumn("linked", 100 * (total - apart) >= percent * (total + apart)), "near-links")
+    label, paths = components(stars.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    used += paths
+    more = keep(_overlap_links(members, stars, label, percent, keep), "near-more-links")
+    if not more.isEmpty():
+        at = [label.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in "ab"]
+        between = more.join(at[0], "a", "left").join(at[1], "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+        joined, paths = components(keep(between, "near-between"))
+        used += paths
+        every = label.select("node", "component").union(more.select("a", "a")).union(more.select("b", "b")).groupBy("node").agg(F.min_by("component", F.col("component") == F.col("node")).alias("component"))
+        onward = joined.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+        label = every.join(onward, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    linked = keep(label.join(nodes.select("node", "least_id"), "node"), "near-linked")
+    smallest = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    known = linked.select("node", "component").join(smallest, "component").select("node", F.col("component").alias("_group"), F.col("component_id").alias("_id"), F.lit(True).alias("_linked"))
+    named = nodes.select("node", "print2", "least_id").join(known, "node", "left")
+    named = named.select(F.col("node").alias("print1"), "print2", F.coalesce("_group", "node").alias("group"), F.when(F.col("_linked"), F.col("_id")).otherwise(F.col("least_id")).alias("component_id"), F.lit(True).alias("_named"))
     named, _ = written(named, "near-named")
-    removed(spark, *used, *paths, path)
-    out = prepared.select("doc_id", "n_shingles", "print1", "print2").join(named, ["print1", "print2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    removed(spark, *used)
+    out = prepared.drop("keys").join(named, ["print1", "print2"], "left")
+    group = F.when(F.col("n_shingles") > 0, F.coalesce("group", F.xxhash64("print1", "print2")))
+    own_id = F.when((F.col("n_shingles") > 0) & F.col("_named"), F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", "print1", "print2", group.alias("group"), own_id.alias("component_id"))
+
+
+def classes(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of documents (doc_id, text)."""
+    return _classes(docs, size, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _with_prints(size: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                sets = shingle_sets(*text_buffers(batch.column(batch.schema.names.index("text"))), size)
+                prints = np.array([set_prints(s) for s in sets], np.uint64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(_signed(prints[:, k].copy())) for k in (0, 1))], names=[*batch.schema.names, "_print1", "_print2"])
+
+    return run
 
 
 def kept_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of documents that stay: one of each class, the one with the smallest doc_id."""
-    stay = classes(docs, size, percent).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    rows = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    once: Column = F.when(F.col("doc_id").isNull(), F.col("text"))
-    return rows.withColumn("_null_text", once).dropDuplicates(["doc_id", "_null_text"]).select(*docs.columns)
+    """Rows of documents that stay: one of each class, with the smallest doc_id.
+
+    Rows with a doc_id of their own are found by it; the others, if there are any, by their sets.
+    """
+    every = _classes(docs, size, percent)
+    repeated = every.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_again"))
+    repeated, _ = written(repeated, "near-repeated")
+    stay = every.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    key = docs["doc_id"].cast("long")
+    if repeated.isEmpty():
+        return docs.join(stay.select(F.col("doc_id").alias("_kept")), key == F.col("_kept"), "left_semi").select(*docs.columns)
+    single = stay.join(repeated, F.col("doc_id") == F.col("_again"), "left_anti").select(F.col("doc_id").alias("_kept"))
+    out = docs.join(single, key == F.col("_kept"), "left_semi").select(*docs.columns)
+    rows = docs.withColumn("_key", key).join(repeated, F.col("_key").eqNullSafe(F.col("_again")), "left_semi")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "_print1 long", "_print2 long"])
+    rows = rows.mapInArrow(_with_prints(size), schema)
+    some = stay.where("n_shingles > 0").select(F.col("doc_id").alias("_id"), F.col("print1").alias("_p1"), F.col("print2").alias("_p2"), F.col("group").alias("_group")).distinct()
+    match = F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_print1") == F.col("_p1")) & (F.col("_print2") == F.col("_p2"))
+    once = rows.join(some, match).dropDuplicates(["_group"]).select(*docs.columns)
+    empty = rows.where("_print1 = 0 AND _print2 = 0").select(*docs.columns)
+    return out.unionByName(once).unionByName(empty)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table, text_buffers
+from .common import loaded, pieces, shared_value, table, text_buffers
 from .docstats import COUNTS, SHARES, held_out, labelled_sample, measured, statistics
 
 #: Labelled documents of each class, at most, that the model is fitted to.
@@ -100,10 +100,11 @@ def _score(model, text: str, keep_text: bool, name: str):
     def run(batches):
         import pyarrow as pa
 
+        known = loaded(model)
         for whole in batches:
-            for batch in pieces(whole, text, 2 << 20):
+            for batch in pieces(whole, text):
                 names = batch.schema.names
-                got = model.value.score(transformed(statistics(*text_buffers(batch.column(names.index(text))))))
+                got = known.score(transformed(statistics(*text_buffers(batch.column(names.index(text))))))
                 keep = [k for k, c in enumerate(names) if keep_text or c != text]
                 yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [pa.array(got)], names=[names[k] for k in keep] + [name])
 
@@ -114,7 +115,7 @@ def scored(docs: DataFrame, model: Discriminant, text: str = "text", keep_text:
     """docs with a score column, from 0 to 1, higher where label 1 is likelier."""
     docs = docs.drop(name)
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep_text or f.name != text]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shared_value(docs.sparkSession, model)
     return docs.mapInArrow(_score(shared, text, keep_text, name), ", ".join([*kept, f"{name} double"]))
 
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table, text_buffers
+from .common import loaded, pieces, shared_value, table, text_buffers
 from .docstats import held_out, labelled_sample
 from .wordscan import ALNUM, Hashed, words
 
@@ -94,7 +94,7 @@ def _feature_documents(batches):
     import pyarrow as pa
 
     for whole in batches:
-        for batch in pieces(whole, "text", 2 << 20):
+        for batch in pieces(whole, "text"):
             y = np.array(batch.column(1)).astype(np.int64)
             number, text, _, _, word, h = sentences(*text_buffers(batch.column(0)))
             kinds, feature = np.unique(h, return_inverse=True)
@@ -121,7 +121,7 @@ def _instances(vocabulary: np.ndarray):
         import pyarrow as pa
 
         for whole in batches:
-            for batch in pieces(whole, "text", 2 << 20):
+            for batch in pieces(whole, "text"):
                 n = batch.num_rows
                 number, text, _, _, word, h = sentences(*text_buffers(batch.column(0)))
                 at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
@@ -185,16 +185,17 @@ def _locate(model, text: str, whole_rows: bool, least: float):
     def run(batches):
         import pyarrow as pa
 
+        known = loaded(model)
         for whole in batches:
-            for batch in pieces(whole, text, 2 << 20):
+            for batch in pieces(whole, text):
                 names = batch.schema.names
                 body, offsets = text_buffers(batch.column(names.index(text)))
                 keep = [k for k, c in enumerate(names) if whole_rows or c != text]
                 arrays, out = [batch.column(k) for k in keep], [names[k] for k in keep]
-                arrays.append(pa.array(model.value.score(body, offsets)))
+                arrays.append(pa.array(known.score(body, offsets)))
                 out.append("score")
                 if whole_rows:
-                    p, owner, start, stop = model.value.chances(body, offsets)
+                    p, owner, start, stop = known.chances(body, offsets)
                     point = np.concatenate(([0], np.cumsum((body & 0xC0) != 0x80)))
                     spans = [[] for _ in range(batch.num_rows)]
                     for k in np.flatnonzero(p >= least):
@@ -213,7 +214,7 @@ def located(docs: DataFrame, model: NoisyOr, text: str = "text", least: float =
     docs = docs.drop("score", "offending")
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if whole_rows or f.name != text]
     more = ["score double"] + ["offending array<struct<first:long,stop:long,score:double>>"] * whole_rows
-    bound = docs.sparkSession.sparkContext.broadcast(model)
+    bound = shared_value(docs.sparkSession, model)
     return docs.mapInArrow(_locate(bound, text, whole_rows, least), ", ".join(kept + more))
 
 

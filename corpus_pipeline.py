@@ -9,10 +9,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chronolake.llm import decontaminate, mixing, neardup, quality, tokenfile
-from chronolake.llm.common import table, written
+from chronolake.llm.common import removed, table, written
 from chronolake.llm.docstats import held_out
 
 #: Documents with a quality score below this are rejected.
@@ -57,8 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from the table documents on."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages, from the table documents on; a stage's table is removed when the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs, path = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        removed(spark, *before)
+        before = [path]
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    removed(spark, *before)  # the token file holds what it takes
+    return out

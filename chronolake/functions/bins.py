@@ -26,6 +26,12 @@ def point_step(zero: Column, at: Column, length: int) -> Column:
     return _div(elapsed(zero, at) - F.pmod(elapsed(zero, at), F.lit(length).cast("long")), F.lit(length).cast("long")).cast("int")
 
 
+def stretch(at: Column, width: int) -> Column:
+    """Number of the stretch of time of the given width that a time lies in, counted from 1970."""
+    since = elapsed(F.lit("1970-01-01").cast("timestamp_ntz"), at)
+    return _div(since - F.pmod(since, F.lit(width).cast("long")), F.lit(width).cast("long"))
+
+
 def closed_step(distance: Column, length: float) -> Column:
     """Step of right-closed intervals (start, end], with distance 0 in step 0."""
     return F.greatest(F.lit(0), F.ceil(distance / F.lit(float(length))).cast("int") - 1)

@@ -1,9 +1,11 @@
 """The binning operator: events of each observation in its own fixed intervals.
 
 Steps come from integer arithmetic on the distance to the observation's time zero, so that the join
-of bins and events is an equality join on the person alone, and events are aggregated before
-anything is made dense.  Events match by person; an observation's end never clips its bins unless
-clip_to_end is set.
+of bins and events is an equality join, and events are aggregated before anything is made dense.
+Point events join on the person and a coarse stretch of time as long as all bins of an
+observation, which touches two of them at most; so a person with many observations meets an event
+at most with those around it.  Spans, which may be long, join on the person alone.  An
+observation's end never clips its bins unless clip_to_end is set.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bins import aggregated, as_time, covered_steps, elapsed, point_step
+from ..functions.bins import aggregated, as_time, covered_steps, elapsed, point_step, stretch
 
 KEYS = ["obs_id", "person_id", "concept"]
 
@@ -38,7 +40,13 @@ def binned(
     """
     base = obs.select("obs_id", "person_id", as_time("start_date").alias("_zero"), as_time("end_date").alias("_stop"))
     rows = events.withColumn("_at", as_time("at"))
-    rows = rows.where(F.col("concept").isNotNull()).join(base, "person_id")
+    rows = rows.where(F.col("concept").isNotNull())
+    if span:
+        rows = rows.join(base, "person_id")
+    else:
+        here = stretch(F.col("_zero"), length * count)
+        base = base.withColumn("_stretch", F.explode(F.array(here, here + 1)))
+        rows = rows.withColumn("_stretch", stretch(F.col("_at"), length * count)).join(base, ["person_id", "_stretch"])
     if clip_to_end:
         rows = rows.where(F.col("_at") <= F.col("_stop"))
     if span:

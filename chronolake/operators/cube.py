@@ -14,9 +14,15 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_dir
+
 AXES = ("obs", "var", "tem")
 INDEX = {"obs": "obs_idx", "var": "var_idx", "tem": "t_idx"}
 NAME = {"obs": "obs_name", "var": "var_name", "tem": "tem_name"}
+#: Numbers that an expression may hold as one literal array.
+LITERALS = 1000
+#: Variables and time steps, at most, whose cells of one observation are laid out as arrays.
+ARRAYS = 1000
 
 
 @dataclass(frozen=True)
@@ -37,28 +43,28 @@ def with_ordinals(df: DataFrame, index: str, order: Sequence[Column] | None = No
     spark = df.sparkSession
     ranged = (df.orderBy(*order) if order else df).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
     ranged = pinned(ranged)
-    sizes = ranged.groupBy("_part").count().orderBy("_part").collect()  # a row per partition
-    offsets, total = {}, 0
-    for row in sizes:
-        offsets[row["_part"]] = total - (row["_part"] << 33)
-        total += row["count"]
+    sizes = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}  # a row per partition
+    offsets, total = [], 0
+    for part in range(max(sizes, default=-1) + 1):
+        offsets.append(total - (part << 33))
+        total += sizes.get(part, 0)
     if not offsets:
         return ranged.withColumn(index, F.lit(0)).drop("_part", "_at")
-    shift = F.create_map(*[x for k, v in offsets.items() for x in (F.lit(k), F.lit(v))])
-    return ranged.withColumn(index, (F.col("_at") + F.element_at(shift, F.col("_part"))).cast("int")).drop("_part", "_at")
+    if len(offsets) <= LITERALS:
+        return ranged.withColumn(index, (F.col("_at") + F.get(F.lit(offsets), F.col("_part"))).cast("int")).drop("_part", "_at")
+    shift = spark.createDataFrame(list(enumerate(offsets)), "_part int, _shift long")
+    return ranged.join(F.broadcast(shift), "_part").withColumn(index, (F.col("_at") + F.col("_shift")).cast("int")).drop("_part", "_at", "_shift")
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """df with its row order fixed: checkpointed where a checkpoint folder is set, else persisted.
+    """df with its row order fixed by a checkpoint in the shared folder, which survives lost executors.
 
     A frame that comes out of a shuffle may be computed in another order the next time.
     """
-    spark = df.sparkSession
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(folder)
-        return df.checkpoint()
-    return df.persist()
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
 
 
 def ranked(df: DataFrame, index: str) -> DataFrame:
@@ -146,20 +152,22 @@ class Cube:
 
     def _pick(self, axis: str, key: Any) -> Cube:
         frame, index, size = getattr(self, axis), INDEX[axis], {"obs": self.n_obs, "var": self.n_vars, "tem": self.n_t}[axis]
-        chosen = listed(key, frame, index, NAME[axis], size)
+        chosen = positions(key, frame, index, NAME[axis], size)
         if chosen is None:
-            kept = ranked(frame.where(condition(key, index, NAME[axis], size)), index)
+            kept = ranked(frame.where(key if isinstance(key, Column) else F.col(NAME[axis]) == key), index)
             moved = kept.select(F.col("_old").alias(index), F.col(index).alias("_new"))
             kept, n = kept.drop("_old"), kept.count()
-        else:  # a list sets the order, and may repeat positions
-            moved = frame.sparkSession.createDataFrame([(old, new) for new, old in enumerate(chosen)], f"{index} int, _new int")
-            kept, n = _moved(frame, moved, index), len(chosen)
-        layers = {k: replace(v, cells=_moved(v.cells, moved, index)) if axis != "tem" or v.ndim == 3 else v for k, v in self.layers.items()}
+            move = lambda df, column=index: _moved(df, moved, index, column)
+        else:
+            n = len(chosen)
+            move = lambda df, column=index: _renumbered(df, column, chosen, size)
+            kept = move(frame)
+        layers = {k: replace(v, cells=move(v.cells)) if axis != "tem" or v.ndim == 3 else v for k, v in self.layers.items()}
         sizes = {"obs": {"n_obs": n}, "var": {"n_vars": n}, "tem": {"n_t": n}}[axis]
         more = {}
         if axis in ("obs", "var"):
-            more[f"{axis}m"] = {k: _moved(v, moved, index) for k, v in getattr(self, f"{axis}m").items()}
-            more[f"{axis}p"] = {k: _moved(_moved(v, moved, index, "i"), moved, index, "j") for k, v in getattr(self, f"{axis}p").items()}
+            more[f"{axis}m"] = {k: move(v) for k, v in getattr(self, f"{axis}m").items()}
+            more[f"{axis}p"] = {k: move(move(v, "i"), "j") for k, v in getattr(self, f"{axis}p").items()}
         return replace(self, **{axis: kept}, layers=layers, **sizes, **more)
 
     def reduce_time(self, name: str, how: str = "max", skipna: bool = True, to: str | None = None) -> Cube:
@@ -172,13 +180,35 @@ class Cube:
         cells = (cells if skipna else cells.where(F.col("_n") == self.n_t)).drop("_n")
         return self.with_layer(to or f"{name}_{how}", cells, ndim=2)
 
+    def rows(self, name: str) -> DataFrame:
+        """obs_idx and rows of every observation: an array over variables, of arrays over time in a deep layer.
+
+        Cells are gathered by observation in one shuffle and laid out row by row; missing ones are null.
+        """
+        layer = self.layers[name]
+        kind = dict(layer.cells.dtypes)["value"]
+        lay = lambda entries, n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.try_element_at(F.map_from_entries(entries), k))
+        cells, value = layer.cells.repartition("obs_idx"), "value"
+        if layer.ndim == 3:
+            cells = cells.groupBy("obs_idx", "var_idx").agg(lay(F.collect_list(F.struct("t_idx", "value")), self.n_t).alias("value"))
+            kind = f"array<{kind}>"
+        cells = cells.groupBy("obs_idx").agg(lay(F.collect_list(F.struct("var_idx", value)), self.n_vars).alias("rows"))
+        none = F.lit(None) if layer.ndim == 2 else F.array_repeat(F.lit(None).cast(kind[6:-1]), self.n_t)
+        rows = F.coalesce("rows", F.array_repeat(F.lit(None).cast(kind), self.n_vars))
+        return self.obs.select("obs_idx").join(cells, "obs_idx", "left").select("obs_idx", F.transform(rows, lambda v: F.coalesce(v, none.cast(kind))).alias("rows"))
+
     def dense(self, name: str) -> DataFrame:
         """All cells of a layer, missing ones included."""
         layer = self.layers[name]
-        cells = self.obs.select("obs_idx").crossJoin(self.var.select("var_idx"))
-        if layer.ndim == 3:
-            cells = cells.withColumn("t_idx", F.explode(F.sequence(F.lit(0), F.lit(self.n_t - 1))))
-        out = cells.join(layer.cells, cells.columns, "left")
+        if 0 < self.n_vars <= ARRAYS and self.n_t <= ARRAYS:
+            out = self.rows(name).select("obs_idx", F.posexplode("rows").alias("var_idx", "value"))
+            if layer.ndim == 3:
+                out = out.select("obs_idx", "var_idx", F.posexplode("value").alias("t_idx", "value"))
+        else:
+            cells = self.obs.select("obs_idx").crossJoin(self.var.select("var_idx"))
+            if layer.ndim == 3:
+                cells = cells.withColumn("t_idx", F.explode(F.sequence(F.lit(0), F.lit(self.n_t - 1))))
+            out = cells.join(layer.cells, cells.columns, "left")
         return out if layer.fill is None else out.withColumn("value", F.coalesce("value", F.lit(layer.fill)))
 
     def __repr__(self) -> str:
@@ -209,45 +239,70 @@ def _moved(cells: DataFrame, moved: DataFrame, index: str, column: str | None =
     return cells.join(new, column).drop(column).withColumnRenamed("_new", column).select(*cells.columns)
 
 
-def condition(key: Any, index: str, name: str, size: int) -> Column:
-    """The rows of an axis frame that a key selects; an integer on any axis keeps the axis."""
-    at = F.col(index)
-    if isinstance(key, Column):
-        return key
-    if isinstance(key, slice):
-        numbers = range(*key.indices(size)) if not isinstance(key.start, str) else None
-        if numbers is None:
-            raise IndexError("slices of labels are not supported")
-        step = numbers.step
-        if step < 0:
-            raise IndexError("slices run forward")
-        return at.between(numbers.start, numbers.stop - 1) & ((at - numbers.start) % step == 0)
+def _renumbered(df: DataFrame, column: str, chosen: range | list[int], size: int) -> DataFrame:
+    """Rows at the chosen positions, with their places among them; a position may be chosen again.
+
+    A range is arithmetic on the position, and a choice on a short axis one literal array; only
+    a list on a long axis is joined, and that is as long as what the caller holds.
+    """
+    at, columns = F.col(column), df.columns
+    if isinstance(chosen, range):
+        step, inside = chosen.step, sorted((chosen.start, chosen[-1])) if len(chosen) else (1, 0)
+        kept = df.where(at.between(*inside) & ((at - chosen.start) % step == 0))
+        return kept.withColumn(column, F.call_function("div", at - chosen.start, F.lit(step)).cast("int"))
+    if size > LITERALS or not size:
+        moved = df.sparkSession.createDataFrame([(old, new) for new, old in enumerate(chosen)], "_at int, _new int")
+        return df.join(F.broadcast(moved) if len(chosen) <= 1_000_000 else moved, at == F.col("_at")).drop(column, "_at").withColumnRenamed("_new", column).select(*columns)
+    places: list[list[int]] = [[] for _ in range(size)]
+    for new, old in enumerate(chosen):
+        places[old].append(new)
+    if max(map(len, places)) <= 1:
+        new = F.get(F.lit([v[0] if v else None for v in places]).cast("array<int>"), at) if any(places) else F.lit(None).cast("int")
+        return df.withColumn(column, new).where(at.isNotNull())
+    every = F.get(F.array(*[F.lit(v).cast("array<int>") if v else F.array().cast("array<int>") for v in places]), at)
+    return df.withColumn("_new", F.explode(every)).drop(column).withColumnRenamed("_new", column).select(*columns)
+
+
+def positions(key: Any, frame: DataFrame, index: str, name: str, size: int) -> range | list[int] | None:
+    """The positions that a key names, in its order; None for conditions and single labels.
+
+    Integers keep their axis.  Slices of labels include both ends.  Arrays and series of numpy and
+    pandas are taken like lists: of flags, one for each row, of labels, or of positions.
+    """
+    if isinstance(key, Column | str):
+        return None
+    key = key.tolist() if hasattr(key, "tolist") else key
     if isinstance(key, bool):
         raise IndexError("a mask must have an entry per row")
+    if isinstance(key, slice):
+        ends = [k.item() if hasattr(k, "item") else k for k in (key.start, key.stop)]
+        labels = [k for k in ends if isinstance(k, str)]
+        place = _places(frame, index, name, labels) if labels else {}
+        first, last = ends
+        first = place[first] if isinstance(first, str) else first
+        last = place[last] + 1 if isinstance(last, str) else last
+        return range(*slice(first, last, key.step).indices(size))
     if isinstance(key, int):
         if not -size <= key < size:
             raise IndexError(f"position {key} is outside an axis of {size}")
-        return at == key % size
-    if isinstance(key, str):
-        return F.col(name) == key
-    key = list(key)
-    if len(key) != size:
-        raise IndexError("a mask must have an entry per row")
-    return at.isin([k for k, yes in enumerate(key) if yes])
-
-
-def listed(key: Any, frame: DataFrame, index: str, name: str, size: int) -> list[int] | None:
-    """The positions that a list of positions or labels names, in its order; None for other keys."""
-    if isinstance(key, Column | slice | bool | int | str):
-        return None
-    key = list(key)
+        return range(key % size, key % size + 1)
+    key = [k.item() if hasattr(k, "item") else k for k in key]
     if key and all(isinstance(k, bool) for k in key):
-        return None
-    if all(isinstance(k, str) for k in key):
-        place = {r[1]: r[0] for r in frame.where(F.col(name).isin(key)).select(index, name).collect()}
-        if missing := [k for k in key if k not in place]:
-            raise KeyError(missing[0])
+        if len(key) != size:
+            raise IndexError("a mask must have an entry per row")
+        return [k for k, yes in enumerate(key) if yes]
+    if key and all(isinstance(k, str) for k in key):
+        place = _places(frame, index, name, key)
         return [place[k] for k in key]
-    if any(not -size <= int(k) < size for k in key):
+    if any(isinstance(k, bool | str) or int(k) != k for k in key):
+        raise IndexError("a list must hold flags, labels or positions")
+    if any(not -size <= k < size for k in key):
         raise IndexError(f"a position is outside an axis of {size}")
     return [int(k) % size for k in key]
+
+
+def _places(frame: DataFrame, index: str, name: str, labels: list[str]) -> dict[str, int]:
+    place = {r[1]: r[0] for r in frame.where(F.col(name).isin(labels)).select(index, name).collect()}
+    if missing := [k for k in labels if k not in place]:
+        raise KeyError(missing[0])
+    return place

@@ -18,18 +18,18 @@ def mortality(rows: DataFrame, start: str, end: str, death: str = "death_datetim
 
 
 def packed(cube: Cube, layer: str = "X") -> DataFrame:
-    """obs_idx and features: for each variable an array over time, NaN where missing."""
-    row = F.array_sort(F.collect_list(F.struct("t_idx", F.coalesce(F.col("value").cast("double"), F.lit(float("nan"))).alias("v"))))
-    lines = cube.dense(layer).groupBy("obs_idx", "var_idx").agg(F.transform(row, lambda x: x["v"]).alias("line"))
-    lines = lines.groupBy("obs_idx").agg(F.array_sort(F.collect_list(F.struct("var_idx", "line"))).alias("rows"))
-    return lines.select("obs_idx", F.transform("rows", lambda x: x["line"]).alias("features"))
+    """obs_idx and features: for each variable an array over time, NaN where missing; of a flat layer, one of one step."""
+    fill = cube.layers[layer].fill
+    number = lambda x: F.coalesce(x.cast("double"), F.lit(float("nan") if fill is None else float(fill)))
+    line = (lambda v: F.transform(v, number)) if cube.layers[layer].ndim == 3 else (lambda v: F.array(number(v)))
+    return cube.rows(layer).select("obs_idx", F.transform("rows", line).alias("features"))
 
 
 def labelled_tensors(cube: Cube, catalog: Catalog, layer: str = "X", target: str = "mortality") -> DataFrame:
     """obs_idx, features and label; the only target is mortality within the observation."""
     if target != "mortality":
         raise NotImplementedError("the only target is mortality")
-    spec = TIME_TABLES[cube.uns["omop_io_observation_table"]]
+    spec = TIME_TABLES[cube.uns["observation_table"]]
     start, end = spec.start_datetime or spec.start_date, spec.end_datetime or spec.end_date
     obs = cube.obs.select("obs_idx", "person_id", F.col(start).cast("timestamp_ntz").alias("_a"), (F.col(end) if end else F.lit("2999-12-31 23:59:59")).cast("timestamp_ntz").alias("_b"))
     deaths = catalog["death"].groupBy("person_id").agg(F.max("death_datetime").cast("timestamp_ntz").alias("death_datetime"))

@@ -13,7 +13,7 @@ from ..functions import checks
 from ..functions.spec import EVENT_TABLES, OPEN_END, TIME_TABLES, EventTable, microseconds
 from ..sources.catalog import Catalog
 from .binning import binned, dense
-from .cube import Cube, Layer, default_tem, with_ordinals
+from .cube import Cube, Layer, default_tem, pinned, with_ordinals
 
 log = logging.getLogger(__name__)
 PERIOD = ["obs_id", "person_id", "start_date", "end_date"]
@@ -38,6 +38,12 @@ def observation_rows(catalog: Catalog, observation_table: str, death_table: bool
     return rows, key
 
 
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row of each key in the given order, which leaves no ties; summed up before it is shuffled."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")).select(*keys, "_first.*").select(*df.columns)
+
+
 def setup_obs(catalog: Catalog, observation_table: str, *, death_table: bool = False) -> Cube:
     """A cube whose observations are persons, cohort entries, observation periods or visits."""
     checks.check_observation_table(observation_table)
@@ -46,12 +52,12 @@ def setup_obs(catalog: Catalog, observation_table: str, *, death_table: bool = F
     obs = with_ordinals(rows, "obs_idx", [F.col(key)]).withColumn("obs_name", F.col("obs_idx").cast("string"))
     spark = catalog.spark
     var = spark.createDataFrame([], "var_idx int, var_name string")
-    return Cube.build(obs, var, default_tem(spark, 1), n_t=1, uns={"omop_io_observation_table": observation_table})
+    return Cube.build(obs, var, default_tem(spark, 1), n_t=1, uns={"observation_table": observation_table})
 
 
 def periods(cube: Cube, precision: str) -> DataFrame:
     """obs_id (the ordinal), person_id, start_date and end_date of a cube's observations."""
-    table = cube.uns["omop_io_observation_table"]
+    table = cube.uns["observation_table"]
     spec = TIME_TABLES[table]
     exact = precision == "datetime" and spec.start_datetime
     if precision == "datetime" and not spec.start_datetime:
@@ -101,7 +107,16 @@ def remapped(concepts: DataFrame, catalog: Catalog) -> DataFrame:
 
 def unit_report(events: DataFrame, spec: EventTable) -> DataFrame:
     """concept_id, unit_concept_id, no_units, multiple_units: a row per concept and unit; no unit counts as one."""
-    pairs = events.where(F.col(spec.concept).isNotNull()).select(F.col(spec.concept).alias("concept_id"), "unit_concept_id").distinct()
+    return _report(_pairs(events, spec))
+
+
+def _pairs(events: DataFrame, spec: EventTable) -> DataFrame:
+    """The concepts of a table with each unit they come in; null where the table has no units."""
+    unit = F.col("unit_concept_id") if "unit_concept_id" in events.columns else F.lit(None).cast("int").alias("unit_concept_id")
+    return events.where(F.col(spec.concept).isNotNull()).select(F.col(spec.concept).alias("concept_id"), unit).distinct()
+
+
+def _report(pairs: DataFrame) -> DataFrame:
     each = pairs.groupBy("concept_id").agg(F.count("*").alias("_n"))
     return pairs.join(each, "concept_id").select("concept_id", "unit_concept_id", F.lit(False).alias("no_units"), (F.col("_n") > 1).alias("multiple_units"))
 
@@ -128,7 +143,7 @@ def enriched(var: DataFrame, catalog: Catalog, report: DataFrame | None, feature
 
 def _setup(cube: Cube, catalog: Catalog, *, layer, data_tables, data_field_to_keep, interval_length_number, interval_length_unit, num_intervals, concept_ids, aggregation_strategy, enrich_features, enrich_units, keep_date, time_precision, instantiate_tensor, clip_to_end, spans: bool) -> Cube:
     if not isinstance(cube, Cube):
-        raise TypeError("Expected edata to be of type Cube.")
+        raise TypeError("Expected cube to be of type Cube.")
     tables = checks.check_data_tables(data_tables, spans)
     fields = checks.check_fields(data_field_to_keep, tables)
     checks.check_intervals(interval_length_number, interval_length_unit, num_intervals)
@@ -138,25 +153,29 @@ def _setup(cube: Cube, catalog: Catalog, *, layer, data_tables, data_field_to_ke
     checks.check_flag(enrich_units, "enrich_var_with_unit_info")
     checks.check_choice(keep_date, "keep_date", ["start", "end", "interval"])
     checks.check_choice(time_precision, "time_precision", ["date", "datetime"])
-    if "omop_io_observation_table" not in cube.uns:
+    if "observation_table" not in cube.uns:
         raise ValueError("setup_obs must be called before variables are set up.")
     checks.warn_on_precision(interval_length_unit, time_precision)
-    if cube.uns["omop_io_observation_table"] == "person" and not cube.obs.where("birth_datetime IS NULL").isEmpty():
+    if cube.uns["observation_table"] == "person" and not cube.obs.where("birth_datetime IS NULL").isEmpty():
         raise ValueError("observations are persons, but some have no birth_datetime")
     length = microseconds(interval_length_number, interval_length_unit)
     parts, layers, uns = [], [], dict(cube.uns)
     for position, name in enumerate(tables):
-        if name not in catalog or catalog[name].isEmpty():
+        # one scan gives the concepts and their units, a row for each of them
+        pairs = pinned(_pairs(catalog[name], EVENT_TABLES[name])) if name in catalog else None
+        if pairs is None or pairs.isEmpty():
             log.warning("No data in %s.", name)
             continue
         events, spec = catalog[name], EVENT_TABLES[name]
-        cells, concepts = long_table(cube, events, spec, fields[name], length=length, count=num_intervals, strategy=aggregation_strategy, precision=time_precision, side=keep_date, concepts=concept_ids, units=not spans, clip=clip_to_end)
-        report = unit_report(events, spec) if not spans and "unit_concept_id" in events.columns else None
+        concepts = pairs.select(F.col("concept_id").alias("concept")).distinct()
+        concepts = concepts if concept_ids == "all" else concepts.where(F.col("concept").isin(list(concept_ids)))
+        cells, _ = long_table(cube, events, spec, fields[name], length=length, count=num_intervals, strategy=aggregation_strategy, precision=time_precision, side=keep_date, concepts=concept_ids, units=not spans, clip=clip_to_end)
+        report = _report(pairs) if not spans and "unit_concept_id" in events.columns else None
         if report is not None:
             uns[f"unit_report_{name}"] = report
             if many := report.where("multiple_units").select("concept_id").distinct().limit(20).collect():
                 log.warning("Features with several units in %s: %s", name, [r[0] for r in many])
-        uns[f"long_person_timestamp_feature_value_{name}"] = dense(periods(cube, time_precision), concepts, cells, length=length, count=num_intervals, strategy=aggregation_strategy, fields=fields[name])
+        uns[f"bins_of_{name}"] = dense(periods(cube, time_precision), concepts, cells, length=length, count=num_intervals, strategy=aggregation_strategy, fields=fields[name])
         var = concepts.select(F.col("concept").alias("data_table_concept_id")).withColumn("_table", F.lit(position))
         parts.append(enriched(var, catalog, report, enrich_features, enrich_units))
         layers.append((position, cells.select("obs_id", "concept", "interval_step", F.col(fields[name][0]).alias("value"))))

@@ -45,10 +45,14 @@ def infer_feature_types(cube: Cube, *, layer: str | None = None, binary_as: str
     return replace(cube, var=var)
 
 
+def categories(cube: Cube, layer: str = "X") -> DataFrame:
+    """var_idx and the number of different values of each variable."""
+    return cube.layers[layer].cells.groupBy("var_idx").agg(F.count_distinct("value").alias("categories"))
+
+
 def feature_type_overview(cube: Cube, layer: str = "X") -> DataFrame:
     """var_name, feature_type and, of categorical features, the number of categories; prints a tree."""
-    counts = cube.layers[layer].cells.groupBy("var_idx").agg(F.count_distinct("value").alias("categories"))
-    out = cube.var.join(counts, "var_idx", "left").select("var_name", "feature_type", F.when(F.col("feature_type") == "categorical", F.col("categories")).alias("categories")).orderBy("feature_type", "var_name")
+    out = cube.var.join(categories(cube, layer), "var_idx", "left").select("var_name", "feature_type", F.when(F.col("feature_type") == "categorical", F.col("categories")).alias("categories")).orderBy("feature_type", "var_name")
     for kind in ("date", "numeric", "categorical"):
         print(f"{kind} features")
         for r in out.where(F.col("feature_type") == kind).toLocalIterator():

@@ -108,11 +108,19 @@ def _from_long(df: DataFrame, name: str, static: Sequence[str], keys: dict | Non
 
 
 def to_long(cube: Cube, layer: str = "X") -> DataFrame:
-    """observation_id, variable, (time,) value of all cells, missing ones included."""
-    cells = cube.dense(layer).join(cube.obs.select("obs_idx", F.col("obs_name").alias("observation_id")), "obs_idx").join(cube.var.select("var_idx", F.col("var_name").alias("variable")), "var_idx")
+    """observation_id, variable, (time,) value of all cells, missing ones included.
+
+    Names of variables and time steps, as many as the axes have, join by broadcast where they are few.
+    """
+
+    def few(df: DataFrame, n: int) -> DataFrame:
+        return F.broadcast(df) if n <= 100_000 else df
+
+    names = few(cube.obs.select("obs_idx", F.col("obs_name").alias("observation_id")), cube.n_obs)
+    cells = cube.dense(layer).join(names, "obs_idx").join(few(cube.var.select("var_idx", F.col("var_name").alias("variable")), cube.n_vars), "var_idx")
     if cube.layers[layer].ndim == 2:
         return cells.select("observation_id", "variable", "value")
-    cells = cells.join(cube.tem.select("t_idx", F.col("tem_name").alias("time")), "t_idx")
+    cells = cells.join(few(cube.tem.select("t_idx", F.col("tem_name").alias("time")), cube.n_t), "t_idx")
     return cells.select("observation_id", "variable", "time", "value")
 
 

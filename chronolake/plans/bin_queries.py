@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bins import closed_step
 from ..functions.spec import DAY, STRATEGIES
 from ..operators.binning import binned, dense
+from ..sources.loaders import binned_long
 from .roles import SQL_ROLES, measurements, spans, sql_bins, table, users
 
 HOUR = DAY // 24
@@ -58,8 +58,8 @@ def right_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly right-closed bins of the first two days; the last event of a bin stays."""
     rows = measurements(spark, sf_dir).join(users(spark, sf_dir).select("person_id", "start_date"), "person_id")
     hours = F.timestamp_diff("MICROSECOND", F.col("start_date"), F.col("at")) / F.lit(float(HOUR))
-    rows = rows.withColumn("_h", hours).where("_h <= 48").withColumn("interval_step", closed_step(F.col("_h"), 1.0))
-    return rows.groupBy("person_id", "concept", "interval_step").agg(F.max_by("value", F.struct("at", "event_id")).alias("value"))
+    rows = rows.select(F.col("person_id").alias("record"), F.col("concept").alias("parameter"), hours.alias("hours"), "value", F.struct("at", "event_id").alias("position"))
+    return binned_long(rows, length=1.0, count=48).select(F.col("record").alias("person_id"), F.col("parameter").alias("concept"), F.col("step").alias("interval_step"), "value")
 
 
 def hourly_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from ..operators.cube import Cube, Layer, with_ordinals
 from ..operators.export import packed, time_slice
 from ..operators.move import move_to_obs, move_to_x
 from ..operators.reshape import from_frame, to_long, to_wide
-from ..sources.store import load, save
+from ..sources.scratch import shared_dir
+from ..sources.store import load, save, sparse
 from ..sources.synthetic import blobs
 from .roles import SQL_ROLES, measurements, sql_bins, table, users
 
@@ -122,10 +124,35 @@ def moved_to_x(spark, sf_dir):
 
 def stored(spark, sf_dir):
     """A cube written and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronolake-")
-    path = f"{base.rstrip('/')}/cube-{spark.sparkContext.applicationId}-{id(object())}"
-    save(cube(spark, sf_dir), path, mode="overwrite")
-    return named(load(spark, path))
+    return named(load(spark, _saved(cube(spark, sf_dir))))
+
+
+def _saved(c: Cube) -> str:
+    path = f"{shared_dir(c.obs.sparkSession)}/cube-{uuid.uuid4().hex}"
+    save(c, path)
+    return path
+
+
+def stored_sparse(spark, sf_dir):
+    """A layer of counts without its zeros, written, read back and made dense again."""
+    c = cube(spark, sf_dir, "count")
+    layer = replace(c.X, cells=sparse(c.X.cells, 0), fill=0)
+    back = load(spark, _saved(replace(c, layers={"X": layer})))
+    return back.dense("X").select(F.col("obs_idx").cast("long").alias("obs"), F.col("var_idx").cast("long").alias("var"), F.col("t_idx").cast("long").alias("step"), F.col("value").cast("long").alias("value"))
+
+
+def slice_mask(spark, sf_dir):
+    """Flags on all axes, as an array, a list and a series."""
+    import numpy as np
+    import pandas as pd
+
+    c = cube(spark, sf_dir)
+    return named(c[np.arange(c.n_obs) % 4 == 1, [True, False, True, False, True], pd.Series(range(STEPS)) < 7])
+
+
+def slice_label(spark, sf_dir):
+    """Labels from one to another, both included, and every second step backwards."""
+    return named(cube(spark, sf_dir)[:, "error":"signup", ::-2])
 
 
 def tensors(spark, sf_dir):
@@ -144,6 +171,7 @@ QUERIES = {
     "reduce_time_max": reduced("max"), "reduce_time_min": reduced("min"), "reduce_time_mean": reduced("mean"), "dense_backbone": dense_backbone,
     "long_to_wide": long_to_wide, "wide_to_long": wide_to_long, "long_to_wide_all": long_to_wide_all, "wide_to_long_all": wide_to_long_all, "fill_time_gaps_all": fill_time_gaps_all, "flat_to_long": flat_to_long, "fill_time_gaps": fill_time_gaps,
     "move_to_obs": moved_to_obs, "move_to_x": moved_to_x, "store_round_trip": stored, "tensor_export": tensors, "generator": generated,
+    "slice_mask": slice_mask, "slice_label": slice_label, "store_sparse": stored_sparse,
 }
 
 _CUBE = f"""WITH {SQL_ROLES}, {sql_bins(STEPS, "1 day")},
@@ -178,6 +206,10 @@ SELECT CAST(i AS VARCHAR) AS tem_name, (SELECT count(v) FROM d WHERE t = i) AS n
   max(value) FILTER (var_name = 'view' AND t_idx = 0) AS view, count(value) FILTER (var_name NOT IN ('click', 'view') AND t_idx = 0) AS left_over
 FROM users u LEFT JOIN cells c ON c.obs_name = CAST(u.obs_id AS VARCHAR) GROUP BY u.obs_id""",
     "move_to_x": f"{_CUBE} SELECT obs_name, var_name, value FROM cells WHERE t_idx = 1 UNION ALL SELECT CAST(obs_id AS VARCHAR), 'parity', CAST(obs_id % 2 AS DOUBLE) FROM users",
+    "slice_mask": f"{_CUBE} SELECT obs_name, var_name, CAST((obs_idx - 1) / 4 AS INTEGER) AS obs_idx, t_idx, value FROM cells WHERE obs_idx % 4 = 1 AND var_name IN ('click', 'purchase', 'view') AND t_idx < 7",
+    "slice_label": f"{_CUBE} SELECT obs_name, var_name, obs_idx, CAST((9 - t_idx) / 2 AS INTEGER) AS t_idx, value FROM cells WHERE var_name BETWEEN 'error' AND 'signup' AND t_idx % 2 = 1",
+    "store_sparse": f"""WITH {SQL_ROLES}, {sql_bins(STEPS, "1 day")} SELECT dense_rank() OVER (ORDER BY x.obs_id) - 1 AS obs, dense_rank() OVER (ORDER BY x.concept) - 1 AS var, CAST(x.interval_step AS BIGINT) AS step, count(m.value) AS value
+FROM bins x LEFT JOIN measurements m ON x.person_id = m.person_id AND x.concept = m.concept AND m.ts >= x.a AND m.ts < x.b GROUP BY x.obs_id, x.concept, x.interval_step""",
     "store_round_trip": f"{_CUBE} SELECT * FROM cells",
     "tensor_export": f"{_CUBE} SELECT obs_idx, CAST(v.i AS INTEGER) AS var_idx, t_idx, value FROM cells JOIN (SELECT concept, dense_rank() OVER (ORDER BY concept) - 1 AS i FROM concepts) v ON v.concept = var_name",
 }

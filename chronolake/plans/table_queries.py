@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.spec import EVENT_TABLES
 from ..operators.cube import Cube, Layer, with_ordinals
-from ..operators.export import mortality
-from ..operators.extraction import long_table, observation_rows, periods, remapped, setup_interval_variables, setup_obs, setup_variables, unit_report
-from ..operators.features import castable, harmonize_missing_values, infer_feature_types
-from ..operators.reshape import to_long
+from ..operators.export import labelled_tensors, mortality
+from ..operators.extraction import enriched, first_rows, long_table, observation_rows, periods, remapped, setup_interval_variables, setup_obs, setup_variables, unit_report
+from ..operators.features import cast_variables_to_float, castable, categories, harmonize_missing_values, infer_feature_types
+from ..operators.reshape import from_frame, to_long
 from ..sources.catalog import Catalog
-from ..sources.loaders import recoded_flag
-from .roles import table
+from ..sources.loaders import binned_long, challenge_cube, recoded_flag
+from .roles import SQL_ROLES, measurements, table, users
 
 #: Concept codes of the event types.
 CODES = {"click": 11, "purchase": 12, "signup": 13, "error": 14, "view": 15}
@@ -52,15 +51,28 @@ def obs_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_visit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = W.partitionBy("person_id").orderBy("visit_start_datetime", "visit_occurrence_id")
-    rows = catalog(spark, sf_dir)["visit_occurrence"].withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
-    return rows.select("person_id", "visit_occurrence_id")
+    return first_rows(catalog(spark, sf_dir)["visit_occurrence"], ["person_id"], ["visit_start_datetime", "visit_occurrence_id"]).select("person_id", "visit_occurrence_id")
+
+
+def _variables(c: Catalog, name: str = "measurement") -> DataFrame:
+    return c[name].select(F.col(f"{name}_concept_id").alias("data_table_concept_id")).distinct()
 
 
 def concept_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts with their own rows of the concept table, where no relationships are known."""
     c = catalog(spark, sf_dir)
-    ids = c["measurement"].select(F.col("measurement_concept_id").alias("concept_id")).distinct()
-    return ids.join(F.broadcast(c["concept"]), "concept_id", "left")
+    bare = Catalog(spark, {"concept": c["concept"]})
+    return enriched(_variables(c), bare, None, True, False).select(F.col("data_table_concept_id").alias("concept_id"), "concept_name")
+
+
+def enrich_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts with the names of what they are mapped from, and the unit of those that have one only."""
+    c = catalog(spark, sf_dir)
+    concept = F.col("measurement_concept_id")
+    c.register("measurement", c["measurement"].withColumn("unit_concept_id", F.when(concept <= 12, 10 * concept).otherwise(F.col("unit_concept_id")).cast("int")))
+    c.register("concept", c["concept"].union(spark.createDataFrame([(110, "unit 110")], "concept_id int, concept_name string")))
+    out = enriched(_variables(c), c, unit_report(c["measurement"], EVENT_TABLES["measurement"]), True, True)
+    return out.select(F.col("data_table_concept_id").alias("concept"), "data_table_concept_id_mapped", "concept_name", F.col("unit_concept_id").cast("double").alias("unit"), F.col("concept_name_unit_concept").alias("unit_name"))
 
 
 def concept_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +101,58 @@ def extract_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_long(cube).select(F.col("observation_id").cast("long").alias("obs"), F.col("variable").cast("long").alias("concept"), F.col("time").cast("long").alias("step"), "value")
 
 
+def extract_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """extract_points for two concepts."""
+    cube = _extracted(spark, sf_dir, concept_ids=[11, 14])
+    return to_long(cube).select(F.col("observation_id").cast("long").alias("obs"), F.col("variable").cast("long").alias("concept"), F.col("time").cast("long").alias("step"), "value")
+
+
+def extract_two_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of two event tables as one layer; variables by table, then concept."""
+    c = catalog(spark, sf_dir)
+    c.register("observation", c["measurement"].where("measurement_concept_id <> 13").toDF(*[x.replace("measurement", "observation") for x in c["measurement"].columns]))
+    cube = setup_variables(setup_obs(c, "person_observation_period"), c, data_tables=["measurement", "observation"], data_field_to_keep={"measurement": "value_as_number", "observation": "observation_id"}, interval_length_number=1, interval_length_unit="day", num_intervals=5, aggregation_strategy="count")
+    return cube.X.cells.select(F.col("obs_idx").cast("long").alias("obs"), F.col("var_idx").cast("long").alias("var"), F.col("t_idx").cast("long").alias("step"), F.col("value").cast("long").alias("value"))
+
+
+def tensor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed tensors with mortality within the observation: the label, and the sum of what is packed."""
+    c = catalog(spark, sf_dir)
+    rows = labelled_tensors(_extracted(spark, sf_dir), c)
+    total = F.aggregate(F.filter(F.flatten("features"), lambda x: ~F.isnan(x)), F.lit(0.0), lambda a, x: a + x)
+    return rows.select(F.col("obs_idx").cast("long").alias("obs"), F.col("label").cast("long").alias("label"), total.alias("total"))
+
+
+def cohort_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cohort by SQL over the registered tables: persons outside the death table, with the hours of their first event."""
+    catalog(spark, sf_dir)
+    return spark.sql("""
+WITH first_event AS (SELECT person_id, min(measurement_datetime) AS at FROM measurement GROUP BY person_id),
+stays AS (SELECT p.person_id, p.observation_period_start_date AS began, f.at FROM observation_period p JOIN first_event f USING (person_id))
+SELECT person_id, CAST(timestampdiff(HOUR, CAST(began AS TIMESTAMP_NTZ), at) AS BIGINT) AS hours FROM stays
+WHERE person_id NOT IN (SELECT person_id FROM death) AND timestampdiff(HOUR, CAST(began AS TIMESTAMP_NTZ), at) >= 2""")
+
+
+def challenge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cube of users, two parameters and 48 hours; some records dropped, one value meaning missing, the first value of an hour."""
+    rows = measurements(spark, sf_dir).join(users(spark, sf_dir).select("person_id", "start_date"), "person_id")
+    hours = F.timestamp_diff("MICROSECOND", F.col("start_date"), F.col("at")) / F.lit(3.6e9)
+    rows = rows.select(F.col("person_id").alias("record"), F.col("concept").alias("parameter"), hours.alias("hours"), "value", F.struct("at", "event_id").alias("position"))
+    obs = users(spark, sf_dir).select(F.col("person_id").alias("record"))
+    cube = challenge_cube(rows, obs, ["view", "click"], keep="first", drop=[3, 5], null_if={"click": 4.0})
+    cells = cube.layers["tem_data"].cells.join(cube.obs.select("obs_idx", "record"), "obs_idx")
+    return cells.select("record", F.col("var_idx").cast("long").alias("var"), F.col("t_idx").cast("long").alias("step"), "value")
+
+
+def long_statics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long frame with a variable that stays with the observations: static values and the number of cells."""
+    rows = measurements(spark, sf_dir).where("value IS NOT NULL").groupBy(F.col("person_id").alias("observation_id"), F.col("concept").alias("variable"), F.dayofmonth("at").cast("long").alias("time")).agg(F.max("value").alias("value"))
+    fixed = users(spark, sf_dir).select(F.col("person_id").alias("observation_id"), F.lit("half").alias("variable"), F.lit(1).cast("long").alias("time"), (F.col("person_id") / 2).alias("value"))
+    cube = from_frame(rows.unionByName(fixed), format="long", columns_obs_only=["half"])
+    counts = cube.X.cells.groupBy("obs_idx").agg(F.count("*").alias("n"))
+    return cube.obs.join(counts, "obs_idx", "left").select("obs_name", "half", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def extract_spans(spark: SparkSession, sf_dir: str, **of) -> DataFrame:
     c = catalog(spark, sf_dir, **of)
     cube = setup_interval_variables(setup_obs(c, "person_cohort"), c, data_tables=["drug_exposure"], data_field_to_keep=["is_present"], interval_length_number=12, interval_length_unit="h", num_intervals=8, keep_date="interval")
@@ -123,8 +187,10 @@ def recode_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id", "event_type", F.to_date("ts").cast("timestamp_ntz").alias("day")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+    """The last value of a user, type and day: one bin for each day."""
+    day = F.to_date("ts").cast("timestamp_ntz").alias("day")
+    rows = table(spark, sf_dir, "events").select(F.struct("user_id", day).alias("record"), F.col("event_type").alias("parameter"), F.lit(0.0).alias("hours"), "value", F.struct("ts", "event_id").alias("position"))
+    return binned_long(rows, length=1.0, count=1, keep="last").select("record.user_id", F.col("parameter").alias("event_type"), "record.day", "value")
 
 
 def _text_cube(spark, sf_dir) -> Cube:
@@ -150,8 +216,7 @@ def feature_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cube = _text_cube(spark, sf_dir)
-    counts = cube.X.cells.groupBy("var_idx").agg(F.count_distinct("value").alias("categories"))
-    return cube.var.join(counts, "var_idx").select("var_name", "categories")
+    return cube.var.join(categories(cube), "var_idx").select("var_name", "categories")
 
 
 def cast_float(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,6 +224,12 @@ def cast_float(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.var.join(castable(cube.X.cells), "var_idx").select("var_name", "is_number")
 
 
+def cast_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of a text layer in one form, where some other variable keeps the layer from becoming numbers."""
+    cube = cast_variables_to_float(harmonize_missing_values(_text_cube(spark, sf_dir)))
+    return cube.X.cells.join(cube.var, "var_idx").select(F.col("obs_idx").alias("part"), "var_name", "value")
+
+
 QUERIES = {
     "obs_person": obs_rows("person", "person_id", "location_id", "birth_datetime"),
     "obs_visit": obs_rows("person_visit_occurrence", "person_id", "visit_occurrence_id", "person_id_1", "visit_source_value"),
@@ -169,7 +240,9 @@ QUERIES = {
     "obs_index_rank": obs_index, "first_visit_rank": first_visit, "concept_enrich": concept_enrich, "concept_remap": concept_remap, "unit_report": units,
     "var_distinct": var_distinct, "extract_points": extract_points, "extract_spans": extract_spans, "extract_spans_all": extract_spans_all, "stack_tables": stacked, "mortality_label": mortality_label,
     "recode_flag": recode_flag, "dedup_keep_last": dedup_keep_last, "harmonize_missing": harmonize, "infer_feature_types": feature_types,
-    "category_counts": category_counts, "cast_float_all_or_nothing": cast_float,
+    "category_counts": category_counts, "cast_float_all_or_nothing": cast_float, "cast_float_values": cast_values, "enrich_units": enrich_units,
+    "extract_concepts": extract_concepts, "extract_two_tables": extract_two_tables, "tensor_labels": tensor_labels, "cohort_sql": cohort_sql,
+    "challenge_cube": challenge, "long_statics": long_statics,
 }
 
 _FIRST = "(SELECT user_id, CAST(min(ts) AS DATE) AS d FROM events GROUP BY user_id)"
@@ -216,7 +289,39 @@ FROM {_FIRST} WHERE user_id IN (SELECT c_custkey FROM customer)""",
     "recode_flag": "SELECT doc_id, CAST(CASE WHEN toxic = 0 THEN 1 ELSE 0 END AS BIGINT) AS flag FROM labels",
     "dedup_keep_last": "SELECT user_id, event_type, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, LAST(value ORDER BY ts, event_id) AS value FROM events GROUP BY user_id, event_type, CAST(ts AS DATE)",
     "harmonize_missing": f"WITH {_PARTS} SELECT part, CASE WHEN value NOT IN ('nan', 'np.nan', '<NA>', 'pd.NA') THEN value END AS value FROM texts WHERE var_name = 'mixed'",
-    "infer_feature_types": "SELECT * FROM (VALUES ('size', 'numeric', false), ('brand', 'categorical', false), ('day', 'date', false), ('flag', 'categorical', true), ('mixed', 'numeric', false)) t(var_name, feature_type, uncertain)",
+    "infer_feature_types": f"""WITH {_PARTS}, present AS (SELECT var_name, value, TRY_CAST(value AS DOUBLE) AS number FROM texts WHERE value NOT IN ('nan', 'np.nan', '<NA>', 'pd.NA')),
+stats AS (SELECT var_name, count(*) AS n, count(number) AS numbers, count(*) FILTER (regexp_full_match(value, '\\d{{4}}-\\d{{2}}-\\d{{2}}')) AS dates,
+  count(DISTINCT number) = 2 AND min(number) = 0 AND max(number) = 1 AS two FROM present GROUP BY var_name)
+SELECT var_name, CASE WHEN dates = n AND numbers < n THEN 'date' WHEN numbers < n OR two THEN 'categorical' ELSE 'numeric' END AS feature_type, two AND numbers = n AS uncertain FROM stats""",
     "category_counts": f"WITH {_PARTS} SELECT var_name, count(DISTINCT value) AS categories FROM texts GROUP BY var_name",
+    "cast_float_values": f"""WITH {_PARTS}, present AS (SELECT part, var_name, CASE WHEN value NOT IN ('nan', 'np.nan', '<NA>', 'pd.NA') THEN value END AS value FROM texts),
+good AS (SELECT var_name, bool_and(value IS NULL OR TRY_CAST(value AS DOUBLE) IS NOT NULL) AS fine FROM present GROUP BY var_name)
+SELECT part, var_name, CASE WHEN fine THEN CAST(TRY_CAST(value AS DOUBLE) AS VARCHAR) ELSE value END AS value FROM present JOIN good USING (var_name)""",
+    "enrich_units": f"""WITH m AS (SELECT DISTINCT CAST(concept AS INTEGER) AS concept, CASE WHEN concept <= 12 THEN 10 * concept WHEN event_id % 3 <> 2 THEN 100 + event_id % 3 END AS unit FROM {_M}),
+single AS (SELECT concept, max(unit) AS unit FROM m GROUP BY concept HAVING count(*) = 1),
+names AS (SELECT DISTINCT concept, CASE concept WHEN 14 THEN 91 WHEN 15 THEN 90 ELSE concept END AS mapped FROM m)
+SELECT n.concept, CAST(mapped AS INTEGER) AS data_table_concept_id_mapped, CASE WHEN mapped IN (11, 12, 13, 91) THEN 'concept ' || mapped END AS concept_name,
+  CAST(unit AS DOUBLE) AS unit, CASE WHEN unit = 110 THEN 'unit 110' END AS unit_name FROM names n LEFT JOIN single USING (concept)""",
+    "extract_concepts": f"""WITH {_PERIODS}, c AS (SELECT DISTINCT concept FROM {_M} WHERE concept IN (11, 14)), s AS (SELECT unnest(range(5)) AS step)
+SELECT p.obs, c.concept, s.step, LAST(m.v ORDER BY m.ts, m.event_id) AS value
+FROM p CROSS JOIN c CROSS JOIN s LEFT JOIN {_M} m ON m.user_id = p.user_id AND m.concept = c.concept
+  AND m.ts >= p.zero + s.step * INTERVAL 1 DAY AND m.ts < p.zero + (s.step + 1) * INTERVAL 1 DAY GROUP BY p.obs, c.concept, s.step""",
+    "extract_two_tables": f"""WITH {_PERIODS}, e AS (SELECT 0 AS tab, *, v AS x FROM {_M} UNION ALL SELECT 1, *, CAST(event_id AS DOUBLE) FROM {_M} WHERE concept <> 13),
+vars AS (SELECT tab, concept, row_number() OVER (ORDER BY tab, concept) - 1 AS var FROM (SELECT DISTINCT tab, concept FROM e))
+SELECT p.obs, vars.var, CAST(floor(date_diff('microsecond', p.zero, e.ts) / 86400000000) AS BIGINT) AS step, count(e.x) AS value
+FROM p JOIN e ON e.user_id = p.user_id JOIN vars ON vars.tab = e.tab AND vars.concept = e.concept
+WHERE e.ts >= p.zero AND e.ts < p.zero + INTERVAL 5 DAY GROUP BY ALL""",
+    "tensor_labels": f"""WITH {_PERIODS}, v AS (SELECT p.obs, m.concept, CAST(floor(date_diff('microsecond', p.zero, m.ts) / 86400000000) AS BIGINT) AS step, LAST(m.v ORDER BY m.ts, m.event_id) AS value
+  FROM p JOIN {_M} m ON m.user_id = p.user_id WHERE m.ts >= p.zero AND m.ts < p.zero + INTERVAL 5 DAY GROUP BY ALL)
+SELECT p.obs, CAST(CASE WHEN p.user_id % 10 = 0 AND TIMESTAMP '2024-01-01' + to_days(CAST(p.user_id % 60 AS INTEGER)) BETWEEN p.zero AND p.zero + INTERVAL 30 DAY THEN 1 ELSE 0 END AS BIGINT) AS label,
+  coalesce((SELECT sum(value) FROM v WHERE v.obs = p.obs), 0) AS total FROM p""",
+    "cohort_sql": f"""SELECT f.user_id AS person_id, date_diff('second', CAST(d AS TIMESTAMP), e.at) // 3600 AS hours
+FROM {_FIRST} f JOIN (SELECT user_id, min(ts) AS at FROM events GROUP BY user_id) e USING (user_id)
+WHERE f.user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0) AND date_diff('second', CAST(d AS TIMESTAMP), e.at) >= 7200""",
+    "challenge_cube": f"""WITH {SQL_ROLES}, timed AS (SELECT m.*, date_diff('microsecond', u.start_date, m.ts) / 3.6e9 AS h FROM measurements m JOIN users u USING (person_id) WHERE person_id NOT IN (3, 5) AND concept IN ('view', 'click')),
+kept AS (SELECT person_id, concept, greatest(0, CAST(ceil(h) AS BIGINT) - 1) AS step, FIRST(CASE WHEN concept = 'click' AND value = 4 THEN NULL ELSE value END ORDER BY ts, event_id) AS value FROM timed WHERE h <= 48 GROUP BY ALL)
+SELECT person_id AS record, CAST(CASE WHEN concept = 'view' THEN 0 ELSE 1 END AS BIGINT) AS var, step, value FROM kept WHERE value IS NOT NULL""",
+    "long_statics": f"""WITH {SQL_ROLES}, n AS (SELECT person_id, count(DISTINCT (concept, day(ts))) AS n FROM measurements WHERE value IS NOT NULL GROUP BY person_id)
+SELECT CAST(u.person_id AS VARCHAR) AS obs_name, u.person_id / 2 AS half, coalesce(n, 0) AS n FROM users u LEFT JOIN n USING (person_id)""",
     "cast_float_all_or_nothing": f"WITH {_PARTS} SELECT var_name, bool_and(TRY_CAST(value AS DOUBLE) IS NOT NULL) AS is_number FROM texts GROUP BY var_name",
 }

@@ -74,6 +74,7 @@ TIME_TABLES = {
 }
 #: End of an observation that has none.
 OPEN_END = "2999-12-31 23:59:59"
+# The tables of the model by kind.
 TABLE_GROUPS = {
     "clinical": "person observation_period visit_occurrence visit_detail condition_occurrence drug_exposure procedure_occurrence device_exposure measurement observation death note note_nlp specimen fact_relationship".split(),
     "health_system": "location care_site provider".split(),
@@ -84,8 +85,9 @@ TABLE_GROUPS = {
     "results": "cohort cohort_definition".split(),
 }
 TABLES = frozenset(t for group in TABLE_GROUPS.values() for t in group)
+# Names of aggregation strategies.
 STRATEGIES = ("last", "first", "mean", "median", "mode", "sum", "count", "min", "max", "std")
-#: Texts that count as missing.
+# Texts that count as missing.
 MISSING = ("nan", "np.nan", "<NA>", "pd.NA")
 UNITS = {
     1: ("us", "micro", "micros", "microsecond", "microseconds"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import warnings
 from collections.abc import Sequence
 from dataclasses import replace
 
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions.spec import MISSING
 from .cube import Cube
 
+log = logging.getLogger(__name__)
 TYPES = ("numeric", "categorical", "date")
 #: ISO 8601 dates: year, month or day, basic or extended, week dates, with an optional time.
 ISO_DATE = r"^\d{4}(-?(0[1-9]|1[0-2])(-?(0[1-9]|[12]\d|3[01]))?|-?W(0[1-9]|[1-4]\d|5[0-3])(-?[1-7])?)?([T ]\d{2}(:?\d{2}(:?\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
@@ -31,9 +34,17 @@ def classified(kind: T.DataType, value: Column, binary_as: str = "categorical")
     return {"n": n, "feature_type": feature, "uncertain": F.coalesce(binary & ~other & ~dates, F.lit(False))}
 
 
-def infer_feature_types(cube: Cube, *, layer: str | None = None, binary_as: str = "categorical") -> Cube:
-    """var with feature_type and uncertain; labels that are there already stay."""
+def infer_feature_types(cube: Cube, *, layer: str | None = None, output: str | None = None, binary_as: str = "categorical", verbose: bool = True) -> Cube | DataFrame:
+    """var with feature_type and uncertain; labels that are there already stay.
+
+    output: "tree" also prints the types, "dataframe" returns var_name and feature_type in place of
+    the cube.  verbose warns of numbers that were taken for categories.  Without X and layer, the first layer by name counts.
+    """
+    if output not in ("tree", "dataframe", None):
+        raise ValueError("output must be tree, dataframe or None")
     name = layer or ("X" if "X" in cube.layers else min(cube.layers))
+    if layer is None and name != "X":
+        warnings.warn(f"The cube has no layer X; feature types come from layer '{name}'.", UserWarning, stacklevel=2)
     cells = cube.layers[name].cells
     kind = dict((f.name, f.dataType) for f in cells.schema)["value"]
     got = cells.where("value IS NOT NULL").groupBy("var_idx").agg(*[c.alias(k) for k, c in classified(kind, F.col("value"), binary_as).items()])
@@ -42,7 +53,12 @@ def infer_feature_types(cube: Cube, *, layer: str | None = None, binary_as: str
     var = var.withColumn("feature_type", F.coalesce("_old", "feature_type")).withColumn("uncertain", F.col("_old").isNull() & F.coalesce("uncertain", F.lit(False))).drop("_old")
     if empty := [r[0] for r in var.where("feature_type IS NULL").select("var_name").limit(20).collect()]:
         raise ValueError(f"features without any value: {empty}")
-    return replace(cube, var=var)
+    if verbose and (unsure := [r[0] for r in var.where("uncertain").select("var_name").orderBy("var_name").limit(100).collect()]):
+        log.warning("Features with values 0 and 1 were taken as categorical: %s", unsure)
+    out = replace(cube, var=var)
+    if output == "tree":
+        feature_type_overview(out, name)
+    return var.select("var_name", "feature_type") if output == "dataframe" else out
 
 
 def categories(cube: Cube, layer: str = "X") -> DataFrame:

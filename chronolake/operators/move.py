@@ -32,6 +32,9 @@ def move_to_obs(cube: Cube, var_names: str | Sequence[str], *, layer: str = "X",
 def move_to_x(cube: Cube, features: str | Sequence[str], *, layer: str = "X", copy_columns: bool = False) -> Cube:
     """Columns of obs as variables of a layer; the result keeps this layer, obs and var."""
     names = [features] if isinstance(features, str) else list(features)
+    deep = cube.layers[layer].ndim == 3
+    if deep and cube.n_t > 1:
+        raise ValueError("only a layer of two axes can take columns of obs")
     known = {r[0] for r in cube.var.select("var_name").where(F.col("var_name").isin(names)).collect()}
     if known:
         log.warning("already among the variables, skipped: %s", sorted(known))
@@ -43,7 +46,7 @@ def move_to_x(cube: Cube, features: str | Sequence[str], *, layer: str = "X", co
     cells = cube.layers[layer].cells
     more = _unpivoted(cube.obs, ["obs_idx"], new)
     at = F.create_map(*[x for k, n in enumerate(new) for x in (F.lit(n), F.lit(cube.n_vars + k))])
-    more = more.select("obs_idx", F.element_at(at, F.col("_variable")).alias("var_idx"), "value").where("value IS NOT NULL")
+    more = more.select("obs_idx", F.element_at(at, F.col("_variable")).alias("var_idx"), *[F.lit(0).alias("t_idx")] * deep, "value").where("value IS NOT NULL")
     if dict(cells.dtypes)["value"] != dict(more.dtypes)["value"]:
         cells, more = (d.withColumn("value", F.col("value").cast("string")) for d in (cells, more))
     spark = cube.obs.sparkSession

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from .cube import Cube, Layer, with_ordinals
 
 LONG_KEYS = {"observation_id": "observation_id", "variable": "variable", "time": "time", "value": "value"}
+#: The same keys by the names of the interface.
+KEY_NAMES = {"observation_column": "observation_id", "variable_column": "variable", "time_column": "time", "value_column": "value"}
 SUFFIX = "_t_"
 #: Columns that a wide export may have.
 WIDEST = 10_000
@@ -56,12 +58,17 @@ def _numbered(cells: DataFrame, var: DataFrame, tem: DataFrame | None) -> DataFr
     return out.where("value IS NOT NULL").select("obs_idx", "var_idx", *["t_idx"] * (tem is not None), "value")
 
 
-def from_frame(df: DataFrame, *, layer: str | None = None, format: str = "flat", columns_obs_only: Sequence[str] = (), index_column: str | int | None = None, wide_format_time_suffix: str = SUFFIX, long_format_keys: dict | None = None, fill_time_gaps: bool = False) -> Cube:
+def from_frame(df: DataFrame, *, layer: str | None = None, format: str = "flat", columns_obs_only: Sequence[str] = (), index_column: str | int | None = None, wide_format_time_suffix: str | None = None, long_format_keys: dict | None = None, fill_time_gaps: bool = False) -> Cube:
     """A cube from a flat, wide or long frame."""
     if format not in ("flat", "wide", "long"):
         raise ValueError("format must be one of flat, wide, long")
     if fill_time_gaps and format != "long":
         raise ValueError("fill_time_gaps needs the long format")
+    if long_format_keys is not None and format != "long":
+        raise ValueError("long_format_keys needs the long format")
+    if wide_format_time_suffix is not None and format != "wide":
+        raise ValueError("wide_format_time_suffix needs the wide format")
+    suffix = wide_format_time_suffix or SUFFIX
     name = layer or "X"
     if format == "long":
         if index_column is not None:
@@ -76,9 +83,9 @@ def from_frame(df: DataFrame, *, layer: str | None = None, format: str = "flat",
     if format == "flat":
         var = spark.createDataFrame(list(enumerate(columns)), "var_idx int, var_name string").withColumn("_v", F.col("var_name"))
         return Cube.build(attributes, var.drop("_v"), None, {name: Layer(_numbered(cells, F.broadcast(var), None), 2)}, n_t=1)
-    if bad := [c for c in columns if wide_format_time_suffix not in c]:
-        raise ValueError(f"columns without {wide_format_time_suffix}: {bad}")
-    pairs = [(c, *c.split(wide_format_time_suffix)[:2]) for c in columns]
+    if bad := [c for c in columns if suffix not in c]:
+        raise ValueError(f"columns without {suffix}: {bad}")
+    pairs = [(c, *c.split(suffix)[:2]) for c in columns]
     axes = [sorted({p[k] for p in pairs}) for k in (1, 2)]  # text order: "10" before "2"
     place = spark.createDataFrame([(c, axes[0].index(v), axes[1].index(t)) for c, v, t in pairs], "_variable string, var_idx int, t_idx int")
     cells = cells.join(F.broadcast(place), "_variable").where("value IS NOT NULL").select("obs_idx", "var_idx", "t_idx", "value")
@@ -87,7 +94,7 @@ def from_frame(df: DataFrame, *, layer: str | None = None, format: str = "flat",
 
 
 def _from_long(df: DataFrame, name: str, static: Sequence[str], keys: dict | None, fill_gaps: bool) -> Cube:
-    keys = LONG_KEYS | (keys or {})
+    keys = LONG_KEYS | {KEY_NAMES.get(k, k): v for k, v in (keys or {}).items()}
     if set(keys) != set(LONG_KEYS):
         raise ValueError(f"long_format_keys must be among {list(LONG_KEYS)}")
     rows = df.select(*[F.col(keys[k]).alias(a) for k, a in (("observation_id", "_obs"), ("variable", "_variable"), ("time", "_time"), ("value", "value"))])

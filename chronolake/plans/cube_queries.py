@@ -28,7 +28,7 @@ def cube(spark: SparkSession, sf_dir: str, strategy: str = "max") -> Cube:
     cells = binned(obs, events, length=DAY, count=STEPS, fields=["value"], strategy=strategy, order=["event_id"])
     rows = with_ordinals(obs.select("obs_id"), "obs_idx", [F.col("obs_id")]).withColumn("obs_name", F.col("obs_id").cast("string")).withColumn("parity", F.col("obs_id") % 2)
     var = with_ordinals(events.select("concept").distinct(), "var_idx", [F.col("concept")]).withColumn("var_name", F.col("concept"))
-    layer = cells.join(rows.select("obs_id", "obs_idx"), "obs_id").join(F.broadcast(var.select("concept", "var_idx")), "concept")
+    layer = cells.join(rows.select("obs_id", "obs_idx"), "obs_id").join(var.select("concept", "var_idx"), "concept")
     layer = layer.where("value IS NOT NULL").select("obs_idx", "var_idx", F.col("interval_step").alias("t_idx"), "value")
     return Cube.build(rows, var.drop("concept"), None, {"X": Layer(layer, 3)}, n_t=STEPS)
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.bins import closed_step
 from ..operators.cube import Cube, Layer, with_ordinals
 from ..operators.reshape import from_frame
+from .catalog import Catalog, setup_connection
+from .store import load
 
 #: Static parameters of the two challenges.
 STATIC_2012 = ("Age", "Gender", "ICUType", "Height")
@@ -89,3 +91,36 @@ def physionet2019(spark: SparkSession, paths: str | list[str], *, n_samples: int
 def recoded_flag(value: Column) -> Column:
     """0 becomes 1 and everything else 0: a censoring flag as an event flag."""
     return F.when(value == 0, 1).otherwise(0)
+
+
+def flat_set(spark: SparkSession, path: str, columns_obs_only: Sequence[str] = (), **options) -> Cube:
+    """A flat data set of one CSV file with a header, such as diabetes_130_raw and diabetes_130_fairlearn."""
+    return read_csv(spark, path, columns_obs_only=columns_obs_only, **options)
+
+
+diabetes_130_raw = diabetes_130_fairlearn = flat_set
+
+
+def mimic_2(spark: SparkSession, path: str, columns_obs_only: Sequence[str] = ()) -> Cube:
+    """The cohort file; its flag censor_flg, 0 for an event, is turned wherever it lies."""
+    frame = spark.read.csv(path, header=True, inferSchema=True)
+    if "censor_flg" in frame.columns:
+        frame = frame.withColumn("censor_flg", recoded_flag(F.col("censor_flg")))
+    return from_frame(frame, columns_obs_only=columns_obs_only)
+
+
+def mimic_2_preprocessed(spark: SparkSession, path: str) -> Cube:
+    """The preprocessed cohort, as a stored cube or, by its ending, a CSV file."""
+    return read_csv(spark, path) if path.endswith(".csv") else load(spark, path)
+
+
+def mimic_iv_omop(spark: SparkSession, path: str) -> Catalog:
+    """The demo tables, whose files have the prefix 2b_ where they are no part of the model's own."""
+    return setup_connection(spark, path, prefix="2b_")
+
+
+def gibleed_omop(spark: SparkSession, path: str) -> Catalog:
+    return setup_connection(spark, path)
+
+
+synthea27nj_omop = gibleed_omop

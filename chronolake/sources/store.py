@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,38 +11,60 @@ from pyspark.sql import functions as F
 from ..operators.cube import Cube, Layer
 from ..operators.features import cast_variables_to_float, harmonize_missing_values
 
-FORMAT_VERSION = 1
+#: Version 2 keeps the tables in a folder that the manifest names; version 1 had them beside it.
+FORMAT_VERSION = 2
 VALUE_TYPES = ("double", "float", "int", "bigint", "smallint", "tinyint", "boolean", "string")
 
 
 def save(cube: Cube, path: str, *, cells_per_file: int = 20_000_000, mode: str = "errorifexists") -> None:
-    """Write all parts; layers lie sorted by position, so that ranges of observations are read alone."""
-    spark, path = cube.obs.sparkSession, path.rstrip("/")
-    layers = {}
+    """Write all parts; layers lie sorted by position, so that ranges of observations are read alone.
+
+    mode is errorifexists or overwrite.  The tables go to a new folder and the manifest is written last,
+    so that a save that fails leaves the stored cube as it was; what it replaces is deleted then.
+    """
+    if mode not in ("errorifexists", "overwrite"):
+        raise ValueError("mode must be errorifexists or overwrite")
+    spark, store = cube.obs.sparkSession, path.rstrip("/")
+    folder, files = _folder(spark, store)
+    old = [s.getPath() for s in files.listStatus(folder)] if files.exists(folder) else []
+    if old and mode == "errorifexists":
+        raise FileExistsError(f"{store} is not empty")
+    data = f"data-{uuid.uuid4().hex}"
+    path, layers = f"{store}/{data}", {}
     for name, layer in cube.layers.items():
         kind = dict(layer.cells.dtypes)["value"]
         if kind not in VALUE_TYPES:
             raise ValueError(f"layer {name} holds {kind}, which cannot be stored")
         keys = ["obs_idx", "var_idx", *["t_idx"] * (layer.ndim == 3)]
         cells = layer.cells.repartitionByRange("obs_idx").sortWithinPartitions(*keys)
-        cells.write.mode(mode).option("maxRecordsPerFile", cells_per_file).parquet(f"{path}/layers/{name}")
+        cells.write.option("maxRecordsPerFile", cells_per_file).parquet(f"{path}/layers/{name}")
         layers[name] = {"ndim": layer.ndim, "fill": layer.fill}
     frames = {"obs": cube.obs, "var": cube.var, "tem": cube.tem}
     frames |= {f"{part}/{k}": v for part in ("obsm", "varm", "obsp", "varp") for k, v in getattr(cube, part).items()}
     frames |= {f"uns/{k}": v for k, v in cube.uns.items() if isinstance(v, DataFrame)}
     for name, df in frames.items():
-        df.write.mode(mode).parquet(f"{path}/{name}")
+        df.write.parquet(f"{path}/{name}")
     plain = {k: v for k, v in cube.uns.items() if not isinstance(v, DataFrame)}
-    manifest = {"format_version": FORMAT_VERSION, "shape": cube.shape, "layers": layers, "frames": sorted(frames), "uns": plain}
-    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/manifest")
+    manifest = {"format_version": FORMAT_VERSION, "data": data, "shape": cube.shape, "layers": layers, "frames": sorted(frames), "uns": plain}
+    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{store}/manifest")
+    for p in old:
+        if p.getName() != "manifest":
+            files.delete(p, True)
+
+
+def _folder(spark: SparkSession, path: str):
+    """A path and its file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def load(spark: SparkSession, path: str, *, harmonize_missing_values_: bool = True, cast_variables_to_float_: bool = True) -> Cube:
     """Read a stored cube; text layers get missing values and numbers recognised unless told otherwise."""
     path = path.rstrip("/")
     manifest = json.loads("".join(r[0] for r in spark.read.text(f"{path}/manifest").collect()))
-    if manifest["format_version"] > FORMAT_VERSION:
+    if manifest.get("format_version", 1) > FORMAT_VERSION:
         raise ValueError(f"format version {manifest['format_version']} is newer than this library's")
+    path = f"{path}/{manifest['data']}" if "data" in manifest else path
     read = {name: spark.read.parquet(f"{path}/{name}") for name in manifest["frames"]}
     parts = {part: {k.split("/", 1)[1]: v for k, v in read.items() if k.startswith(f"{part}/")} for part in ("obsm", "varm", "obsp", "varp", "uns")}
     layers = {k: Layer(spark.read.parquet(f"{path}/layers/{k}"), v["ndim"], v["fill"]) for k, v in manifest["layers"].items()}

@@ -17,30 +17,40 @@ def _normal(seed: int, *columns):
     return F.sqrt(-2 * F.log(_uniform(seed, *columns))) * F.cos(2 * 3.141592653589793 * _uniform(seed + 1, *columns))
 
 
-def blobs(spark: SparkSession, *, n_observations: int = 1000, n_variables: int = 11, n_timepoints: int = 100, n_centers: int = 5, n_categorical: int = 0, n_categories: int = 3, cluster_std: float = 1.0, time_shifts: bool = False, variable_length: bool = False, seasonality: bool = True, missing: float = 0.0, seed: int = 0, layer: str = "tem_data") -> Cube:
+def blobs(spark: SparkSession, *, n_observations: int = 1000, n_variables: int = 11, n_timepoints: int = 100, n_centers: int = 5, n_categorical: int = 0, n_categories: int | list[int] = 3, cluster_std: float = 1.0, time_shifts: bool = False, variable_length: bool = False, seasonality: bool = True, irregular: bool = False, sparsity: float | None = None, missing: float = 0.0, seed: int = 0, layer: str = "tem_data") -> Cube:
     """Clusters around N(0, 5) centers with trend, seasons and noise that grows with time.
 
     With variable_length records have 50 to 100 % of the steps, with time_shifts they begin up to a
-    fifth of the axis later; the last n_categorical variables are categories that lean to the cluster.
+    fifth of the axis later, and the axis is as long as the latest needs; with irregular the time of each
+    sample lies up to half a step beside its place.  The last n_categorical variables are categories that lean
+    to the cluster, n_categories of them or as many as its list says for each.  With sparsity, that share of the
+    cells is 0, which is the layer's fill and not stored.
     """
     obs = spark.range(n_observations).select(F.col("id").cast("int").alias("obs_idx"))
     obs = obs.withColumn("cluster", F.floor(_uniform(seed, "obs_idx") * n_centers).cast("int")).withColumn("obs_name", F.col("obs_idx").cast("string"))
     length = F.floor((0.5 + 0.5 * _uniform(seed + 10, "obs_idx")) * n_timepoints).cast("int") if variable_length else F.lit(n_timepoints)
     begin = F.floor(_uniform(seed + 20, "obs_idx") * n_timepoints / 5).cast("int") if time_shifts else F.lit(0)
-    cells = obs.withColumn("_first", begin).withColumn("_stop", F.least(F.col("_first") + length, F.lit(n_timepoints)))
+    n_axis = n_timepoints + (-(-n_timepoints // 5) if time_shifts else 0)
+    cells = obs.withColumn("_first", begin).withColumn("_stop", F.least(F.col("_first") + length, F.lit(n_axis)))
     cells = cells.withColumn("var_idx", F.explode(F.sequence(F.lit(0), F.lit(n_variables - 1)))).withColumn("t_idx", F.explode(F.sequence(F.col("_first"), F.col("_stop") - 1)))
-    at = F.col("t_idx") / float(n_timepoints)
+    at = (F.col("t_idx") + (_uniform(seed + 100, "obs_idx", "t_idx") - 0.5 if irregular else 0.0)) / float(n_timepoints)
     center = 5 * _normal(seed + 30, "cluster", "var_idx")
     trend = _normal(seed + 40, "cluster", "var_idx") * at
     season = F.sin(6.283185307179586 * (at * 2 + _uniform(seed + 50, "var_idx"))) if seasonality else F.lit(0.0)
     value = center + trend + season + cluster_std * (1 + at) * _normal(seed + 60, "obs_idx", "var_idx", "t_idx")
     if n_categorical:
-        own, other = F.col("cluster") % n_categories, F.floor(_uniform(seed + 70, "obs_idx", "var_idx", "t_idx") * n_categories)
+        kinds = n_categories if isinstance(n_categories, list) else [n_categories] * n_categorical
+        if len(kinds) != n_categorical:
+            raise ValueError("n_categories must be a number or have one for each categorical variable")
+        many = F.get(F.array(*map(F.lit, kinds)), F.col("var_idx") - (n_variables - n_categorical))
+        own, other = F.col("cluster") % many, F.floor(_uniform(seed + 70, "obs_idx", "var_idx", "t_idx") * many)
         category = F.when(_uniform(seed + 80, "obs_idx", "var_idx", "t_idx") < 0.7, own).otherwise(other).cast("double")
         value = F.when(F.col("var_idx") >= n_variables - n_categorical, category).otherwise(value)
     cells = cells.withColumn("value", value)
     if missing:
         cells = cells.where(_uniform(seed + 90, "obs_idx", "var_idx", "t_idx") >= missing)
     var = spark.range(n_variables).select(F.col("id").cast("int").alias("var_idx"), F.concat(F.lit("feature_"), "id").alias("var_name"))
-    cube = Cube.build(obs, var, None, n_t=n_timepoints)
-    return cube.with_layer(layer, cells.select("obs_idx", "var_idx", "t_idx", "value"), depth=n_timepoints) if n_timepoints > 1 else Cube.build(obs, var, None, {layer: Layer(cells.select("obs_idx", "var_idx", "t_idx", "value"), 3)}, n_t=1)
+    if sparsity is not None:
+        cells = cells.where(_uniform(seed + 110, "obs_idx", "var_idx", "t_idx") >= sparsity)
+    stored = Layer(cells.select("obs_idx", "var_idx", "t_idx", "value"), 3, None if sparsity is None else 0.0)
+    return Cube.build(obs, var, None, {layer: stored}, n_t=n_axis)

@@ -222,3 +222,120 @@ def test_overview_prints_all_names(spark, capsys):
     cells = spark.createDataFrame([(0, k, 1.0) for k in range(120)], "obs_idx int, var_idx int, value double")
     cl.feature_type_overview(Cube.build(obs, var, None, {"X": Layer(cells, 2)}))
     assert [line.strip() for line in capsys.readouterr().out.splitlines() if line.startswith("  ")] == [f"v{k:03}" for k in range(120)]
+
+
+def _cells(cube, layer="tem_data"):
+    return {tuple(r) for r in cube.layers[layer].cells.collect()}
+
+
+@pytest.mark.parametrize("flags", [[True, False, True], np.array([True, False, True]), "series"])
+def test_masks_on_all_axes(cube, flags):
+    import pandas as pd
+
+    flags = pd.Series([True, False, True]) if isinstance(flags, str) else flags
+    want = {(o, v, t, 9.0 * (0, 2)[o] + 3 * (0, 2)[v] + (0, 2)[t] + 1) for o in range(2) for v in range(2) for t in range(2)}
+    got = cube[flags, flags, flags]
+    assert got.shape == (2, 2, 2) and _cells(got) == want
+    assert [r[0] for r in got.tem.orderBy("t_idx").select("tem_name").collect()] == ["t1", "t3"]
+    with pytest.raises(IndexError):
+        cube[[True, False]]
+
+
+def test_numpy_and_label_keys(cube):
+    assert cube[np.int64(1), :, np.array([2, 0])].shape == (1, 3, 2)
+    assert _cells(cube[np.array([2, 2, 0])][:, ["var1"], 0]) == {(0, 0, 0, 19.0), (1, 0, 0, 19.0), (2, 0, 0, 1.0)}
+    assert _cells(cube["obs2":"obs3", "var2":, :"t1"]) == {(o, v, 0, 9.0 * (o + 1) + 3 * (v + 1) + 1) for o in range(2) for v in range(2)}
+    assert _cells(cube[::-2, :1, ::-1]) == {(o, 0, t, 9.0 * (2, 0)[o] + (2 - t) + 1) for o in range(2) for t in range(3)}
+    assert cube[[]].shape == (0, 3, 3) and cube[3:].shape == (0, 3, 3)
+    with pytest.raises(KeyError):
+        cube["obs2":"nobody"]
+    with pytest.raises(IndexError):
+        cube[[0, 1.5]]
+
+
+def test_slices_neither_sort_nor_join(cube):
+    got = cube[1:, ["var3", "var1"], ::2]
+    for frame in (got.layers["tem_data"].cells, got.obs, got.var):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan and "Sort" not in plan
+    assert got.shape == (2, 2, 2)
+
+
+def test_long_lists_are_joined(cube, monkeypatch):
+    from chronolake.operators import cube as module
+
+    want = _cells(cube[[2, 0]])
+    monkeypatch.setattr(module, "LITERALS", 1)
+    assert _cells(cube[[2, 0]]) == want
+    monkeypatch.setattr(module, "ARRAYS", 1)
+    assert {tuple(r) for r in cube.dense("tem_data").select("obs_idx", "var_idx", "t_idx", "value").collect()} == _cells(cube)
+
+
+def test_dense_and_packed_layers(cube, spark):
+    sparse = spark.createDataFrame([(0, 1, 2, 5.0), (2, 0, 0, 7.0)], "obs_idx int, var_idx int, t_idx int, value double")
+    c = cube.with_layer("s", sparse, depth=3, fill=0.0).with_layer("f", sparse.where("t_idx = 0").drop("t_idx"), ndim=2)
+    dense = {tuple(r) for r in c.dense("s").select("obs_idx", "var_idx", "t_idx", "value").collect()}
+    assert len(dense) == 27 and {x for x in dense if x[3]} == {tuple(r) for r in sparse.collect()}
+    assert {r["obs_idx"]: r["features"] for r in packed(c, "s").collect()}[0] == [[0.0] * 3, [0.0, 0.0, 5.0], [0.0] * 3]
+    flat = {r["obs_idx"]: r["rows"] for r in c.rows("f").collect()}
+    assert flat == {0: [None] * 3, 1: [None] * 3, 2: [7.0, None, None]}
+    deep = {r["obs_idx"]: r["rows"] for r in c.rows("s").collect()}
+    assert deep[1] == [[None] * 3] * 3
+
+
+def test_feature_types_output(cube, caplog):
+    with pytest.raises(ValueError):
+        cl.infer_feature_types(cube, output="list")
+    got = cl.infer_feature_types(cube, output="dataframe")
+    assert got.columns == ["var_name", "feature_type"] and got.count() == 3
+    with pytest.warns(UserWarning, match="tem_data"):
+        cl.infer_feature_types(Cube(cube.obs, cube.var, cube.tem, {"tem_data": cube.layers["tem_data"]}, 3, 3, 3))
+
+
+def test_frames_and_moves_refuse_what_does_not_fit(cube, spark):
+    frame = spark.createDataFrame([(1, "a", 0, 2.0)], "id int, what string, at int, number double")
+    keys = {"observation_column": "id", "variable_column": "what", "time_column": "at", "value_column": "number"}
+    assert from_frame(frame, format="long", long_format_keys=keys).shape == (1, 1, 1)
+    for more in ({"long_format_keys": keys}, {"wide_format_time_suffix": "_t_"}, {"format": "long", "long_format_keys": {"x": "id"}}):
+        with pytest.raises(ValueError):
+            from_frame(frame, **more)
+    with pytest.raises(ValueError, match="two axes"):
+        cl.move_to_x(cube, "obs_col_1", layer="tem_data")
+
+
+def test_store_keeps_the_old_cube_until_the_new_one_is_there(cube, tmp_path):
+    path = str(tmp_path / "cube")
+    save(cube, path)
+    with pytest.raises(FileExistsError):
+        save(cube, path)
+    one = Cube(cube.obs, cube.var, cube.tem, {"X": cube.X}, 3, 3, 3)
+    save(one, path, mode="overwrite")
+    assert set(load(cube.obs.sparkSession, path).layers) == {"X"} and len([p for p in (tmp_path / "cube").iterdir() if p.name.startswith("data-")]) == 1
+    bad = Cube(cube.obs, cube.var, cube.tem, {"X": Layer(cube.X.cells.withColumn("value", F.array("value")), 2)}, 3, 3, 3)
+    with pytest.raises(ValueError):
+        save(bad, path, mode="overwrite")
+    assert _cells(load(cube.obs.sparkSession, path), "X") == _cells(cube, "X")
+
+
+def test_generator_options(spark):
+    cube = blobs(spark, n_observations=40, n_variables=3, n_timepoints=10, time_shifts=True, irregular=True, n_categorical=2, n_categories=[2, 4], seed=3)
+    assert cube.shape == (40, 3, 12)
+    got = {r["var_idx"]: (r["low"], r["high"], r["n"]) for r in cube.layers["tem_data"].cells.groupBy("var_idx").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count_distinct("value").alias("n")).collect()}
+    assert got[1] == (0.0, 1.0, 2) and got[2] == (0.0, 3.0, 4)
+    per = cube.layers["tem_data"].cells.where("var_idx = 0").groupBy("obs_idx").agg(F.count("*").alias("n"), F.min("t_idx").alias("first"), F.max("t_idx").alias("last")).collect()
+    assert all(r["n"] == 10 and r["last"] - r["first"] == 9 for r in per) and len({r["first"] for r in per}) > 1
+    thin = blobs(spark, n_observations=50, n_variables=4, n_timepoints=10, sparsity=0.9)
+    assert thin.layers["tem_data"].fill == 0.0 and 100 < thin.layers["tem_data"].cells.count() < 320
+
+
+def test_stream_bins_follow_time_zero(spark, tmp_path):
+    """A time zero that is no multiple of the length still gives one row for each bin."""
+    from chronolake.streaming.bins import stream_binned
+
+    events = spark.createDataFrame([(k, 1, "hr", float(k), f"2024-01-01 {k:02d}:30:00") for k in range(6)] + [(9, 1, "hr", 9.0, "2024-01-03 00:00:00")], "event_id int, person_id int, concept string, value double, at string").withColumn("at", F.col("at").cast("timestamp"))
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    obs = spark.createDataFrame([(1, 1, "2024-01-01 00:20:00")], "obs_id int, person_id int, start_date string")
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    query = stream_binned(stream, obs, seconds=7200, count=12).writeStream.outputMode("append").format("memory").queryName("shifted").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert {(r["interval_step"], r["value"], r["n_events"]) for r in spark.table("shifted").collect()} == {(0, 1.0, 2), (1, 3.0, 2), (2, 5.0, 2)}

@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 
 from chronolake import omop
-from chronolake.datasets import physionet2012, physionet2019
+from chronolake.datasets import diabetes_130_raw, mimic_2, mimic_2_preprocessed, mimic_iv_omop, physionet2012, physionet2019
 from chronolake.functions.spec import TABLES, microseconds
-from chronolake.operators.export import iterate, labelled_tensors, scatter_pair
+from chronolake.operators.export import TensorSet, iterate, labelled_tensors, scatter_pair
 from chronolake.operators.extraction import remapped, unit_report
 from chronolake.functions.spec import EVENT_TABLES
 from chronolake.sources.catalog import Catalog, table_name
@@ -47,6 +47,10 @@ def test_labels_and_tensors(spark):
     got = list(iterate(labelled_tensors(cube, c)))
     assert [g[2] for g in got] == [1, 0] and got[0][1].shape == (2, 3) and got[0][1].dtype == np.float32
     assert got[0][1][0, 1] == 1.5 and np.isnan(got[0][1][0, 0]) and np.isnan(got[1][1][1]).all()
+    some = TensorSet(labelled_tensors(cube, c))
+    assert len(some) == 2 and np.array_equal(some[-1][0], got[1][1], equal_nan=True) and some[0][1] == 1
+    with pytest.raises(IndexError):
+        some[2]
     with pytest.raises(NotImplementedError):
         labelled_tensors(cube, c, target="age")
     report = {(r["concept_id"], r["unit_concept_id"]): r["multiple_units"] for r in unit_report(c["measurement"], EVENT_TABLES["measurement"]).collect()}
@@ -60,3 +64,14 @@ def test_names():
     assert microseconds(2, "h") == 7_200_000_000 and microseconds(1, "m") == 60_000_000 and microseconds(1, "W") == 7 * microseconds(1, "day")
     with pytest.raises(ValueError):
         microseconds(1, "ns")
+
+
+def test_named_sets(spark, tmp_path):
+    (tmp_path / "cohort.csv").write_text("age,censor_flg\n70,0\n80,1\n")
+    cube = mimic_2(spark, str(tmp_path / "cohort.csv"), columns_obs_only=["age"])
+    assert [r["value"] for r in cube.X.cells.orderBy("obs_idx").collect()] == [1.0, 0.0] and "age" in cube.obs.columns
+    assert mimic_2_preprocessed(spark, str(tmp_path / "cohort.csv")).shape == (2, 2, 1)
+    assert diabetes_130_raw(spark, str(tmp_path / "cohort.csv")).n_vars == 2
+    (tmp_path / "tables").mkdir()
+    (tmp_path / "tables" / "2b_concept.csv").write_text("concept_id,concept_name\n1,x\n")
+    assert "concept" in mimic_iv_omop(spark, str(tmp_path / "tables"))

@@ -39,6 +39,8 @@ from .wordscan import NONSPACE, mixed64, words
 BINS, MISS = 256, 1e-8
 #: Members of a hub that are compared with it in one task, and members that are compared as one block.
 MEMBERS, BLOCK = 256, 128
+#: Hubs whose sizes are broadcast, at most; beyond that they are joined by a shuffle.
+FEW = 500_000
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
 
@@ -283,6 +285,11 @@ def components(links: DataFrame) -> tuple[DataFrame, list[str]]:
     return label.select("node", F.col("to").alias("component")), paths
 
 
+def _few(hubs: DataFrame) -> DataFrame:
+    """A written table of a row for each of some hubs, to be broadcast if they are few."""
+    return F.broadcast(hubs) if hubs.limit(FEW + 1).count() <= FEW else hubs
+
+
 def _overlap_links(members: DataFrame, stars: DataFrame, label: DataFrame, percent: int, keep) -> DataFrame:
     """Links among the members of each bucket that the components of the stars' links do not give.
 
@@ -297,9 +304,7 @@ def _overlap_links(members: DataFrame, stars: DataFrame, label: DataFrame, perce
     open_ = named.groupBy("key").agg(F.min("_own").alias("_least"), F.max("_own").alias("_most")).where("_least < _most").select("key")
     some = named.join(open_, "key", "left_semi").select("hub", "node", F.col("_own").alias("component")).distinct()
     some = some.join(label.select(F.col("node").alias("hub"), F.col("component").alias("_hub")), "hub", "left")
-    some = some.withColumn("far", F.col("component") != F.coalesce("_hub", "hub")).drop("_hub")
-    far = some.groupBy("hub").agg(F.count_if("far").alias("_far"), F.count("*").alias("_n")).where("_far > 0 AND _n > 1").select("hub")
-    some = keep(some.join(far, "hub", "left_semi"), "near-open")
+    some = keep(some.withColumn("far", F.col("component") != F.coalesce("_hub", "hub")).drop("_hub"), "near-open")
     if some.isEmpty():
         return some.select(F.col("hub").alias("a"), F.col("node").alias("b"))
     rows = stars.join(some, ["hub", "node"]).select("hub", "node", F.col("n_node").alias("n"), "n_hub", F.size("x").alias("size"), "x", "component", "far")
@@ -315,9 +320,9 @@ def _overlap_links(members: DataFrame, stars: DataFrame, label: DataFrame, perce
     # who meets someone of another component by such a shingle
     met = rows.select("hub", "node", "far", "component", F.explode(F.slice("x", F.lit(1), F.least("_k", F.size("x")))).alias("e"))
     group = met.groupBy("hub", "e").agg(F.count_if("far").alias("_far"), F.min("component").alias("_least"), F.max("component").alias("_most")).where("_far > 0 AND _least < _most").select("hub", "e")
-    rows = rows.drop("_k").join(met.join(group, ["hub", "e"]).select("hub", "node").distinct(), ["hub", "node"])
-    size = rows.groupBy("hub").agg(F.count("*").alias("n_data"), F.count_if("far").alias("n_asks"))
-    rows = rows.join(size, "hub")
+    rows = keep(rows.drop("_k").join(met.join(group, ["hub", "e"]).select("hub", "node").distinct(), ["hub", "node"]), "near-met")
+    size = keep(rows.groupBy("hub").agg(F.count("*").alias("n_data"), F.count_if("far").alias("n_asks")), "near-sizes")
+    rows = rows.join(_few(size), "hub")
     n_i, n_j = F.ceil(F.col("n_asks") / BLOCK).cast("int"), F.ceil(F.col("n_data") / BLOCK).cast("int")
     spread = F.xxhash64("node")
     i, j = F.pmod(spread, n_i).cast("int"), F.pmod(spread, n_j).cast("int")
@@ -351,10 +356,12 @@ def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     needed = keep(pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).distinct().join(nodes.select("node", "least_id"), "node"), "near-needed")
     bitmaps = [spark.sparkContext.broadcast(id_bitmap(needed.select(F.coalesce(c, F.lit(0)).alias(c)), c)) for c in ("least_id", "node")]
     sets = keep(texts.mapInArrow(_sets(size, *bitmaps), "node long, shingles array<long>"), "near-sets")
-    sets = sets.groupBy("node").agg(F.any_value("shingles").alias("shingles"))
+    if sets.count() > sets.select("node").distinct().count():  # copies without an id, in several tasks
+        sets = sets.groupBy("node").agg(F.any_value("shingles").alias("shingles"))
     # the members of a hub are dealt to as many tasks as it takes, and its set goes to each
-    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts")
+    parts = keep(pairs.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")), "near-hubs")
+    large = _few(parts.where("parts > 1"))
+    dealt = pairs.join(large, "hub", "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     own = dealt.join(sets, "node").select("hub", "part", "node", F.col("shingles").alias("v"))
     of_hub = parts.join(sets, F.col("hub") == F.col("node")).select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("h"))
     x = F.concat(F.array_except("v", "h"), F.array_except("h", "v"))

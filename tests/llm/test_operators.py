@@ -44,6 +44,26 @@ def test_odd_tables_keep_every_row(spark, odd, name):
     assert len(rows) == (6 if name.startswith(("op1_", "op6_")) else len(DOCS))
 
 
+def test_clashing_columns_change_nothing(spark, odd, clashing):
+    """Results on documents with further columns of the results' names equal those without them."""
+    key = lambda df: sorted(map(str, df.collect()))
+    plain, labels = common.table(spark, odd, "documents"), common.table(spark, odd, "labels")
+    learned = rules.fitted(plain, labels)
+    columns = ["doc_id", "n_words", "kept"]
+    assert key(rules.judged(clashing, learned).select(*columns)) == key(rules.judged(plain, learned).select(*columns))
+    held = docstats.held_out(7, 2)
+    ends = lambda df: sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in df.collect())
+    assert ends(maxent.scored(clashing, held)) == ends(maxent.scored(plain, held))
+    digest = lambda df: key(tokenfile.digests(spark, tokenfile.token_file(df, VOCABULARY)))
+    assert digest(clashing) == digest(plain)
+    model = quality.fitted(plain, labels, ~docstats.held_out(5, 0))
+    assert quality.accepted(clashing, model, 0.0).columns == clashing.columns
+    tox = toxicity.located(clashing, toxicity.fitted(plain, labels, ~docstats.held_out(4, 2)))
+    assert tox.columns[:-2] == [c for c in clashing.columns if c not in ("score", "offending")] and tox.count() == len(DOCS)
+    pages = common.table(spark, odd, "pages").withColumn("text", F.lit("own")).withColumn("score", F.lit(1))
+    assert key(htmltext.extracted(pages, htmltext.trained()).select("page_id", "text")) == key(htmltext.op6_html_text(spark, odd).select("page_id", "text"))
+
+
 def test_pipeline(spark, odd):
     docs = common.table(spark, odd, "documents").withColumn("score", F.lit(1))
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -175,6 +195,85 @@ def test_op3_statistics(spark, odd):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r["kept"] and r["base_failed"])
 
 
+def statistics_by_force(text):
+    """All statistics of a text, counted character by character and word by word."""
+    text = text or ""
+    w, raw = split(text), text.encode()
+    lines, seen, dup = [x for x in text.split("\n") if split(x)], set(), 0
+    for x in lines:
+        dup += x in seen
+        seen.add(x)
+    grams = list(zip(w, w[1:], w[2:], strict=False))
+    often = Counter(grams)
+    covered = len({k + j for k, g in enumerate(grams) if often[g] > 1 for j in range(3)})
+    chars, n = sum(map(len, w)), len(w)
+    count = lambda marks: sum(c in marks for c in text)
+    letters = sum(b in range(65, 91) or b in range(97, 123) or b >= 0xC3 for b in raw)
+    share = lambda x, y: x / max(y, 1)
+    return {
+        "n_words": n, "word_chars": chars, "n_symbols": count("#*$%&|<>"), "n_dup_lines": dup, "n_repeat_words": covered,
+        "mean_word": share(chars, n), "symbol_share": share(count("#*$%&|<>"), chars), "upper_share": share(sum("A" <= c <= "Z" for c in text), letters),
+        "shout_share": share(count("!"), n), "bar_share": share(count("|"), n), "repeat_share": share(covered, n), "dup_line_share": share(dup, len(lines)),
+        "same_share": share(sum(x == y for x, y in zip(w, w[1:], strict=False)), n), "distinct_share": share(len(set(w)), n),
+        "digit_share": share(count("0123456789"), chars), "stop_share": share(count(".,;:?"), n), "line_share": share(len(lines), n),
+    }
+
+
+def test_op3_verdicts_against_brute_force(spark):
+    docs = common.table(spark, SMALL, "documents").select("doc_id", "text")
+    learned = rules.fitted(docs, common.table(spark, SMALL, "labels"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = rules.op3_quality_rules(spark, SMALL).collect()
+    assert len(got) == len(texts) and learned
+    for r in got:
+        s = statistics_by_force(texts[r["doc_id"]])
+        failed = s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"]
+        hit = any(all(s[name] > cut if sign == ">" else s[name] <= cut for name, sign, cut in rule) for rule in learned)
+        assert [r[c] for c in docstats.COUNTS] == [s[c] for c in docstats.COUNTS]
+        assert (r["base_failed"], r["kept"]) == (failed, not failed and not hit)
+
+
+def test_op7_rows_against_brute_force(spark):
+    """Scores from the densities of the fitted classes, over statistics counted another way."""
+    docs = common.table(spark, SMALL, "documents").select("doc_id", "text")
+    model = quality.fitted(docs, common.table(spark, SMALL, "labels"), ~docstats.held_out(5, 0))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r for r in quality.op7_quality(spark, SMALL).collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        s = statistics_by_force(text)
+        x = np.array([math.log1p(s["n_words"]), math.log(s["mean_word"] + 1), *(math.sqrt(s[c]) for c in docstats.SHARES if c != "mean_word")])
+        z, logs = (x - model.center) / model.scale, []
+        for mean, inverse, _ in model.classes:
+            covariance = np.linalg.inv(inverse.T @ inverse)
+            logs.append(-0.5 * (z - mean) @ np.linalg.solve(covariance, z - mean) - 0.5 * np.linalg.slogdet(covariance)[1])
+        margin = min(max(logs[1] - logs[0], -quality.LIMIT), quality.LIMIT)
+        score = 1 / (1 + math.exp(-min(max(model.slope * margin + model.shift, -30), 30)))
+        assert got[i]["score"] == pytest.approx(score, abs=1e-6) and got[i]["predicted"] == (got[i]["score"] >= 0.3)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_op2_rows_against_brute_force(spark):
+    """Scores sentence by sentence from the fitted weights."""
+    docs = common.table(spark, SMALL, "documents").select("doc_id", "text")
+    model = toxicity.fitted(docs, common.table(spark, SMALL, "labels"), ~docstats.held_out(4, 2))
+    weight = dict(zip(model.vocabulary.tolist(), model.weights.tolist(), strict=True))
+    assert weight
+    hash_of = lambda b: int(wordscan.Hashed(np.frombuffer(b, np.uint8)).ranges(np.array([0]), np.array([len(b)]))[0])
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r for r in toxicity.op2_toxicity(spark, SMALL).collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]", low(text)):
+            words = [x.encode() for x in alnum(sentence)]
+            if words:
+                features = {hash_of(b) for b in words} | {(hash_of(b[:n]) + n) % 2**64 for b in words for n in toxicity.BEGINNINGS if len(b) > n}
+                clean *= 1 - 1 / (1 + math.exp(-model.bias - sum(weight.get(f, 0.0) for f in features)))
+        assert got[i]["score"] == pytest.approx(1 - clean, abs=1e-9)
+        assert (got[i]["held_out"], got[i]["predicted"]) == (zlib.crc32(str(i).encode()) % 4 == 2, got[i]["score"] >= 0.3)
+
+
 def test_op3_learns_thresholds():
     rng = np.random.default_rng(0)
     x = {c: rng.random(900) for c in rules.INPUTS}

@@ -18,16 +18,30 @@ from ..sources.scratch import shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that Python handles at once; the arrays made of them take some fifty bytes for each.
 PIECE = 1 << 19
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH = 1 << 22
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session to BATCH bytes, unless its own configuration says otherwise.
+
+    Spark's default is 10,000 rows, which of long texts fill much memory on both sides.
+    """
+    if not spark.sparkContext.getConf().contains(_BATCH_BYTES):
+        spark.conf.set(_BATCH_BYTES, str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path

@@ -237,7 +237,7 @@ def _open_pairs(percent: int):
         for batch in batches:
             here = pa.Table.from_batches([batch])
             held = here if held is None else pa.concat_tables([held, here])
-            key = np.stack([np.array(held.column(c)) for c in ("hub", "i", "j")])
+            key = np.stack([np.array(held.column(c)) for c in ("hub", "kind", "i", "j")])
             edge = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
             for a, b in zip(np.concatenate(([0], edge[:-1])), edge, strict=True) if len(edge) else ():
                 yield links(held.slice(a, b - a))
@@ -294,10 +294,10 @@ def _overlap_links(members: DataFrame, stars: DataFrame, label: DataFrame, perce
     """Links among the members of each bucket that the components of the stars' links do not give.
 
     Only buckets whose members, the hub aside, lie in several components can have one.  With
-    s = (100 - percent) / (100 + percent), a link of u and v means |Xu & Xv| >=
-    (|Xu| - s nu + |Xv| - s nv) / 2.  For every v, |Xv| - s nv >= -s nh, and for a far u, which is not
-    linked to its hub, |Xu| - s nu > s nh.  So both halves give each side a least overlap above 0, and with the
-    shingles in one order the first ones of each, all but that overlap less one, have one in common.
+    s = (100 - percent) / (100 + percent) and a = |X| - s n of each member, a link of u and v means |Xu & Xv| >=
+    (a_u + a_v) / 2, which is above 0 where one of them is far, that is not linked to the hub.  So with the least a of
+    those it may meet, each member has a least overlap; and with the shingles in one order the first
+    ones of both, all but that overlap less one, have one in common.
     """
     share = F.lit((100 - percent) / (100 + percent))
     named = members.join(label.select("node", F.col("component").alias("_own")), "node", "left").withColumn("_own", F.coalesce("_own", "node"))
@@ -312,24 +312,33 @@ def _overlap_links(members: DataFrame, stars: DataFrame, label: DataFrame, perce
     each = rows.select("hub", "node", F.explode("x").alias("e"))
     often = each.groupBy("hub", "e").agg(F.count("*").alias("often")).where("often > 1")
     common = each.join(often, ["hub", "e"]).groupBy("hub", "node").agg(F.array_sort(F.collect_list(F.struct("often", "e"))).alias("common"))
-    least = (F.col("size") - share * F.col("n") + F.when(F.col("far"), -share * F.col("n_hub")).otherwise(share * F.col("n_hub"))) / 2
-    # a far member takes part as one of either kind, with the longer of its beginnings
-    first = F.col("size") - F.ceil(F.greatest(least - F.lit(1e-6), F.lit(0.0))).cast("int") + F.when(F.ceil(least - F.lit(1e-6)) > 0, 1).otherwise(0)
-    rows = rows.drop("x").join(common, ["hub", "node"]).withColumn("_k", first - (F.col("size") - F.size("common"))).where("_k > 0")
-    rows = keep(rows.withColumn("x", F.transform("common", lambda c: c["e"])).drop("common"), "near-common")
-    # who meets someone of another component by such a shingle
-    met = rows.select("hub", "node", "far", "component", F.explode(F.slice("x", F.lit(1), F.least("_k", F.size("x")))).alias("e"))
-    group = met.groupBy("hub", "e").agg(F.count_if("far").alias("_far"), F.min("component").alias("_least"), F.max("component").alias("_most")).where("_far > 0 AND _least < _most").select("hub", "e")
-    rows = keep(rows.drop("_k").join(met.join(group, ["hub", "e"]).select("hub", "node").distinct(), ["hub", "node"]), "near-met")
-    size = keep(rows.groupBy("hub").agg(F.count("*").alias("n_data"), F.count_if("far").alias("n_asks")), "near-sizes")
-    rows = rows.join(_few(size), "hub")
+    rows = keep(rows.drop("x").join(common, ["hub", "node"]).withColumn("_a", F.col("size") - share * F.col("n")).withColumn("x", F.transform("common", lambda c: c["e"])).drop("common"), "near-common")
+    far_a, near_a = (F.min(F.when(c, F.col("_a"))) for c in (F.col("far"), ~F.col("far")))
+    bounds = keep(rows.groupBy("hub").agg(far_a.alias("_far_a"), near_a.alias("_near_a")), "near-bounds")
+    rows = rows.join(_few(bounds), "hub")
+
+    def beginnings(kind: int, who, other: str) -> DataFrame:
+        """The rarest shared shingles of members, one of which any partner among the others must share."""
+        need = F.ceil((F.col("_a") + F.col(other)) / 2 - F.lit(1e-6)).cast("int")
+        many = F.col("size") - need + 1 - (F.col("size") - F.size("x"))  # unshared ones are the rarest
+        some = rows.where(who).withColumn("_k", F.least(many, F.size("x"))).where("_k > 0")
+        return some.select("hub", F.lit(kind).alias("kind"), "node", "far", "component", F.explode(F.slice("x", F.lit(1), F.col("_k"))).alias("e"))
+
+    # kind 0: far members among themselves; kind 1: far members with the others
+    met = beginnings(0, F.col("far"), "_far_a").union(beginnings(1, F.col("far"), "_near_a")).union(beginnings(1, ~F.col("far"), "_far_a"))
+    group = met.groupBy("hub", "kind", "e").agg(F.count_if("far").alias("_far"), F.count("*").alias("_n"), F.min("component").alias("_least"), F.max("component").alias("_most"))
+    group = group.where("_far > 0 AND _least < _most AND (kind = 0 OR _far < _n)").select("hub", "kind", "e")
+    who = met.join(group, ["hub", "kind", "e"]).select("hub", "kind", "node").distinct()
+    rows = keep(rows.drop("_a", "_far_a", "_near_a").join(who, ["hub", "node"]), "near-met")
+    size = keep(rows.groupBy("hub", "kind").agg(F.count_if((F.col("kind") == 0) | ~F.col("far")).alias("n_data"), F.count_if("far").alias("n_asks")).where("n_data > 0 AND n_asks > 0"), "near-sizes")
+    rows = rows.join(_few(size), ["hub", "kind"])
     n_i, n_j = F.ceil(F.col("n_asks") / BLOCK).cast("int"), F.ceil(F.col("n_data") / BLOCK).cast("int")
     spread = F.xxhash64("node")
     i, j = F.pmod(spread, n_i).cast("int"), F.pmod(spread, n_j).cast("int")
-    fields = ["hub", "node", "n", F.col("size").cast("long").alias("size"), "x", "component"]
+    fields = ["hub", "kind", "node", "n", F.col("size").cast("long").alias("size"), "x", "component"]
     asks = rows.where("far").select(*fields, F.lit(True).alias("asks"), i.alias("i"), F.explode(F.sequence(F.lit(0), n_j - 1)).alias("j"))
-    data = rows.where("n_asks > 0").select(*fields, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), n_i - 1)).alias("i"), j.alias("j"))
-    blocks = asks.unionByName(data).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    data = rows.where("kind = 0 OR NOT far").select(*fields, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), n_i - 1)).alias("i"), j.alias("j"))
+    blocks = asks.unionByName(data).repartition("hub", "kind", "i", "j").sortWithinPartitions("hub", "kind", "i", "j")
     return blocks.mapInArrow(_open_pairs(percent), "a long, b long").distinct()
 
 
@@ -415,7 +424,7 @@ def kept_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     Rows with a doc_id of their own are found by it; the others, if there are any, by their sets.
     """
-    every = _classes(docs, size, percent)
+    every, _ = written(_classes(docs, size, percent), "near-rows")
     repeated = every.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_again"))
     repeated, _ = written(repeated, "near-repeated")
     stay = every.where(F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -40,7 +40,7 @@ SCHEMA = (
 )
 
 #: Entries of a worker's table of known pieces, and the slots of its hash table.
-KNOWN, SLOTS = 3 << 18, 1 << 21
+KNOWN, SLOTS = 1 << 19, 1 << 20
 #: Bytes of text that are cut into pieces at once.
 SPAN = 1 << 19
 _SPACE, _LETTER, _DIGIT, _MARK, _ODD = range(5)

@@ -21,6 +21,14 @@ def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
+def date_diff(unit: str, begin: Column, end: Column) -> Column:
+    """Boundaries of a unit (year to second) that lie between two times; negative where end is earlier."""
+    if unit not in ("year", "quarter", "month", "week", "day", "hour", "minute", "second"):
+        raise ValueError(f"unknown unit {unit!r}")
+    a, b = (F.date_trunc(unit, as_time(x).cast("timestamp")) for x in (begin, end))
+    return F.timestamp_diff(unit.upper(), a, b)
+
+
 def point_step(zero: Column, at: Column, length: int) -> Column:
     """Number of whole lengths from zero to at, rounded down: intervals are [start, end)."""
     return _div(elapsed(zero, at) - F.pmod(elapsed(zero, at), F.lit(length).cast("long")), F.lit(length).cast("long")).cast("int")

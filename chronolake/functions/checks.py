@@ -21,6 +21,13 @@ def check_observation_table(name) -> str:
     return name
 
 
+def check_catalog(catalog):
+    from ..sources.catalog import Catalog
+
+    _require(isinstance(catalog, Catalog), TypeError, "Expected catalog to be a Catalog.")
+    return catalog
+
+
 def check_flag(value, name: str) -> bool:
     _require(isinstance(value, bool), TypeError, f"Expected {name} to be a boolean.")
     return value

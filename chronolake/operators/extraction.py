@@ -46,6 +46,7 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
 
 def setup_obs(catalog: Catalog, observation_table: str, *, death_table: bool = False) -> Cube:
     """A cube whose observations are persons, cohort entries, observation periods or visits."""
+    checks.check_catalog(catalog)
     checks.check_observation_table(observation_table)
     checks.check_flag(death_table, "death_table")
     rows, key = observation_rows(catalog, observation_table, death_table)
@@ -144,6 +145,7 @@ def enriched(var: DataFrame, catalog: Catalog, report: DataFrame | None, feature
 def _setup(cube: Cube, catalog: Catalog, *, layer, data_tables, data_field_to_keep, interval_length_number, interval_length_unit, num_intervals, concept_ids, aggregation_strategy, enrich_features, enrich_units, keep_date, time_precision, instantiate_tensor, clip_to_end, spans: bool) -> Cube:
     if not isinstance(cube, Cube):
         raise TypeError("Expected cube to be of type Cube.")
+    checks.check_catalog(catalog)
     tables = checks.check_data_tables(data_tables, spans)
     fields = checks.check_fields(data_field_to_keep, tables)
     checks.check_intervals(interval_length_number, interval_length_unit, num_intervals)

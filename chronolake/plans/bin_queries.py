@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bins import date_diff
 from ..functions.spec import DAY, STRATEGIES
 from ..operators.binning import binned, dense
 from ..sources.loaders import binned_long
@@ -80,10 +81,17 @@ def clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("obs_id", "concept", "interval_step", F.col("value").cast("bigint").alias("value"))
 
 
+def date_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries of each unit between the midnight before a user's first event and an event, and back."""
+    rows = measurements(spark, sf_dir).join(users(spark, sf_dir).select("person_id", "start_date"), "person_id")
+    units = [date_diff(u, F.col("start_date"), F.col("at")).cast("long").alias(f"{u}s") for u in ("month", "week", "day", "hour", "second")]
+    return rows.select("event_id", *units, date_diff("hour", F.col("at"), F.col("start_date")).cast("long").alias("back"))
+
+
 QUERIES = {f"bin_point_{s}": point(s) for s in STRATEGIES} | {
     "bin_presence": presence, "bin_point_date_precision": date_precision, "bin_span_start": span("start"), "bin_span_end": span("end"),
     "bin_span_interval": span("interval"), "bin_right_closed": right_closed, "bin_hourly_sparse": hourly_sparse, "bin_concept_filter": concept_filter,
-    "bin_clip_to_end": clipped,
+    "bin_clip_to_end": clipped, "date_differences": date_differences,
 }
 
 _BIN = f"WITH {SQL_ROLES}, {sql_bins(10, '1 day')}"
@@ -122,3 +130,5 @@ SELECT {_KEYS}, {_PRESENT}, CAST(SUM(m.value) AS DOUBLE) AS value {_JOINED.repla
 SQL["bin_concept_filter"] = f"{_BIN} SELECT {_KEYS}, MAX(m.value) AS value {_JOINED} WHERE x.concept IN ('click', 'purchase') GROUP BY {_KEYS}"
 SQL["bin_clip_to_end"] = f"""WITH {SQL_ROLES}, {sql_bins(5, '1 day')} SELECT {_KEYS}, COUNT(m.value) AS value
 {_JOINED.replace("LEFT JOIN", "JOIN")} JOIN users u ON u.obs_id = x.obs_id WHERE m.ts <= u.start_date + INTERVAL 36 HOUR GROUP BY {_KEYS}"""
+SQL["date_differences"] = f"""WITH {SQL_ROLES} SELECT event_id, {", ".join(f"date_diff('{u}', start_date, ts) AS {u}s" for u in ("month", "week", "day", "hour", "second"))}, date_diff('hour', ts, start_date) AS back
+FROM measurements JOIN users USING (person_id)"""

@@ -175,6 +175,8 @@ def test_arguments(catalog, more, error, text):
 def test_observation_arguments(catalog):
     with pytest.raises(ValueError, match="observation_table must be one of"):
         omop.setup_obs(catalog, "x")
+    with pytest.raises(TypeError, match="Expected catalog"):
+        omop.setup_obs({}, "person")
     with pytest.raises(TypeError, match="Expected observation_table"):
         omop.setup_obs(catalog, 1)
     with pytest.raises(TypeError, match="Expected death_table"):

@@ -61,18 +61,24 @@ _FLAG_BYTES = -(-FLAGS // 8)
 NODES = 1 << 12
 
 
-@lru_cache(1 << 16)
+_buckets: dict[tuple[str, int], int] = {}
+
+
 def _bucket(token: str, size: int) -> int:
-    n = 0
-    for c in token.encode():
-        n = (n * 31 + c) & 0xFFFFFFFF
-    return ((n * 2654435761) & 0xFFFFFFFF) * size >> 32
+    """A bucket by the token's bytes; those of many tokens are kept."""
+    got = _buckets.get((token, size))
+    if got is None:
+        n = 0
+        for c in token.encode():
+            n = (n * 31 + c) & 0xFFFFFFFF
+        got = ((n * 2654435761) & 0xFFFFFFFF) * size >> 32
+        if len(_buckets) < 1 << 16:
+            _buckets[token, size] = got
+    return got
 
 
-@lru_cache(None)
-def _raw_end(name: str):
-    """The next start or end tag of a name; group 1 is "/" in an end tag."""
-    return re.compile(rf"<(/?){name}\b[^>]*>", re.I)
+#: The next start or end tag of each name; group 1 is "/" in an end tag.
+_RAW_TAG = {name: re.compile(rf"<(/?){name}\b[^>]*>", re.I) for name in RAW}
 
 
 def laid_out(numbers: np.ndarray, flags: list[int]) -> np.ndarray:
@@ -126,10 +132,10 @@ class Page:
                 continue
             if name in RAW:
                 if not (m[3] or m[6] or "").endswith("/"):
-                    end = _raw_end(name).search(source, at)
+                    end = _RAW_TAG[name].search(source, at)
                     if name in OPAQUE:
                         while end and not end[1]:
-                            end = _raw_end(name).search(source, end.end())
+                            end = _RAW_TAG[name].search(source, end.end())
                         at = end.end() if end else len(source)
                     elif end and end[1]:
                         at = end.end()

@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import pieces, removed, table, text_buffers, written
@@ -326,9 +327,10 @@ def _overlap_links(members: DataFrame, stars: DataFrame, label: DataFrame, perce
 
     # kind 0: far members among themselves; kind 1: far members with the others
     met = beginnings(0, F.col("far"), "_far_a").union(beginnings(1, F.col("far"), "_near_a")).union(beginnings(1, ~F.col("far"), "_far_a"))
-    group = met.groupBy("hub", "kind", "e").agg(F.count_if("far").alias("_far"), F.count("*").alias("_n"), F.min("component").alias("_least"), F.max("component").alias("_most"))
-    group = group.where("_far > 0 AND _least < _most AND (kind = 0 OR _far < _n)").select("hub", "kind", "e")
-    who = met.join(group, ["hub", "kind", "e"]).select("hub", "kind", "node").distinct()
+    # rows of a member and a shingle are light, and those of a hub at most meet in one task
+    here = W.partitionBy("hub", "kind", "e")
+    group = {"_far": F.count_if("far").over(here), "_n": F.count("*").over(here), "_least": F.min("component").over(here), "_most": F.max("component").over(here)}
+    who = met.withColumns(group).where("_far > 0 AND _least < _most AND (kind = 0 OR _far < _n)").select("hub", "kind", "node").distinct()
     rows = keep(rows.drop("_a", "_far_a", "_near_a").join(who, ["hub", "node"]), "near-met")
     size = keep(rows.groupBy("hub", "kind").agg(F.count_if((F.col("kind") == 0) | ~F.col("far")).alias("n_data"), F.count_if("far").alias("n_asks")).where("n_data > 0 AND n_asks > 0"), "near-sizes")
     rows = rows.join(_few(size), ["hub", "kind"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, htmltext, maxent, mixing, neardup, quality, rules, tokenfile, toxicity, urlfilter
+from . import convrepair, decontaminate, htmltext, maxent, mixing, neardup, quality, rules, tokenfile, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_lm_score": maxent.op9_lm_score,
         "op10_near_duplicates": neardup.op10_near_duplicates,
+        "op11_conversation_repair": convrepair.op11_conversation_repair,
     }
 
 
 def oracle_sql() -> dict:
-    return decontaminate.SQL | mixing.SQL | neardup.SQL
+    return decontaminate.SQL | mixing.SQL | neardup.SQL | convrepair.SQL

@@ -26,15 +26,22 @@ PAGES = [
     (5, "https://x.com", "<div><p>unclosed <b>bold <script>var a='<p>no</p>'</script><!-- open comment"),
     (6, "https://x.com/de/a#b://c.org/", "<article><p>" + "long text here. " * 20000 + "</p></article>"),
 ]
+TURNS = [
+    (0, 1, "user", "A question?"), (0, 2, "assistant", "An answer."), (0, 2, "assistant", "An answer."), (0, 3, None, None), (0, None, "tool", "no turn"),
+    (1, 0, "system", "Be kind."), (1, 0, "system", "Be kind."), (1, 5, "user", " \t\n"), (1, 6, "assistant", "broken off "), (1, 7, "", "x"), (1, 8, "user", ""),
+    (None, 1, "user", "no conversation"), (None, None, None, None), (2, 3, "user", "word. " * 50000), (3, 1, "assistant", "Ünïcode 字!"), (3, 1, "user", "tie."),
+    (4, None, "user", "one."), (4, None, "user", "two."), (5, -3, "user", "minus."), (6, 1, "stranger", "s?"),
+]
 LABELS = [(0, 1, 0), (4, 0, 0), (6, 1, 1), (9, None, None), (10, 1, 0), (10, 0, 1), (99, 1, 0), (None, 1, 1)]
 
 
-def tables(spark, path, docs=DOCS, bench=BENCH, pages=PAGES, labels=LABELS):
+def tables(spark, path, docs=DOCS, bench=BENCH, pages=PAGES, labels=LABELS, turns=TURNS):
     d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
     d.coalesce(2).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(bench, "item_id long, text string").coalesce(1).write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{path}/pages.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(2).write.parquet(f"{path}/conversations.parquet")
     return str(path)
 
 
@@ -46,7 +53,7 @@ def odd(spark, tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def empty(spark, tmp_path_factory):
-    return tables(spark, tmp_path_factory.mktemp("empty"), [], [], [], [])
+    return tables(spark, tmp_path_factory.mktemp("empty"), [], [], [], [], [])
 
 
 @pytest.fixture(scope="session")

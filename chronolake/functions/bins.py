@@ -17,14 +17,19 @@ def elapsed(zero: Column, at: Column) -> Column:
 
 
 def _div(a: Column, b: Column) -> Column:
-    """Division of integers; exact, as a is always a multiple of b."""
+    """Division of integers, rounded towards 0."""
     return F.call_function("div", a, b)
 
 
 def date_diff(unit: str, begin: Column, end: Column) -> Column:
-    """Boundaries of a unit (year to second) that lie between two times; negative where end is earlier."""
+    """Boundaries of a unit (year to second) that lie between two times; negative where end is earlier.
+
+    Weeks are whole sevens of day boundaries, whatever the weekday, rounded towards 0.
+    """
     if unit not in ("year", "quarter", "month", "week", "day", "hour", "minute", "second"):
         raise ValueError(f"unknown unit {unit!r}")
+    if unit == "week":
+        return _div(date_diff("day", begin, end), F.lit(7))
     a, b = (F.date_trunc(unit, as_time(x).cast("timestamp")) for x in (begin, end))
     return F.timestamp_diff(unit.upper(), a, b)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import convrepair, decontaminate, htmltext, maxent, mixing, neardup, quality, rules, spelling, tokenfile, toxicity, urlfilter
+from . import convrepair, decontaminate, htmltext, maxent, mixing, neardup, ngramjoin, quality, rules, spelling, tokenfile, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_near_duplicates": neardup.op10_near_duplicates,
         "op11_conversation_repair": convrepair.op11_conversation_repair,
         "op12_spelling_variants": spelling.op12_spelling_variants,
+        "op13_ngram_join": ngramjoin.op13_ngram_join,
     }
 
 
 def oracle_sql() -> dict:
-    return decontaminate.SQL | mixing.SQL | neardup.SQL | convrepair.SQL | spelling.SQL
+    return decontaminate.SQL | mixing.SQL | neardup.SQL | convrepair.SQL | spelling.SQL | ngramjoin.SQL

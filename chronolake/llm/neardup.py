@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import pieces, removed, table, text_buffers, written
@@ -216,8 +215,8 @@ def close_pairs(node, n, size, x, component, query, data, percent: int) -> list[
     return out
 
 
-def _open_pairs(percent: int):
-    """Over rows sorted by block key: the links that the stars left open."""
+def _open_pairs(percent: int, search):
+    """Over rows sorted by block key: the links that the stars left open, as search (close_pairs or its like) finds them."""
 
     def links(rows):
         import pyarrow as pa
@@ -228,7 +227,7 @@ def _open_pairs(percent: int):
         x = [flat[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
         asks = np.array(rows.column("asks"))
         node, n, size, component = (np.array(rows.column(c)) for c in ("node", "n", "size", "component"))
-        got = close_pairs(node, n, size, x, component, np.flatnonzero(asks), np.flatnonzero(~asks), percent)
+        got = search(node, n, size, x, component, np.flatnonzero(asks), np.flatnonzero(~asks), percent)
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], names=["a", "b"])
 
     def run(batches):
@@ -291,7 +290,7 @@ def _few(hubs: DataFrame) -> DataFrame:
     return F.broadcast(hubs) if hubs.limit(FEW + 1).count() <= FEW else hubs
 
 
-def _overlap_links(members: DataFrame, stars: DataFrame, label: DataFrame, percent: int, keep) -> DataFrame:
+def _overlap_links(members: DataFrame, stars: DataFrame, label: DataFrame, percent: int, keep, search) -> DataFrame:
     """Links among the members of each bucket that the components of the stars' links do not give.
 
     Only buckets whose members, the hub aside, lie in several components can have one.  With
@@ -327,10 +326,11 @@ def _overlap_links(members: DataFrame, stars: DataFrame, label: DataFrame, perce
 
     # kind 0: far members among themselves; kind 1: far members with the others
     met = beginnings(0, F.col("far"), "_far_a").union(beginnings(1, F.col("far"), "_near_a")).union(beginnings(1, ~F.col("far"), "_far_a"))
-    # rows of a member and a shingle are light, and those of a hub at most meet in one task
-    here = W.partitionBy("hub", "kind", "e")
-    group = {"_far": F.count_if("far").over(here), "_n": F.count("*").over(here), "_least": F.min("component").over(here), "_most": F.max("component").over(here)}
-    who = met.withColumns(group).where("_far > 0 AND _least < _most AND (kind = 0 OR _far < _n)").select("hub", "kind", "node").distinct()
+    met = keep(met, "near-beginnings")
+    here = ["hub", "kind", "e"]
+    group = met.groupBy(*here).agg(F.count_if("far").alias("_far"), F.count("*").alias("_n"), F.min("component").alias("_least"), F.max("component").alias("_most"))
+    some = group.where("_far > 0 AND _least < _most AND (kind = 0 OR _far < _n)").select(*here)
+    who = met.join(some, here, "left_semi").select("hub", "kind", "node").distinct()
     rows = keep(rows.drop("_a", "_far_a", "_near_a").join(who, ["hub", "node"]), "near-met")
     size = keep(rows.groupBy("hub", "kind").agg(F.count_if((F.col("kind") == 0) | ~F.col("far")).alias("n_data"), F.count_if("far").alias("n_asks")).where("n_data > 0 AND n_asks > 0"), "near-sizes")
     rows = rows.join(_few(size), ["hub", "kind"])
@@ -341,54 +341,65 @@ def _overlap_links(members: DataFrame, stars: DataFrame, label: DataFrame, perce
     asks = rows.where("far").select(*fields, F.lit(True).alias("asks"), i.alias("i"), F.explode(F.sequence(F.lit(0), n_j - 1)).alias("j"))
     data = rows.where("kind = 0 OR NOT far").select(*fields, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), n_i - 1)).alias("i"), j.alias("j"))
     blocks = asks.unionByName(data).repartition("hub", "kind", "i", "j").sortWithinPartitions("hub", "kind", "i", "j")
-    return blocks.mapInArrow(_open_pairs(percent), "a long, b long").distinct()
+    return blocks.mapInArrow(_open_pairs(percent, search), "a long, b long").distinct()
 
 
-def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, print1, print2, group (a component's node; null without words) and component_id of each row."""
-    spark, used = docs.sparkSession, []
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        out, path = written(df, name)
-        used.append(path)
-        return out
-
-    rows, count = bands(percent / 100)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prepared, _ = written(texts.mapInArrow(_prepare(size, rows, count), "doc_id long, n_shingles long, print1 long, print2 long, keys array<long>"), "near-prints")
+def prepared_nodes(texts: DataFrame, prepare, list_name: str, keep) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, print1, print2, a list) that prepare makes of texts, and a node for each distinct set."""
+    prepared, _ = written(texts.mapInArrow(prepare, f"doc_id long, n_shingles long, print1 long, print2 long, {list_name} array<long>"), "near-prints")
     # were two sets to have one print1, that with the smaller print2 would be the node and the other stay alone
     least = F.min(F.struct("print2", F.col("doc_id").isNull().alias("no_id"), "doc_id"))
-    nodes = prepared.where("n_shingles > 0").groupBy(F.col("print1").alias("node")).agg(least.alias("least"), F.min_by("keys", "print2").alias("keys"))
-    nodes = keep(nodes.select("node", F.col("least.print2").alias("print2"), F.col("least.doc_id").alias("least_id"), "keys"), "near-nodes")
-    buckets = nodes.select("node", F.explode("keys").alias("key"))
+    nodes = prepared.where("n_shingles > 0").groupBy(F.col("print1").alias("node")).agg(least.alias("least"), F.min_by("n_shingles", "print2").alias("n"), F.min_by(list_name, "print2").alias(list_name))
+    return prepared, keep(nodes.select("node", "n", F.col("least.print2").alias("print2"), F.col("least.doc_id").alias("least_id"), list_name), "near-nodes")
+
+
+def with_hubs(buckets: DataFrame) -> DataFrame:
+    """key, hub and node: the smallest node of each bucket (key, node) with each other one."""
     hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub < _last").select("key", "hub")
-    members = keep(buckets.join(hubs, "key").where("node <> hub").select("key", "hub", "node"), "near-members")
-    pairs = keep(members.select("hub", "node").distinct(), "near-stars")
-    needed = keep(pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).distinct().join(nodes.select("node", "least_id"), "node"), "near-needed")
-    bitmaps = [spark.sparkContext.broadcast(id_bitmap(needed.select(F.coalesce(c, F.lit(0)).alias(c)), c)) for c in ("least_id", "node")]
+    return buckets.join(hubs, "key").where("node <> hub").select("key", "hub", "node")
+
+
+def sets_of(texts: DataFrame, nodes: DataFrame, size: int, keep) -> DataFrame:
+    """node and shingles of the nodes (node, least_id), and of few others."""
+    bitmaps = [texts.sparkSession.sparkContext.broadcast(id_bitmap(nodes.select(F.coalesce(c, F.lit(0)).alias(c)), c)) for c in ("least_id", "node")]
     sets = keep(texts.mapInArrow(_sets(size, *bitmaps), "node long, shingles array<long>"), "near-sets")
     if sets.count() > sets.select("node").distinct().count():  # copies without an id, in several tasks
         sets = sets.groupBy("node").agg(F.any_value("shingles").alias("shingles"))
+    return sets
+
+
+def differences(own: DataFrame, of_hub: DataFrame, percent: int) -> DataFrame:
+    """hub, node, n_node, n_hub, x, the difference of a member's set and its hub's, and linked."""
+    x = F.concat(F.array_except("v", "h"), F.array_except("h", "v"))
+    out = own.join(of_hub, ["hub", "part"]).select("hub", "node", F.size("v").cast("long").alias("n_node"), F.size("h").cast("long").alias("n_hub"), x.alias("x"))
+    total, apart = F.col("n_node") + F.col("n_hub"), F.size("x")
+    return out.withColumn("linked", 100 * (total - apart) >= percent * (total + apart))
+
+
+def joined(prepared: DataFrame, nodes: DataFrame, members: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int, keep, used: list[str], star=differences, search=close_pairs) -> DataFrame:
+    """doc_id, n_shingles, print1, print2, group (a component's node; null without words) and component_id of each row.
+
+    members: key, hub, node of all candidates; pairs: their distinct stars; star and search compare members with
+    their hub and among each other.  The tables named in used are removed.
+    """
+    spark = prepared.sparkSession
     # the members of a hub are dealt to as many tasks as it takes, and its set goes to each
     parts = keep(pairs.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")), "near-hubs")
     large = _few(parts.where("parts > 1"))
     dealt = pairs.join(large, "hub", "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     own = dealt.join(sets, "node").select("hub", "part", "node", F.col("shingles").alias("v"))
     of_hub = parts.join(sets, F.col("hub") == F.col("node")).select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("h"))
-    x = F.concat(F.array_except("v", "h"), F.array_except("h", "v"))
-    stars = own.join(of_hub, ["hub", "part"]).select("hub", "node", F.size("v").cast("long").alias("n_node"), F.size("h").cast("long").alias("n_hub"), x.alias("x"))
-    total, apart = F.col("n_node") + F.col("n_hub"), F.size("x")
-    stars = keep(stars.withColumn("linked", 100 * (total - apart) >= percent * (total + apart)), "near-links")
+    stars = keep(star(own, of_hub, percent), "near-links")
     label, paths = components(stars.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")))
     used += paths
-    more = keep(_overlap_links(members, stars, label, percent, keep), "near-more-links")
+    more = keep(_overlap_links(members, stars, label, percent, keep, search), "near-more-links")
     if not more.isEmpty():
         at = [label.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in "ab"]
         between = more.join(at[0], "a", "left").join(at[1], "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
-        joined, paths = components(keep(between, "near-between"))
+        across, paths = components(keep(between, "near-between"))
         used += paths
         every = label.select("node", "component").union(more.select("a", "a")).union(more.select("b", "b")).groupBy("node").agg(F.min_by("component", F.col("component") == F.col("node")).alias("component"))
-        onward = joined.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+        onward = across.select(F.col("node").alias("component"), F.col("component").alias("_to"))
         label = every.join(onward, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
     linked = keep(label.join(nodes.select("node", "least_id"), "node"), "near-linked")
     smallest = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
@@ -397,12 +408,36 @@ def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     named = named.select(F.col("node").alias("print1"), "print2", F.coalesce("_group", "node").alias("group"), F.when(F.col("_linked"), F.col("_id")).otherwise(F.col("least_id")).alias("component_id"), F.lit(True).alias("_named"))
     named, _ = written(named, "near-named")
     removed(spark, *used)
-    out = prepared.drop("keys").join(named, ["print1", "print2"], "left")
+    out = prepared.select("doc_id", "n_shingles", "print1", "print2").join(named, ["print1", "print2"], "left")
     group = F.when(F.col("n_shingles") > 0, F.coalesce("group", F.xxhash64("print1", "print2")))
     own_id = F.when((F.col("n_shingles") > 0) & F.col("_named"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", "print1", "print2", group.alias("group"), own_id.alias("component_id"))
 
 
+def keeper() -> tuple:
+    """A function that writes a table between steps, and the list of the paths it has written to."""
+    used: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out, path = written(df, name)
+        used.append(path)
+        return out
+
+    return keep, used
+
+
+def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The rows of joined(), for candidates that share a band."""
+    keep, used = keeper()
+    rows, count = bands(percent / 100)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prepared, nodes = prepared_nodes(texts, _prepare(size, rows, count), "keys", keep)
+    members = keep(with_hubs(nodes.select("node", F.explode("keys").alias("key"))), "near-members")
+    pairs = keep(members.select("hub", "node").distinct(), "near-stars")
+    needed = keep(pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).distinct().join(nodes.select("node", "least_id"), "node"), "near-needed")
+    return joined(prepared, nodes, members, pairs, sets_of(texts, needed, size, keep), percent, keep, used)
+
+
 def classes(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of documents (doc_id, text)."""
     return _classes(docs, size, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -4,7 +4,7 @@ Steps come from integer arithmetic on the distance to the observation's time zer
 of bins and events is an equality join, and events are aggregated before anything is made dense.
 Point events join on the person and a coarse stretch of time as long as all bins of an
 observation, which touches two of them at most; so a person with many observations meets an event
-at most with those around it.  Spans, which may be long, join on the person alone.  An
+at most with those around it.  Spans join on the person and the dyadic stretches that tile them (intervals).  An
 observation's end never clips its bins unless clip_to_end is set.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bins import aggregated, as_time, covered_steps, elapsed, point_step, stretch
+from .intervals import overlapping
 
 KEYS = ["obs_id", "person_id", "concept"]
 
@@ -42,7 +43,9 @@ def binned(
     rows = events.withColumn("_at", as_time("at"))
     rows = rows.where(F.col("concept").isNotNull())
     if span:
-        rows = rows.join(base, "person_id")
+        until = as_time("until")
+        rows = rows.withColumns({"_low": F.least("_at", until), "_high": F.greatest("_at", until)})
+        rows = overlapping(base, rows, width=length * count)
     else:
         here = stretch(F.col("_zero"), length * count)
         base = base.withColumn("_stretch", F.explode(F.array(here, here + 1)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.bins import date_diff
 from ..functions.spec import DAY, STRATEGIES
 from ..operators.binning import binned, dense
+from ..operators.intervals import overlapping
 from ..sources.loaders import binned_long
 from .roles import SQL_ROLES, measurements, spans, sql_bins, table, users
 
@@ -88,10 +89,21 @@ def date_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", *units, date_diff("hour", F.col("at"), F.col("start_date")).cast("long").alias("back"))
 
 
+def span_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each order the deliveries to its customer, each as many days long as its quantity, that lie in the 30 days from the order on."""
+    orders = table(spark, sf_dir, "orders")
+    windows = orders.select("o_orderkey", F.col("o_custkey").alias("person_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("_zero"))
+    lines = table(spark, sf_dir, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("person_id")), "l_orderkey")
+    low = F.col("l_shipdate").cast("timestamp_ntz")
+    spans = lines.select("person_id", "l_quantity", low.alias("_low"), (low + F.make_dt_interval(days=F.col("l_quantity").cast("int"))).alias("_high"))
+    met = overlapping(windows, spans, width=30 * DAY)
+    return met.groupBy("o_orderkey").agg(F.count("*").alias("n_spans"), F.sum("l_quantity").alias("quantity"), F.min("_low").alias("first_low"), F.max("_high").alias("last_high"))
+
+
 QUERIES = {f"bin_point_{s}": point(s) for s in STRATEGIES} | {
     "bin_presence": presence, "bin_point_date_precision": date_precision, "bin_span_start": span("start"), "bin_span_end": span("end"),
     "bin_span_interval": span("interval"), "bin_right_closed": right_closed, "bin_hourly_sparse": hourly_sparse, "bin_concept_filter": concept_filter,
-    "bin_clip_to_end": clipped, "date_differences": date_differences,
+    "bin_clip_to_end": clipped, "date_differences": date_differences, "span_overlaps": span_overlaps,
 }
 
 _BIN = f"WITH {SQL_ROLES}, {sql_bins(10, '1 day')}"
@@ -132,3 +144,7 @@ SQL["bin_clip_to_end"] = f"""WITH {SQL_ROLES}, {sql_bins(5, '1 day')} SELECT {_K
 {_JOINED.replace("LEFT JOIN", "JOIN")} JOIN users u ON u.obs_id = x.obs_id WHERE m.ts <= u.start_date + INTERVAL 36 HOUR GROUP BY {_KEYS}"""
 SQL["date_differences"] = f"""WITH {SQL_ROLES} SELECT event_id, {", ".join(f"date_diff('{u}', start_date, ts) AS {u}s" for u in ("month", "week", "day", "hour", "second"))}, date_diff('hour', ts, start_date) AS back
 FROM measurements JOIN users USING (person_id)"""
+
+SQL["span_overlaps"] = """WITH spans AS (SELECT o_custkey, l_quantity, CAST(l_shipdate AS TIMESTAMP) AS low, CAST(l_shipdate AS TIMESTAMP) + to_days(CAST(l_quantity AS INTEGER)) AS high FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT o_orderkey, count(*) AS n_spans, sum(l_quantity) AS quantity, min(low) AS first_low, max(high) AS last_high FROM orders o JOIN spans s ON s.o_custkey = o.o_custkey
+AND low < CAST(o_orderdate AS TIMESTAMP) + INTERVAL 30 DAY AND high >= CAST(o_orderdate AS TIMESTAMP) GROUP BY o_orderkey"""

@@ -7,7 +7,7 @@ returns a new cube.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -25,13 +25,42 @@ LITERALS = 1000
 ARRAYS = 1000
 
 
+@dataclass(frozen=True)
+class Stored:
+    """A layer's way back to its store: read(box) gives the cells of a box, positions by index, and few others.
+
+    Slices read anew what they take, so that files outside are not opened, and repeat the moves made since.
+    """
+
+    read: Callable[[dict[str, range | list[int]]], DataFrame]
+    cells: DataFrame
+    box: dict[str, range | list[int]] = field(default_factory=dict)
+    moves: tuple[Callable[[DataFrame], DataFrame], ...] = ()
+
+    def picked(self, index: str, chosen: range | list[int], move: Callable[[DataFrame], DataFrame]) -> Stored:
+        # positions of an axis that was sliced before are no longer the store's
+        box, moves = self.box if index in self.box else self.box | {index: chosen}, (*self.moves, move)
+        cells = self.read(box)
+        for m in moves:
+            cells = m(cells)
+        return Stored(self.read, cells, box, moves)
+
+
 @dataclass(frozen=True)
 class Layer:
-    """Cells of a layer; ndim is 2 where they have no t_idx."""
+    """Cells of a layer; ndim is 2 where they have no t_idx. stored counts only while its cells are the layer's."""
 
     cells: DataFrame
     ndim: int = 3
     fill: float | None = None
+    stored: Stored | None = None
+
+    def picked(self, index: str, chosen: range | list[int] | None, move: Callable[[DataFrame], DataFrame]) -> Layer:
+        """The layer after a choice of positions on an axis, which move makes."""
+        if chosen is None or self.stored is None or self.stored.cells is not self.cells:
+            return replace(self, cells=move(self.cells), stored=None)
+        stored = self.stored.picked(index, chosen, move)
+        return replace(self, cells=stored.cells, stored=stored)
 
 
 def with_ordinals(df: DataFrame, index: str, order: Sequence[Column] | None = None) -> DataFrame:
@@ -162,7 +191,7 @@ class Cube:
             n = len(chosen)
             move = lambda df, column=index: _renumbered(df, column, chosen, size)
             kept = move(frame)
-        layers = {k: replace(v, cells=move(v.cells)) if axis != "tem" or v.ndim == 3 else v for k, v in self.layers.items()}
+        layers = {k: v.picked(index, chosen, move) if axis != "tem" or v.ndim == 3 else v for k, v in self.layers.items()}
         sizes = {"obs": {"n_obs": n}, "var": {"n_vars": n}, "tem": {"n_t": n}}[axis]
         more = {}
         if axis in ("obs", "var"):

@@ -14,6 +14,7 @@ from ..operators.cube import Cube, Layer, with_ordinals
 from ..operators.export import packed, time_slice
 from ..operators.move import move_to_obs, move_to_x
 from ..operators.reshape import from_frame, to_long, to_wide
+from ..sources.chunks import load_chunked, save_chunked
 from ..sources.scratch import shared_dir
 from ..sources.store import load, save, sparse
 from ..sources.synthetic import blobs
@@ -127,6 +128,22 @@ def stored(spark, sf_dir):
     return named(load(spark, _saved(cube(spark, sf_dir))))
 
 
+def chunked(spark, sf_dir):
+    """A cube written as chunked arrays and read back."""
+    return named(load_chunked(spark, _chunks(cube(spark, sf_dir))))
+
+
+def chunked_slice(spark, sf_dir):
+    """Every fifth user from the eleventh on, in the last days, of chunked arrays: the filters choose the chunks."""
+    return named(load_chunked(spark, _chunks(cube(spark, sf_dir), (32, 2, 4)))[10::5, :, 7:])
+
+
+def _chunks(c: Cube, chunks="auto") -> str:
+    path = f"{shared_dir(c.obs.sparkSession)}/chunks-{uuid.uuid4().hex}"
+    save_chunked(c, path, chunks=chunks)
+    return path
+
+
 def _saved(c: Cube) -> str:
     path = f"{shared_dir(c.obs.sparkSession)}/cube-{uuid.uuid4().hex}"
     save(c, path)
@@ -171,7 +188,7 @@ QUERIES = {
     "reduce_time_max": reduced("max"), "reduce_time_min": reduced("min"), "reduce_time_mean": reduced("mean"), "dense_backbone": dense_backbone,
     "long_to_wide": long_to_wide, "wide_to_long": wide_to_long, "long_to_wide_all": long_to_wide_all, "wide_to_long_all": wide_to_long_all, "fill_time_gaps_all": fill_time_gaps_all, "flat_to_long": flat_to_long, "fill_time_gaps": fill_time_gaps,
     "move_to_obs": moved_to_obs, "move_to_x": moved_to_x, "store_round_trip": stored, "tensor_export": tensors, "generator": generated,
-    "slice_mask": slice_mask, "slice_label": slice_label, "store_sparse": stored_sparse,
+    "store_chunks": chunked, "store_chunks_slice": chunked_slice, "slice_mask": slice_mask, "slice_label": slice_label, "store_sparse": stored_sparse,
 }
 
 _CUBE = f"""WITH {SQL_ROLES}, {sql_bins(STEPS, "1 day")},
@@ -211,5 +228,7 @@ FROM users u LEFT JOIN cells c ON c.obs_name = CAST(u.obs_id AS VARCHAR) GROUP B
     "store_sparse": f"""WITH {SQL_ROLES}, {sql_bins(STEPS, "1 day")} SELECT dense_rank() OVER (ORDER BY x.obs_id) - 1 AS obs, dense_rank() OVER (ORDER BY x.concept) - 1 AS var, CAST(x.interval_step AS BIGINT) AS step, count(m.value) AS value
 FROM bins x LEFT JOIN measurements m ON x.person_id = m.person_id AND x.concept = m.concept AND m.ts >= x.a AND m.ts < x.b GROUP BY x.obs_id, x.concept, x.interval_step""",
     "store_round_trip": f"{_CUBE} SELECT * FROM cells",
+    "store_chunks": f"{_CUBE} SELECT * FROM cells",
+    "store_chunks_slice": f"{_CUBE} SELECT obs_name, var_name, CAST((obs_idx - 10) / 5 AS INTEGER) AS obs_idx, CAST(t_idx - 7 AS INTEGER) AS t_idx, value FROM cells WHERE t_idx >= 7 AND obs_idx >= 10 AND obs_idx % 5 = 0",
     "tensor_export": f"{_CUBE} SELECT obs_idx, CAST(v.i AS INTEGER) AS var_idx, t_idx, value FROM cells JOIN (SELECT concept, dense_rank() OVER (ORDER BY concept) - 1 AS i FROM concepts) v ON v.concept = var_name",
 }

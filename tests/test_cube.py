@@ -1,5 +1,9 @@
 """Cubes, reshaping, feature types, moves, storage, loaders and streams on small data."""
 
+import json
+import shutil
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -11,8 +15,9 @@ from chronolake.functions.bins import closed_step, covered_steps, point_step
 from chronolake.operators.cube import Cube, Layer, default_tem
 from chronolake.operators.export import packed, time_slice
 from chronolake.operators.reshape import from_frame, to_frame
+from chronolake.sources import store
 from chronolake.sources.loaders import challenge_cube, read_csv
-from chronolake.sources.store import load, save
+from chronolake.sources.store import load, save, vacuum, versions
 from chronolake.sources.synthetic import blobs
 
 
@@ -310,13 +315,65 @@ def test_store_keeps_the_old_cube_until_the_new_one_is_there(cube, tmp_path):
         save(cube, path)
     one = Cube(cube.obs, cube.var, cube.tem, {"X": cube.X}, 3, 3, 3)
     save(one, path, mode="overwrite")
-    assert set(load(cube.obs.sparkSession, path).layers) == {"X"} and len([p for p in (tmp_path / "cube").iterdir() if p.name.startswith("data-")]) == 1
+    assert set(load(cube.obs.sparkSession, path).layers) == {"X"} and len([p for p in (tmp_path / "cube").iterdir() if p.name.startswith("data-")]) == 2
+    assert len(vacuum(cube.obs.sparkSession, path)) == 1
     bad = Cube(cube.obs, cube.var, cube.tem, {"X": Layer(cube.X.cells.withColumn("value", F.array("value")), 2)}, 3, 3, 3)
     with pytest.raises(ValueError):
         save(bad, path, mode="overwrite")
     assert _cells(load(cube.obs.sparkSession, path), "X") == _cells(cube, "X")
 
 
+def test_store_versions(spark, cube, tmp_path, monkeypatch):
+    """Readers hold their version; of two saves from one version one wins; vacuum keeps the last versions; older formats are read."""
+    path, one = str(tmp_path / "cube"), Cube(cube.obs, cube.var, cube.tem, {"X": cube.X}, 3, 3, 3)
+    assert save(cube, path) == 1
+    reader = load(spark, path)
+    assert save(one, path, mode="overwrite") == 2 and versions(spark, path) == [1, 2]
+    assert _cells(reader, "tem_data") == _cells(cube, "tem_data")
+    assert set(load(spark, path).layers) == {"X"} and set(load(spark, path, version=1).layers) == set(cube.layers)
+    monkeypatch.setattr(store, "_next", lambda spark, path: 2)  # began before version 2 was made
+    with pytest.raises(store.Conflict):
+        save(cube, path, mode="overwrite")
+    monkeypatch.undo()
+    assert set(load(spark, path).layers) == {"X"}
+    with pytest.raises(ValueError, match="no version"):
+        load(spark, path, version=7)
+    (tmp_path / "cube" / "_versions" / "0000000003.claim").touch()  # a save that died after its claim
+    assert save(one, path, mode="overwrite") == 4
+    assert len(vacuum(spark, path, keep=2)) == 2 and versions(spark, path) == [2, 4]
+    manifest = next((tmp_path / "cube" / "_versions").glob("*4.json"))
+    old = json.loads(manifest.read_text()) | {"format_version": 2}
+    (tmp_path / "cube" / "manifest").mkdir()
+    (tmp_path / "cube" / "manifest" / "part-0").write_text(json.dumps(old))
+    shutil.rmtree(tmp_path / "cube" / "_versions")
+    assert _cells(load(spark, path), "X") == _cells(cube, "X")
+    (tmp_path / "cube" / "manifest" / "part-0").write_text(json.dumps(old | {"format_version": 9}))
+    with pytest.raises(ValueError, match="newer"):
+        load(spark, path)
+
+
+def test_store_tiles(spark, tmp_path):
+    """Slices open the files whose boxes they touch, on every axis, and give what they gave before."""
+    obs, var = (spark.range(n).select(F.col("id").cast("int").alias(f"{a}_idx"), F.col("id").cast("string").alias(f"{a}_name")) for a, n in (("obs", 64), ("var", 16)))
+    rows = spark.range(64 * 16 * 16).select(*((F.shiftright("id", s) % n).cast("int").alias(c) for c, s, n in (("obs_idx", 8, 64), ("var_idx", 4, 16), ("t_idx", 0, 16))), F.col("id").cast("double").alias("value"))
+    big = Cube.build(obs, var, None, {"X": Layer(rows, 3)}, n_t=16)
+    save(big, str(tmp_path / "big"), cells_per_file=256)
+    back = load(spark, str(tmp_path / "big"))
+    many = len(back.X.cells.inputFiles())
+    assert many >= 64
+    for pick, share in ((lambda c: c[:, 3, 5], 0.15), (lambda c: c[7], 0.2), (lambda c: c[:, :, 4:6], 0.4), (lambda c: c[10:20][:, [2, 3]][:, :, -1], 0.15), (lambda c: c[[0, 63], 0, 0], 0.06), (lambda c: c[:], 1)):
+        assert key_rows(pick(back).X.cells) == key_rows(pick(big).X.cells)
+        assert len(pick(back).X.cells.inputFiles()) <= many * share
+    assert back[[]].X.cells.count() == 0
+    text = replace(big, layers={"X": Layer(rows.withColumn("value", F.col("value").cast("string")), 3)})
+    save(text, str(tmp_path / "text"), cells_per_file=256)
+    assert key_rows(load(spark, str(tmp_path / "text"))[5, :, 2].X.cells) == key_rows(big[5, :, 2].X.cells)
+
+
+def key_rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
 def test_generator_options(spark):
     cube = blobs(spark, n_observations=40, n_variables=3, n_timepoints=10, time_shifts=True, irregular=True, n_categorical=2, n_categories=[2, 4], seed=3)
     assert cube.shape == (40, 3, 12)

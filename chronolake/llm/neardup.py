@@ -317,20 +317,26 @@ def _overlap_links(members: DataFrame, stars: DataFrame, label: DataFrame, perce
     bounds = keep(rows.groupBy("hub").agg(far_a.alias("_far_a"), near_a.alias("_near_a")), "near-bounds")
     rows = rows.join(_few(bounds), "hub")
 
-    def beginnings(kind: int, who, other: str) -> DataFrame:
-        """The rarest shared shingles of members, one of which any partner among the others must share."""
+    def beginning(other: str):
+        """Number of the rarest shared shingles of a member, one of which any partner among the others must share."""
         need = F.ceil((F.col("_a") + F.col(other)) / 2 - F.lit(1e-6)).cast("int")
-        many = F.col("size") - need + 1 - (F.col("size") - F.size("x"))  # unshared ones are the rarest
-        some = rows.where(who).withColumn("_k", F.least(many, F.size("x"))).where("_k > 0")
-        return some.select("hub", F.lit(kind).alias("kind"), "node", "far", "component", F.explode(F.slice("x", F.lit(1), F.col("_k"))).alias("e"))
+        many = F.size("x") - need + 1  # unshared ones are the rarest
+        return F.greatest(F.least(F.coalesce(many, F.lit(0)), F.size("x")), F.lit(0))
 
     # kind 0: far members among themselves; kind 1: far members with the others
-    met = beginnings(0, F.col("far"), "_far_a").union(beginnings(1, F.col("far"), "_near_a")).union(beginnings(1, ~F.col("far"), "_far_a"))
-    met = keep(met, "near-beginnings")
-    here = ["hub", "kind", "e"]
-    group = met.groupBy(*here).agg(F.count_if("far").alias("_far"), F.count("*").alias("_n"), F.min("component").alias("_least"), F.max("component").alias("_most"))
-    some = group.where("_far > 0 AND _least < _most AND (kind = 0 OR _far < _n)").select(*here)
-    who = met.join(some, here, "left_semi").select("hub", "kind", "node").distinct()
+    far = F.col("far")
+    met = rows.withColumns({"_k0": F.when(far, beginning("_far_a")).otherwise(0), "_k1": F.when(far, beginning("_near_a")).otherwise(beginning("_far_a"))})
+    met = met.select("hub", "node", "far", "component", "_k0", "_k1", F.posexplode(F.slice("x", F.lit(1), F.greatest("_k0", "_k1"))).alias("_at", "e"))
+    met = keep(met.select("hub", "node", "far", "component", "e", (F.col("_at") < F.col("_k0")).alias("_in0"), (F.col("_at") < F.col("_k1")).alias("_in1")), "near-beginnings")
+    at = lambda k: F.when(F.col(f"_in{k}"), F.col("component"))
+    group = met.groupBy("hub", "e").agg(
+        F.min(at(0)).alias("_least0"), F.max(at(0)).alias("_most0"), F.min(at(1)).alias("_least1"), F.max(at(1)).alias("_most1"), F.bool_or(far & F.col("_in1")).alias("_far"), F.bool_or(~far & F.col("_in1")).alias("_near")
+    )
+    open0, open1 = F.coalesce(F.col("_least0") < F.col("_most0"), F.lit(False)), F.coalesce(F.col("_far") & F.col("_near") & (F.col("_least1") < F.col("_most1")), F.lit(False))
+    some = group.select(F.col("hub").alias("_hub"), F.col("e").alias("_e"), open0.alias("_open0"), open1.alias("_open1")).where("_open0 OR _open1")
+    kinds = [F.when(F.col(f"_in{k}") & F.col(f"_open{k}"), F.lit(k)) for k in (0, 1)]
+    who = met.join(some, (F.col("hub") == F.col("_hub")) & (F.col("e") == F.col("_e")) & (F.col("_in0") & F.col("_open0") | F.col("_in1") & F.col("_open1")))
+    who = who.groupBy("hub", "node").agg(*(F.max(k).alias(f"_kind{n}") for n, k in enumerate(kinds))).select("hub", "node", F.explode(F.array_compact(F.array("_kind0", "_kind1"))).alias("kind"))
     rows = keep(rows.drop("_a", "_far_a", "_near_a").join(who, ["hub", "node"]), "near-met")
     size = keep(rows.groupBy("hub", "kind").agg(F.count_if((F.col("kind") == 0) | ~F.col("far")).alias("n_data"), F.count_if("far").alias("n_asks")).where("n_data > 0 AND n_asks > 0"), "near-sizes")
     rows = rows.join(_few(size), ["hub", "kind"])

@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import aggregated, as_time, covered_steps, elapsed, point_step, stretch
 from .intervals import overlapping
+from .selection import medians, modes
 
 KEYS = ["obs_id", "person_id", "concept"]
+#: Strategies whose built-in holds all values of a bin, and events, at most, for which it is taken.
+_SELECTED = {"median": medians, "mode": modes}
+HOT = 1_000_000
 
 
 def binned(
@@ -60,9 +64,20 @@ def binned(
         inside = elapsed(F.col("_zero"), F.col("_at")).between(0, length * count - 1)
         rows = rows.where(inside).withColumn("interval_step", point_step(F.col("_zero"), F.col("_at"), length))
     by = [F.col("_at"), *map(F.col, order)]
-    value: list[Column] = [aggregated(strategy, f, by).alias(f) for f in fields if f != "is_present"]
+    fields = [f for f in fields if f != "is_present"]
+    keys = [*KEYS, "interval_step"]
+    # a bin has no more values than there are events, so that tables of few need no other way
+    apart = list(fields) if strategy in _SELECTED and not _at_most(events, HOT) else []
+    value: list[Column] = [aggregated(strategy, f, by).alias(f) for f in fields if f not in apart]
     value += [aggregated("last", f, by).alias(f) for f in last_fields]
-    return rows.groupBy(*KEYS, "interval_step").agg(F.max(F.lit(1)).alias("is_present"), *value)
+    out = rows.groupBy(*keys).agg(F.max(F.lit(1)).alias("is_present"), *value)
+    for f in apart:
+        out = out.join(_SELECTED[strategy](rows, keys, f), keys)
+    return out.select(*keys, "is_present", *fields, *last_fields)
+
+
+def _at_most(events: DataFrame, n: int) -> bool:
+    return events.limit(n + 1).count() <= n
 
 
 def backbone(obs: DataFrame, concepts: DataFrame, count: int) -> DataFrame:

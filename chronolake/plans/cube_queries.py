@@ -179,8 +179,14 @@ def tensors(spark, sf_dir):
 
 
 def generated(spark, sf_dir):
-    c = blobs(spark, n_observations=50, n_timepoints=8, variable_length=True, time_shifts=True, missing=0.1, n_categorical=2)
-    return named(c, "tem_data")
+    """Records of all users, each from the hour of its first event on and as long as it has events: the united axis, and the records and cells of each time."""
+    events = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("_first"), F.count("*").alias("_n"))
+    hours = F.timestamp_diff("HOUR", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("_first").cast("timestamp_ntz"))
+    records = events.select(F.col("user_id").cast("string").alias("obs_name"), hours.cast("double").alias("start"), F.least("_n", F.lit(9)).cast("int").alias("steps"))
+    c = blobs(spark, records=records, n_variables=4, n_categorical=1)
+    cells = c.layers["tem_data"].cells
+    per = cells.groupBy("t_idx").agg(F.count_distinct("obs_idx").alias("n_records"), F.count("*").alias("n_cells"), F.count_if(F.abs("value") < 200).alias("n_bounded"))
+    return c.tem.join(per, "t_idx").select(F.col("timepoint").cast("long").alias("timepoint"), F.round("time_value", 6).alias("time_value"), "n_records", "n_cells", "n_bounded")
 
 
 QUERIES = {
@@ -227,6 +233,10 @@ FROM users u LEFT JOIN cells c ON c.obs_name = CAST(u.obs_id AS VARCHAR) GROUP B
     "slice_label": f"{_CUBE} SELECT obs_name, var_name, obs_idx, CAST((9 - t_idx) / 2 AS INTEGER) AS t_idx, value FROM cells WHERE var_name BETWEEN 'error' AND 'signup' AND t_idx % 2 = 1",
     "store_sparse": f"""WITH {SQL_ROLES}, {sql_bins(STEPS, "1 day")} SELECT dense_rank() OVER (ORDER BY x.obs_id) - 1 AS obs, dense_rank() OVER (ORDER BY x.concept) - 1 AS var, CAST(x.interval_step AS BIGINT) AS step, count(m.value) AS value
 FROM bins x LEFT JOIN measurements m ON x.person_id = m.person_id AND x.concept = m.concept AND m.ts >= x.a AND m.ts < x.b GROUP BY x.obs_id, x.concept, x.interval_step""",
+    "generator": """WITH records AS (SELECT user_id, CAST(date_diff('microsecond', TIMESTAMP '2024-01-01', min(ts)) // 3600000000 AS DOUBLE) AS start, least(count(*), 9) AS steps FROM events GROUP BY user_id),
+longest AS (SELECT CAST(max(steps) AS DOUBLE) AS n FROM records), each AS (SELECT user_id, start, steps, unnest(range(steps)) AS k FROM records),
+times AS (SELECT user_id, start + CASE WHEN steps > 1 THEN k * n / (steps - 1) ELSE 0 END AS t FROM each, longest)
+SELECT row_number() OVER (ORDER BY t) - 1 AS timepoint, round(t, 6) AS time_value, count(*) AS n_records, 4 * count(*) AS n_cells, 4 * count(*) AS n_bounded FROM times GROUP BY t""",
     "store_round_trip": f"{_CUBE} SELECT * FROM cells",
     "store_chunks": f"{_CUBE} SELECT * FROM cells",
     "store_chunks_slice": f"{_CUBE} SELECT obs_name, var_name, CAST((obs_idx - 10) / 5 AS INTEGER) AS obs_idx, CAST(t_idx - 7 AS INTEGER) AS t_idx, value FROM cells WHERE t_idx >= 7 AND obs_idx >= 10 AND obs_idx % 5 = 0",

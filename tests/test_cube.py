@@ -375,12 +375,35 @@ def key_rows(df):
 
 
 def test_generator_options(spark):
-    cube = blobs(spark, n_observations=40, n_variables=3, n_timepoints=10, time_shifts=True, irregular=True, n_categorical=2, n_categories=[2, 4], seed=3)
-    assert cube.shape == (40, 3, 12)
+    cube = blobs(spark, n_observations=40, n_variables=3, n_timepoints=12, time_shifts=True, irregular=True, variable_length=True, n_categorical=2, n_categories=[2, 4], seed=3)
     got = {r["var_idx"]: (r["low"], r["high"], r["n"]) for r in cube.layers["tem_data"].cells.groupBy("var_idx").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count_distinct("value").alias("n")).collect()}
     assert got[1] == (0.0, 1.0, 2) and got[2] == (0.0, 3.0, 4)
-    per = cube.layers["tem_data"].cells.where("var_idx = 0").groupBy("obs_idx").agg(F.count("*").alias("n"), F.min("t_idx").alias("first"), F.max("t_idx").alias("last")).collect()
-    assert all(r["n"] == 10 and r["last"] - r["first"] == 9 for r in per) and len({r["first"] for r in per}) > 1
+    # the axis is the union of the records' times, in order
+    tem = [(r["t_idx"], r["tem_name"], r["time_value"]) for r in cube.tem.orderBy("t_idx").collect()]
+    assert cube.n_t == len(tem) and [t[0] for t in tem] == list(range(len(tem))) and [t[2] for t in tem] == sorted({t[2] for t in tem})
+    per = cube.layers["tem_data"].cells.where("var_idx = 0").groupBy("obs_idx").agg(F.count("*").alias("n"), F.min("t_idx").alias("first")).collect()
+    assert len(per) == 40 and sum(r["n"] for r in per) - 39 == cube.n_t, "irregular times are all different, but for the last one, which ends all"
+    assert min(r["n"] for r in per) >= 10 and max(r["n"] for r in per) <= 18 and len({r["n"] for r in per}) > 3
+    assert all(0 <= t[2] <= 18 + 1e-9 for t in tem)
+
+
+def test_generator_unites_times(spark):
+    """Regular records without shift share one axis; shifted ones meet where their times are equal; given records keep names and starts."""
+    assert blobs(spark, n_observations=30, n_variables=2, n_timepoints=8).n_t == 8
+    given = spark.createDataFrame([("b", 0.0, 5), ("a", 2.0, 5), ("c", 0.0, 3), ("d", 7.5, 1), ("e", 1.0, 0)], "obs_name string, start double, steps int")
+    cube = blobs(spark, records=given, n_variables=1)
+    assert [r["obs_name"] for r in cube.obs.orderBy("obs_idx").collect()] == list("abcde")
+    times = {r["t_idx"]: r["time_value"] for r in cube.tem.collect()}
+    own = {}
+    for r in cube.layers["tem_data"].cells.collect():
+        own.setdefault("abcde"[r["obs_idx"]], []).append(times[r["t_idx"]])
+    assert {k: sorted(v) for k, v in own.items()} == {"b": [0, 1.25, 2.5, 3.75, 5], "a": [2, 3.25, 4.5, 5.75, 7], "c": [0, 2.5, 5], "d": [7.5]}
+    assert sorted(times.values()) == sorted({t for v in own.values() for t in v})
+    with pytest.raises(ValueError, match="fewer variables"):
+        blobs(spark, n_variables=1, n_categorical=2)
+
+
+def test_generator_sparsity(spark):
     thin = blobs(spark, n_observations=50, n_variables=4, n_timepoints=10, sparsity=0.9)
     assert thin.layers["tem_data"].fill == 0.0 and 100 < thin.layers["tem_data"].cells.count() < 320
 

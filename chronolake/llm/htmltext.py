@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import loaded, pieces, shared_value, table
 
-TREES, DEPTH, RATE, BINS = 40, 4, 0.3, 16
+TREES, DEPTH, RATE, BINS = 60, 4, 0.3, 16
 #: Hash buckets of a node's own attribute tokens and of its ancestors'.
 OWN, ABOVE = 192, 96
-TRAIN_PAGES = 450
+TRAIN_PAGES = 900
 #: Log-odds that a node must offer to be dropped below a main node.
 DROP_COST = 2.5
 
@@ -317,6 +317,10 @@ class Boosted:
 
 
 MAIN = "\x01"  # marks main text in generated pages
+#: Weight of a heading against other nodes: few they are, and an article without its title lacks much.
+HEADING = 3.0
+#: Share of generated pages that are short articles of any blocks with little around them.
+PLAIN = 0.4
 
 
 def training_page(rng: np.random.Generator) -> str:
@@ -326,7 +330,9 @@ def training_page(rng: np.random.Generator) -> str:
         return options[int(rng.integers(len(options)))]
 
     def some(n, main=False):
-        return " ".join((MAIN if main else "") + "".join(pick("ba", "re", "ti", "on", "ka", "lu", "es", "an", "mo") for _ in range(int(rng.integers(1, 5)))) for _ in range(n))
+        odd = 0.05 if rng.random() < 0.1 else 0.0  # some runs of words have character references and signs among them
+        word = lambda: pick("&#x4e2d;", "&hellip;", "&amp;", "3.14", "x=1;", "&#8211;") if odd and rng.random() < odd else "".join(pick("ba", "re", "ti", "on", "ka", "lu", "es", "an", "mo") for _ in range(int(rng.integers(1, 5))))
+        return " ".join((MAIN if main else "") + word() for _ in range(n))
 
     def sentence(n, main=False):
         return some(max(2, n // 2), main) + pick(", ", " ") + some(max(1, n // 2), main) + pick(".", ".", "!", "?")
@@ -376,7 +382,7 @@ def training_page(rng: np.random.Generator) -> str:
             return f"<p><b>{body}<br><p>{sentence(10, True)}</p>"
         if kind < 0.15:
             level = pick(2, 3)
-            return f"<h{level}>{some(3, True)}</h{level}><p>{body}</p>"
+            return f"<h{level}>{some(int(rng.integers(1, 5)), True)}</h{level}><p>{body}</p>"
         if kind < 0.2:
             return "<ul>" + "".join(f"<li>{sentence(8, True)}</li>" for _ in range(int(rng.integers(2, 6)))) + "</ul>"
         if kind < 0.24:
@@ -389,15 +395,45 @@ def training_page(rng: np.random.Generator) -> str:
             return f"<p>{sentence(9, True)} <a href=\"/x\">{some(2, True)}</a> {body}</p>"
         if kind < 0.4:
             return f"<div>{body}</div>"
+        if kind < 0.48:
+            return block()
         return f"<p{pick('', '', '', names('text', 'para', 'lead', 'intro'))}>{body}</p>"
 
+    def block():
+        """Blocks of an article other than paragraphs: lists, definitions, code, tables, headings, quotations, lines that are one link."""
+        many = range(int(rng.integers(1, 7)))
+        line = lambda: pick(sentence(int(rng.integers(2, 16)), True), some(int(rng.integers(1, 6)), True))
+        linked = lambda: f'<a href="/{some(1)}">{line()}</a>'
+        return pick(
+            *(f"<{tag}>" + "".join(f"<li>{pick(line, line, line, linked)()}</li>" for _ in many) + f"</{tag}>" for tag in ("ul", "ol")),
+            "<dl>" + "".join(f"<dt>{some(2, True)}</dt><dd>{line()}</dd>" for _ in many) + "</dl>",
+            f"<pre>{pick('', '<code>')}" + "\n".join(some(int(rng.integers(1, 8)), True) for _ in many) + "</pre>",
+            "<table>" + f"<tr><th>{some(1, True)}</th><th>{some(2, True)}</th></tr>" * int(rng.integers(0, 2)) + "".join(f"<tr><td>{some(2, True)}</td><td>{line()}</td></tr>" for _ in many) + "</table>",
+            f"<h{pick(1, 2, 3, 4)}>{some(int(rng.integers(1, 8)), True)}</h1>", f"<blockquote>{line()}</blockquote>",
+            f"<p>{linked()}</p>", f"<p>{linked()}</p>", f"<figure><img src=x><figcaption>{line()}</figcaption></figure>", f"<div>{line()}</div>", f"<p>{line()}</p>",
+        )
+
+    def plain_article():
+        """A short article of any blocks, with or without a heading and a wrapper."""
+        n = int(rng.integers(1, 7))
+        kinds = [pick(block, paragraph, lambda: f"<p>{sentence(int(rng.integers(2, 20)), True)}</p>") for _ in range(n)]
+        parts = [f"<h{pick(1, 1, 1, 2)}>{some(int(rng.integers(1, 9)), True)}</h1>"] * (rng.random() < 0.7) + [kind() + (pick(advert, aside, comments, notice)() if rng.random() < 0.15 else "") for kind in kinds]
+        wrapper = pick("", "", "", "article", "article", "main", "div", "section")
+        attributes = pick("", "", names("content", "article", "post", "entry")) if wrapper else ""
+        return f"<{wrapper}{attributes}>{''.join(parts)}</{wrapper}>" if wrapper else "".join(parts)
+
+    if rng.random() < PLAIN:
+        around = [f() for f in (menu, header, advert, notice, aside) if rng.random() < 0.15]
+        after = [f() for f in (aside, comments, advert, footer) if rng.random() < 0.2]
+        page = "".join(around) + plain_article() + "".join(after)
+        return pick(f"<html><head><title>{some(3)}</title></head><body>{page}</body></html>", f"<body>{page}</body>", page)
     body = []
     short = rng.random() < 0.3
     for _ in range(1 if short else int(rng.integers(1, 25))):
         body.append(f"<p>{pick('', '<b>')}{sentence(int(rng.integers(1, 14)), True)}</p>" if short else paragraph())
         if not short and rng.random() < 0.06:
             body.append(pick(advert, aside, form, notice)())
-    head = f"<h1>{some(int(rng.integers(2, 9)), True)}</h1>" if rng.random() < 0.85 else ""
+    head = f"<h1>{some(int(rng.integers(1, 9)), True)}</h1>" if rng.random() < 0.85 else ""
     if rng.random() < 0.15:
         body.append(comments())
     tag = pick("article", "article", "article", "main", "div", "section", "div")
@@ -435,7 +471,8 @@ def labelled_nodes(page: Page) -> tuple[np.ndarray, np.ndarray]:
     for k in range(lowest, len(page.tag)):
         below[k] = k == lowest or (page.parent[k] >= 0 and below[page.parent[k]])
     wide = np.array([t in ("html", "body") for t in page.tag])
-    return (pure | (below & (marked > plain) & ~wide)).astype(float), ((marked + plain) > 0).astype(float)
+    weight = np.where([t[0] == "h" and t[1:].isdigit() for t in page.tag], HEADING, 1.0)
+    return (pure | (below & (marked > plain) & ~wide)).astype(float), weight * ((marked + plain) > 0)
 
 
 def fit(pages: list[str]) -> Boosted:

@@ -64,7 +64,12 @@ class Layer:
 
 
 def with_ordinals(df: DataFrame, index: str, order: Sequence[Column] | None = None) -> DataFrame:
-    """Add dense ordinals from 0 in the given order, without one task that sees all rows.
+    """Add dense ordinals from 0 in the given order; see counted_ordinals."""
+    return counted_ordinals(df, index, order)[0]
+
+
+def counted_ordinals(df: DataFrame, index: str, order: Sequence[Column] | None = None) -> tuple[DataFrame, int]:
+    """Dense ordinals from 0 in the given order, without one task that sees all rows, and the number of rows.
 
     Rows are sorted into ranges; each partition counts its rows, and the few partition sizes give
     the offsets.  The ranges are pinned, as another run could sample other bounds.
@@ -78,11 +83,11 @@ def with_ordinals(df: DataFrame, index: str, order: Sequence[Column] | None = No
         offsets.append(total - (part << 33))
         total += sizes.get(part, 0)
     if not offsets:
-        return ranged.withColumn(index, F.lit(0)).drop("_part", "_at")
+        return ranged.withColumn(index, F.lit(0)).drop("_part", "_at"), 0
     if len(offsets) <= LITERALS:
-        return ranged.withColumn(index, (F.col("_at") + F.get(F.lit(offsets), F.col("_part"))).cast("int")).drop("_part", "_at")
+        return ranged.withColumn(index, (F.col("_at") + F.get(F.lit(offsets), F.col("_part"))).cast("int")).drop("_part", "_at"), total
     shift = spark.createDataFrame(list(enumerate(offsets)), "_part int, _shift long")
-    return ranged.join(F.broadcast(shift), "_part").withColumn(index, (F.col("_at") + F.col("_shift")).cast("int")).drop("_part", "_at", "_shift")
+    return ranged.join(F.broadcast(shift), "_part").withColumn(index, (F.col("_at") + F.col("_shift")).cast("int")).drop("_part", "_at", "_shift"), total
 
 
 def pinned(df: DataFrame) -> DataFrame:

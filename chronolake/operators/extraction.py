@@ -13,7 +13,7 @@ from ..functions import checks
 from ..functions.spec import EVENT_TABLES, OPEN_END, TIME_TABLES, EventTable, microseconds
 from ..sources.catalog import Catalog
 from .binning import binned, dense
-from .cube import Cube, Layer, default_tem, pinned, with_ordinals
+from .cube import Cube, Layer, counted_ordinals, default_tem, pinned
 
 log = logging.getLogger(__name__)
 PERIOD = ["obs_id", "person_id", "start_date", "end_date"]
@@ -50,10 +50,11 @@ def setup_obs(catalog: Catalog, observation_table: str, *, death_table: bool = F
     checks.check_observation_table(observation_table)
     checks.check_flag(death_table, "death_table")
     rows, key = observation_rows(catalog, observation_table, death_table)
-    obs = with_ordinals(rows, "obs_idx", [F.col(key)]).withColumn("obs_name", F.col("obs_idx").cast("string"))
+    obs, n = counted_ordinals(rows, "obs_idx", [F.col(key)])
+    obs = obs.withColumn("obs_name", F.col("obs_idx").cast("string"))
     spark = catalog.spark
     var = spark.createDataFrame([], "var_idx int, var_name string")
-    return Cube.build(obs, var, default_tem(spark, 1), n_t=1, uns={"observation_table": observation_table})
+    return Cube(obs, var, default_tem(spark, 1), n_obs=n, uns={"observation_table": observation_table})
 
 
 def periods(cube: Cube, precision: str) -> DataFrame:
@@ -94,6 +95,13 @@ def long_table(cube: Cube, events: DataFrame, spec: EventTable, fields: Sequence
     return cells, rows.where(F.col("concept").isNotNull()).select("concept").distinct()
 
 
+def distinct_concepts(catalog: Catalog, name: str, concepts="all") -> DataFrame:
+    """concept: what the events of a table are about, each once; those of a list only, if one is given."""
+    spec = EVENT_TABLES[name]
+    out = catalog[name].select(F.col(spec.concept).alias("concept")).where(F.col("concept").isNotNull())
+    return (out if concepts == "all" else out.where(F.col("concept").isin(list(concepts)))).distinct()
+
+
 def remapped(concepts: DataFrame, catalog: Catalog) -> DataFrame:
     """mapped: the concept itself where the concept table has it, else the last one it was mapped from."""
     if "concept_relationship" not in catalog or "concept" not in catalog:
@@ -186,8 +194,8 @@ def _setup(cube: Cube, catalog: Catalog, *, layer, data_tables, data_field_to_ke
     var = parts[0]
     for p in parts[1:]:
         var = var.unionByName(p, allowMissingColumns=True)
-    var = with_ordinals(var, "var_idx", [F.col("_table"), F.col("data_table_concept_id")]).withColumn("var_name", F.col("data_table_concept_id").cast("string"))
-    n_vars = var.count()
+    var, n_vars = counted_ordinals(var, "var_idx", [F.col("_table"), F.col("data_table_concept_id")])
+    var = var.withColumn("var_name", F.col("data_table_concept_id").cast("string"))
     steps = default_tem(catalog.spark, num_intervals).withColumn("interval_step", F.col("t_idx"))
     out = replace(cube, var=var.drop("_table"), tem=steps, n_vars=n_vars, n_t=num_intervals, uns=uns)
     if not instantiate_tensor:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.spec import MISSING
-from .cube import Cube
+from .cube import Cube, pinned
 
 log = logging.getLogger(__name__)
 TYPES = ("numeric", "categorical", "date")
@@ -26,10 +26,10 @@ def classified(kind: T.DataType, value: Column, binary_as: str = "categorical")
     number = value.try_cast("double") if text else value.cast("double")
     n, n_iso = F.count(value), F.count_if(value.rlike(ISO_DATE)) if text else F.lit(0)
     n_number = F.count(number)
-    low, high, kinds = F.min(number), F.max(number), F.count_distinct(number)
+    low, high, others = F.min(number), F.max(number), F.count_if(~number.isin(0.0, 1.0))
     dates = F.lit(isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType)) | (F.lit(text) & (n > 0) & (n_iso == n) & (n_number < n))
     other = F.lit(isinstance(kind, T.BooleanType)) | (n_number < n)
-    binary = (kinds == 2) & (low == 0) & (high == 1)
+    binary = (others == 0) & (low == 0) & (high == 1)
     feature = F.when(n == 0, None).when(dates, "date").when(other, "categorical").when(binary, "numeric" if binary_as == "numeric" else "categorical").otherwise("numeric")
     return {"n": n, "feature_type": feature, "uncertain": F.coalesce(binary & ~other & ~dates, F.lit(False))}
 
@@ -47,7 +47,8 @@ def infer_feature_types(cube: Cube, *, layer: str | None = None, output: str | N
         warnings.warn(f"The cube has no layer X; feature types come from layer '{name}'.", UserWarning, stacklevel=2)
     cells = cube.layers[name].cells
     kind = dict((f.name, f.dataType) for f in cells.schema)["value"]
-    got = cells.where("value IS NOT NULL").groupBy("var_idx").agg(*[c.alias(k) for k, c in classified(kind, F.col("value"), binary_as).items()])
+    # a row for each variable, read three times from here on
+    got = pinned(cells.where("value IS NOT NULL").groupBy("var_idx").agg(*[c.alias(k) for k, c in classified(kind, F.col("value"), binary_as).items()]))
     old = F.col("feature_type") if "feature_type" in cube.var.columns else F.lit(None)
     var = cube.var.withColumn("_old", old).drop("feature_type", "uncertain").join(got.drop("n"), "var_idx", "left")
     var = var.withColumn("feature_type", F.coalesce("_old", "feature_type")).withColumn("uncertain", F.col("_old").isNull() & F.coalesce("uncertain", F.lit(False))).drop("_old")

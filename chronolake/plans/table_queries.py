@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spec import EVENT_TABLES
+from ..operators.cohort import AtLeast, Events, attrition, cohort, index_times
 from ..operators.cube import Cube, Layer, with_ordinals
 from ..operators.export import labelled_tensors, mortality
-from ..operators.extraction import enriched, first_rows, long_table, observation_rows, periods, remapped, setup_interval_variables, setup_obs, setup_variables, unit_report
+from ..operators.extraction import distinct_concepts, enriched, first_rows, long_table, observation_rows, periods, remapped, setup_interval_variables, setup_obs, setup_variables, unit_report
 from ..operators.features import cast_variables_to_float, castable, categories, harmonize_missing_values, infer_feature_types
 from ..operators.reshape import from_frame, to_long
 from ..sources.catalog import Catalog
@@ -86,7 +87,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def var_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog(spark, sf_dir)["measurement"].select(F.col("measurement_concept_id").alias("concept")).distinct()
+    return distinct_concepts(catalog(spark, sf_dir), "measurement")
 
 
 def _extracted(spark, sf_dir, **more) -> Cube:
@@ -124,13 +125,38 @@ def tensor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cohort_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cohort by SQL over the registered tables: persons outside the death table, with the hours of their first event."""
-    catalog(spark, sf_dir)
-    return spark.sql("""
-WITH first_event AS (SELECT person_id, min(measurement_datetime) AS at FROM measurement GROUP BY person_id),
-stays AS (SELECT p.person_id, p.observation_period_start_date AS began, f.at FROM observation_period p JOIN first_event f USING (person_id))
-SELECT person_id, CAST(timestampdiff(HOUR, CAST(began AS TIMESTAMP_NTZ), at) AS BIGINT) AS hours FROM stays
-WHERE person_id NOT IN (SELECT person_id FROM death) AND timestampdiff(HOUR, CAST(began AS TIMESTAMP_NTZ), at) >= 2""")
+    """A cohort of persons outside the death table whose first event comes two hours or later into the observation period, with those hours."""
+    c = catalog(spark, sf_dir)
+    events, periods_ = Events(c["measurement"], "measurement_datetime"), Events(c["observation_period"], "observation_period_start_date")
+    steps = {"gap": AtLeast(periods_, before=-2, unit="h"), "alive": ~AtLeast(Events(c["death"]))}
+    began = c["observation_period"].select(F.col("person_id").alias("_of"), F.col("observation_period_start_date").cast("timestamp_ntz").alias("_began"))
+    rows = cohort(index_times(events), steps).join(began, F.col("person_id") == F.col("_of"))
+    return rows.select("person_id", F.timestamp_diff("HOUR", F.col("_began"), F.col("index")).alias("hours"))
+
+
+def _steps(c: Catalog) -> tuple[DataFrame, dict]:
+    """The first purchase as index, and steps of all kinds: counts, windows on both sides, exclusion, alternatives, another table."""
+    events, kind = Events(c["measurement"], "measurement_datetime"), F.col("measurement_concept_id")
+    index = index_times(events, kind == CODES["purchase"])
+    steps = {
+        "a click in the ten days before": AtLeast(events, kind == CODES["click"], after=-10, before=0),
+        "no error within two days": ~AtLeast(events, kind == CODES["error"], after=-2, before=2),
+        "two views, or a signup later": AtLeast(events, kind == CODES["view"], n=2) | AtLeast(events, kind == CODES["signup"], after=0),
+        "alive": ~AtLeast(Events(c["death"])),
+    }
+    return index, steps
+
+
+def cohort_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons who pass all steps, with their index time."""
+    index, steps = _steps(catalog(spark, sf_dir))
+    return cohort(index, steps).select("person_id", F.col("index").alias("index_time"))
+
+
+def cohort_attrition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons left and lost step by step."""
+    index, steps = _steps(catalog(spark, sf_dir))
+    return attrition(index, steps).select(F.col("step").cast("long").alias("step"), "name", "n", "lost", "alone")
 
 
 def challenge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,12 +268,16 @@ QUERIES = {
     "recode_flag": recode_flag, "dedup_keep_last": dedup_keep_last, "harmonize_missing": harmonize, "infer_feature_types": feature_types,
     "category_counts": category_counts, "cast_float_all_or_nothing": cast_float, "cast_float_values": cast_values, "enrich_units": enrich_units,
     "extract_concepts": extract_concepts, "extract_two_tables": extract_two_tables, "tensor_labels": tensor_labels, "cohort_sql": cohort_sql,
+    "cohort_members": cohort_members, "cohort_attrition": cohort_attrition,
     "challenge_cube": challenge, "long_statics": long_statics,
 }
 
 _FIRST = "(SELECT user_id, CAST(min(ts) AS DATE) AS d FROM events GROUP BY user_id)"
 _M = f"(SELECT *, CAST({KINDS} AS BIGINT) AS concept, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(floor(value) AS DOUBLE) % 5 END AS v FROM events)"
 _PERIODS = f"p AS (SELECT user_id, CAST(d AS TIMESTAMP) AS zero, row_number() OVER (ORDER BY user_id) - 1 AS obs FROM {_FIRST} WHERE user_id IN (SELECT c_custkey FROM customer))"
+_STEPS = """WITH i AS (SELECT user_id, min(ts) AS zero FROM events WHERE event_type = 'purchase' GROUP BY user_id),
+flags AS (SELECT e.user_id, zero, count(*) FILTER (event_type = 'click' AND ts BETWEEN zero - INTERVAL 10 DAY AND zero) > 0 AS s1, count(*) FILTER (event_type = 'error' AND ts BETWEEN zero - INTERVAL 2 DAY AND zero + INTERVAL 2 DAY) = 0 AS s2,
+  count(*) FILTER (event_type = 'view') >= 2 OR count(*) FILTER (event_type = 'signup' AND ts >= zero) > 0 AS s3, e.user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0) AS s4 FROM i JOIN events e ON e.user_id = i.user_id GROUP BY e.user_id, zero)"""
 _PARTS = """texts AS (
   SELECT p_partkey AS part, unnest(['size', 'brand', 'day', 'flag', 'mixed']) AS var_name,
          unnest([CAST(p_size AS VARCHAR), p_brand, strftime(DATE '2020-01-01' + p_size, '%Y-%m-%d'), CAST(p_partkey % 2 AS VARCHAR),
@@ -318,6 +348,14 @@ SELECT p.obs, CAST(CASE WHEN p.user_id % 10 = 0 AND TIMESTAMP '2024-01-01' + to_
     "cohort_sql": f"""SELECT f.user_id AS person_id, date_diff('second', CAST(d AS TIMESTAMP), e.at) // 3600 AS hours
 FROM {_FIRST} f JOIN (SELECT user_id, min(ts) AS at FROM events GROUP BY user_id) e USING (user_id)
 WHERE f.user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0) AND date_diff('second', CAST(d AS TIMESTAMP), e.at) >= 7200""",
+    "cohort_members": f"{_STEPS} SELECT user_id AS person_id, zero AS index_time FROM flags WHERE s1 AND s2 AND s3 AND s4",
+    "cohort_attrition": _STEPS + " UNION ALL ".join(
+        f" SELECT CAST({k} AS BIGINT) AS step, '{name}' AS name, count(*) FILTER ({upto}) AS n, count(*) FILTER ({before}) - count(*) FILTER ({upto}) AS lost, count(*) FILTER ({alone}) AS alone FROM flags"
+        for k, name, upto, before, alone in (
+            (0, "all", "true", "true", "false"), (1, "a click in the ten days before", "s1", "true", "NOT s1"), (2, "no error within two days", "s1 AND s2", "s1", "NOT s2"),
+            (3, "two views, or a signup later", "s1 AND s2 AND s3", "s1 AND s2", "NOT s3"), (4, "alive", "s1 AND s2 AND s3 AND s4", "s1 AND s2 AND s3", "NOT s4"),
+        )
+    ),
     "challenge_cube": f"""WITH {SQL_ROLES}, timed AS (SELECT m.*, date_diff('microsecond', u.start_date, m.ts) / 3.6e9 AS h FROM measurements m JOIN users u USING (person_id) WHERE person_id NOT IN (3, 5) AND concept IN ('view', 'click')),
 kept AS (SELECT person_id, concept, greatest(0, CAST(ceil(h) AS BIGINT) - 1) AS step, FIRST(CASE WHEN concept = 'click' AND value = 4 THEN NULL ELSE value END ORDER BY ts, event_id) AS value FROM timed WHERE h <= 48 GROUP BY ALL)
 SELECT person_id AS record, CAST(CASE WHEN concept = 'view' THEN 0 ELSE 1 END AS BIGINT) AS var, step, value FROM kept WHERE value IS NOT NULL""",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -10,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.spec import TIME_TABLES
 from ..sources.catalog import Catalog
-from ..sources.scratch import shared_dir
 from .cube import Cube
 
 
@@ -47,31 +45,6 @@ def iterate(tensors: DataFrame) -> Iterator[tuple]:
         yield r["obs_idx"], np.array(r["features"], np.float32), r["label"]
 
 
-class TensorSet:
-    """Tensors with labels by their observation: a length, and any of them by its number.
-
-    They are written once, sorted by observation, so that a lookup reads a small part of one file.
-    """
-
-    def __init__(self, tensors: DataFrame):
-        path = f"{shared_dir(tensors.sparkSession)}/tensors-{uuid.uuid4().hex}"
-        tensors.repartitionByRange("obs_idx").sortWithinPartitions("obs_idx").write.parquet(path)
-        self.rows = tensors.sparkSession.read.schema(tensors.schema).parquet(path)
-        self.size = self.rows.count()
-
-    def __len__(self) -> int:
-        return self.size
-
-    def __getitem__(self, k: int) -> tuple:
-        """(float32 array, label) of observation k."""
-        if not -self.size <= k < self.size:
-            raise IndexError(f"observation {k} is outside 0 to {self.size - 1}")
-        import numpy as np
-
-        r = self.rows.where(F.col("obs_idx") == k % self.size).first()
-        return np.array(r["features"], np.float32), r["label"]
-
-
 def time_slice(cube: Cube, layer: str, timestep: int) -> Cube:
     """A flat cube of one time step; negative steps count from the end."""
     if not -cube.n_t <= timestep < cube.n_t:

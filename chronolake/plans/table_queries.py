@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import uuid
+
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,13 +14,18 @@ from ..functions.spec import EVENT_TABLES
 from ..operators.cohort import AtLeast, Events, attrition, cohort, index_times
 from ..operators.cube import Cube, Layer, with_ordinals
 from ..operators.export import labelled_tensors, mortality
+from ..operators.feed import TensorFeed, write_feed
 from ..operators.extraction import distinct_concepts, enriched, first_rows, long_table, observation_rows, periods, remapped, setup_interval_variables, setup_obs, setup_variables, unit_report
 from ..operators.features import cast_variables_to_float, castable, categories, harmonize_missing_values, infer_feature_types
 from ..operators.reshape import from_frame, to_long
 from ..sources.catalog import Catalog
 from ..sources.loaders import binned_long, challenge_cube, recoded_flag
+from ..sources.scratch import shared_dir
 from .roles import SQL_ROLES, measurements, table, users
 
+# executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Concept codes of the event types.
 CODES = {"click": 11, "purchase": 12, "signup": 13, "error": 14, "view": 15}
 KINDS = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CODES.items()) + " ELSE 19 END"
@@ -124,6 +134,26 @@ def tensor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("obs_idx").cast("long").alias("obs"), F.col("label").cast("long").alias("label"), total.alias("total"))
 
 
+def _shards(path: str, shards: int):
+    def run(batches):
+        import pyarrow as pa
+
+        feed = TensorFeed(path)
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                rows = [(obs, int(label), float(np.nansum(x.astype(float)))) for obs, x, label in feed.read(shard, shards, seed=3, epoch=1)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["obs", "label", "total"])
+
+    return run
+
+
+def tensor_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tensor_labels by four readers of an epoch, each of which reads its row groups in an order of its own, without Spark."""
+    path = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    write_feed(labelled_tensors(_extracted(spark, sf_dir), catalog(spark, sf_dir)), path, group_bytes=1 << 16)
+    return spark.range(4).repartition(4).mapInArrow(_shards(path, 4), "obs long, label long, total double")
+
+
 def cohort_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cohort of persons outside the death table whose first event comes two hours or later into the observation period, with those hours."""
     c = catalog(spark, sf_dir)
@@ -268,7 +298,7 @@ QUERIES = {
     "recode_flag": recode_flag, "dedup_keep_last": dedup_keep_last, "harmonize_missing": harmonize, "infer_feature_types": feature_types,
     "category_counts": category_counts, "cast_float_all_or_nothing": cast_float, "cast_float_values": cast_values, "enrich_units": enrich_units,
     "extract_concepts": extract_concepts, "extract_two_tables": extract_two_tables, "tensor_labels": tensor_labels, "cohort_sql": cohort_sql,
-    "cohort_members": cohort_members, "cohort_attrition": cohort_attrition,
+    "tensor_feed": tensor_feed, "cohort_members": cohort_members, "cohort_attrition": cohort_attrition,
     "challenge_cube": challenge, "long_statics": long_statics,
 }
 
@@ -363,3 +393,4 @@ SELECT person_id AS record, CAST(CASE WHEN concept = 'view' THEN 0 ELSE 1 END AS
 SELECT CAST(u.person_id AS VARCHAR) AS obs_name, u.person_id / 2 AS half, coalesce(n, 0) AS n FROM users u LEFT JOIN n USING (person_id)""",
     "cast_float_all_or_nothing": f"WITH {_PARTS} SELECT var_name, bool_and(TRY_CAST(value AS DOUBLE) IS NOT NULL) AS is_number FROM texts GROUP BY var_name",
 }
+SQL["tensor_feed"] = SQL["tensor_labels"]

@@ -6,7 +6,8 @@ import pytest
 from chronolake import omop
 from chronolake.datasets import diabetes_130_raw, mimic_2, mimic_2_preprocessed, mimic_iv_omop, physionet2012, physionet2019
 from chronolake.functions.spec import TABLES, microseconds
-from chronolake.operators.export import TensorSet, iterate, labelled_tensors, scatter_pair
+from chronolake.operators.export import iterate, labelled_tensors, scatter_pair
+from chronolake.operators.feed import TensorSet
 from chronolake.operators.extraction import remapped, unit_report
 from chronolake.functions.spec import EVENT_TABLES
 from chronolake.sources.catalog import Catalog, table_name

@@ -18,8 +18,8 @@ from ..operators.feed import TensorFeed, write_feed
 from ..operators.extraction import distinct_concepts, enriched, first_rows, long_table, observation_rows, periods, remapped, setup_interval_variables, setup_obs, setup_variables, unit_report
 from ..operators.features import cast_variables_to_float, castable, categories, harmonize_missing_values, infer_feature_types
 from ..operators.reshape import from_frame, to_long
-from ..sources.catalog import Catalog
-from ..sources.loaders import binned_long, challenge_cube, recoded_flag
+from ..sources.catalog import Catalog, setup_connection
+from ..sources.loaders import binned_long, challenge_cube, read_csv, recoded_flag
 from ..sources.scratch import shared_dir
 from .roles import SQL_ROLES, measurements, table, users
 
@@ -154,6 +154,30 @@ def tensor_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(4).repartition(4).mapInArrow(_shards(path, 4), "obs long, label long, total double")
 
 
+def catalog_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record tables written as CSV in two dialects and read back by their folder: names, types, dates and leading zeros."""
+    c, folder = catalog(spark, sf_dir), f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    rows = c["measurement"].withColumn("measurement_source_value", F.lpad(F.col("measurement_id").cast("string"), 9, "0"))
+    rows.toDF(*[n.upper() for n in rows.columns]).write.option("header", True).option("sep", ";").csv(f"{folder}/Measurement.csv")
+    c["death"].write.option("header", True).csv(f"{folder}/death.csv")
+    back = setup_connection(spark, folder)
+    dead = back["death"].select(F.col("person_id").alias("_of"), F.col("death_datetime").alias("death"))
+    out = back["measurement"].join(dead, F.col("person_id") == F.col("_of"), "left")
+    return out.select(
+        F.col("measurement_id").cast("long").alias("id"), F.col("person_id").cast("long").alias("person_id"), F.col("measurement_concept_id").cast("long").alias("concept"), F.col("measurement_date").alias("day"),
+        F.col("value_as_number").cast("double").alias("value"), F.col("measurement_source_value").alias("source"), "death",
+    )
+
+
+def cube_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a flat cube from a tab-separated file: numbers as variables, the segment with the observations."""
+    path = f"{shared_dir(spark)}/customers-{uuid.uuid4().hex}.csv"
+    table(spark, sf_dir, "customer").drop("c_name").write.option("header", True).option("sep", "\t").csv(path)
+    cube = read_csv(spark, path, index_column="c_custkey", columns_obs_only=["c_mktsegment"])
+    cells = cube.X.cells.join(cube.obs.select("obs_idx", "obs_name", "c_mktsegment"), "obs_idx").join(cube.var.select("var_idx", "var_name"), "var_idx")
+    return cells.where("var_name <> 'c_custkey'").select("obs_name", "var_name", F.col("value").cast("double").alias("value"), F.col("c_mktsegment").alias("segment"))
+
+
 def cohort_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cohort of persons outside the death table whose first event comes two hours or later into the observation period, with those hours."""
     c = catalog(spark, sf_dir)
@@ -298,7 +322,7 @@ QUERIES = {
     "recode_flag": recode_flag, "dedup_keep_last": dedup_keep_last, "harmonize_missing": harmonize, "infer_feature_types": feature_types,
     "category_counts": category_counts, "cast_float_all_or_nothing": cast_float, "cast_float_values": cast_values, "enrich_units": enrich_units,
     "extract_concepts": extract_concepts, "extract_two_tables": extract_two_tables, "tensor_labels": tensor_labels, "cohort_sql": cohort_sql,
-    "tensor_feed": tensor_feed, "cohort_members": cohort_members, "cohort_attrition": cohort_attrition,
+    "catalog_csv": catalog_csv, "cube_csv": cube_csv, "tensor_feed": tensor_feed, "cohort_members": cohort_members, "cohort_attrition": cohort_attrition,
     "challenge_cube": challenge, "long_statics": long_statics,
 }
 
@@ -394,3 +418,7 @@ SELECT CAST(u.person_id AS VARCHAR) AS obs_name, u.person_id / 2 AS half, coales
     "cast_float_all_or_nothing": f"WITH {_PARTS} SELECT var_name, bool_and(TRY_CAST(value AS DOUBLE) IS NOT NULL) AS is_number FROM texts GROUP BY var_name",
 }
 SQL["tensor_feed"] = SQL["tensor_labels"]
+SQL["catalog_csv"] = f"""SELECT event_id AS id, user_id AS person_id, concept, CAST(ts AS DATE) AS day, v AS value, lpad(CAST(event_id AS VARCHAR), 9, '0') AS source,
+CASE WHEN user_id % 10 = 0 AND user_id IN (SELECT c_custkey FROM customer) THEN TIMESTAMP '2024-01-01' + to_days(CAST(user_id % 60 AS INTEGER)) END AS death FROM {_M}"""
+SQL["cube_csv"] = """SELECT CAST(c_custkey AS VARCHAR) AS obs_name, var_name, value, c_mktsegment AS segment
+FROM (SELECT c_custkey, c_mktsegment, unnest(['c_nationkey', 'c_acctbal']) AS var_name, unnest([CAST(c_nationkey AS DOUBLE), c_acctbal]) AS value FROM customer)"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spec import TABLES
+from .sniff import read_sniffed
 
 log = logging.getLogger(__name__)
 #: Columns that stay text whatever their values look like.
@@ -78,10 +79,8 @@ class Catalog:
 
 
 def read_table_csv(spark: SparkSession, file: str, text_columns: tuple[str, ...] = ()) -> DataFrame:
-    """A CSV file with a header; the named columns are read as text, the others are inferred."""
-    guess = spark.read.csv(file, header=True, inferSchema=True)
-    kinds = [f"`{f.name}` {'string' if f.name.lower() in text_columns else f.dataType.simpleString()}" for f in guess.schema]
-    return spark.read.csv(file, header=True, schema=", ".join(kinds)) if text_columns else guess
+    """A CSV file in its own dialect; the named columns are read as text, the types of the others follow from their values."""
+    return read_sniffed(spark, file, text_columns=text_columns)
 
 
 def _files(spark: SparkSession, path: str) -> list[tuple[str, str]]:

@@ -11,6 +11,7 @@ from ..functions.bins import closed_step
 from ..operators.cube import Cube, Layer, with_ordinals
 from ..operators.reshape import from_frame
 from .catalog import Catalog, setup_connection
+from .sniff import read_sniffed
 from .store import load
 
 #: Static parameters of the two challenges.
@@ -18,9 +19,9 @@ STATIC_2012 = ("Age", "Gender", "ICUType", "Height")
 STATIC_2019 = ("Age", "Gender", "Unit1", "Unit2", "HospAdmTime")
 
 
-def read_csv(spark: SparkSession, filename: str, *, sep: str = ",", **options) -> Cube:
-    """A CSV file with a header as a cube; options are those of from_frame."""
-    return from_frame(spark.read.csv(filename, header=True, inferSchema=True, sep=sep), **options)
+def read_csv(spark: SparkSession, filename: str, *, sep: str | None = None, **options) -> Cube:
+    """A CSV file as a cube; its dialect is found, but for a given separator, and options are those of from_frame."""
+    return from_frame(read_sniffed(spark, filename, sep=sep), **options)
 
 
 def clock_hours(text: Column) -> Column:

@@ -8,8 +8,8 @@ several items have is searched once.  All texts of a batch are searched side by
 stretches of start positions.
 
 Defined results: a null or empty text, or one of separators only, has no words, no hits and no
-items; benchmark rows without words or without item_id are skipped; repeated items count once; an empty benchmark
-marks nothing; an empty table gives an empty result; further columns pass through unless they have
+items; benchmark rows without words or without item_id are skipped; ids that are no whole numbers are taken as texts; repeated
+items count once; an empty benchmark marks nothing; an empty table gives an empty result; further columns pass through unless they have
 the names of result columns, which are replaced.
 """
 
@@ -20,6 +20,7 @@ from itertools import islice
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import loaded, pieces, removed, shared_value, table, text_buffers, written
 from .wordscan import ALNUM, mixed64, words
@@ -92,14 +93,15 @@ class Strings:
 class Benchmark:
     """A block of benchmark items ready for the search."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int):
+    def __init__(self, items: list[tuple], window: int):
+        self.ids = [i for i, _ in items]
         body = np.frombuffer("\n".join(t for _, t in items).encode(), np.uint8)
         sizes = np.array([len(t.encode()) for _, t in items], np.int64)
         begin = np.cumsum(sizes + 1) - (sizes + 1)
         offsets = np.append(begin, len(body))
         self.low, self.starts, self.stops, self.hashes, firsts = words(body, offsets, ALNUM)
         by_length: dict[int, list] = {}
-        item_of = np.repeat(np.array([i for i, _ in items], np.int64), np.diff(firsts))
+        item_of = np.repeat(np.arange(len(items)), np.diff(firsts))
         for a, b in zip(firsts[:-1], firsts[1:], strict=True):
             if b > a:
                 length = min(window, b - a)
@@ -111,10 +113,14 @@ class Benchmark:
 
 
 def search(blocks: list[Benchmark], body: np.ndarray, offsets: np.ndarray):
-    """Each text's first word, the (word, words) of confirmed occurrences, and different (text, item) pairs."""
+    """Each text's first word, the (word, words) of confirmed occurrences, and different (text, item) pairs.
+
+    Items are numbered through the blocks.
+    """
     low, starts, stops, hashes, firsts = words(body, offsets, ALNUM)
     spans, pairs = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
-    for bench, s in ((b, s) for b in blocks for s in b.strings):
+    numbered = np.cumsum([0, *(len(b.ids) for b in blocks)]).tolist()
+    for bench, base, s in ((b, k, s) for b, k in zip(blocks, numbered, strict=False) for s in b.strings):
         begin, stop = firsts[:-1], firsts[1:] - s.length + 1
         some = stop > begin
         if not some.any():
@@ -135,17 +141,18 @@ def search(blocks: list[Benchmark], body: np.ndarray, offsets: np.ndarray):
         found = np.unique(np.stack((np.searchsorted(firsts, at, "right") - 1, test), 1), axis=0)
         n = s.item_at[found[:, 1] + 1] - s.item_at[found[:, 1]]
         item = s.items[np.arange(int(n.sum())) + np.repeat(s.item_at[found[:, 1]] - (np.cumsum(n) - n), n)]
-        pairs.append(np.stack((np.repeat(found[:, 0], n), item), 1))
+        pairs.append(np.stack((np.repeat(found[:, 0], n), item + base), 1))
     return firsts, np.concatenate(spans), np.unique(np.concatenate(pairs), axis=0)
 
 
-def _scan(shared, text: str):
+def _scan(shared, text: str, id_type: str):
     """The search of some blocks as a function over record batches; earlier spans and items are kept."""
 
     def run(batches):
         import pyarrow as pa
 
         blocks = [loaded(b) for b in shared]
+        ids = [i for b in blocks for i in b.ids]
         spans_type = pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())]))
         for whole in batches:
             for batch in pieces(whole, text):
@@ -160,7 +167,7 @@ def _scan(shared, text: str):
                 for d, (at, length) in zip(doc.tolist(), found.tolist(), strict=True):
                     spans[d].append((at - int(firsts[d]), at - int(firsts[d]) + length))
                 for d, item in pairs.tolist():
-                    items[d].append(item)
+                    items[d].append(ids[item])
                 for d in set(pairs[:, 0].tolist()):
                     joined: list = []
                     for a, b in sorted(spans[d]):
@@ -171,16 +178,21 @@ def _scan(shared, text: str):
                     spans[d], items[d] = joined, sorted(set(items[d]))
                 keep = [k for k, x in enumerate(names) if x not in ("_n_words", "_spans", "_items")]
                 arrays = [batch.column(k) for k in keep]
-                arrays += [pa.array(np.diff(firsts), pa.int64()), pa.array([[{"first": a, "stop": b} for a, b in v] for v in spans], spans_type), pa.array(items, pa.list_(pa.int64()))]
+                arrays += [pa.array(np.diff(firsts), pa.int64()), pa.array([[{"first": a, "stop": b} for a, b in v] for v in spans], spans_type), pa.array(items, pa.list_(pa.string() if id_type == "string" else pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[names[k] for k in keep] + ["_n_words", "_spans", "_items"])
 
     return run
 
 
+def id_type(benchmark: DataFrame) -> str:
+    """Ids of items are whole numbers, or else texts."""
+    return "long" if isinstance(benchmark.schema["item_id"].dataType, T.IntegralType) else "string"
+
+
 def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW):
     """Blocks of benchmark items, of BLOCK_WORDS words at most (one item at least), one at a time."""
     block, size = [], 0
-    for row in benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text").toLocalIterator():
+    for row in benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast(id_type(benchmark)).alias("item_id"), "text").toLocalIterator():
         n = len(row.text) // 2 + 1
         if block and size + n > BLOCK_WORDS:
             yield Benchmark(block, window)
@@ -198,7 +210,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, window: int, text: str) -> Da
     """
     spark, out, before, blocks = docs.sparkSession, docs, None, benchmark_blocks(benchmark, window)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema]
-    schema = ", ".join(fields + ["_n_words long", "_spans array<struct<first:int,stop:int>>", "_items array<long>"])
+    schema = ", ".join(fields + ["_n_words long", "_spans array<struct<first:int,stop:int>>", f"_items array<{id_type(benchmark)}>"])
     k = 0
     while some := [shared_value(spark, b) for b in islice(blocks, BLOCKS)]:
         if k:
@@ -206,7 +218,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, window: int, text: str) -> Da
             if before:
                 removed(spark, before)
             before = path
-        out, k = out.mapInArrow(_scan(some, text), schema), k + 1
+        out, k = out.mapInArrow(_scan(some, text, id_type(benchmark)), schema), k + 1
     return out
 
 

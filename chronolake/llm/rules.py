@@ -4,7 +4,7 @@ Each rule is a conjunction of thresholds.  It is grown on two thirds of the docu
 rules left, by information gain against the bad label, and pruned on the last third; documents
 that it covers are removed and the next is learned.  Documents are weighted back to the classes'
 shares among all labels.  The list is emitted as ordered Spark conditional expressions.  A fixed
-base rule comes first.
+base rule comes first.  Of cuts of equal gain the first one tried is taken, in the order of the statistics.
 
 Defined results: a null text has no words; a text without words fails the base; with no bad
 labels the list is empty and keeps what passes the base; an empty table gives an empty result;
@@ -13,6 +13,8 @@ further columns do not matter, they are dropped by op3_quality_rules() and pass
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,7 +114,8 @@ def verdict(rules: list[Rule]) -> Column:
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     rows = measured(labelled_sample(docs, labels, "quality", sample, F.lit(True))).toPandas()
-    rows = rows.assign(_h=rows["doc_id"].map(lambda i: (int(i) * 2654435761) & 0xFFFFFFFF)).sort_values(["_h", "doc_id"], kind="stable")
+    hashed = lambda i: zlib.crc32(i.encode()) if isinstance(i, str) else (int(i) * 2654435761) & 0xFFFFFFFF
+    rows = rows.assign(_h=rows["doc_id"].map(hashed)).sort_values(["_h", "doc_id"], kind="stable")
     return learned({c: rows[c].to_numpy().astype(float) for c in INPUTS}, rows["label"].to_numpy() == 0, rows["weight"].to_numpy())
 
 

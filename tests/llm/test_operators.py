@@ -701,3 +701,17 @@ def test_op3_precision_counts_what_rows_stand_for():
     assert (rules.covers([("bar_share", ">", 0.0)], x) & ~bad).sum() in range(1, 10)
     assert rules.learned(x, bad)
     assert not rules.learned(x, bad, np.where(bad, 1.0, 20.0))
+
+
+def test_op5_and_op3_with_text_ids(spark):
+    """Ids of items and documents may be texts."""
+    docs = spark.createDataFrame([("d1", "xx alpha beta yy gamma delta"), ("d2", "none of it")], "doc_id string, text string")
+    bench = spark.createDataFrame([("q10", "alpha beta"), ("q9", "gamma delta"), ("q9", "alpha beta"), (None, "none")], "item_id string, text string")
+    got = {r["doc_id"]: (r["items"], [tuple(s) for s in r["spans"]]) for r in decontaminate.marked(docs, bench).collect()}
+    assert got == {"d1": (["q10", "q9"], [(1, 3), (4, 6)]), "d2": ([], [])}
+    good, bad = "A sentence of plain words follows another one here. " * 12, "BUY!!! NOW!!! | | | WIN WIN WIN $$$ 999 000 | " * 20
+    many = [(f"k{k}", f"{good if k % 2 else bad} {k}", int(k % 2)) for k in range(240)]
+    rows = spark.createDataFrame([r[:2] for r in many], "doc_id string, text string")
+    labels = spark.createDataFrame([(r[0], r[2], 0) for r in many], "doc_id string, quality int, toxic int")
+    learned = rules.fitted(rows, labels)
+    assert learned and rules.judged(rows, learned).where("kept").count() <= 120

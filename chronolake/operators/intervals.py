@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from ..functions.bins import elapsed, stretch
 
 #: Grains of a window's width; fewer rows are joined in vain with more of them.
-GRAINS = 16
+GRAINS = 2
+#: Grains of a span that are not put together to larger stretches.
+SHORT = 4
 #: Length of the largest stretches; longer spans are tiled by several of them.
-LONGEST = 200 * 366 * 86_400_000_000
+LONGEST = 16 * 366 * 86_400_000_000
 
 
 def _epoch(at: Column) -> Column:
@@ -44,18 +46,21 @@ def tiles(first: Column, last: Column, top: int) -> Column:
     At level k the grains that whole stretches cover are those from ceil(first / 2**k) to floor((last + 1) / 2**k); the ends that no
     larger stretch takes are the odd ones.
     """
-    out = []
-    for k in range(top + 1):
-        a, b = F.shiftright(first + F.lit((1 << k) - 1), k), F.shiftright(last + 1, k)
-        if k == top:
-            every = F.transform(F.sequence(a, b - 1), lambda s: F.struct(F.lit(top).alias("level"), s.alias("stretch")))
-            out.append(F.when(a < b, every))
-            break
-        for end, odd in ((a, a), (b - 1, b)):
-            one = F.array(F.struct(F.lit(k).alias("level"), end.alias("stretch")))
-            out.append(F.when((a < b) & (odd.bitwiseAND(1) == 1), one))
-    empty = F.array().cast("array<struct<level: int, stretch: bigint>>")
-    return F.flatten(F.array(*(F.coalesce(o, empty) for o in out)))
+    # a span has no tiles above the level of its own length
+    levels_ = F.sequence(F.lit(0), F.least(F.lit(top - 1), F.ceil(F.log2(last - first + 2)).cast("int")))
+
+    def ends(k: Column) -> Column:
+        a = F.call_function("shiftright", first + F.call_function("shiftleft", F.lit(1).cast("bigint"), k) - 1, k)
+        b = F.call_function("shiftright", last + 1, k)
+        odd = lambda end, s: F.struct(k.alias("level"), F.when((a < b) & (end.bitwiseAND(1) == 1), s).alias("stretch"))
+        return F.array(odd(a, a), odd(b, b - 1))
+
+    below = F.filter(F.flatten(F.transform(levels_, ends)), lambda t: t["stretch"].isNotNull())
+    a, b = F.shiftright(first + F.lit((1 << top) - 1), top), F.shiftright(last + 1, top)
+    largest = F.transform(F.sequence(a, b - 1), lambda s: F.struct(F.lit(top).alias("level"), s.alias("stretch")))
+    # the grains of a short span are as few as its tiles, and quicker made
+    grains = F.transform(F.sequence(first, last), lambda s: F.struct(F.lit(0).alias("level"), s.alias("stretch")))
+    return F.when(last - first < SHORT, grains).when(a < b, F.concat(below, largest)).otherwise(below)
 
 
 def overlapping(windows: DataFrame, spans: DataFrame, *, width: int, zero: str = "_zero", low: str = "_low", high: str = "_high", by: str = "person_id") -> DataFrame:
@@ -70,9 +75,10 @@ def overlapping(windows: DataFrame, spans: DataFrame, *, width: int, zero: str =
     here = stretch(F.col(zero), width)
     places = [begin(here), begin(here + 1)] + [F.struct(F.lit(k).alias("level"), F.shiftright(number(F.col(zero)), k).alias("stretch")) for k in range(top + 1)]
     left = windows.where(F.col(zero).isNotNull()).withColumn("_place", F.explode(F.array(*places))).select("*", "_place.*").drop("_place")
-    own = F.array(begin(stretch(F.col(low), width)))
-    tiled = F.when(F.col(low) < F.col(high), tiles(number(F.col(low)), number(F.col(high)), top)).otherwise(F.array().cast("array<struct<level: int, stretch: bigint>>"))
-    right = spans.where(F.col(low).isNotNull() & F.col(high).isNotNull()).withColumn("_place", F.explode(F.concat(own, tiled))).select("*", "_place.*").drop("_place")
+    some = spans.where(F.col(low).isNotNull() & F.col(high).isNotNull())
+    some = some.withColumns({"_own": stretch(F.col(low), width), "_first": number(F.col(low)), "_last": number(F.col(high))})
+    tiled = F.when(F.col(low) < F.col(high), tiles(F.col("_first"), F.col("_last"), top)).otherwise(F.array().cast("array<struct<level: int, stretch: bigint>>"))
+    right = some.withColumn("_place", F.explode(F.concat(F.array(begin(F.col("_own"))), tiled))).select("*", "_place.*").drop("_place", "_own", "_first", "_last")
     met = right.join(left, [by, "level", "stretch"])
     begins_here = elapsed(F.col(zero), F.col(low)).between(0, width - 1)
     begun_before = (F.col(low) < F.col(zero)) & (F.col(zero) <= F.col(high))

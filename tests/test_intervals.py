@@ -59,7 +59,7 @@ def test_a_hot_person_is_dealt_out(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert out.count() == pairs and "CartesianProduct" not in plan
     met = count_before_filter(spark, left, right)
-    assert met <= pairs * 1.1 + 16 * len(spans)
+    assert met <= pairs * 1.5 + 16 * len(spans)
     # nearly all of 300 x 1000 would meet if a person's rows met in one task
     assert pairs < met < 300_000 / 2
 

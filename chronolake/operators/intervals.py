@@ -10,7 +10,8 @@ span, after the span's own begin; never both, so that each pair is found once.
 
 Both are one equality join on (person, level, stretch), where the first kind has a level of its own.  A person with a thousand
 windows and a million spans is dealt to many tasks, a year-long span takes a few rows more than one of a
-day, and what is joined in vain lies within a grain of a span's ends.
+day, and what is joined in vain lies within a grain of a span's ends.  Where no person has more than FEW windows, which one small
+aggregation tells, spans join on the person alone.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from ..functions.bins import elapsed, stretch
 
 #: Grains of a window's width; fewer rows are joined in vain with more of them.
 GRAINS = 2
+#: Windows of a person, at most, for which its spans meet all of them: no more rows than tiles would make.
+FEW = 16
 #: Grains of a span that are not put together to larger stretches.
 SHORT = 4
 #: Length of the largest stretches; longer spans are tiled by several of them.
@@ -69,6 +72,11 @@ def overlapping(windows: DataFrame, spans: DataFrame, *, width: int, zero: str =
     Windows begin at zero and are width microseconds long, their end excluded; spans go from low to high, both included.
     Null times meet nothing.  Times are timestamps without zone; the names level and stretch are taken.
     """
+    begins_here = elapsed(F.col(zero), F.col(low)).between(0, width - 1)
+    begun_before = (F.col(low) < F.col(zero)) & (F.col(zero) <= F.col(high))
+    most = windows.where(F.col(by).isNotNull()).groupBy(by).count().agg(F.max("count")).first()[0] or 0
+    if most <= FEW:
+        return spans.join(windows, by).where(begins_here | begun_before)
     grain, top = levels(width)
     number = lambda at: F.floor(_epoch(at) / F.lit(grain)).cast("bigint") if grain == 1 else stretch(at, grain)
     begin = lambda s: F.struct(F.lit(-1).alias("level"), s.alias("stretch"))
@@ -80,6 +88,4 @@ def overlapping(windows: DataFrame, spans: DataFrame, *, width: int, zero: str =
     tiled = F.when(F.col(low) < F.col(high), tiles(F.col("_first"), F.col("_last"), top)).otherwise(F.array().cast("array<struct<level: int, stretch: bigint>>"))
     right = some.withColumn("_place", F.explode(F.concat(F.array(begin(F.col("_own"))), tiled))).select("*", "_place.*").drop("_place", "_own", "_first", "_last")
     met = right.join(left, [by, "level", "stretch"])
-    begins_here = elapsed(F.col(zero), F.col(low)).between(0, width - 1)
-    begun_before = (F.col(low) < F.col(zero)) & (F.col(zero) <= F.col(high))
     return met.where(F.when(F.col("level") == -1, begins_here).otherwise(begun_before)).drop("level", "stretch")

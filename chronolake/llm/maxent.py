@@ -1,11 +1,16 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
 The most frequent tokens are the model's words, in classes of equal size; all others form one rare
-class, shared out by smoothed counts.  The chance of a token is that of its class given the
-history times that of the token in its class.  Class scores come from hashed features of the
+class.  The chance of a token is that of its class given the history times that of the token in its class.  Class scores come from hashed features of the
 history: the last token, the last two, and the tokens two and three back; word scores from the
 last token and the class.  Words that follow the same frequent words share a class.  Words and
-hashed rows grow with the corpus up to stated bounds.
+hashed rows grow with the corpus up to stated bounds; a row that several features share drops none.
+
+The rare class has no bound: each of its tokens has a feature for each last token that it follows, without
+hashing into rows.  As one feature of a token fires there, the likelihood with its prior is largest at
+(occurrences after the last token + RARE_PRIOR x the token's share) / (rare tokens after it + RARE_PRIOR), where
+tokens that were never seen share one occurrence.  These counts of the whole corpus stay distributed: rare tokens with their last
+token and text are dealt out by token, and the numbers of rare tokens after each token are looked up or joined.
 
 Training maximises the likelihood of all training documents by the gradient, observed less
 expected counts of each feature with each outcome.  The first update takes the gradient of the whole
@@ -47,6 +52,8 @@ LARGEST = 8.0
 #: Occurrences that are added before logarithms are taken: in the first update of a feature, shared out
 #: like outcomes in general, and in the others to each outcome.
 PRIOR, NOISE = 100.0, 20.0
+#: Occurrences that are added to those of rare tokens after each token, shared out like rare tokens in general.
+RARE_PRIOR = 1000.0
 #: Frequent words whose following words describe a class, those that make features of two words, and
 #: tokens handled at once.
 CONTEXT, PAIRED, CHUNK = 128, 512, 1 << 12
@@ -55,6 +62,8 @@ HELD = 1 << 18
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ONE = np.int32(1)
+#: Rare tokens in a part that one group of a shuffle takes, about, and parts at least.
+PART, PARTS = 1 << 19, 256
 #: Input partitions that one training task takes, if there are enough for all cores; each task
 #: passes on one set of count tables.
 PARTITIONS_PER_TASK = 4
@@ -75,31 +84,41 @@ def tokens(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.insert(h, first[1:], END), first + np.arange(len(first))
 
 
+def before(h: np.ndarray, first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text of each token at the positions, and the hash of the token before it; 0 at a text's start."""
+    owner = np.searchsorted(first, at, "right") - 1
+    return owner, np.where(at > first[owner], h[at - 1], np.uint64(0))
+
+
 def _merged(hashes: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     kinds, at = np.unique(np.concatenate(hashes), return_inverse=True)
     return kinds, np.bincount(at, np.concatenate(numbers), minlength=len(kinds)).astype(np.int64)
 
 
+def _counted(some):
+    """Kinds and numbers of the hashes in some arrays; a kind may come again."""
+    hashes, numbers, size = [], [], 0
+    for each in some:
+        h, n = np.unique(each, return_counts=True)
+        hashes.append(h)
+        numbers.append(n)
+        size += len(h)
+        if size >= 2 * HELD:
+            hashes, numbers = ([v] for v in _merged(hashes, numbers))
+            size = len(hashes[0])
+            if size >= HELD:
+                yield hashes[0].view(np.int64), numbers[0]
+                hashes, numbers, size = [], [], 0
+    if size:
+        hashes, numbers = _merged(hashes, numbers)
+        yield hashes.view(np.int64), numbers
+
+
 def _counts(batches):
     import pyarrow as pa
 
-    hashes, numbers, size = [], [], 0
-    rows = lambda: pa.RecordBatch.from_arrays([pa.array(hashes[0].view(np.int64)), pa.array(numbers[0])], names=["h", "c"])
-    for whole in batches:
-        for batch in pieces(whole, "text"):
-            h, n = np.unique(tokens(*text_buffers(batch.column(0)))[0], return_counts=True)
-            hashes.append(h)
-            numbers.append(n)
-            size += len(h)
-            if size >= 2 * HELD:
-                hashes, numbers = ([v] for v in _merged(hashes, numbers))
-                size = len(hashes[0])
-                if size >= HELD:
-                    yield rows()
-                    hashes, numbers, size = [], [], 0
-    if size:
-        hashes, numbers = ([v] for v in _merged(hashes, numbers))
-        yield rows()
+    for h, n in _counted(tokens(*text_buffers(batch.column(0)))[0] for whole in batches for batch in pieces(whole, "text")):
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "c"])
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -210,7 +229,7 @@ class Model:
     """Words, biases from counts, and hashed tables of class and word scores."""
 
     def __init__(self, vocabulary: Words, rare: int, rare_kinds: int, total: int, rows: int, word_rows: int):
-        self.words, self.rare_log, self.n_rows, self.buckets = vocabulary, np.log10(rare + rare_kinds + 1), rows, max(word_rows // CLASSES, 2)
+        self.words, self.rare, self.rare_kinds, self.n_rows, self.buckets = vocabulary, rare, rare_kinds, rows, max(word_rows // CLASSES, 2)
         mass = np.zeros((CLASSES + 1, vocabulary.size))
         mass[vocabulary.group[:-1], vocabulary.spot[:-1]] = vocabulary.counts
         mass[CLASSES, 0] = rare + 1
@@ -341,20 +360,30 @@ def _drawn(weights: np.ndarray, u: np.ndarray, triangle: np.ndarray) -> np.ndarr
 
 
 def _contexts(shared):
-    """Counts of (word, frequent word before it) pairs."""
+    """Counts of (word, frequent word before it) pairs as blocks, and, in rows of their own, those of rare tokens after each token."""
 
     def run(batches):
+        import pyarrow as pa
+
         v = loaded(shared)
         got = np.zeros(v.n * CONTEXT, np.int64)
-        for whole in batches:
-            for batch in pieces(whole, "text"):
-                h, _ = tokens(*text_buffers(batch.column(0)))
-                ids = v.ids(h)
-                now, before = ids[1:], ids[:-1]
-                some = (now < v.n) & (before < CONTEXT)
-                np.add.at(got, now[some] * CONTEXT + before[some], 1)
+        names = ["block", "part", "h", "c"]
+
+        def befores():
+            for whole in batches:
+                for batch in pieces(whole, "text"):
+                    h, first = tokens(*text_buffers(batch.column(0)))
+                    ids = v.ids(h)
+                    now, last = ids[1:], ids[:-1]
+                    some = (now < v.n) & (last < CONTEXT)
+                    np.add.at(got, now[some] * CONTEXT + last[some], 1)
+                    yield before(h, first, np.flatnonzero(ids == v.n))[1]
+
+        for h, n in _counted(befores()):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.binary()), pa.array(h), pa.array(n)], names=names)
         for k in range(0, len(got), BLOCK):
-            yield _rows_of([(k // BLOCK, got[k : k + BLOCK].astype(np.int32))])
+            rows = _rows_of([(k // BLOCK, got[k : k + BLOCK].astype(np.int32))])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=names)
 
     return run
 
@@ -397,16 +426,19 @@ def _gradients(shared, first_round: bool):
     return run
 
 
-def trained(docs: DataFrame, top: tuple[np.ndarray, np.ndarray], total: int, kinds: int) -> Model:
-    """The model of the training documents; top: hashes and counts of frequent tokens."""
+def trained(docs: DataFrame, top: tuple[np.ndarray, np.ndarray], total: int, kinds: int) -> tuple[Model, DataFrame]:
+    """The model of the training documents, and c, the rare tokens after each token h; top: hashes and counts of frequent tokens."""
     spark = docs.sparkSession
     size, rows, word_rows = shape(total)
     hashes, numbers = (v[: CLASSES * size] for v in top)
     vocabulary = Words(hashes, numbers, size)
     tasks = max(spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // PARTITIONS_PER_TASK)
     texts = docs.select("text", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(ROUNDS)).alias("_part"))
+    pairs = texts.select("text").coalesce(tasks).mapInArrow(_contexts(shared_value(spark, vocabulary)), "block int, part binary, h long, c long")
+    pairs, _ = written(pairs, "lm-contexts")
+    after = pairs.where("h is not null").groupBy("h").agg(F.sum("c").alias("c"))
     if vocabulary.n:
-        pairs = texts.select("text").coalesce(tasks).mapInArrow(_contexts(shared_value(spark, vocabulary)), "block int, part binary")
+        pairs = pairs.where("block is not null").select("block", "part")
         context = np.concatenate([np.frombuffer(raw, np.float32) for _, raw in _summed(pairs, tasks, lambda _, v: np.sqrt(v).astype(np.float32))])
         vocabulary.place(ranking(context.reshape(-1, CONTEXT)))
     model = Model(vocabulary, total - int(numbers.sum()), kinds - len(hashes), total, rows, word_rows)
@@ -416,41 +448,130 @@ def trained(docs: DataFrame, top: tuple[np.ndarray, np.ndarray], total: int, kin
         part = part.select("text").coalesce(tasks).mapInArrow(_gradients(shared, k == 0), "block int, part binary")
         model.changed(_summed(part, tasks, steps.first if k == 0 else steps.further))
         shared.unpersist()
-    return model
+    return model, after
 
 
 #: Logarithms are summed as whole multiples of this part, so that sums do not depend on their order.
 _PART = float(1 << 36)
 
 
+def _dealt(shared, parts: int):
+    """Rare tokens with the token before, the text's place and whether it trains, packed by part; a part has all occurrences of its tokens."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        v, start, number = loaded(shared), 0, 0
+        at_task = TaskContext.get().partitionId() << 33
+        held, size = [], 0
+
+        def rows():
+            own, last, mark = (np.concatenate(x) for x in zip(*held, strict=True))
+            part = _part_of(own, parts)
+            order = np.lexsort((own, part))
+            edge = np.searchsorted(part[order], np.arange(parts + 1))
+            packed = [(k, b"".join(x[order[a:b]].tobytes() for x in (own, last, mark))) for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if a < b]
+            base = pa.array(np.full(len(packed), at_task + start))
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in packed], pa.int32()), base, pa.array([x for _, x in packed], pa.binary())], names=["part", "base", "packed"])
+
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                h, first = tokens(*text_buffers(batch.column(2)))
+                at = np.flatnonzero(v.ids(h) == v.n)
+                owner, last = before(h, first, at)
+                train = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                held.append((h[at], last, (2 * (number - start + owner) + train[owner]).astype(np.uint32)))
+                size, number = size + len(at), number + batch.num_rows
+                if size >= 2 * PART:
+                    yield rows()
+                    held, size, start = [], 0, number
+        if size:
+            yield rows()
+
+    return run
+
+
+def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    return (mixed64(h) % np.uint64(parts)).astype(np.int64)
+
+
+def _rare_logs(whole: int):
+    """For the texts of a part, the logarithms of smoothed counts of their rare tokens after the tokens before; whole: the rare tokens' occurrences and kinds, and one."""
+
+    def run(table):
+        import pyarrow as pa
+
+        parts = []
+        for base, raw in zip(table["base"].to_pylist(), table["packed"].to_pylist(), strict=True):
+            n = len(raw) // 20
+            own, last = np.frombuffer(raw, np.uint64, 2 * n).reshape(2, n)
+            parts.append((own, last, np.frombuffer(raw, np.uint32, n, 16 * n), np.full(n, base)))
+        own, last, mark, base = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((last, own))
+        own, last, mark, row = own[order], last[order], mark[order], base[order] + (mark[order] >> 1)
+        new = np.concatenate(([True], own[1:] != own[:-1]))
+        kind, pair = np.cumsum(new) - 1, np.cumsum(new | np.concatenate(([True], last[1:] != last[:-1]))) - 1
+        train = (mark & 1).astype(float)
+        log = np.log10(np.bincount(pair, train)[pair] + RARE_PRIOR * ((np.bincount(kind, train) + 1) / whole)[kind])
+        order = np.argsort(row, kind="stable")
+        rows, first = np.unique(row[order], return_index=True)
+        return pa.table({"row": rows, "v": np.add.reduceat(np.round(log[order] * _PART).astype(np.int64), first)})
+
+    return run
+
+
+def rare_logs(rows: DataFrame, vocabulary: Words, occurrences: int, whole: int) -> DataFrame:
+    """row, and rare_logs: the sum over a text's rare tokens.
+
+    Rows are numbered as in _scored(): both read the same partitions, which for a table of files come in the same order.
+    """
+    parts = max(PARTS, occurrences // PART)
+    dealt = rows.mapInArrow(_dealt(shared_value(rows.sparkSession, vocabulary), parts), "part int, base long, packed binary")
+    logs = dealt.groupBy("part").applyInArrow(_rare_logs(whole), "row long, v long")
+    return logs.groupBy("row").agg((F.sum("v") / F.lit(_PART)).alias("rare_logs"))
+
+
 def _scored(shared):
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        model, known, logs = loaded(shared)
+        model, known, logs, contexts, context_logs = loaded(shared)
         number = TaskContext.get().partitionId() << 33
         pair = pa.struct([("h", pa.int64()), ("n", pa.int32())])
+
+        def looked_up(h, known, logs):
+            """Whether each hash is known, and its value or 0."""
+            if not len(known):
+                return np.zeros(len(h), bool), np.zeros(len(h))
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            return known[at] == h, np.where(known[at] == h, logs[at], 0.0)
+
+        def lists(h, owner, n):
+            """Each text's hashes with their occurrences in it."""
+            order = np.lexsort((h, owner))
+            h, owner = h[order], owner[order]
+            new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))))[: len(order)]
+            times = np.diff(np.append(new, len(order))).astype(np.int32)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(owner[new], minlength=n)))).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(h[new].view(np.int64)), pa.array(times)], fields=list(pair)))
+
         for whole in batches:
             for batch in pieces(whole, "text"):
                 h, first = tokens(*text_buffers(batch.column(2)))
                 seen, n = Seen(model.words, h, first), batch.num_rows
                 owner = np.repeat(np.arange(n), np.diff(first))
                 chance = model.log_chances(seen) / np.log(10)
-                rare = seen.ids == model.words.n
-                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                found = known[at] == h if len(known) else np.zeros(len(h), bool)
-                value = np.where(found, logs[at] if len(known) else 0.0, 0.0)
+                rare = np.flatnonzero(seen.ids == model.words.n)
+                last = seen.hashes[0][rare]
+                found, value = looked_up(h, known, logs)
+                near, before_value = looked_up(last, contexts, context_logs)
                 add = lambda v, owner=owner, n=n: np.bincount(owner, v, minlength=n)
-                columns = [number + np.arange(n), np.diff(first), add(found).astype(np.int64), add(value), add(chance), add(rare).astype(np.int64), add(np.where(rare, value, 0.0))]
-                # each text's other tokens with their occurrences in it
-                lost = np.flatnonzero(~found)
-                order = lost[np.lexsort((h[lost], owner[lost]))]
-                new = np.flatnonzero(np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1]))))[: len(order)]
-                times = np.diff(np.append(new, len(order))).astype(np.int32)
-                ends = np.concatenate(([0], np.cumsum(np.bincount(owner[order[new]], minlength=n)))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(h[order[new]].view(np.int64)), pa.array(times)], fields=list(pair)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns), lists], names=["doc_id", "held_out", "row", "n_tokens", "n_seen", "seen_logs", "chance", "n_rare", "rare_logs", "open"])
+                columns = [number + np.arange(n), np.diff(first), add(found).astype(np.int64), add(value), add(chance), np.bincount(owner[rare], minlength=n), np.bincount(owner[rare], before_value, minlength=n).astype(float)]
+                opened = [lists(h[~found], owner[~found], n), lists(last[~near], owner[rare][~near], n)]
+                names = ["doc_id", "held_out", "row", "n_tokens", "n_seen", "seen_logs", "chance", "n_rare", "before_logs", "open", "open_before"]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns), *opened], names=names)
                 number += n
 
     return run
@@ -464,17 +585,28 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
     counts, _ = written(token_counts(train), "lm-counts")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     hashes, numbers = frequent(counts, LOOKUP)
-    model = trained(train, (hashes, numbers), total, kinds)
-    order = np.argsort(hashes)
-    shared = shared_value(spark, (model, hashes[order], np.log10(numbers[order] + 1.0)))
-    schema = "doc_id long, held_out boolean, row long, n_tokens long, n_seen long, seen_logs double, chance double, n_rare long, rare_logs double, open array<struct<h:long,n:int>>"
-    part, _ = written(rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_scored(shared), schema), "lm-parts")
-    log = F.round(F.log10(F.col("c") + 1) * F.lit(_PART)).cast("long") * F.col("n")
-    found = part.select("row", F.inline("open")).join(counts, "h").groupBy("row").agg(F.sum("n").alias("n_open"), (F.sum(log) / F.lit(_PART)).alias("open_logs"))
-    out = part.drop("open").join(found, "row", "left").na.fill(0, ["n_open", "open_logs"])
+    model, after = trained(train, (hashes, numbers), total, kinds)
+    befores, times = frequent(after, LOOKUP)
+    order, at = np.argsort(hashes), np.argsort(befores)
+    shared = shared_value(spark, (model, hashes[order], np.log10(numbers[order] + 1.0), befores[at], np.log10(times[at] / RARE_PRIOR + 1.0)))
+    open_ = "array<struct<h:long,n:int>>"
+    schema = f"doc_id long, held_out boolean, row long, n_tokens long, n_seen long, seen_logs double, chance double, n_rare long, before_logs double, open {open_}, open_before {open_}"
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+    part, _ = written(rows.mapInArrow(_scored(shared), schema), "lm-parts")
+    occurrences = part.agg(F.coalesce(F.sum("n_rare"), F.lit(0))).first()[0]
+    rare, _ = written(rare_logs(rows, model.words, occurrences, model.rare + model.rare_kinds + 1), "lm-rare")
+
+    def opened(column: str, table: DataFrame, value, n: str, logs: str) -> DataFrame:
+        """For each text, the occurrences of its tokens in the column that the table has, and the sum of their values."""
+        log = F.round(value * F.lit(_PART)).cast("long") * F.col("n")
+        return part.select("row", F.inline(column)).join(table, "h").groupBy("row").agg(F.sum("n").alias(n), (F.sum(log) / F.lit(_PART)).alias(logs))
+
+    out = part.drop("open", "open_before").join(opened("open", counts, F.log10(F.col("c") + 1), "n_open", "open_logs"), "row", "left")
+    out = out.join(opened("open_before", after, F.log10(F.col("c") / F.lit(RARE_PRIOR) + 1), "n_before", "open_before_logs"), "row", "left").join(rare, "row", "left")
+    out = out.na.fill(0, ["n_open", "open_logs", "open_before_logs", "rare_logs"])
     whole = F.lit(float(np.log10(total + kinds + 1)))
     logs = F.col("seen_logs") + F.col("open_logs")
-    score = F.col("chance") + F.col("rare_logs") + F.col("open_logs") - F.col("n_rare") * F.lit(float(model.rare_log))
+    score = F.col("chance") + F.col("rare_logs") - F.col("before_logs") - F.col("open_before_logs") - F.col("n_rare") * F.lit(float(np.log10(RARE_PRIOR)))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_seen") + F.col("n_open")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (logs - F.col("n_tokens") * whole).alias("base_score"), score.alias("score"))
 
 

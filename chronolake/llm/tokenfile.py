@@ -93,8 +93,8 @@ def cut(body: np.ndarray, edges: np.ndarray):
 class Encoder:
     """Token ids of texts, as unsigned 32-bit integers, by the tokenizer at ``path``.
 
-    The ids of a piece are asked for once and kept in a table of numpy arrays, of a bounded size, that
-    is emptied when it is full.  A tokenizer that does not split texts as cut() does, which is tried on
+    The ids of a piece are asked for once and kept in a table of numpy arrays, of a bounded size.  When it
+    is full, only pieces that came again in a later span stay.  A tokenizer that does not split texts as cut() does, which is tried on
     some sentences, gets whole texts.
     """
 
@@ -116,8 +116,20 @@ class Encoder:
         self.n = 0
         self.at, self.count = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int32)  # where a piece's ids are, and how many
         self.head, self.size = np.zeros(1 << 10, np.uint64), np.zeros(1 << 10, np.int32)  # a piece's first bytes and length
+        self.hash, self.again = np.zeros(1 << 10, np.uint64), np.zeros(1 << 10, bool)  # its hash, and whether it came again
         self.flat, self.used = np.zeros(1 << 12, np.uint32), 0
 
+    def renew(self) -> None:
+        """Forget the pieces that did not come again; all, if too many did."""
+        keep = np.flatnonzero(self.again[: self.n])
+        known = [v[keep] for v in (self.hash, self.head, self.size)]
+        count = self.count[keep]
+        ends = np.cumsum(count, dtype=np.int64)
+        ids = self.flat[np.repeat(self.at[keep] - (ends - count), count) + np.arange(int(count.sum()))]
+        self.forget()
+        if len(keep) <= self.most // 2:
+            self._learn(*known, ids, count)
+
     def direct(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
 
@@ -146,12 +158,13 @@ class Encoder:
     def _learn(self, h: np.ndarray, head: np.ndarray, size: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
         n, used = self.n + len(h), self.used + len(ids)
         if n > len(self.at):
-            for name in ("at", "count", "head", "size"):
+            for name in ("at", "count", "head", "size", "hash", "again"):
                 setattr(self, name, np.resize(getattr(self, name), 2 * n))
         if used > len(self.flat):
             self.flat = np.resize(self.flat, 2 * used)
         here = slice(self.n, n)
         self.flat[self.used : used], self.count[here], self.head[here], self.size[here] = ids, count, head, size
+        self.hash[here], self.again[here] = h, False
         self.at[here] = self.used + np.cumsum(count) - count
         mine = np.arange(self.n, n, dtype=np.int32)
         for k in (0, 1):  # the first free one of a piece's two slots
@@ -186,12 +199,14 @@ class Encoder:
         head = np.ndarray(len(low) + 1, "<u8", wide, strides=(1,))[starts]
         head &= _HEAD[np.minimum(size, 8)]
         if self.n > self.most:
-            self.forget()
+            self.renew()
         number = self._found(h)
         new = np.flatnonzero(number < 0)
+        self.again[number[number >= 0]] = True
         if len(new):
             kinds, first, inverse = np.unique(h[new], return_index=True, return_inverse=True)
             place = np.array([self.more.get(x, -1) for x in kinds.tolist()], np.int64)
+            self.again[place[place >= 0]] = True
             unknown = np.flatnonzero(place < 0)
             order = unknown[np.argsort(odd[new[first[unknown]]], kind="stable")]  # plain ones first
             pick = new[first[order]]

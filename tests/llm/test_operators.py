@@ -752,3 +752,14 @@ def test_rare_tokens_have_a_history_of_their_own(spark, monkeypatch):
             apart[k] += math.log10((pairs[a, b] + prior * share) / (after[a] + prior) / share) if b in rare else 0
     assert {k: got[k] - flat[k] for k in got} == pytest.approx(apart, abs=1e-6)
     assert min(map(abs, (apart[k] for k in range(60)))) > 0.1
+
+
+def test_pieces_that_come_again_stay_in_a_full_table():
+    enc, tok = tokenfile.Encoder(VOCABULARY, 300), Tokenizer.from_file(VOCABULARY)
+    asked, ask = [], enc._asked
+    enc._asked = lambda plain, odd: asked.extend(plain) or ask(plain, odd)
+    for k in range(12):
+        text = " ".join([f"often{chr(97 + j)}" for j in range(20)] + [f"q{chr(97 + k)}{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(90)])
+        ids, _ = enc.encode(*common.text_buffers(pa.array([text])))
+        assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert enc.n < 500 and max(Counter(asked).values()) == 1

@@ -62,6 +62,8 @@ HELD = 1 << 18
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ONE = np.int32(1)
+#: Words have places by the bits of their hashes that are left after a shift by so many.
+_SLOT = np.uint64(46)
 #: Rare tokens in a part that one group of a shuffle takes, about, and parts at least.
 PART, PARTS = 1 << 19, 256
 #: Input partitions that one training task takes, if there are enough for all cores; each task
@@ -189,7 +191,13 @@ class Words:
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, size: int):
         order = np.argsort(hashes)
         self.sorted, self.order, self.n, self.size = hashes[order], order, len(hashes), size
-        self.counts = counts
+        self.counts, self.hashes = counts, np.append(hashes, np.uint64(0))
+        slots = (hashes >> _SLOT).astype(np.int64)
+        taken, at = np.unique(slots, return_index=True)
+        self.slots = np.full(1 << (64 - int(_SLOT)), self.n, np.int32)
+        self.slots[taken] = at
+        apart = order[self.slots[slots[order]] != order]  # words whose place another has, by hash
+        self.apart, self.apart_hashes = np.append(apart, self.n), np.append(hashes[apart], ~np.uint64(0))
         self.place(np.arange(self.n))
 
     def place(self, ranking: np.ndarray) -> None:
@@ -198,10 +206,11 @@ class Words:
         self.group, self.spot = np.append(slot // self.size, CLASSES), np.append(slot % self.size, 0)
 
     def ids(self, h: np.ndarray) -> np.ndarray:
-        if not self.n:
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.sorted, h), self.n - 1)
-        return np.where(self.sorted[at] == h, self.order[at], self.n)
+        out = self.slots[(h >> _SLOT).view(np.int64)].astype(np.int64)
+        others = np.flatnonzero((self.hashes[out] != h) | (out == self.n))
+        at = np.searchsorted(self.apart_hashes[:-1], h[others])
+        out[others] = np.where(self.apart_hashes[at] == h[others], self.apart[at], self.n)
+        return out
 
 
 class Seen:
@@ -212,16 +221,19 @@ class Seen:
 
     def __init__(self, vocabulary: Words, h: np.ndarray, first: np.ndarray):
         place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
-        self.ids, self.hashes, self.back = vocabulary.ids(h), [], []
+        self.own, self.place, self.ids, self.hashes, self.back = h, place, vocabulary.ids(h), [], []
         for k in (1, 2, 3):
             before, ids = np.zeros(len(h), np.uint64), np.full(len(h), vocabulary.n + 1)
-            inside = np.flatnonzero(place >= k)
-            before[inside], ids[inside] = h[inside - k], self.ids[inside - k]
+            before[k:], ids[k:] = h[:-k], self.ids[:-k]
+            outside = np.flatnonzero(place < k)
+            before[outside], ids[outside] = 0, vocabulary.n + 1
             self.hashes.append(before)
             self.back.append(ids)
-        self.key = mixed64(h * _ODD + self.hashes[0] + mixed64(place.astype(np.uint64)))
+        self.key = None
 
     def draw(self, nth: int) -> np.ndarray:
+        if self.key is None:
+            self.key = mixed64(self.own * _ODD + self.hashes[0] + mixed64(self.place.astype(np.uint64)))
         return (mixed64(self.key + np.uint64(nth)) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
 
 
@@ -238,7 +250,7 @@ class Model:
         self.word_bias = np.where(mass > 0, np.log(np.maximum(mass, 1e-9) / np.maximum(by_class, 1e-9)[:, None]), -1e4).astype(np.float32)
         self.classes = np.zeros((rows + 1, CLASSES + 1), np.float32)  # the last row stands for no feature
         self.inner = np.zeros((CLASSES * self.buckets, vocabulary.size), np.float32)
-        self.powers = None
+        self.powers = self.totals = None
 
     def rows(self, seen: Seen) -> list[np.ndarray]:
         """The row of each feature; tokens outside the words have rows of their own kind, so that they disturb no word's."""
@@ -258,54 +270,66 @@ class Model:
         bucket = np.where(before < half, before, half + (mixed64(seen.hashes[0][own]) % np.uint64(half)).astype(np.int64))
         return self.words.group[seen.ids[own]] * self.buckets + bucket
 
-    def chunks(self, seen: Seen):
-        """Chunk by chunk: the tokens' positions with the weights of classes, and those of words with the weights of words.
+    def weights(self) -> tuple[np.ndarray, ...]:
+        """Exponentials of class scores and biases, and the weights of words with their sums, for each row of word scores.
 
-        A weight is the product of the exponentials of scores, which are taken once.
+        A row of word scores belongs to one class and is all that a word's weight depends on, so these are taken once.
         """
         if self.powers is None:
-            self.powers = [np.exp(t) for t in (self.classes, self.class_bias, self.inner, self.word_bias)]
-        classes, class_bias, words, word_bias = self.powers
-        rows, n = self.rows(seen), len(seen.ids)
+            words = np.exp(self.inner)
+            words *= np.repeat(np.exp(self.word_bias[:CLASSES]), self.buckets, axis=0)
+            self.powers = np.exp(self.classes), np.exp(self.class_bias), words, words.sum(1)
+        return self.powers
+
+    def chunks(self, seen: Seen, rows: list[np.ndarray] | None = None):
+        """Chunk by chunk: the tokens' positions, rows of features and classes, and the weights of classes, which the next chunk overwrites.
+
+        A weight is the product of the exponentials of scores.
+        """
+        classes, class_bias, *_ = self.weights()
+        rows, n = rows or self.rows(seen), len(seen.ids)
+        product, factor = np.empty((2, min(n, CHUNK), CLASSES + 1), np.float32)
         for k in range(0, n, CHUNK):
             here = slice(k, k + CHUNK)
             at = [r[here] for r in rows]
-            weight = np.take(classes, at[0], axis=0, mode="clip")
+            weight, other = product[: len(at[0])], factor[: len(at[0])]
+            np.take(classes, at[0], axis=0, out=weight, mode="clip")
             for r in at[1:]:
-                weight *= np.take(classes, r, axis=0, mode="clip")
+                weight *= np.take(classes, r, axis=0, out=other, mode="clip")
             weight *= class_bias
-            own = k + np.flatnonzero(seen.ids[here] < self.words.n)
-            inner, ids = self.inner_rows(seen, own), seen.ids[own]
-            inside = np.take(words, inner, axis=0, mode="clip")
-            inside *= np.take(word_bias, self.words.group[ids], axis=0, mode="clip")
-            yield here, at, self.words.group[seen.ids[here]], weight, own, inner, self.words.spot[ids], inside
+            yield here, at, self.words.group[seen.ids[here]], weight
 
     def log_chances(self, seen: Seen) -> np.ndarray:
         """Natural logarithm of each token's chance; of a rare one, of its class's chance."""
         out = np.zeros(len(seen.ids))
-        share = lambda weight, pick: np.log(weight[np.arange(len(pick)), pick] / weight.sum(1))
-        for here, _, group, weight, own, _, spot, inside in self.chunks(seen):
-            out[here] = share(weight, group)
-            out[own] += share(inside, spot)
+        for here, _, group, weight in self.chunks(seen):
+            out[here] = np.log(weight[np.arange(len(group)), group] / weight.sum(1))
+        *_, words, sums = self.weights()
+        own = np.flatnonzero(seen.ids < self.words.n)
+        at = self.inner_rows(seen, own)
+        out[own] += np.log(words[at, self.words.spot[seen.ids[own]]] / sums[at])
         return out
 
-    def observed(self, seen: Seen, classes: np.ndarray, inner: np.ndarray) -> None:
+    def observed(self, seen: Seen, classes: np.ndarray, inner: np.ndarray, rows: list[np.ndarray] | None = None) -> None:
         """Add the counts of features with outcomes."""
         group = self.words.group[seen.ids]
-        for r in self.rows(seen):
+        for r in rows or self.rows(seen):
             np.add.at(classes, r * (CLASSES + 1) + group, _ONE)
         own = np.flatnonzero(seen.ids < self.words.n)
         np.add.at(inner, self.inner_rows(seen, own) * self.words.size + self.words.spot[seen.ids[own]], _ONE)
 
-    def expected(self, seen: Seen, classes: np.ndarray, inner: np.ndarray) -> None:
+    def expected(self, seen: Seen, classes: np.ndarray, inner: np.ndarray, rows: list[np.ndarray] | None = None) -> None:
         """Add the counts of features with outcomes drawn from the model, one for each token."""
+        if self.totals is None:
+            self.totals = np.cumsum(self.weights()[2], axis=1)
         draws = seen.draw(0), seen.draw(1)
-        triangle, upper = (np.triu(np.ones((n, n), np.float32)) for n in (CLASSES + 1, self.words.size))
-        for here, rows, _, e, own, at, _, ei in self.chunks(seen):
-            group = _drawn(e, draws[0][here], triangle)
-            for r in rows:
+        for here, at, _, weight in self.chunks(seen, rows):
+            group = _drawn(weight, draws[0][here])
+            for r in at:
                 np.add.at(classes, r * (CLASSES + 1) + group, _ONE)
-            np.add.at(inner, at * self.words.size + _drawn(ei, draws[1][own], upper), _ONE)
+        own = np.flatnonzero(seen.ids < self.words.n)
+        at = self.inner_rows(seen, own)
+        np.add.at(inner, at * self.words.size + _ended(self.totals, at, draws[1][own]), _ONE)
 
     def blocks(self) -> list[tuple[int, int, int]]:
         """Blocks of both tables: the table, and the first and last but one of its rows."""
@@ -323,7 +347,7 @@ class Model:
             part = tables[table][a:b]
             part += np.frombuffer(raw, np.float32).reshape(part.shape)
             np.clip(part, -LARGEST, LARGEST, out=part)
-        self.classes[-1], self.powers = 0, None
+        self.classes[-1], self.powers, self.totals = 0, None, None
 
     def steps(self) -> Steps:
         return Steps(self.blocks(), np.exp(self.class_bias.astype(float)), np.exp(self.word_bias[:CLASSES].astype(float)), self.buckets)
@@ -352,11 +376,29 @@ def _step(observed: np.ndarray, expected: np.ndarray, smooth) -> np.ndarray:
     return np.clip(RATE * np.log((observed + smooth + 1e-30) / (expected + smooth + 1e-30)), -STEP, STEP).astype(np.float32)
 
 
-def _drawn(weights: np.ndarray, u: np.ndarray, triangle: np.ndarray) -> np.ndarray:
-    """The outcome of each row in which the share u of its weights ends."""
-    total = weights @ triangle
-    below = (total < (u * total[:, -1])[:, None]).view(np.uint8).sum(1, dtype=np.uint8)
-    return np.minimum(below, weights.shape[1] - 1).astype(np.int64)
+def _drawn(weights: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The outcome of each row in which the share u of its weights ends.
+
+    Weights are added outcome by outcome for all rows, so that no row's sum depends on the rows beside it.
+    """
+    n, outcomes = weights.shape
+    total = np.empty((outcomes, n + 24), np.float32)[:, :n]  # lines a power of two apart would share places in the cache
+    total[:] = weights.T
+    for before, now in zip(total[:-1], total[1:], strict=True):
+        now += before
+    return (total[:-1] < u * total[-1]).view(np.uint8).sum(0, dtype=np.uint8).astype(np.int64)
+
+
+def _ended(totals: np.ndarray, rows: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The outcome in which the share u of the weights ends, by bisection in the given rows of running totals."""
+    flat, left = totals.ravel(), totals.shape[1]
+    start = rows * left
+    end, at = u * flat[start + left - 1], start.copy()
+    while left > 1:
+        half = left >> 1
+        at += half * (flat[at + (half - 1)] < end)
+        left -= half
+    return at - start
 
 
 def _contexts(shared):
@@ -414,9 +456,10 @@ def _gradients(shared, first_round: bool):
         for whole in batches:
             for batch in pieces(whole, "text"):
                 seen = Seen(m.words, *tokens(*text_buffers(batch.column(0))))
-                m.observed(seen, *sums[:2])
+                rows = m.rows(seen)
+                m.observed(seen, *sums[:2], rows)
                 if not first_round:
-                    m.expected(seen, *sums[2:])
+                    m.expected(seen, *sums[2:], rows)
         for k, (table, a, b) in enumerate(m.blocks()):
             width = (m.classes, m.inner)[table].shape[1]
             part = np.concatenate([v[a * width : b * width] for v in sums[table::2]])
@@ -468,9 +511,9 @@ def _dealt(shared, parts: int):
 
         def rows():
             own, last, mark = (np.concatenate(x) for x in zip(*held, strict=True))
-            part = _part_of(own, parts)
-            order = np.lexsort((own, part))
-            edge = np.searchsorted(part[order], np.arange(parts + 1))
+            key = mixed64(own)
+            order = np.argsort(key)  # parts are ranges of it, so that this brings equal tokens together too
+            edge = np.searchsorted(_part_of(key[order], parts), np.arange(parts + 1))
             packed = [(k, b"".join(x[order[a:b]].tobytes() for x in (own, last, mark))) for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if a < b]
             base = pa.array(np.full(len(packed), at_task + start))
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in packed], pa.int32()), base, pa.array([x for _, x in packed], pa.binary())], names=["part", "base", "packed"])
@@ -492,8 +535,9 @@ def _dealt(shared, parts: int):
     return run
 
 
-def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    return (mixed64(h) % np.uint64(parts)).astype(np.int64)
+def _part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each scrambled hash, which grows with it."""
+    return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def _rare_logs(whole: int):
@@ -514,7 +558,7 @@ def _rare_logs(whole: int):
         kind, pair = np.cumsum(new) - 1, np.cumsum(new | np.concatenate(([True], last[1:] != last[:-1]))) - 1
         train = (mark & 1).astype(float)
         log = np.log10(np.bincount(pair, train)[pair] + RARE_PRIOR * ((np.bincount(kind, train) + 1) / whole)[kind])
-        order = np.argsort(row, kind="stable")
+        order = np.argsort(row)
         rows, first = np.unique(row[order], return_index=True)
         return pa.table({"row": rows, "v": np.add.reduceat(np.round(log[order] * _PART).astype(np.int64), first)})
 
@@ -548,6 +592,19 @@ def _scored(shared):
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
             return known[at] == h, np.where(known[at] == h, logs[at], 0.0)
 
+        def by_id(known, logs):
+            """The same for tokens that are given by id and hash; the words are looked up once."""
+            words = looked_up(model.words.hashes, known, logs)
+
+            def look(ids, h):
+                found, value = (v[np.minimum(ids, model.words.n)] for v in words)
+                others = np.flatnonzero(ids >= model.words.n)
+                found[others], value[others] = looked_up(h[others], known, logs)
+                return found, value
+
+            return look
+
+        token, token_before = by_id(known, logs), by_id(contexts, context_logs)
         def lists(h, owner, n):
             """Each text's hashes with their occurrences in it."""
             order = np.lexsort((h, owner))
@@ -565,8 +622,8 @@ def _scored(shared):
                 chance = model.log_chances(seen) / np.log(10)
                 rare = np.flatnonzero(seen.ids == model.words.n)
                 last = seen.hashes[0][rare]
-                found, value = looked_up(h, known, logs)
-                near, before_value = looked_up(last, contexts, context_logs)
+                found, value = token(seen.ids, h)
+                near, before_value = token_before(seen.back[0][rare], last)
                 add = lambda v, owner=owner, n=n: np.bincount(owner, v, minlength=n)
                 columns = [number + np.arange(n), np.diff(first), add(found).astype(np.int64), add(value), add(chance), np.bincount(owner[rare], minlength=n), np.bincount(owner[rare], before_value, minlength=n).astype(float)]
                 opened = [lists(h[~found], owner[~found], n), lists(last[~near], owner[rare][~near], n)]

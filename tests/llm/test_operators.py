@@ -543,6 +543,53 @@ def test_op9_updates_lower_the_loss_and_draws_follow_the_model():
     assert losses[0] + 0.5 < losses[1] < losses[2]
 
 
+def test_op9_work_on_words_is_done_once_a_model(monkeypatch):
+    """Weights of words are not gathered for each token, and neither sums nor draws depend on how tokens are cut into chunks."""
+    rng = np.random.default_rng(6)
+    vocabulary = maxent.Words(rng.integers(1, 2**62, 4000).astype(np.uint64), np.sort(rng.integers(1, 500, 4000))[::-1], 64)
+    model = maxent.Model(vocabulary, 50, 20, int(vocabulary.counts.sum()) + 50, 1 << 10, 1 << 10)
+    model.classes[:-1] = rng.normal(0, 1, model.classes[:-1].shape)
+    model.inner[:] = rng.normal(0, 1, model.inner.shape)
+    ids = rng.integers(0, 4001, 30000)
+    seen = _back(vocabulary, ids, np.arange(0, 30001, 50))
+    assert np.array_equal(seen.ids, ids)
+    logs, counts, gathered, take = [], [], [], np.take
+
+    def counted(*args, **options):
+        gathered.append(take(*args, **options))
+        return gathered[-1]
+
+    for size in (1 << 12, 1 << 12, 7):
+        monkeypatch.setattr(maxent, "CHUNK", size)
+        with monkeypatch.context() as m:
+            m.setattr(np, "take", counted)
+            logs.append(model.log_chances(seen))
+            counts.append([np.zeros(t.size, np.int32) for t in (model.classes, model.inner)])
+            model.expected(seen, *counts[-1])
+        assert sum(g.size for g in gathered) <= 2 * 4 * (maxent.CLASSES + 1) * len(ids)
+        gathered.clear()
+    assert np.array_equal(logs[0], logs[2]) and all(np.array_equal(a, b) for a, b in zip(counts[0], counts[2], strict=True))
+    # a token's chance in its class is that of its weight among those of the row
+    own = np.flatnonzero(ids < 4000)
+    at, spot = model.inner_rows(seen, own), vocabulary.spot[ids[own]]
+    scores = (model.inner[at] + model.word_bias[vocabulary.group[ids[own]]]).astype(float)
+    inside = scores[np.arange(len(own)), spot] - np.log(np.exp(scores).sum(1))
+    for here, _, group, weight in model.chunks(seen):
+        logs[0][here] -= np.log(weight[np.arange(len(group)), group] / weight.sum(1))
+    assert logs[0][own] == pytest.approx(inside, abs=1e-4) and np.abs(np.delete(logs[0], own)).max() < 1e-6
+
+
+def test_op9_words_are_found_whatever_places_their_hashes_share():
+    rng = np.random.default_rng(7)
+    top = rng.integers(0, 40, 600).astype(np.uint64) << np.uint64(46)
+    hashes = np.unique(top + rng.integers(0, 2**46, 600).astype(np.uint64))
+    rng.shuffle(hashes)
+    for n in (0, 1, 300):
+        some, every = maxent.Words(hashes[:n], np.ones(n, np.int64), 32), np.append(hashes, [np.uint64(0), ~np.uint64(0)])
+        assert some.ids(every).tolist() == [*range(n), *[n] * (len(every) - n)]
+    assert maxent.Words(every[[-1, -2, 0]], np.ones(3, np.int64), 32).ids(every[[0, 1, -2, -1]]).tolist() == [2, 3, 1, 0]
+
+
 def test_op9_beats_the_base_on_held_out_rows(spark):
     """And two runs over other partitions agree."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")

@@ -10,13 +10,16 @@ span, after the span's own begin; never both, so that each pair is found once.
 
 Both are one equality join on (person, level, stretch), where the first kind has a level of its own.  A person with a thousand
 windows and a million spans is dealt to many tasks, a year-long span takes a few rows more than one of a
-day, and what is joined in vain lies within a grain of a span's ends.  Where no person has more than FEW windows, which one small
-aggregation tells, spans join on the person alone.
+day, and what is joined in vain lies within a grain of a span's ends.
+
+Only busy persons, who have more than FEW windows, are tiled.  The spans of all others meet the windows of their person in one
+place, so that neither has more rows than before the join, whoever else is busy.
 """
 
 from __future__ import annotations
 
 import math
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +30,10 @@ from ..functions.bins import elapsed, stretch
 GRAINS = 2
 #: Windows of a person, at most, for which its spans meet all of them: no more rows than tiles would make.
 FEW = 16
+#: Busy persons that a broadcast names; beyond them they are joined by a shuffle.
+NAMED = 250_000
+#: Levels of begins, and of the one place of persons who are not busy.
+BEGIN, WHOLE = -1, -2
 #: Grains of a span that are not put together to larger stretches.
 SHORT = 4
 #: Length of the largest stretches; longer spans are tiled by several of them.
@@ -70,22 +77,34 @@ def overlapping(windows: DataFrame, spans: DataFrame, *, width: int, zero: str =
     """Spans with the windows of their person that they overlap; all columns of both, each pair once.
 
     Windows begin at zero and are width microseconds long, their end excluded; spans go from low to high, both included.
-    Null times meet nothing.  Times are timestamps without zone; the names level and stretch are taken.
+    Null times meet nothing.  Times are timestamps without zone; the names level, stretch, _busy and _end are taken.
     """
+    windows = windows.withColumn("_end", F.col(zero) + F.lit(timedelta(microseconds=width)))
+    spans = spans.where(F.col(low).isNotNull() & F.col(high).isNotNull())
     begins_here = elapsed(F.col(zero), F.col(low)).between(0, width - 1)
     begun_before = (F.col(low) < F.col(zero)) & (F.col(zero) <= F.col(high))
-    most = windows.where(F.col(by).isNotNull()).groupBy(by).count().agg(F.max("count")).first()[0] or 0
-    if most <= FEW:
-        return spans.join(windows, by).where(begins_here | begun_before)
+    # both at once and by comparisons alone, which are quick: they see all windows of a person
+    either = (F.col(low) < F.col("_end")) & ((F.col(zero) <= F.col(low)) | (F.col(zero) <= F.col(high)))
+    busy = windows.where(F.col(by).isNotNull()).groupBy(by).count().where(F.col("count") > FEW).select(by, F.lit(True).alias("_busy"))
+    named = busy.count()
+    if not named:
+        return spans.join(windows, by).where(either).drop("_end")
+    busy = F.broadcast(busy) if named <= NAMED else busy.hint("merge")
     grain, top = levels(width)
     number = lambda at: F.floor(_epoch(at) / F.lit(grain)).cast("bigint") if grain == 1 else stretch(at, grain)
-    begin = lambda s: F.struct(F.lit(-1).alias("level"), s.alias("stretch"))
+    place = lambda k, s: F.struct(F.lit(k).alias("level"), s.alias("stretch"))
+    tiled = F.col("_busy").isNotNull()
+    whole = F.array(place(WHOLE, F.lit(0).cast("bigint")))
     here = stretch(F.col(zero), width)
-    places = [begin(here), begin(here + 1)] + [F.struct(F.lit(k).alias("level"), F.shiftright(number(F.col(zero)), k).alias("stretch")) for k in range(top + 1)]
-    left = windows.where(F.col(zero).isNotNull()).withColumn("_place", F.explode(F.array(*places))).select("*", "_place.*").drop("_place")
-    some = spans.where(F.col(low).isNotNull() & F.col(high).isNotNull())
-    some = some.withColumns({"_own": stretch(F.col(low), width), "_first": number(F.col(low)), "_last": number(F.col(high))})
-    tiled = F.when(F.col(low) < F.col(high), tiles(F.col("_first"), F.col("_last"), top)).otherwise(F.array().cast("array<struct<level: int, stretch: bigint>>"))
-    right = some.withColumn("_place", F.explode(F.concat(F.array(begin(F.col("_own"))), tiled))).select("*", "_place.*").drop("_place", "_own", "_first", "_last")
-    met = right.join(left, [by, "level", "stretch"])
-    return met.where(F.when(F.col("level") == -1, begins_here).otherwise(begun_before)).drop("level", "stretch")
+    places = [place(BEGIN, here), place(BEGIN, here + 1)] + [place(k, F.shiftright(number(F.col(zero)), k)) for k in range(top + 1)]
+    left = windows.where(F.col(zero).isNotNull()).join(busy, by, "left")
+    left = left.withColumn("_place", F.explode(F.when(tiled, F.array(*places)).otherwise(whole))).select("*", "_place.*").drop("_place", "_busy")
+    right = spans.join(busy, by, "left")
+    right = right.withColumns({"_own": F.when(tiled, stretch(F.col(low), width)), "_first": F.when(tiled, number(F.col(low))), "_last": F.when(tiled, number(F.col(high)))})
+    inside = F.when(F.col(low) < F.col(high), tiles(F.col("_first"), F.col("_last"), top)).otherwise(F.array().cast("array<struct<level: int, stretch: bigint>>"))
+    right = right.withColumn("_place", F.explode(F.when(tiled, F.concat(F.array(place(BEGIN, F.col("_own"))), inside)).otherwise(whole)))
+    right = right.select("*", "_place.*").drop("_place", "_busy", "_own", "_first", "_last")
+    # Spark takes the places of windows for as many rows as there are windows: they are never to be broadcast
+    met = right.join(left.hint("merge"), [by, "level", "stretch"])
+    fits = F.when(F.col("level") == WHOLE, either).when(F.col("level") == BEGIN, begins_here).otherwise(begun_before)
+    return met.where(fits).drop("level", "stretch", "_end")

@@ -93,7 +93,9 @@ def span_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each order the deliveries to its customer, each as many days long as its quantity, that lie in the 30 days from the order on."""
     orders = table(spark, sf_dir, "orders")
     windows = orders.select("o_orderkey", F.col("o_custkey").alias("person_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("_zero"))
-    lines = table(spark, sf_dir, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("person_id")), "l_orderkey")
+    # all orders: two columns of a small file are many rows, which a broadcast would send through the driver
+    customers = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("person_id")).hint("merge")
+    lines = table(spark, sf_dir, "lineitem").join(customers, "l_orderkey")
     low = F.col("l_shipdate").cast("timestamp_ntz")
     spans = lines.select("person_id", "l_quantity", low.alias("_low"), (low + F.make_dt_interval(days=F.col("l_quantity").cast("int"))).alias("_high"))
     met = overlapping(windows, spans, width=30 * DAY)

@@ -79,6 +79,73 @@ def count_before_filter(spark, left, right):
     return keys.join(places, "k").count()
 
 
+def overlaps(windows, spans, width):
+    return {(w, s) for p, w, z in windows for q, s, a, b in spans if p == q and None not in (p, z, a, b) and a < z + width and b >= z}
+
+
+def one_busy_person():
+    """200 persons with two windows and three spans, and one with 40 windows and 60 spans, some of a year."""
+    rng = random.Random(5)
+    at = lambda: ZERO + timedelta(hours=rng.randint(-300, 300))
+    windows = [(p, k, at()) for k, p in enumerate([*range(200)] * 2 + [999] * 40)]
+    begins = [(p, k, at()) for k, p in enumerate([*range(200)] * 3 + [999] * 60)]
+    return windows, [(p, k, a, a + timedelta(days=365 if k % 5 == 0 else rng.randint(0, 9))) for p, k, a in begins]
+
+
+def executed(frame):
+    """Nodes of the plan that ran, with what they measured."""
+    def walk(node):
+        yield node
+        below = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if node.nodeName().endswith("QueryStage") else [node.children().apply(k) for k in range(node.children().size())]
+        for x in below:
+            yield from walk(x)
+
+    frame.collect()
+    return list(walk(frame._jdf.queryExecution().executedPlan()))
+
+
+def test_one_busy_person_leaves_the_others_whole(spark):
+    """Rows of persons with few windows are not multiplied because another person has many."""
+    windows, spans = one_busy_person()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = intervals.overlapping(*frames(spark, windows, spans), width=DAY)
+        made = sum(n.metrics().apply("shuffleRecordsWritten").value() for n in executed(out) if n.nodeName() == "Exchange")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    got = [(r["w"], r["s"]) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == overlaps(windows, spans, timedelta(days=1))
+    # 40 windows and 60 spans in some 16 places each at most, all others in one
+    assert made <= 200 * (2 + 3) + 16 * (40 + 60) + 1000
+
+
+def test_places_of_windows_are_not_broadcast(spark):
+    """Spark takes the places for as few rows as the windows, however small; the driver must not gather them."""
+    windows, spans = one_busy_person()
+    names = [n.nodeName() for n in executed(intervals.overlapping(*frames(spark, windows, spans), width=DAY))]
+    assert "SortMergeJoin" in names
+
+
+@pytest.mark.parametrize("named", [1, 2])
+def test_more_busy_persons_than_a_broadcast_names(spark, monkeypatch, named):
+    windows, spans = one_busy_person()
+    windows += [(998, 1000 + k, ZERO + timedelta(hours=k)) for k in range(17)] + [(None, 2000 + k, ZERO) for k in range(20)] + [(999, 3000, None)]
+    spans += [(998, 1000, ZERO, ZERO + timedelta(days=1)), (None, 1001, ZERO, ZERO), (999, 1002, None, ZERO), (5, 1003, windows[5][2], None)]
+    monkeypatch.setattr(intervals, "NAMED", named)
+    out = intervals.overlapping(*frames(spark, windows, spans), width=DAY)
+    got = [(r["w"], r["s"]) for r in out.collect()]
+    assert ("strategy=broadcast" in out._jdf.queryExecution().optimizedPlan().toString()) == (named == 2)
+    assert out.columns == ["person_id", "s", "_low", "_high", "w", "_zero"]
+    assert len(got) == len(set(got)) and set(got) == overlaps(windows, spans, timedelta(days=1))
+
+
+def test_null_times_meet_nothing_where_nobody_is_busy(spark):
+    windows, spans = [(1, 1, ZERO), (1, 2, None)], [(1, 1, ZERO, None), (1, 2, None, ZERO), (1, 3, ZERO, ZERO)]
+    out = intervals.overlapping(*frames(spark, windows, spans), width=DAY)
+    assert [(r["w"], r["s"]) for r in out.collect()] == [(1, 3)] and out.columns == ["person_id", "s", "_low", "_high", "w", "_zero"]
+
+
 def test_binned_spans_of_many_observations(spark):
     """Steps of spans with missing and earlier ends, over observations that overlap."""
     rng = random.Random(3)
